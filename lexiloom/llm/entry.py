@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import documents
 
@@ -16,12 +17,42 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .unigram import count_tokens
+
+    return count_tokens(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licences import scan_documents
+
+    places = F.col("base_places")
+    return scan_documents(documents(spark, sf_dir)).select(
+        "doc_id",
+        "n_words",
+        F.size(places).cast("long").alias("n_base"),
+        F.array_min(places).alias("first_word"),
+        F.array_max(places).alias("last_word"),
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+        F.array_join("expressions", ";").alias("expressions"),
+    )
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import round_trip
 
     return round_trip(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    packed = pack_documents(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit() and callable(f)}
 
