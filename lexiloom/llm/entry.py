@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, write_read
 
 
 def tokenizer_file(name: str) -> str:
@@ -17,6 +17,12 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .gif import digest_media, store_texts
+
+    return digest_media(write_read(store_texts(documents(spark, sf_dir)), "media"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .unigram import count_tokens
 
