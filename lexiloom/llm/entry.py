@@ -17,6 +17,12 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir), words=3, percent=85)
+
+
 def op3_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .gif import digest_media, store_texts
 
