@@ -35,6 +35,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ordermin import fingerprint_edits
+
+    return fingerprint_edits(documents(spark, sf_dir))
+
+
 def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licences import scan_documents
 
