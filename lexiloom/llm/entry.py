@@ -35,6 +35,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_and_read
+
+    return archive_and_read(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ordermin import fingerprint_edits
 
