@@ -79,12 +79,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 class IntMap:
     """Vectorised open-addressing map from non-negative int64 keys to values.
 
-    The table has at least four slots a key, so that most lookups end at their
+    The table has at least two slots a key, so that most lookups end at their
     first probe; its size is fixed by the number of keys given at the start.
     """
 
     def __init__(self, keys: np.ndarray, values: np.ndarray, missing):
-        bits = max(4, int(4 * max(1, len(keys)) - 1).bit_length())
+        bits = max(4, int(2 * max(1, len(keys)) - 1).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
         self.keys = np.full(1 << bits, -1, dtype=np.int64)
         self.values = np.full(1 << bits, missing, dtype=values.dtype)

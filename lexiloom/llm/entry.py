@@ -17,6 +17,13 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return classify(documents(spark, sf_dir), labels, ["doc_id", "lang"])
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
