@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from .common import documents, write_read
 
 
+#: The key of the queries; a deployment passes its own.
+SURROGATE_KEY = "example-key"
+
+
 def tokenizer_file(name: str) -> str:
     """Default place of the public vocabulary files; every operator takes a path instead."""
     import public_tokenizers
@@ -21,7 +25,8 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import classify
 
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return classify(documents(spark, sf_dir), labels, ["doc_id", "lang"])
+    out = classify(documents(spark, sf_dir), labels, ["doc_id", "lang"])
+    return out.select("doc_id", "lang", *(F.col(f"{c}_").alias(c) for c in ("perplexity", "score", "threshold", "kept")))
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +47,14 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import replace_entities
+
+    kinds = F.array_sort(F.array_distinct(F.transform("entities_", lambda e: e["kind"])))
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return replace_entities(docs, SURROGATE_KEY).select("doc_id", F.size("entities_").cast("long").alias("n_entities"), F.array_join(kinds, ",").alias("kinds"), "text")
+
+
 def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive_and_read
 

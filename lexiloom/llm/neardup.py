@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches, slices, texts_of, write_read
@@ -293,3 +293,19 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
     out = sketched.drop("bands").join(named, ["set1", "set2", "n_shingles"], "left")
     component = F.coalesce("component", "doc_id")
     return out.select(F.col("doc_id").alias(id_col), "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without those that repeat another: one stays of each component.
+
+    Only ids travel to find what goes; texts are shuffled once, in the final anti-join.
+    Of rows with one id, the one of least text stays; rows without an id all stay.
+    """
+    found = write_read(near_duplicates(docs, words, percent, id_col, text_col), "near-duplicates")
+    out = docs.join(found.where("not kept").select(id_col).distinct(), id_col, "left_anti").select(*docs.columns)
+    again = found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
+    if again.isEmpty():
+        return out
+    first = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last())
+    few = out.join(again, id_col, "left_semi").withColumn("row_", F.row_number().over(first)).where("row_ = 1").select(*docs.columns)
+    return out.join(again, id_col, "left_anti").select(*docs.columns).unionByName(few)
