@@ -1 +1,255 @@
-ORACLE = {}
+"""The same queries in DuckDB SQL, written from their definitions."""
+
+from __future__ import annotations
+
+from ..functions import lexicons
+from . import fixtures
+
+TEXT_TOKENS = """
+sents AS (SELECT * EXCLUDE (ss), unnest(ss) AS sentence, generate_subscripts(ss, 1) - 1 AS sentence_idx FROM (
+  SELECT * EXCLUDE (text), list_filter(list_transform(regexp_extract_all(text, '[^.!?\\n]+'), lambda x: trim(x)), lambda x: x <> '') AS ss FROM base)),
+sent_toks AS (SELECT *, regexp_extract_all(sentence, '[\\p{L}\\p{M}\\p{N}]+') AS toks FROM sents),
+toks AS (SELECT * EXCLUDE (toks, sentence), unnest(toks) AS text, generate_subscripts(toks, 1) - 1 AS token_idx FROM sent_toks)
+"""
+EN = "SELECT * FROM documents WHERE lang = 'en'"
+ALL = "SELECT * FROM documents"
+
+
+def with_tokens(base: str, rest: str, more: str = "") -> str:
+    return f"WITH base AS ({base}), {TEXT_TOKENS} {more} {rest}"
+
+
+def text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def words(xs: list[str]) -> str:
+    return "(" + ", ".join(map(text, xs)) + ")"
+
+
+def values(rows: list[tuple], columns: str, casts: str = "*") -> str:
+    def one(v) -> str:
+        if v is None:
+            return "NULL"
+        if isinstance(v, str):
+            return text(v)
+        if isinstance(v, list):
+            return "[" + ", ".join(map(one, v)) + "]"
+        return str(v)
+
+    return f"SELECT {casts} FROM (VALUES " + ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows) + f") AS t({columns})"
+
+
+def kwic(base: str, where: str, w: int, tail: str = "") -> str:
+    return with_tokens(base, f"""SELECT doc_id, sentence_idx::INT AS sentence_idx, token_idx::INT AS token_idx,
+      array_to_string(list_slice(toks, greatest(token_idx - {w}, 0) + 1, token_idx), ' ') AS left_context, node,
+      array_to_string(list_slice(toks, token_idx + 2, token_idx + 1 + {w}), ' ') AS right_context,
+      doc_id || ':' || sentence_idx || ':' || token_idx AS evidence_id
+      FROM (SELECT doc_id, sentence_idx, toks, unnest(toks) AS node, generate_subscripts(toks, 1) - 1 AS token_idx FROM sent_toks) WHERE {where} {tail}""")
+
+
+def ll(a: str, b: str, c: str, d: str) -> str:
+    n = f"({a} + {b} + {c} + {d})"
+    terms = [f"(CASE WHEN {o} > 0 AND {r} * {k} > 0 THEN {o} * ln({o} / ({r} * {k} / {n})) ELSE 0 END)" for o, r, k in ((a, f"({a} + {b})", f"({a} + {c})"), (b, f"({a} + {b})", f"({b} + {d})"), (c, f"({c} + {d})", f"({a} + {c})"), (d, f"({c} + {d})", f"({b} + {d})"))]
+    return "(2 * (" + " + ".join(terms) + "))"
+
+
+def chi(a: str, b: str, c: str, d: str) -> str:
+    n = f"({a} + {b} + {c} + {d})"
+    terms = [f"(CASE WHEN {r} * {k} > 0 THEN ({o} - {r} * {k} / {n}) * ({o} - {r} * {k} / {n}) / ({r} * {k} / {n}) ELSE 0 END)" for o, r, k in ((a, f"({a} + {b})", f"({a} + {c})"), (b, f"({a} + {b})", f"({b} + {d})"), (c, f"({c} + {d})", f"({a} + {c})"), (d, f"({c} + {d})", f"({b} + {d})"))]
+    return "(" + " + ".join(terms) + ")"
+
+
+def colloc(scope: str, tail: str = "") -> str:
+    base = "own" if scope == "node_sentences" else "low"
+    return with_tokens(EN, f"""SELECT collocate, o_raw, o::BIGINT AS o, fx::BIGINT AS fx, fy::BIGINT AS fy, n::BIGINT AS n,
+      round(log2(q * dn / (x * y)), 4) AS mi, round((q - x * y / dn) / sqrt(q), 4) AS t_score,
+      round({ll('a', '(x - a)', '(y - a)', '(dn - x - y + a)')}, 4) AS log_likelihood,
+      round({chi('a', '(x - a)', '(y - a)', '(dn - x - y + a)')}, 4) AS chi_square,
+      round(2 * q / (x + y), 4) AS dice, round(14 + log2(2 * q / (x + y)), 4) AS log_dice,
+      round(q / x - CASE WHEN dn - x > 0 THEN (y - q) / (dn - x) ELSE 0 END, 4) AS delta_p_yx,
+      round(q / y - CASE WHEN dn - y > 0 THEN (x - q) / (dn - y) ELSE 0 END, 4) AS delta_p_xy
+      FROM scored WHERE x - a >= 0 AND y - a >= 0 AND dn - x - y + a >= 0 {tail}""", f""",
+    low AS (SELECT list_transform(toks, lambda t: lower(t)) AS toks FROM sent_toks),
+    own AS (SELECT * FROM low WHERE list_contains(toks, 'of')),
+    counts AS (SELECT w, count(*) AS f FROM (SELECT unnest(toks) AS w FROM {base}) GROUP BY w),
+    totals AS (SELECT sum(f)::BIGINT AS n, coalesce(sum(f) FILTER (w = 'of'), 0)::BIGINT AS fx FROM counts),
+    nodes AS (SELECT toks, i FROM (SELECT toks, unnest(toks) AS t, generate_subscripts(toks, 1) AS i FROM own) WHERE t = 'of'),
+    pairs AS (SELECT c AS collocate, count(*) AS o_raw FROM (SELECT unnest(list_concat(list_slice(toks, greatest(i - 5, 1), i - 1), list_slice(toks, i + 1, i + 5))) AS c FROM nodes) GROUP BY c HAVING count(*) >= 3),
+    scored AS (SELECT collocate, o_raw, least(o_raw, fx, f) AS o, fx, f AS fy, n, o_raw::DOUBLE AS q, least(o_raw, fx, f)::DOUBLE AS a, fx::DOUBLE AS x, f::DOUBLE AS y, n::DOUBLE AS dn FROM pairs JOIN counts ON w = collocate, totals)""")
+
+
+def keyness(target: str, reference: str, raw_reference: str | None = None, tail: str = "") -> str:
+    """Two token queries with a column w, or a (w, f) reference."""
+    b = raw_reference or f"SELECT w, count(*) AS f FROM ({reference}) GROUP BY w"
+    return f"""WITH a AS (SELECT w, count(*) AS f FROM ({target}) GROUP BY w), b AS ({b}),
+    s AS (SELECT (SELECT coalesce(sum(f), 0) FROM a)::BIGINT AS n1, (SELECT coalesce(sum(f), 0) FROM b)::BIGINT AS n2),
+    j AS (SELECT coalesce(a.w, b.w) AS term, coalesce(a.f, 0)::BIGINT AS f1, coalesce(b.f, 0)::BIGINT AS f2, n1, n2 FROM a FULL OUTER JOIN b ON a.w = b.w, s),
+    p AS (SELECT *, f1::DOUBLE AS x, f2::DOUBLE AS y, n1::DOUBLE AS m, n2::DOUBLE AS k, CASE WHEN n1 > 0 THEN f1 / n1 * 1e6 ELSE 0 END AS p1, CASE WHEN n2 > 0 THEN f2 / n2 * 1e6 ELSE 0 END AS p2 FROM j WHERE greatest(f1, f2) >= 5)
+    SELECT * FROM (SELECT term, f1, f2, n1, n2, round({ll('x', '(m - x)', 'y', '(k - y)')}, 4) AS log_likelihood, round({chi('x', '(m - x)', 'y', '(k - y)')}, 4) AS chi_square,
+      round(CASE WHEN p1 = 0 AND p2 = 0 THEN 0 WHEN p1 = 0 THEN '-inf'::DOUBLE WHEN p2 = 0 THEN 'inf'::DOUBLE ELSE log2(p1 / p2) END, 4) AS log_ratio,
+      round(CASE WHEN p2 > 0 THEN (p1 - p2) / p2 * 100 WHEN p1 > 0 THEN 'inf'::DOUBLE ELSE 0 END, 4) AS pct_diff,
+      round((p1 + 1) / (p2 + 1), 4) AS simple_maths,
+      round(CASE WHEN y * (m - x) > 0 THEN x * (k - y) / (y * (m - x)) WHEN x > 0 THEN 'inf'::DOUBLE ELSE 0 END, 4) AS odds_ratio,
+      CASE WHEN p1 = p2 THEN 'none' WHEN p1 > p2 THEN 'positive' ELSE 'negative' END AS direction FROM p) {tail}"""
+
+
+def token_words(base: str) -> str:
+    return f"SELECT lower(t) AS w FROM (SELECT unnest(flatten(list_transform(list_filter(list_transform(regexp_extract_all(text, '[^.!?\\n]+'), lambda x: trim(x)), lambda x: x <> ''), lambda x: regexp_extract_all(x, '[\\p{{L}}\\p{{M}}\\p{{N}}]+')))) AS t FROM ({base}))"
+
+
+def ngrams(n: int, rest: str, toks: str = "toks") -> str:
+    return with_tokens(EN, f"""SELECT ngram, count(*) AS freq, count(DISTINCT doc_id) AS range FROM (
+      SELECT doc_id, unnest(list_transform(range(1, len(ts) - {n} + 2), lambda i: array_to_string(list_slice(ts, i, i + {n - 1}), ' '))) AS ngram FROM (SELECT doc_id, {toks} AS ts FROM sent_toks) WHERE len(ts) >= {n}) GROUP BY ngram HAVING {rest}""")
+
+
+def stats(base: str, by: str = "") -> str:
+    cols = f"{by}, " if by else ""
+    group = f"GROUP BY {by}" if by else ""
+    join = f"JOIN types USING ({by})" if by else ", types"
+    return f"""WITH base AS ({base}), {TEXT_TOKENS},
+    types AS (SELECT {cols} count(DISTINCT lower(text)) AS types FROM toks {group}),
+    n AS (SELECT {cols} count(*) AS tokens FROM toks {group}),
+    s AS (SELECT {cols} count(*) AS sentences FROM sents {group}),
+    d AS (SELECT {cols} count(*) AS documents FROM base {group})"""
+
+
+def stats_all(base: str) -> str:
+    return stats(base) + " SELECT documents, sentences, tokens, types FROM d, s, n, types"
+
+
+def markers(expr: str, xs: list[str]) -> str:
+    return "(" + " + ".join(f"contains({expr}, {text(x)})::INT" for x in xs) + ")"
+
+
+def claim_sql(rules: list[tuple[str, str, str]], base: str = "SELECT doc_id, lower(text) AS t FROM documents") -> str:
+    return " UNION ALL ".join(f"SELECT doc_id, {text(k)} AS category, round(({v})::DOUBLE, 6) AS confidence FROM ({base}) WHERE {c}" for k, c, v in rules)
+
+
+def dispersion(base: str, part: str) -> str:
+    return f"""WITH p AS (SELECT {part}, sum(len(list_filter(flatten(list_transform(regexp_extract_all(text, '[^.!?\\n]+'), lambda x: regexp_extract_all(x, '[\\p{{L}}\\p{{M}}\\p{{N}}]+'))), lambda t: lower(t) = 'the')))::BIGINT AS f FROM ({base}) GROUP BY {part}),
+    s AS (SELECT sum(f)::BIGINT AS total, count(*) AS n, avg(f) AS mean, stddev_pop(f) AS sd FROM p)
+    SELECT max(total) AS frequency, max(n) AS parts, round(max(CASE WHEN n < 2 THEN 1 WHEN mean = 0 THEN 0 ELSE greatest(0, 1 - sd / mean / sqrt(n - 1)) END), 6) AS juilland_d,
+    round(coalesce(0.5 * sum(CASE WHEN total > 0 THEN abs(f / total - 1 / n) END), 0), 6) AS gries_dp FROM p, s"""
+
+
+WS = r"'^\s+|\s+$', '', 'g'"
+
+
+def collapse(x: str) -> str:
+    return rf"regexp_replace(regexp_replace(regexp_replace({x}, '\r\n|\r', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')"
+
+
+def finish(x: str) -> str:
+    return rf"regexp_replace(regexp_replace(regexp_replace({x}, '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), {WS})"
+
+
+def split_words(x: str) -> str:
+    return rf"list_filter(regexp_split_to_array({x}, '\s+'), lambda t: t <> '')"
+
+
+PUNCT = "'[!\"#$%&''()*+,\\-./:;<=>?@\\[\\\\\\]^_`{|}~‘’“”–—…«»¡¿]+'"
+STOPPED = f"array_to_string(list_filter({split_words('t1')}, lambda t: NOT list_contains({'[' + ', '.join(map(text, lexicons.STOP_WORDS_EN)) + ']'}, t)), ' ')"
+EDGES = "'!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~‘’“”–—…«»¡¿'"
+
+
+def digest(inner: str, last: str) -> str:
+    return f"SELECT doc_id, length(c) AS n_chars, md5(c) AS digest FROM (SELECT doc_id, {last} AS c FROM ({inner}))"
+
+
+PARSED = values(fixtures.PARSED, "doc_id, sentence_idx, token_idx, text, lemma, pos, morph, dep_head, dep_rel", "doc_id::BIGINT AS doc_id, sentence_idx::INT AS sentence_idx, token_idx::INT AS token_idx, text, lemma, pos, morph, dep_head, dep_rel")
+HEAD = "JOIN p h ON h.doc_id = t.doc_id AND h.sentence_idx = t.sentence_idx AND h.token_idx = t.dep_head - 1"
+EV = "t.doc_id || ':' || t.sentence_idx || ':' || t.token_idx AS evidence_id"
+GRAMMAR = f"""p AS ({PARSED}), g AS (
+  SELECT t.doc_id, t.sentence_idx, t.token_idx, 'passive' AS pattern, t.text AS marker, h.text AS target, {EV} FROM p t {HEAD} WHERE t.dep_rel IN ('aux:pass', 'auxpass')
+  UNION ALL SELECT t.doc_id, t.sentence_idx, t.token_idx, 'modal', t.text, h.text, {EV} FROM p t {HEAD} WHERE t.dep_rel = 'aux' AND lower(t.lemma) IN {words(lexicons.MODALS)}
+  UNION ALL SELECT t.doc_id, t.sentence_idx, t.token_idx, 'negation', t.text, NULL, {EV} FROM p t WHERE t.dep_rel = 'neg' OR (t.pos = 'PART' AND contains(coalesce(t.morph, ''), 'Neg'))
+  UNION ALL SELECT t.doc_id, t.sentence_idx, t.token_idx, 'relative_clause', t.text, NULL, {EV} FROM p t WHERE t.dep_rel IN ('acl:relc', 'relcl')
+  UNION ALL SELECT t.doc_id, t.sentence_idx, t.token_idx, 'complex_np', t.marker, t.target, {EV} FROM (SELECT t.doc_id, t.sentence_idx, h.token_idx, string_agg(t.text, ' ' ORDER BY t.token_idx) AS marker, h.text AS target FROM p t {HEAD} WHERE h.pos = 'NOUN' AND t.dep_rel IN ('amod', 'nmod', 'compound', 'nummod', 'appos') GROUP BY ALL HAVING count(*) >= 2) t
+  UNION ALL SELECT t.doc_id, t.sentence_idx, t.token_idx, 'tense', CASE WHEN contains(morph, 'Tense=Past') THEN 'past' WHEN contains(morph, 'Tense=Pres') THEN 'present' ELSE 'future' END, t.text, {EV} FROM p t WHERE pos IN ('VERB', 'AUX') AND regexp_matches(morph, 'Tense=(Past|Pres|Fut)'))"""
+D = "o::DOUBLE AS o, r::DOUBLE AS r, c::DOUBLE AS c, n::DOUBLE AS n"
+ALIGN = f"""WITH base AS ({ALL}), {TEXT_TOKENS}, pr AS (SELECT a.doc_id, b.doc_id AS target_id, a.sentence_idx::INT AS sentence_idx, a.sentence AS source, b.sentence AS target FROM sents a JOIN sents b ON b.doc_id = a.doc_id + 1 AND b.sentence_idx = a.sentence_idx WHERE a.lang = 'en')"""
+ATT = lexicons.ATTESTED
+
+
+def metadiscourse(base: str, taxonomy: dict[str, list[str]]) -> str:
+    parts = []
+    for k, xs in taxonomy.items():
+        single = [x.lower() for x in xs if " " not in x and "." not in x]
+        phrase = [" ".join(x.lower().replace(".", " ").split()) for x in xs if " " in x or "." in x]
+        e = f"len(list_filter(ts, lambda t: list_contains([{', '.join(map(text, single))}]::VARCHAR[], t)))"
+        e += "".join(f" + contains(line, {text(' ' + x + ' ')})::INT" for x in phrase)
+        parts.append(f"SELECT {text(k)} AS category, coalesce(sum({e}), 0)::BIGINT AS freq FROM low")
+    union = " UNION ALL ".join(parts)
+    return with_tokens(base, f"SELECT category, freq, round(CASE WHEN n > 0 THEN freq / n * 1e6 ELSE 0 END, 2) AS per_million FROM ({union}), (SELECT coalesce(sum(len(ts)), 0) AS n FROM low)", ", low AS (SELECT list_transform(toks, lambda t: lower(t)) AS ts, ' ' || lower(array_to_string(toks, ' ')) || ' ' AS line FROM sent_toks)")
+
+
+SENT = with_tokens(EN, "", f""", h AS (SELECT doc_id, sentence_idx::INT AS sentence_idx, len(list_filter(toks, lambda t: lower(t) IN {{p}}))::INT AS pos_hits, len(list_filter(toks, lambda t: lower(t) IN {{n}}))::INT AS neg_hits FROM sent_toks),
+  sc AS (SELECT *, (pos_hits - neg_hits) / (pos_hits + neg_hits + 1) AS s FROM h)""".replace("{{", "{").replace("}}", "}"))
+
+
+def sentiment(p: list[str], n: list[str], rest: str) -> str:
+    return SENT.replace("{p}", words(p)).replace("{n}", words(n)) + rest
+
+
+LABEL = "CASE WHEN s > 0.05 THEN 'positive' WHEN s < -0.05 THEN 'negative' ELSE 'neutral' END"
+BOTH_SIDES = "SELECT * FROM ({a}) UNION ALL SELECT * FROM ({b})"
+
+ORACLE: dict[str, str] = {
+    "freq_word": with_tokens(EN, "SELECT item, freq, round(freq / total_tokens * 1e6, 2) AS per_million, round(freq / total_tokens * 100, 4) AS percent, total_tokens, total_types FROM c, (SELECT sum(freq)::BIGINT AS total_tokens, count(*) AS total_types FROM c) ORDER BY freq DESC, item LIMIT 100", ", c AS (SELECT lower(text) AS item, count(*) AS freq FROM toks GROUP BY 1)"),
+    "freq_word_min5": with_tokens(ALL, "SELECT item, freq, round(freq / total_tokens * 1e6, 2) AS per_million, round(freq / total_tokens * 100, 4) AS percent, total_tokens, total_types FROM c, (SELECT sum(freq)::BIGINT AS total_tokens, count(*) AS total_types FROM c) WHERE freq >= 5", ", c AS (SELECT text AS item, count(*) AS freq FROM toks GROUP BY 1)"),
+    "freq_per_language": with_tokens(ALL, "SELECT lang, lower(text) AS text_lc, count(*) AS freq FROM toks GROUP BY ALL"),
+    "corpus_stats": stats_all(ALL),
+    "type_token_by_lang": stats(ALL, "lang") + " SELECT lang, documents, sentences, tokens, types, round(types / tokens, 6) AS ttr FROM d JOIN s USING (lang) JOIN n USING (lang) JOIN types USING (lang)",
+    "sttr_en": with_tokens(EN, "SELECT round(CASE WHEN chunks > 1 THEN mean ELSE ttr END, 6) AS sttr, chunks FROM (SELECT avg(t / 1000) AS mean, count(*) AS chunks FROM ch WHERE k = 1000), (SELECT count(DISTINCT text) / count(*) AS ttr FROM toks)", ", ch AS (SELECT c, count(*) AS k, count(DISTINCT text) AS t FROM (SELECT text, (row_number() OVER (ORDER BY doc_id, sentence_idx, token_idx) - 1) // 1000 AS c FROM toks) GROUP BY c)"),
+    "kwic_the": kwic(EN, "lower(node) = 'the'", 5),
+    "kwic_page": kwic(EN, "lower(node) = 'the'", 5, "ORDER BY doc_id, sentence_idx, token_idx LIMIT 100 OFFSET 50"),
+    "kwic_wildcard": kwic(ALL, "lower(node) LIKE 'th_n%'", 5),
+    "kwic_case_sensitive": kwic(ALL, "node = 'The'", 3),
+    "kwic_total": with_tokens(ALL, "SELECT count(*) AS total FROM toks WHERE lower(text) = 'the'"),
+    "kwic_accent_folded": with_tokens(ALL, "SELECT doc_id, sentence_idx::INT AS sentence_idx, count(*) AS n FROM toks WHERE strip_accents(lower(text)) = 'ele' GROUP BY ALL"),
+    "kwic_compare": BOTH_SIDES.format(a="SELECT *, 'target' AS side FROM (" + kwic("SELECT * FROM documents WHERE source = 'src1'", "lower(node) = 'the'", 5, "ORDER BY doc_id, sentence_idx, token_idx LIMIT 20") + ")", b="SELECT *, 'reference' AS side FROM (" + kwic("SELECT * FROM documents WHERE source = 'src2'", "lower(node) = 'the'", 5, "ORDER BY doc_id, sentence_idx, token_idx LIMIT 20") + ")"),
+    "colloc_of": colloc("node_sentences"),
+    "colloc_of_textbook": colloc("corpus"),
+    "keyness_source_vs_rest": keyness(token_words(EN + " AND source = 'src1'"), token_words(EN + " AND source <> 'src1'")),
+    "keyness_top": keyness(token_words(EN + " AND source = 'src1'"), token_words(EN + " AND source <> 'src1'"), tail="WHERE direction = 'positive' ORDER BY log_likelihood DESC, term LIMIT 50"),
+    "keyness_conversation_roles": keyness(token_words("SELECT * FROM conversations WHERE role = 'user'"), token_words("SELECT * FROM conversations WHERE role = 'assistant'")),
+    "keyness_quality_labels": keyness(token_words("SELECT * FROM documents JOIN labels USING (doc_id) WHERE quality = 1"), token_words("SELECT * FROM documents JOIN labels USING (doc_id) WHERE quality = 0")),
+    "keyness_vs_freq_list": keyness(token_words(EN), "", values(fixtures.FREQUENCY_LIST, "w, f")),
+    "dispersion_the": dispersion(EN, "doc_id"),
+    "dispersion_by_source": dispersion(ALL, "source"),
+    "bigrams": ngrams(2, "count(*) >= 5"),
+    "trigrams_bundles": ngrams(3, "count(*) >= 3 AND count(DISTINCT doc_id) >= 2"),
+    "ngrams_skip_stop": ngrams(2, "count(*) >= 3", f"list_filter(toks, lambda t: lower(t) NOT IN {words(lexicons.STOP_WORDS_EN)})"),
+    "sentiment_sentences": sentiment(ATT["positive"], ATT["negative"], f" SELECT doc_id, sentence_idx, pos_hits, neg_hits, round(s, 6) AS score, {LABEL} AS label FROM sc"),
+    "sentiment_summary": sentiment(lexicons.POSITIVE, lexicons.NEGATIVE, f" SELECT count(*) AS sentences, count(*) FILTER (l = 'positive') AS positive, count(*) FILTER (l = 'negative') AS negative, count(*) FILTER (l = 'neutral') AS neutral, round(coalesce(avg(round(s, 6)), 0), 3) AS avg_score FROM (SELECT s, {LABEL} AS l FROM sc)"),
+    "discourse_categories": metadiscourse(EN, ATT["metadiscourse"]),
+    "discourse_default_lexicon": metadiscourse(ALL, lexicons.METADISCOURSE),
+    "vocab_bands": with_tokens(ALL, "SELECT band, sum(f)::BIGINT AS freq, count(*) AS types, round(sum(f) / (SELECT sum(f) FROM c) * 100, 4) AS percent FROM c GROUP BY band", f", c AS (SELECT CASE WHEN w IN {words(ATT['basic'])} THEN 'K1' WHEN w IN {words(ATT['academic'])} THEN 'AWL' ELSE 'Off-list' END AS band, f FROM (SELECT lower(text) AS w, count(*) AS f FROM toks GROUP BY 1))"),
+    "rare_words": with_tokens(ALL, "SELECT lower(text) AS text_lc, count(*) AS freq FROM toks GROUP BY 1 HAVING count(*) <= 1 ORDER BY 1 LIMIT 100"),
+    "clean_basic": digest(rf"SELECT doc_id, lower({collapse(chr(39).join(['regexp_replace(regexp_replace(text, ', '&[a-zA-Z]+;|&#\\d+;', ', ', ' ', ', ', 'g', '), ', '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}', ', ', ' ', ', ', 'g', ')']))}) AS t1 FROM documents".replace("\\\\d", "\\d").replace("\\\\.", "\\."), finish("t1")),
+    "clean_stopwords": digest(f"SELECT doc_id, lower(regexp_replace({collapse('text')}, {PUNCT}, ' ', 'g')) AS t1 FROM documents", finish(STOPPED)),
+    "clean_min_len": digest(f"SELECT doc_id, {collapse('text')} AS t1 FROM documents", finish(f"array_to_string(list_filter({split_words('t1')}, lambda t: length(trim(t, {EDGES})) >= 4), ' ')")),
+    "clean_corpus_effect": f"SELECT 'before' AS state, documents, tokens, types FROM ({stats_all(ALL)}) UNION ALL SELECT 'after', documents, tokens, types FROM ({stats_all(f'SELECT doc_id, {finish(STOPPED)} AS text FROM (SELECT doc_id, lower({collapse(chr(116) + chr(101) + chr(120) + chr(116))}) AS t1 FROM documents)')})",
+    "html_text": rf"SELECT page_id, length(c) AS n_chars, md5(c) AS digest FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript)\b[^>]*>.*?</(script|style|noscript)>', '', 'g'), '(?s)<[^>]+>', chr(10), 'g'), '\s*\n\s*', chr(10), 'g'), {WS}) AS c FROM pages)",
+    "persuasion_markers": claim_sql([(k, f"{markers('t', w)} > 0", f"least(1.0::DOUBLE, {markers('t', w)} / 3)") for k, w in lexicons.PERSUASION.items()] + [("argument_structure", f"{markers('t', lexicons.TOULMIN)} > 0", "0.6")]),
+    "framing_markers": claim_sql([(k, f"{markers('t', w)} > 0", "0.6") for k, w in lexicons.FRAMING.items()]),
+    "narrative_stages": claim_sql([("abstract", f"{markers('coalesce(list_filter(string_split(t, chr(46)), lambda s: length(trim(s)) > 0)[1], chr(32))', lexicons.NARRATIVE_OPENING)} > 0", "0.5")] + [(k, f"{markers('t', w)} > 0", "0.5") for k, w in lexicons.NARRATIVE.items()]),
+    "cultural_markers": claim_sql([(k, f"{markers('t', w)} > 0", "0.5") for k, w in lexicons.CULTURAL.items()]),
+    "top_words": r"SELECT word, count(*) AS freq FROM (SELECT unnest(regexp_split_to_array(lower(text), '\s+')) AS word FROM documents) WHERE length(word) >= 2 GROUP BY word ORDER BY freq DESC, word LIMIT 50",
+    "register_scores": r"SELECT doc_id, round(c / (c + d + 1), 3) AS classical, round(1 / (c + d + 1), 3) AS msa, round(d / (c + d + 1), 3) AS dialectal FROM (SELECT doc_id, len(list_intersect(w, ['the', 'der', 'una'])) AS c, len(list_intersect(w, ['of', 'and'])) AS d FROM (SELECT doc_id, list_distinct(regexp_split_to_array(text, '\s+')) AS w FROM documents))",
+    "dialect_heuristic": f"SELECT id, CASE WHEN k = 'none' THEN 0.85 ELSE 0.3 END::DOUBLE AS msa, CASE WHEN k = 'egy' THEN 0.6 ELSE 0.05 END::DOUBLE AS egy, CASE WHEN k = 'glf' THEN 0.6 ELSE 0.05 END::DOUBLE AS glf, CASE WHEN k = 'lev' THEN 0.6 ELSE 0.05 END::DOUBLE AS lev FROM (SELECT id, CASE " + " ".join(f"WHEN {markers('text', w)} > 0 THEN '{k}'" for k, w in lexicons.DIALECT_MARKERS.items()) + f" ELSE 'none' END AS k FROM ({values(fixtures.ARABIC, 'id, text', 'id::BIGINT AS id, text')}))",
+    "align_positional": ALIGN + " SELECT doc_id, target_id, sentence_idx, round(greatest(0, 1 - 0.5 * abs(1 - length(source) / length(target))), 6) AS confidence FROM pr",
+    "parallel_kwic": ALIGN + rf", w AS (SELECT doc_id, sentence_idx, target, {split_words('source')} AS w FROM pr) SELECT doc_id, sentence_idx, (i - 1)::INT AS token_idx, array_to_string(list_slice(w, greatest(i - 5, 1), i - 1), ' ') AS left_context, node, array_to_string(list_slice(w, i + 1, i + 5), ' ') AS right_context, target FROM (SELECT *, unnest(w) AS node, generate_subscripts(w, 1) AS i FROM w) WHERE lower(node) = 'the'",
+    "subcorpus_filter": "SELECT doc_id, lang FROM documents WHERE source = 'src5' AND (2000 + doc_id % 20)::VARCHAR BETWEEN '2005' AND '2010'",
+    "delete_documents": stats_all("SELECT * FROM documents WHERE doc_id NOT IN (0, 1, 2, 3)"),
+    "ai_disclosure": "SELECT count(*) AS turns, count(*) FILTER (role = 'assistant') AS assistant_turns, count(*) FILTER (role = 'user') AS user_turns, count(DISTINCT conv_id) AS conversations, (SELECT string_agg(role, ',' ORDER BY role) FROM (SELECT DISTINCT role FROM conversations)) AS roles FROM conversations",
+    "measures_truth_table": f"SELECT id, round(log2(o / (r * c / n)), 6) AS mi, round((o - r * c / n) / sqrt(o), 6) AS t_score, round(2 * o / (r + c), 6) AS dice, round(14 + log2(2 * o / (r + c)), 6) AS log_dice, round({ll('o', 'r', 'c', 'n')}, 6) AS ll, round({chi('o', 'r', 'c', 'n')}, 6) AS chi2, round(o / r - CASE WHEN n - r > 0 THEN (c - o) / (n - r) ELSE 0 END, 6) AS dp_yx, round(o / c - CASE WHEN n - c > 0 THEN (r - o) / (n - c) ELSE 0 END, 6) AS dp_xy, round((o / c * 1e6 + 1) / (r / n * 1e6 + 1), 6) AS simple FROM ({values(fixtures.COUNTS, 'id, o, r, c, n', 'id::BIGINT AS id, ' + D)})",
+    "dispersion_truth_table": f"WITH t AS ({values(fixtures.PARTS, 'id, fs', 'id::BIGINT AS id, unnest(fs) AS f')}), s AS (SELECT id, sum(f) AS total, count(*) AS n, avg(f) AS mean, stddev_pop(f) AS sd FROM t GROUP BY id) SELECT id, round(max(CASE WHEN n < 2 THEN 1 WHEN mean = 0 THEN 0 ELSE greatest(0, 1 - sd / mean / sqrt(n - 1)) END), 6) AS d, round(coalesce(0.5 * sum(CASE WHEN total > 0 THEN abs(f / total - 1 / n) END), 0), 6) AS dp FROM t JOIN s USING (id) GROUP BY id",
+    "grammar_fixture": f"WITH {GRAMMAR} SELECT * FROM g",
+    "grammar_counts_fixture": f"WITH {GRAMMAR}, r AS (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY doc_id) AS k FROM (SELECT pattern, doc_id, arg_min(evidence_id, sentence_idx * 1000 + token_idx) AS e FROM g GROUP BY ALL)) SELECT pattern, freq, examples FROM (SELECT pattern, count(*) AS freq FROM g GROUP BY pattern) JOIN (SELECT pattern, string_agg(e, ',' ORDER BY doc_id) AS examples FROM r WHERE k <= 3 GROUP BY pattern) USING (pattern)",
+    "pos_distribution_fixture": f"WITH p AS ({PARSED}) SELECT pos, count(*) AS freq, round(count(*) / (SELECT count(*) FROM p) * 100, 4) AS percent FROM p GROUP BY pos",
+    "pos_bigrams_fixture": f"WITH p AS ({PARSED}) SELECT pattern, count(*) AS freq FROM (SELECT pos || ' ' || lead(pos) OVER (PARTITION BY doc_id, sentence_idx ORDER BY token_idx) AS pattern FROM p) WHERE pattern IS NOT NULL GROUP BY pattern",
+    "dependency_pairs_fixture": f"WITH p AS ({PARSED}) SELECT h.lemma AS governor, t.lemma AS dependent, count(*) AS freq FROM p t {HEAD} WHERE t.dep_rel = 'nsubj' GROUP BY ALL",
+    "metaphor_fixture": f"WITH p AS ({PARSED}), s AS (SELECT doc_id, sentence_idx, dep_head - 1 AS v, arg_min(lemma, token_idx) AS lemma, arg_min(pos, token_idx) AS pos FROM p WHERE dep_rel = 'nsubj' GROUP BY ALL) SELECT t.doc_id, t.sentence_idx, t.token_idx, lower(t.lemma) AS verb, s.lemma AS subject, {EV} FROM p t JOIN s ON s.doc_id = t.doc_id AND s.sentence_idx = t.sentence_idx AND s.v = t.token_idx WHERE t.pos = 'VERB' AND lower(t.lemma) NOT IN {words(lexicons.LIGHT_VERBS)} AND s.pos = 'NOUN' AND lower(s.lemma) NOT IN {words(lexicons.CONCRETE_NOUNS)}",
+}

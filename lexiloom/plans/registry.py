@@ -1 +1,419 @@
-QUERIES = {}
+"""Named queries: (spark, sf_dir) -> DataFrame, one for each operator and its main variants."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import cleaning, lexicons
+from ..functions import measures as m
+from ..functions.tokens import annotated, sentences, tokens
+from ..operators import association, bilingual, catalog, concordance, frequency, lexical, syntax, vision
+from . import fixtures
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def english(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir).where("lang = 'en'")
+
+
+@query
+def freq_word(spark, d):
+    return frequency.frequency(tokens(english(spark, d)), "text_lc", limit=100)
+
+
+@query
+def freq_word_min5(spark, d):
+    return frequency.frequency(tokens(docs(spark, d)), "text", min_freq=5, limit=None)
+
+
+@query
+def freq_per_language(spark, d):
+    return tokens(docs(spark, d), ("lang",)).groupBy("lang", "text_lc").agg(F.count("*").alias("freq"))
+
+
+@query
+def corpus_stats(spark, d):
+    return frequency.corpus_statistics(docs(spark, d))
+
+
+@query
+def type_token_by_lang(spark, d):
+    out = frequency.corpus_statistics(docs(spark, d), ("lang",))
+    return out.withColumn("ttr", F.round(m.type_token_ratio(F.col("types"), F.col("tokens")), 6))
+
+
+@query
+def sttr_en(spark, d):
+    return frequency.standardised_ttr(english(spark, d))
+
+
+@query
+def kwic_the(spark, d):
+    return concordance.search_concordance(english(spark, d), "the", limit=None)
+
+
+@query
+def kwic_page(spark, d):
+    return concordance.search_concordance(english(spark, d), "the", limit=100, offset=50)
+
+
+@query
+def kwic_wildcard(spark, d):
+    return concordance.search_concordance(docs(spark, d), "th?n*", limit=None)
+
+
+@query
+def kwic_case_sensitive(spark, d):
+    return concordance.search_concordance(docs(spark, d), "The", case_sensitive=True, window=3, limit=None)
+
+
+@query
+def kwic_total(spark, d):
+    return concordance.count_matches(docs(spark, d), "the")
+
+
+@query
+def kwic_accent_folded(spark, d):
+    sents = sentences(docs(spark, d))
+    return sents.select("doc_id", "sentence_idx", F.size(F.filter("toks", lambda t: concordance.folded_matches(t, "ele"))).cast("long").alias("n")).where("n > 0")
+
+
+@query
+def kwic_compare(spark, d):
+    x = docs(spark, d)
+    return concordance.compare_concordance(x.where("source = 'src1'"), x.where("source = 'src2'"), "the")
+
+
+@query
+def colloc_of(spark, d):
+    return association.collocations(english(spark, d), "of", scope="node_sentences", limit=None)
+
+
+@query
+def colloc_of_textbook(spark, d):
+    return association.collocations(english(spark, d), "of", scope="corpus", limit=None)
+
+
+@query
+def colloc_top(spark, d):
+    return association.collocations(english(spark, d), "of", scope="corpus", limit=100)
+
+
+def _counts(df: DataFrame) -> DataFrame:
+    return frequency.count_items(tokens(df), "text_lc")
+
+
+@query
+def keyness_source_vs_rest(spark, d):
+    x = english(spark, d)
+    return association.keyness(_counts(x.where("source = 'src1'")), _counts(x.where("source <> 'src1'")))
+
+
+@query
+def keyness_top(spark, d):
+    x = english(spark, d)
+    return association.top_keyness(association.keyness(_counts(x.where("source = 'src1'")), _counts(x.where("source <> 'src1'"))), "positive", 50)
+
+
+@query
+def keyness_conversation_roles(spark, d):
+    x = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), "role", "text")
+    return association.keyness(_counts(x.where("role = 'user'")), _counts(x.where("role = 'assistant'")))
+
+
+@query
+def keyness_quality_labels(spark, d):
+    x = docs(spark, d).join(table(spark, d, "labels"), "doc_id")
+    return association.keyness(_counts(x.where("quality = 1")), _counts(x.where("quality = 0")))
+
+
+@query
+def keyness_vs_freq_list(spark, d):
+    reference = spark.createDataFrame(fixtures.FREQUENCY_LIST, "item string, freq bigint")
+    return association.keyness(_counts(english(spark, d)), reference)
+
+
+@query
+def dispersion_the(spark, d):
+    return frequency.dispersion(english(spark, d), "the")
+
+
+@query
+def dispersion_by_source(spark, d):
+    return frequency.dispersion(docs(spark, d), "the", part="source")
+
+
+@query
+def bigrams(spark, d):
+    return frequency.ngrams(english(spark, d), 2, limit=None)
+
+
+@query
+def trigrams_bundles(spark, d):
+    return frequency.ngrams(english(spark, d), 3, min_freq=3, min_range=2, limit=None)
+
+
+@query
+def ngrams_skip_stop(spark, d):
+    return frequency.ngrams(english(spark, d), 2, min_freq=3, stop_words=lexicons.STOP_WORDS_EN, limit=None)
+
+
+@query
+def sentiment_sentences(spark, d):
+    return lexical.sentiment(english(spark, d), lexicons.ATTESTED["positive"], lexicons.ATTESTED["negative"])
+
+
+@query
+def sentiment_summary(spark, d):
+    return lexical.sentiment_summary(lexical.sentiment(english(spark, d)))
+
+
+@query
+def discourse_categories(spark, d):
+    return lexical.metadiscourse(english(spark, d), lexicons.ATTESTED["metadiscourse"])
+
+
+@query
+def discourse_default_lexicon(spark, d):
+    return lexical.metadiscourse(docs(spark, d))
+
+
+@query
+def vocab_bands(spark, d):
+    return lexical.vocabulary_bands(docs(spark, d), lexicons.ATTESTED["basic"], lexicons.ATTESTED["academic"])
+
+
+@query
+def rare_words(spark, d):
+    return lexical.rare_words(docs(spark, d))
+
+
+def _cleaned(spark, d, **options):
+    c = cleaning.clean_text(F.col("text"), cleaning.CleanOptions(**options))
+    return docs(spark, d).select("doc_id", F.length(c).cast("long").alias("n_chars"), F.md5(c).alias("digest"))
+
+
+@query
+def clean_basic(spark, d):
+    return _cleaned(spark, d, strip_entities=True, remove_emails=True, lowercase=True)
+
+
+@query
+def clean_stopwords(spark, d):
+    return _cleaned(spark, d, remove_punctuation=True, lowercase=True, remove_stop_words=True)
+
+
+@query
+def clean_min_len(spark, d):
+    return _cleaned(spark, d, min_token_length=4)
+
+
+@query
+def clean_corpus_effect(spark, d):
+    x = docs(spark, d)
+    c = cleaning.clean_text(F.col("text"), cleaning.CleanOptions(lowercase=True, remove_stop_words=True))
+    before = frequency.corpus_statistics(x).withColumn("state", F.lit("before"))
+    after = frequency.corpus_statistics(x.withColumn("text", c)).withColumn("state", F.lit("after"))
+    return before.unionByName(after).select("state", "documents", "tokens", "types")
+
+
+@query
+def html_text(spark, d):
+    text = cleaning.strip_html(F.col("html"))
+    return table(spark, d, "pages").select("page_id", F.length(text).cast("long").alias("n_chars"), F.md5(text).alias("digest"))
+
+
+@query
+def wikitext(spark, d):
+    rows = spark.createDataFrame(fixtures.WIKITEXT, "id bigint, text string")
+    return rows.select("id", cleaning.strip_wikitext(F.col("text")).alias("text"))
+
+
+@query
+def redact_sentences(spark, d):
+    out = lexical.redact_sentences(docs(spark, d), lexicons.ATTESTED["redaction"])
+    return out.select("doc_id", "was_filtered", F.size(F.split("text", r"\[redacted")).cast("long").alias("parts"))
+
+
+@query
+def persuasion_markers(spark, d):
+    return lexical.persuasion(docs(spark, d))
+
+
+@query
+def framing_markers(spark, d):
+    return lexical.framing(docs(spark, d))
+
+
+@query
+def narrative_stages(spark, d):
+    return lexical.narrative(docs(spark, d))
+
+
+@query
+def cultural_markers(spark, d):
+    return lexical.cultural(docs(spark, d))
+
+
+@query
+def top_words(spark, d):
+    return frequency.word_frequency_top(docs(spark, d))
+
+
+@query
+def register_scores(spark, d):
+    return docs(spark, d).select("doc_id", bilingual.register(F.col("text"), ["the", "der", "una"], ["of", "and"]).alias("r")).select("doc_id", "r.*")
+
+
+@query
+def dialect_heuristic(spark, d):
+    rows = spark.createDataFrame(fixtures.ARABIC, "id bigint, text string")
+    return rows.select("id", bilingual.dialect(F.col("text")).alias("x")).select("id", "x.*")
+
+
+@query
+def arabic_normalised(spark, d):
+    rows = spark.createDataFrame(fixtures.ARABIC, "id bigint, text string")
+    x = F.col("text")
+    return rows.select("id", cleaning.normalise_arabic(x).alias("normalised"), cleaning.buckwalter(x).alias("buckwalter"))
+
+
+def _sides(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    x = docs(spark, d)
+    pairs = x.where("lang = 'en'").select("doc_id", (F.col("doc_id") + 1).alias("target_id"))
+    return x.where("lang = 'en'"), x, pairs
+
+
+@query
+def align_positional(spark, d):
+    return bilingual.align(*_sides(spark, d)).select("doc_id", "target_id", "sentence_idx", "confidence")
+
+
+@query
+def parallel_kwic(spark, d):
+    return bilingual.parallel_concordance(bilingual.align(*_sides(spark, d)), "the", limit=None)
+
+
+@query
+def subcorpus_filter(spark, d):
+    x = docs(spark, d).withColumn("meta", F.create_map(F.lit("genre"), F.col("source"), F.lit("year"), (F.lit(2000) + F.pmod("doc_id", F.lit(20))).cast("string")))
+    return catalog.subcorpus(x, year_min="2005", year_max="2010", genre="src5").select("doc_id", "lang")
+
+
+@query
+def delete_documents(spark, d):
+    return frequency.corpus_statistics(catalog.delete_document(docs(spark, d), [0, 1, 2, 3]))
+
+
+@query
+def ai_disclosure(spark, d):
+    return catalog.ai_disclosure(table(spark, d, "conversations"))
+
+
+@query
+def precheck(spark, d):
+    rows = spark.createDataFrame(fixtures.CORPORA, "corpus string, token_count bigint, ai_turns bigint, backend string, model_name string, model_version string, document_count bigint")
+    return catalog.precheck(rows)
+
+
+@query
+def measures_truth_table(spark, d):
+    t = spark.createDataFrame(fixtures.COUNTS, "id bigint, o bigint, r bigint, c bigint, n bigint")
+    o, r, c, n = (F.col(x) for x in "orcn")
+    forward, backward = m.delta_p(o, r, c, n)
+    out = {
+        "mi": m.mutual_information(o, r, c, n),
+        "t_score": m.t_score(o, r, c, n),
+        "dice": m.dice(o, r, c),
+        "log_dice": m.log_dice(o, r, c),
+        "ll": m.log_likelihood(o, r, c, n),
+        "chi2": m.chi_square(o, r, c, n),
+        "dp_yx": forward,
+        "dp_xy": backward,
+        "simple": m.simple_maths(o, r, c, n),
+    }
+    return t.select("id", *(F.round(v, 6).alias(k) for k, v in out.items()))
+
+
+@query
+def dispersion_truth_table(spark, d):
+    t = spark.createDataFrame(fixtures.PARTS, "id bigint, freqs array<bigint>")
+    rows = t.select("id", F.explode("freqs").alias("f"))
+    s = rows.groupBy("id").agg(F.sum("f").alias("total"), F.count("*").alias("n"), F.avg("f").alias("mean"), F.stddev_pop("f").alias("sd"))
+    share = F.when(F.col("total") > 0, F.abs(F.col("f") / F.when(F.col("total") > 0, F.col("total")) - 1 / F.col("n")))
+    dp = rows.join(s, "id").groupBy("id").agg(F.sum(share).alias("x"))
+    return s.join(dp, "id").select("id", F.round(m.juilland_d(F.col("mean"), F.col("sd"), F.col("n")), 6).alias("d"), F.round(F.coalesce(m.deviation_of_proportions(F.col("x")), F.lit(0.0)), 6).alias("dp"))
+
+
+def parsed(spark: SparkSession) -> DataFrame:
+    return annotated(spark.createDataFrame(fixtures.PARSED, fixtures.PARSED_SCHEMA))
+
+
+@query
+def grammar_fixture(spark, d):
+    return syntax.grammar(parsed(spark))
+
+
+@query
+def grammar_counts_fixture(spark, d):
+    out = syntax.grammar_counts(parsed(spark))
+    return out.select("pattern", "freq", F.array_join("examples", ",").alias("examples"))
+
+
+@query
+def pos_distribution_fixture(spark, d):
+    return syntax.pos_distribution(parsed(spark))
+
+
+@query
+def pos_bigrams_fixture(spark, d):
+    return syntax.pos_ngrams(parsed(spark), 2, min_freq=1)
+
+
+@query
+def dependency_pairs_fixture(spark, d):
+    return syntax.dependency_pairs(parsed(spark))
+
+
+@query
+def metaphor_fixture(spark, d):
+    return syntax.metaphor_candidates(parsed(spark))
+
+
+@query
+def lemma_kwic_fixture(spark, d):
+    return concordance.annotated_concordance(parsed(spark), "climb", "lemma", window=2)
+
+
+@query
+def collocation_network(spark, d):
+    return association.network_layout(association.collocations(english(spark, d), "of", limit=None))
+
+
+@query
+def visual_grammar_fixture(spark, d):
+    return vision.visual_grammar(spark.createDataFrame(fixtures.IMAGES, fixtures.IMAGES_SCHEMA))
+
+
+@query
+def region_alignment_fixture(spark, d):
+    regions = spark.createDataFrame(fixtures.REGIONS, "image_id bigint, region bigint, x double, y double, r int, g int, b int")
+    spans = vision.text_spans(spark.createDataFrame(fixtures.CAPTIONS, "image_id bigint, caption string"), ["with", "this", "that"])
+    return vision.align_regions(regions, spans)
