@@ -43,6 +43,7 @@ def pixel_measures(pixels: np.ndarray) -> dict:
     blurred = sum(pad[i : i + h, j : j + w] for i in range(5) for j in range(5)) / 25
     salience = np.abs(grey - blurred)
     total = salience.sum()
+    total = total if total > 1e-6 else 0.0  # a plain image leaves rounding errors only
     share = (lambda part: float(part.sum() / total)) if total else (lambda part: 0.5)
     ys, xs = np.indices(grey.shape)
     return {
