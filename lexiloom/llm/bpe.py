@@ -46,6 +46,11 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def mark_end(symbols: str) -> str:
+    """The last symbol as one that ends a word."""
+    return symbols[:-1] + chr(256 + ord(symbols[-1])) if symbols else symbols
+
+
 def offset_table(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One blob of all strings, with each one's start and length."""
     lengths = np.array([len(s) for s in strings], dtype=np.int64)
@@ -69,9 +74,16 @@ class BacktrackingBpe:
             spec = json.load(f)
         alphabet = byte_alphabet()
         vocab = spec["model"]["vocab"]
-        raw = {token: bytes(alphabet[c] for c in token) for token in vocab}
+        suffix = spec["model"].get("end_of_word_suffix") or ""
+        self.suffixed = bool(suffix)
+        raw, symbols = {}, {}
+        for token in vocab:
+            ends = bool(suffix) and token.endswith(suffix)
+            raw[token] = bytes(alphabet[c] for c in (token[: -len(suffix)] if ends else token))
+            symbols[token] = mark_end(raw[token].decode("latin-1")) if ends else raw[token].decode("latin-1")
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         merges = [m for m in merges if m[0] in vocab and m[1] in vocab and m[0] + m[1] in vocab]
+        # Symbols are the text's alphabet: bytes and, with a suffix, bytes that end a word.
         # Ranks: single bytes first, then merged tokens in the order of their first merge.
         order = [t for t in vocab if len(raw[t]) == 1]
         self.halves: list[tuple[int, int]] = [(i, i) for i in range(len(order))]
@@ -86,8 +98,13 @@ class BacktrackingBpe:
             self.joined.setdefault((rank[left], rank[right]), rank[whole])
         self.ids = [vocab[t] for t in order]
         self.automaton = ahocorasick.Automaton()
+        # Single symbols always match, so they are left out and put in where they stand.
+        self.single = np.zeros(512, dtype=np.int64)
         for t, r in rank.items():
-            self.automaton.add_word(raw[t].decode("latin-1"), (len(raw[t]) << 18) | r)
+            if len(symbols[t]) == 1:
+                self.single[ord(symbols[t])] = r
+                continue
+            self.automaton.add_word(symbols[t], (len(symbols[t]) << 18) | r)
         self.automaton.make_automaton()
         if len(order) >= 1 << 18 or max(map(len, raw.values())) > 255:
             raise ValueError("vocabulary too large for the packed automaton values")
@@ -104,6 +121,10 @@ class BacktrackingBpe:
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
 
+    def as_symbols(self, word: bytes) -> str:
+        text = word.decode("latin-1")
+        return mark_end(text) if self.suffixed else text
+
     def may_follow(self, left: int, right: int) -> bool:
         """Whether merging keeps the border between these two tokens.
 
@@ -132,8 +153,9 @@ class BacktrackingBpe:
     def encode_word(self, word: bytes) -> list[int]:
         """Ids of one piece between borders of SPLIT."""
         n = len(word)
-        starting: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, value in self.automaton.iter(word.decode("latin-1")):
+        text = self.as_symbols(word)
+        starting: list[list[tuple[int, int]]] = [[(1, int(self.single[ord(c)]))] for c in text]
+        for end, value in self.automaton.iter(text):
             length, rank = value >> 18, value & 0x3FFFF
             starting[end - length + 1].append((length, rank))
         open_end = bytearray(b"\x01") * (n + 1)
@@ -174,9 +196,12 @@ class BacktrackingBpe:
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
         """``encode_word`` for many words, walked in step; ids as little-endian bytes."""
-        text = "\u0100".join(w.decode("latin-1") for w in words)
+        text = "\u0300".join(map(self.as_symbols, words))
         found = np.fromiter(chain.from_iterable(self.automaton.iter(text)), dtype=np.int64).reshape(-1, 2)
-        key = np.sort(((found[:, 0] - (found[:, 1] >> 18) + 1) << 26) | found[:, 1])
+        points = np.frombuffer(text.encode("utf-16-le"), dtype="<u2").astype(np.int64)
+        plain = np.flatnonzero(points < 512)
+        alone = (plain << 26) | (1 << 18) | self.single[points[plain]]
+        key = np.sort(np.concatenate((((found[:, 0] - (found[:, 1] >> 18) + 1) << 26) | found[:, 1], alone)))
         start, length, rank = key >> 26, (key >> 18) & 255, key & 0x3FFFF
         n = np.array([len(w) for w in words], dtype=np.int64)
         ends = np.cumsum(n + 1) - 1

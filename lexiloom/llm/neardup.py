@@ -15,7 +15,7 @@ All pairs of a bucket are never listed.  Buckets give star edges, whose
 components hold every candidate pair.  Within such a block, a breadth-first
 search compares each reached class with those not yet reached, until none is
 left: a large group of near copies costs about one pass over it.  Blocks too
-large for a task are searched by passes over the distributed block.
+large for a task are compared with one class first, and what that leaves with all, part by part.
 """
 
 from __future__ import annotations
@@ -205,15 +205,12 @@ def search_blocks(members: DataFrame, percent: int) -> DataFrame:
 def search_large_blocks(members: DataFrame, percent: int, most: int) -> DataFrame:
     """(a, b) links that connect what is linked, for blocks larger than a task should hold.
 
-    Each pass compares one class that is still open, the least, with all open ones of its
-    block.  When so few are left open that a task can hold them, they are compared
-    with every class of the block, which is dealt into parts of bounded size.
+    One pass compares each block's least class with all others; what is linked to it
+    is connected, so no pair among those needs a look.  Each of the others is then
+    compared with every class of its block: both sides are dealt into parts of bounded
+    size, and each pair of parts is a task.  A block of near copies leaves few others.
     """
     members = write_read(members.select("block", "node", "shingles", (F.length("shingles") / 8).cast("long").alias("n")), "large-blocks")
-    parts = members.groupBy("block").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / most)).alias("parts"))
-    open_nodes = members.select("block", "node", "n")
-    links = None
-
     def compare(pairs: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -223,27 +220,33 @@ def search_large_blocks(members: DataFrame, percent: int, most: int) -> DataFram
 
         return pairs.mapInArrow(run, "a bigint, b bigint")
 
-    while True:
-        size = open_nodes.groupBy("block").agg(F.sum("n").alias("n"), F.min("node").alias("a"))
-        big = size.where(F.col("n") > most // 4)
-        if big.isEmpty():
-            break
-        pivots = big.join(members.select("block", F.col("node").alias("a"), F.col("shingles").alias("x")), ["block", "a"]).select("block", "a", "x")
-        rows = open_nodes.select("block", "node").join(members, ["block", "node"]).join(pivots, "block")
-        found = write_read(compare(rows.select("a", F.col("node").alias("b"), "x", F.col("shingles").alias("y"))), "pivot-links")
-        links = found if links is None else links.unionByName(found)
-        open_nodes = write_read(open_nodes.join(found.select(F.col("b").alias("node")), "node", "left_anti").select("block", "node", "n"), "open-classes")
-    left = open_nodes.select("block", "node").join(members, ["block", "node"]).join(parts, "block")
-    left = left.select("block", "node", "shingles", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("part"), F.lit(True).alias("open"))
-    dealt = members.join(parts, "block").select("block", "node", "shingles", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("open"))
+    least = members.groupBy("block").agg(F.min("node").alias("a"))
+    pivots = least.join(members.select("block", F.col("node").alias("a"), F.col("shingles").alias("x")), ["block", "a"])
+    rows = members.join(pivots, "block").select("a", F.col("node").alias("b"), "x", F.col("shingles").alias("y"))
+    found = write_read(compare(rows), "pivot-links")
+    others = members.join(found.select(F.col("b").alias("node")), "node", "left_anti")
+
+    def parts_of(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("block").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / most)).cast("int").alias(name))
+
+    sizes = write_read(parts_of(members, "parts").join(parts_of(others, "chunks"), "block"), "block-parts")
+
+    def dealt(df: DataFrame, own: str, other: str, is_open: bool) -> DataFrame:
+        """Rows with their own part and once for each part of the other side."""
+        number = F.pmod(F.xxhash64("node"), F.col(own)).cast("int")
+        each = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        first, second = ("chunk", "part") if is_open else ("part", "chunk")
+        return df.join(sizes, "block").select("block", "node", "shingles", number.alias(first), each.alias(second), F.lit(is_open).alias("open"))
+
+    left, right = dealt(others, "chunks", "parts", True), dealt(members, "parts", "chunks", False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, sets = None, [], []
         for batch in batches:
             a, b = [], []
-            for block, part, is_open, node, s in zip(*(batch.column(c).to_pylist() for c in ("block", "part", "open", "node", "shingles")), strict=True):
-                if (block, part) != key:
-                    key, ids, sets = (block, part), [], []
+            for block, chunk, part, is_open, node, s in zip(*(batch.column(c).to_pylist() for c in ("block", "chunk", "part", "open", "node", "shingles")), strict=True):
+                if (block, chunk, part) != key:
+                    key, ids, sets = (block, chunk, part), [], []
                 s = np.frombuffer(s, dtype=U)
                 if is_open:  # sorted before the part's members
                     ids.append(node)
@@ -254,8 +257,9 @@ def search_large_blocks(members: DataFrame, percent: int, most: int) -> DataFram
                         b.append(node)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    rest = left.unionByName(dealt).repartition("block", "part").sortWithinPartitions("block", "part", F.desc("open")).mapInArrow(run, "a bigint, b bigint")
-    return rest if links is None else rest.unionByName(links)
+    keys = ["block", "chunk", "part"]
+    rest = left.unionByName(right).repartition(*keys).sortWithinPartitions(*keys, F.desc("open")).mapInArrow(run, "a bigint, b bigint")
+    return rest.unionByName(found)
 
 
 def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
@@ -278,8 +282,8 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
     stars = banded.join(buckets.where("n > 2").select("key", "a"), "key").select("a", F.col("node").alias("b"))
     coarse = components(buckets.where("n = 2").select("a", "b").unionByName(stars).where("a != b").distinct())
     coarse = write_read(coarse.select("node", F.col("component").alias("block")), "blocks")
-    # Full sets of the members only.
-    texts = base.join(coarse, base["doc_id"] == coarse["node"]).select("node", "block", "text")
+    # Full sets of the members only.  The list of members grows with the corpus, so it is never broadcast.
+    texts = base.join(coarse.hint("merge"), base["doc_id"] == coarse["node"]).select("node", "block", "text")
     members = write_read(sets_of(texts, words, "node", "text", ["block"]), "members")
     weight = write_read(members.groupBy("block").agg(F.sum(F.length("shingles") / 8).alias("shingles")), "weights")
     large = weight.where(F.col("shingles") > block_shingles).select("block")
@@ -302,7 +306,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_
     Of rows with one id, the one of least text stays; rows without an id all stay.
     """
     found = write_read(near_duplicates(docs, words, percent, id_col, text_col), "near-duplicates")
-    out = docs.join(found.where("not kept").select(id_col).distinct(), id_col, "left_anti").select(*docs.columns)
+    out = docs.join(found.where("not kept").select(id_col).distinct().hint("merge"), id_col, "left_anti").select(*docs.columns)
     again = found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
     if again.isEmpty():
         return out

@@ -13,7 +13,10 @@ by (task, length), so neither a hot length nor a hot source meets in one task.
 
 from __future__ import annotations
 
+import json
+import unicodedata
 import zlib
+from array import array
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
@@ -21,21 +24,29 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bpe import BacktrackingBpe
 from .common import map_batches, slices, texts_of, write_read
 
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES, WORD_ENTRIES = 900_000, 400_000
 #: Texts with these go to the tokenizer whole: they split Python's words, not its own.
 ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
+#: Fixed value: the split pattern of this kind of vocabulary, applied to lower-cased text.
+PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+
+
 class ChunkTokenizer:
     """Ids of whole texts through a memory of space-free chunks.
 
     For vocabularies whose pre-tokenizer drops white space, a text's ids are the
-    ids of its chunks in turn; each distinct chunk is encoded by the library once.
+    ids of its chunks in turn.  Chunks of the common alphabets are composed,
+    lower-cased and split here and their words encoded many at a time by the
+    backtracking encoder; all others are encoded by the library, one by one.
     """
 
     def __init__(self, path: str):
@@ -44,23 +55,56 @@ class ChunkTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.bpe = BacktrackingBpe(path)
+        self.own_split = self._splits_as_expected(path)
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    @staticmethod
+    def _splits_as_expected(path: str) -> bool:
+        """Whether the file says what ``parts`` does; if not, the library encodes everything."""
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        splits = [p.get("pattern", {}).get("Regex", "") for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        return steps == ["NFC", "Replace", "Lowercase"] and any(x.replace("[\\p{L}]", "\\p{L}").replace("[\\p{N}]", "\\p{N}") == PARTS.pattern for x in splits)
+
+    def parts(self, chunk: str) -> list[str] | None:
+        """Words of a chunk after normalisation; None if the library has to say."""
+        if not chunk.isascii():
+            if max(chunk) >= "\u2000" or "\u03a3" in chunk or "\u0130" in chunk:
+                return None
+            chunk = unicodedata.normalize("NFC", chunk)
+        if "<|" in chunk:
+            return None
+        chunk = chunk.lower()
+        return [chunk] if chunk.isalpha() else PARTS.findall(chunk)
 
     def prepare(self, texts: list[str]) -> None:
+        """Learn all unknown chunks of many texts at once."""
         if len(self.known) >= CACHE_ENTRIES:
             self.known.clear()
+        if len(self.words) >= WORD_ENTRIES:
+            self.words.clear()
         new: set[str] = set()
         for t in texts:
             new.update(t.split())
-        chunks = list(new - self.known.keys())
-        for a, b in slices([len(c) for c in chunks], 1 << 18):
-            for c, e in zip(chunks[a:b], self.tokenizer.encode_batch_fast(chunks[a:b], add_special_tokens=False), strict=True):
-                self.known[c] = np.array(e.ids, dtype="<u4").tobytes()
+        new -= self.known.keys()
+        split = {c: self.parts(c) if self.own_split else None for c in new}
+        words = list({w for p in split.values() if p for w in p} - self.words.keys())
+        for a, b in slices([len(w) for w in words], 1 << 20):
+            self.words.update(zip(words[a:b], self.bpe.encode_words([w.encode() for w in words[a:b]]), strict=True))
+        of = self.words.__getitem__
+        self.known.update((c, of(p[0]) if len(p) == 1 else b"".join(map(of, p))) for c, p in split.items() if p is not None)
+        rest = [c for c, p in split.items() if p is None]
+        for a, b in slices([len(c) for c in rest], 1 << 18):
+            for c, e in zip(rest[a:b], self.tokenizer.encode_batch_fast(rest[a:b], add_special_tokens=False), strict=True):
+                self.known[c] = array("I", e.ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Little-endian ids of a text given to ``prepare`` before."""
         if any(c in text for c in ODD_SPACE):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.known.__getitem__, text.split()))
 
 

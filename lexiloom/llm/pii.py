@@ -212,8 +212,13 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataF
 
     A null text stays null, an empty one empty; both have an empty array.  Repeated
     rows get equal texts.  Equal entities get equal surrogates in all documents
-    for one key, different ones different surrogates.
+    for one key, different ones different surrogates.  A column ``entities_`` of the
+    input gives way to the new one.
     """
+    clash = {c: f"{c}input" for c in docs.columns if c in ("key_", "entities_")}
+    if clash:  # names of this function's own columns step aside
+        out = replace_entities(docs.withColumnsRenamed(clash), key, text_col)
+        return out.select(*(F.col(clash.get(c, c)).alias(c) for c in docs.columns if c != "entities_"), "entities_")
     text = F.col(text_col)
     entities = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
     found = docs.select(text, F.md5(text).alias("key_"), entities.alias("found_")).where(F.size("found_") > 0)
