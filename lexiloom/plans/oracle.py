@@ -222,7 +222,7 @@ ORACLE: dict[str, str] = {
     "trigrams_bundles": ngrams(3, "count(*) >= 3 AND count(DISTINCT doc_id) >= 2"),
     "ngrams_skip_stop": ngrams(2, "count(*) >= 3", f"list_filter(toks, lambda t: lower(t) NOT IN {words(lexicons.STOP_WORDS_EN)})"),
     "sentiment_sentences": sentiment(ATT["positive"], ATT["negative"], f" SELECT doc_id, sentence_idx, pos_hits, neg_hits, round(s, 6) AS score, {LABEL} AS label FROM sc"),
-    "sentiment_summary": sentiment(lexicons.POSITIVE, lexicons.NEGATIVE, f" SELECT count(*) AS sentences, count(*) FILTER (l = 'positive') AS positive, count(*) FILTER (l = 'negative') AS negative, count(*) FILTER (l = 'neutral') AS neutral, round(coalesce(avg(round(s, 6)), 0), 3) AS avg_score FROM (SELECT s, {LABEL} AS l FROM sc)"),
+    "sentiment_summary": sentiment(lexicons.POSITIVE, lexicons.NEGATIVE, f" SELECT count(*) AS sentences, count(*) FILTER (l = 'positive') AS positive, count(*) FILTER (l = 'negative') AS negative, count(*) FILTER (l = 'neutral') AS neutral, round(coalesce(avg(round(s, 6)), 0), 3) + 0 AS avg_score FROM (SELECT s, {LABEL} AS l FROM sc)"),
     "discourse_categories": metadiscourse(EN, ATT["metadiscourse"]),
     "discourse_default_lexicon": metadiscourse(ALL, lexicons.METADISCOURSE),
     "vocab_bands": with_tokens(ALL, "SELECT band, sum(f)::BIGINT AS freq, count(*) AS types, round(sum(f) / (SELECT sum(f) FROM c) * 100, 4) AS percent FROM c GROUP BY band", f", c AS (SELECT CASE WHEN w IN {words(ATT['basic'])} THEN 'K1' WHEN w IN {words(ATT['academic'])} THEN 'AWL' ELSE 'Off-list' END AS band, f FROM (SELECT lower(text) AS w, count(*) AS f FROM toks GROUP BY 1))"),
