@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions import lexicons
+from ..functions.cleaning import BUCKWALTER
 from . import fixtures
 
 TEXT_TOKENS = """
@@ -253,3 +254,43 @@ ORACLE: dict[str, str] = {
     "dependency_pairs_fixture": f"WITH p AS ({PARSED}) SELECT h.lemma AS governor, t.lemma AS dependent, count(*) AS freq FROM p t {HEAD} WHERE t.dep_rel = 'nsubj' GROUP BY ALL",
     "metaphor_fixture": f"WITH p AS ({PARSED}), s AS (SELECT doc_id, sentence_idx, dep_head - 1 AS v, arg_min(lemma, token_idx) AS lemma, arg_min(pos, token_idx) AS pos FROM p WHERE dep_rel = 'nsubj' GROUP BY ALL) SELECT t.doc_id, t.sentence_idx, t.token_idx, lower(t.lemma) AS verb, s.lemma AS subject, {EV} FROM p t JOIN s ON s.doc_id = t.doc_id AND s.sentence_idx = t.sentence_idx AND s.v = t.token_idx WHERE t.pos = 'VERB' AND lower(t.lemma) NOT IN {words(lexicons.LIGHT_VERBS)} AND s.pos = 'NOUN' AND lower(s.lemma) NOT IN {words(lexicons.CONCRETE_NOUNS)}",
 }
+
+
+def chain(x: str, steps: list[tuple[str, str]]) -> str:
+    for pattern, by in steps:
+        x = f"regexp_replace({x}, {text(pattern)}, {text(by)}, 'g')"
+    return x
+
+
+WIKI = [(r"(?s)<!--.*?-->", ""), (r"\{\{[^}]*\}\}", ""), (r"(?s)<ref[^>]*>.*?</ref>", ""), (r"<ref[^>]*/>", ""), (r"<[^>]+>", ""), (r"\[\[[^\]]*\|([^\]]+)\]\]", r"\1"), (r"\[\[([^\]]+)\]\]", r"\1"), (r"\[https?://[^\s]+\s+([^\]]+)\]", r"\1"), (r"\[https?://[^\s]+\]", ""), ("'''", ""), ("''", ""), (r"(?m)^=+\s*(.*?)\s*=+$", r"\1"), (r"(?m)^[*#:;]+\s*", ""), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", "")]
+RECIPE = " AND ".join(f"coalesce({c}, '') <> ''" for c in ("backend", "model_name", "model_version"))
+CHECKS = {"annotation_version": ("token_count > 0", "fail"), "ai_nondeterminism": ("coalesce(ai_turns, 0) = 0", "warn"), "pipeline_recipe": (RECIPE, "fail"), "documents": ("document_count > 0", "fail")}
+CLAIMS = [
+    ("information_value:given_new", "abs(iv_left - iv_right) > 0.1", "abs(iv_left - iv_right)"),
+    ("information_value:ideal_real", "abs(iv_top - iv_bottom) > 0.1", "abs(iv_top - iv_bottom)"),
+    ("information_value:centre_margin", "iv_centre > 0.6", "iv_centre - 0.5"),
+    ("salience", "true", "0.45"),
+    ("framing", "1 - iv_centre > 0.6 OR 1 - iv_centre < 0.4", "abs(1 - iv_centre - 0.5)"),
+    ("modality", "(saturation + brightness / 255) / 2 > 0.6 OR (saturation + brightness / 255) / 2 < 0.3", "abs((saturation + brightness / 255) / 2 - 0.5)"),
+]
+IMAGE_COLUMNS = "image_id, saturation, brightness, iv_left, iv_right, iv_top, iv_bottom, iv_centre"
+IMAGES = values(fixtures.IMAGES, IMAGE_COLUMNS, ", ".join(f"{c.strip()}::{'BIGINT' if c.strip() == 'image_id' else 'DOUBLE'} AS {c.strip()}" for c in IMAGE_COLUMNS.split(",")))
+LETTERS, SIGNS = (text(x) for x in BUCKWALTER)
+ARABIC = values(fixtures.ARABIC, "id, text", "id::BIGINT AS id, text")
+
+ORACLE |= {
+    "colloc_top": f"SELECT * FROM ({colloc('corpus')}) ORDER BY coalesce(nullif(log_likelihood, 0), nullif(mi, 0), o) DESC, collocate LIMIT 100",
+    "collocation_network": f"""WITH t AS (SELECT *, row_number() OVER (ORDER BY log_likelihood DESC, collocate) - 1 AS k FROM ({colloc('corpus')}) ORDER BY log_likelihood DESC, collocate LIMIT 20)
+      SELECT collocate, round(cos(2 * pi() * k / (SELECT count(*) FROM t)), 6) + 0 AS x, round(sin(2 * pi() * k / (SELECT count(*) FROM t)), 6) + 0 AS y,
+      round(greatest(0.5, 4 * abs(log_likelihood) / (SELECT max(abs(log_likelihood)) FROM t)), 4) AS edge_width, round(12 + 18 * o / (SELECT max(o) FROM t), 4) AS radius FROM t""",
+    "wikitext": f"SELECT id, {chain('text', WIKI)} AS text FROM ({values(fixtures.WIKITEXT, 'id, text', 'id::BIGINT AS id, text')})",
+    "arabic_normalised": f"SELECT id, translate(text, 'أإآةى', 'اااهي') AS normalised, translate(text, {LETTERS}, {SIGNS}) AS buckwalter FROM ({ARABIC})",
+    "precheck": f"""WITH c AS ({values(fixtures.CORPORA, 'corpus, token_count, ai_turns, backend, model_name, model_version, document_count')}),
+      s AS ({" UNION ALL ".join(f"SELECT corpus, '{k}' AS "check", CASE WHEN {ok} THEN 'pass' ELSE '{bad}' END AS status FROM c" for k, (ok, bad) in CHECKS.items())})
+      SELECT corpus, CASE WHEN bool_or(status = 'fail') OVER w THEN 'fail' WHEN bool_or(status = 'warn') OVER w THEN 'warn' ELSE 'pass' END AS overall, "check", status FROM s WINDOW w AS (PARTITION BY corpus)""",
+    "visual_grammar_fixture": " UNION ALL ".join(f"SELECT image_id, '{k}' AS category, round(least(1.0, 2 * ({v}))::DOUBLE, 6) AS confidence FROM ({IMAGES}) WHERE {ok}" for k, ok, v in CLAIMS),
+    "lemma_kwic_fixture": f"""WITH p AS ({PARSED}) SELECT t.doc_id, t.sentence_idx, t.token_idx,
+      coalesce((SELECT string_agg(c.text, ' ' ORDER BY c.token_idx) FROM p c WHERE c.doc_id = t.doc_id AND c.sentence_idx = t.sentence_idx AND c.token_idx BETWEEN t.token_idx - 2 AND t.token_idx - 1), '') AS left_context, t.text AS node,
+      coalesce((SELECT string_agg(c.text, ' ' ORDER BY c.token_idx) FROM p c WHERE c.doc_id = t.doc_id AND c.sentence_idx = t.sentence_idx AND c.token_idx BETWEEN t.token_idx + 1 AND t.token_idx + 2), '') AS right_context
+      FROM p t WHERE lower(t.lemma) = 'climb'""",
+}
