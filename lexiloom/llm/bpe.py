@@ -28,7 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import IntMap, map_batches, slices, texts_of
+from .common import IntMap, claim, map_batches, slices, texts_of
 
 #: Fixed value: the split pattern of byte-level BPE tokenizers.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -323,6 +323,7 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
     schema = f"{id_col} {df.schema[id_col].dataType.simpleString()}, ids array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe", tokenizer.cache_clear)
         bpe = tokenizer(path)
         for batch in batches:
             texts = texts_of(batch, text_col)
@@ -341,6 +342,7 @@ def decode_documents(df: DataFrame, path: str, id_col: str = "doc_id", ids_col:
     schema = f"{id_col} {df.schema[id_col].dataType.simpleString()}, decoded string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe", tokenizer.cache_clear)
         bpe = tokenizer(path)
         for batch in batches:
             texts = [bpe.decode(np.array(x or [], dtype=np.int64)) for x in batch.column(ids_col).to_pylist()]
@@ -359,6 +361,7 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe", tokenizer.cache_clear)
         bpe = tokenizer(path)
         for batch in batches:
             n, of_ids, of_text = [], [], []

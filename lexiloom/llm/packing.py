@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import BacktrackingBpe
-from .common import map_batches, slices, texts_of, write_read
+from .common import claim, map_batches, slices, texts_of, write_read
 
 CACHE_ENTRIES, WORD_ENTRIES = 900_000, 400_000
 #: Texts with these go to the tokenizer whole: they split Python's words, not its own.
@@ -125,6 +125,7 @@ def tokenized_pieces(df: DataFrame, path: str, capacity: int = 4096, end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        claim("packing", chunk_tokenizer.cache_clear)
         task = TaskContext.get().partitionId()
         tok, seen = chunk_tokenizer(path), np.zeros(capacity + 1, dtype=np.int64)
         tail = np.array([end_id], dtype="<u4").tobytes()
@@ -307,7 +308,8 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
         by_length[n].append((start, sequence, offset))
     table = {n: tuple(np.array(c, dtype=np.int64) for c in zip(*v, strict=True)) for n, v in by_length.items()}
     sent = spark.sparkContext.broadcast(table)
-    ranked = pieces.join(first.select("length", "task", "first"), ["length", "task"]).withColumn("rank", F.col("first") + F.col("seq")).drop("first", "task", "seq")
+    # First ranks grow with the number of tasks, so they are never broadcast.
+    ranked = pieces.join(first.select("length", "task", "first").hint("merge"), ["length", "task"]).withColumn("rank", F.col("first") + F.col("seq")).drop("first", "task", "seq")
     names = [f.name for f in ranked.schema if f.name != "rank"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "rank") + ", sequence_id bigint, offset bigint"
 
