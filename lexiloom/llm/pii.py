@@ -231,7 +231,8 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataF
     table = distinct.join(settled, ["kind", "value"]).select("entity", "kind", rendered(F.col("kind"), F.col("entity"), F.col("surrogate")).alias("new"))
     table = write_read(table, "surrogate-table")
     lists = places.join(table, "entity").groupBy("key_").agg(F.transform(F.array_sort(F.collect_list(F.struct("at_", "kind", "new"))), lambda x: F.struct(x["kind"].alias("kind"), x["new"].alias("surrogate"))).alias("entities_"))
-    joined = docs.withColumn("key_", F.md5(text)).join(write_read(lists, "surrogate-lists"), "key_", "left")
+    # The lists grow with the corpus, so they are never broadcast.
+    joined = docs.withColumn("key_", F.md5(text)).join(write_read(lists, "surrogate-lists").hint("merge"), "key_", "left")
     pieces = F.split(text, PATTERN, -1)
     spliced = F.array_join(F.zip_with(pieces, F.col("entities_"), lambda p, e: F.concat(p, F.coalesce(e["surrogate"], F.lit("")))), "")
     none = F.expr("cast(array() as array<struct<kind:string,surrogate:string>>)")
