@@ -11,6 +11,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -68,8 +69,19 @@ def slices(sizes: list[int], most: int = 1 << 22) -> Iterator[tuple[int, int]]:
         yield a, len(sizes)
 
 
-def record_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
+_memory: list = [None, None]
+
+
+def claim(owner: str, clear: Callable[[], object] = lambda: None) -> None:
+    """Say whose tables and caches a Python worker holds from now on.
+
+    Workers live on between stages.  When another operator begins in one, the last
+    one's caches are cleared, so that a worker never holds those of two operators.
+    """
+    if _memory[0] not in (None, owner):
+        _memory[1]()
+        gc.collect()
+    _memory[:] = owner, clear
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, slices, texts_of, write_read
+from .common import claim, map_batches, slices, texts_of, write_read
 from .graphs import components
-from .hashing import U, constants, mix, shingle_sets
+from .hashing import U, constants, mix, powers, shingle_sets
 
 ROWS = 5
 MISS = 1e-6
@@ -82,6 +82,7 @@ def sketch_documents(df: DataFrame, words: int, threshold: float, id_col: str, t
     bands = bands_for(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("near-duplicates", powers.cache_clear)
         for batch in batches:
             texts = texts_of(batch, text_col)
             for a, b in slices([len(t) for t in texts], 1 << 21):
@@ -101,6 +102,7 @@ def sets_of(df: DataFrame, words: int, id_col: str, text_col: str, extra: list[s
     kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in [id_col, *extra])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("near-duplicates", powers.cache_clear)
         for batch in batches:
             texts = texts_of(batch, text_col)
             for a, b in slices([len(t) for t in texts], 1 << 21):

@@ -21,7 +21,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_batches, slices, texts_of
+from .common import claim, map_batches, slices, texts_of
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -113,6 +113,7 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     schema = f"{id_col} {df.schema[id_col].dataType.simpleString()}, n_chars bigint, n_tokens bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("unigram", counter.cache_clear)
         model = counter(path)
         for batch in batches:
             texts = texts_of(batch, text_col)
