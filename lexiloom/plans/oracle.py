@@ -286,8 +286,8 @@ ORACLE |= {
     "wikitext": f"SELECT id, {chain('text', WIKI)} AS text FROM ({values(fixtures.WIKITEXT, 'id, text', 'id::BIGINT AS id, text')})",
     "arabic_normalised": f"SELECT id, translate(text, 'أإآةى', 'اااهي') AS normalised, translate(text, {LETTERS}, {SIGNS}) AS buckwalter FROM ({ARABIC})",
     "precheck": f"""WITH c AS ({values(fixtures.CORPORA, 'corpus, token_count, ai_turns, backend, model_name, model_version, document_count')}),
-      s AS ({" UNION ALL ".join(f"SELECT corpus, '{k}' AS "check", CASE WHEN {ok} THEN 'pass' ELSE '{bad}' END AS status FROM c" for k, (ok, bad) in CHECKS.items())})
-      SELECT corpus, CASE WHEN bool_or(status = 'fail') OVER w THEN 'fail' WHEN bool_or(status = 'warn') OVER w THEN 'warn' ELSE 'pass' END AS overall, "check", status FROM s WINDOW w AS (PARTITION BY corpus)""",
+      s AS ({" UNION ALL ".join(f"SELECT corpus, '{k}' AS ck, CASE WHEN {ok} THEN 'pass' ELSE '{bad}' END AS status FROM c" for k, (ok, bad) in CHECKS.items())})
+      SELECT corpus, CASE WHEN bool_or(status = 'fail') OVER w THEN 'fail' WHEN bool_or(status = 'warn') OVER w THEN 'warn' ELSE 'pass' END AS overall, ck AS "check", status FROM s WINDOW w AS (PARTITION BY corpus)""",
     "visual_grammar_fixture": " UNION ALL ".join(f"SELECT image_id, '{k}' AS category, round(least(1.0, 2 * ({v}))::DOUBLE, 6) AS confidence FROM ({IMAGES}) WHERE {ok}" for k, ok, v in CLAIMS),
     "lemma_kwic_fixture": f"""WITH p AS ({PARSED}) SELECT t.doc_id, t.sentence_idx, t.token_idx,
       coalesce((SELECT string_agg(c.text, ' ' ORDER BY c.token_idx) FROM p c WHERE c.doc_id = t.doc_id AND c.sentence_idx = t.sentence_idx AND c.token_idx BETWEEN t.token_idx - 2 AND t.token_idx - 1), '') AS left_context, t.text AS node,
