@@ -13,8 +13,9 @@ id hash; everything else covers all rows.  A document's score is its mean
 negative log-likelihood, shrunk towards its language's centre as if ``prior``
 more characters had been read, as short texts vary more.  A language's threshold
 is the ``trusted_quantile`` of the scores of trusted documents that the model has
-not seen, but not below the ``floor_quantile`` of all its documents, so a model
-that does not fit a language cannot reject most of it.
+not seen; no share of the other documents moves it.  A language with too few of
+those for that quantile also gets the room above its centre that they have over
+all languages.
 """
 
 from __future__ import annotations
@@ -181,7 +182,7 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return kept.select("doc_id", F.xxhash64("doc_id").alias("h"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, columns: list[str], train_docs: int = 65_536, prior: int = 300, trusted_quantile: float = 0.995, floor_quantile: float = 0.7) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, columns: list[str], train_docs: int = 65_536, prior: int = 300, trusted_quantile: float = 0.995) -> DataFrame:
     """The given columns with perplexity_, score_, threshold_ and kept_ for every document.
 
     Documents have (doc_id, text, lang), labels (doc_id, quality, toxic).  Half of the
@@ -189,9 +190,9 @@ def classify(docs: DataFrame, labels: DataFrame, columns: list[str], train_docs:
     have no perplexity and are kept; so are languages without trusted documents.
     Null languages are one language.  Repeated rows are scored alike.
     """
-    aside = {c: f"{c}input" for c in columns if c in ("lang_", "n_chars_", "nll_", "centre_", "bar_", "floor_", "limit_")}
+    aside = {c: f"{c}input" for c in columns if c in ("lang_", "n_chars_", "nll_", "centre_", "bar_", "held_", "room_", "limit_")}
     if aside:  # names of this function's own columns step aside
-        renamed = classify(docs.withColumnsRenamed(aside), labels, [aside.get(c, c) for c in columns], train_docs, prior, trusted_quantile, floor_quantile)
+        renamed = classify(docs.withColumnsRenamed(aside), labels, [aside.get(c, c) for c in columns], train_docs, prior, trusted_quantile)
         return renamed.withColumnsRenamed({v: k for k, v in aside.items()})
     trusted = trusted_ids(labels)
     # At most train_docs ids of eight bytes: a bounded side to broadcast.
@@ -205,9 +206,12 @@ def classify(docs: DataFrame, labels: DataFrame, columns: list[str], train_docs:
     # are broadcast: a join by language would meet most rows in one task.
     centre = F.broadcast(write_read(held_out.groupBy("lang_").agg(F.percentile_approx("nll_", 0.5, 10_000).alias("centre_")), "centres"))
     shrunk = (F.col("nll_") * F.col("n_chars_") + prior * F.col("centre_")) / (F.col("n_chars_") + prior)
-    bar = held_out.join(centre, "lang_").groupBy("lang_").agg(F.percentile_approx(shrunk, trusted_quantile, 100_000).alias("bar_"))
-    everyone = scored.where("nll_ is not null").select(lang.alias("lang_"), "n_chars_", "nll_")
-    floor = everyone.join(centre, "lang_").groupBy("lang_").agg(F.percentile_approx(shrunk, floor_quantile, 100_000).alias("floor_"))
-    limits = write_read(centre.join(bar, "lang_").join(floor, "lang_").select("lang_", "centre_", F.greatest("bar_", "floor_").alias("limit_")), "limits")
+    placed = held_out.join(centre, "lang_")
+    bar = placed.groupBy("lang_").agg(F.percentile_approx(shrunk, trusted_quantile, 100_000).alias("bar_"), F.count("*").alias("held_"))
+    room = placed.agg(F.percentile_approx(shrunk - F.col("centre_"), trusted_quantile, 100_000).alias("room_"))
+    # Below this count the quantile is no more than the highest score seen.
+    few = F.col("held_") * (1 - trusted_quantile) < 1
+    limit = F.when(few, F.greatest("bar_", F.col("centre_") + F.col("room_"))).otherwise(F.col("bar_"))
+    limits = write_read(centre.join(bar, "lang_").crossJoin(F.broadcast(room)).select("lang_", "centre_", limit.alias("limit_")), "limits")
     out = scored.withColumn("lang_", lang).join(F.broadcast(limits), "lang_", "left")
     return out.select(*columns, F.exp("nll_").alias("perplexity_"), F.exp(shrunk).alias("score_"), F.exp("limit_").alias("threshold_"), F.coalesce(shrunk <= F.col("limit_"), F.lit(True)).alias("kept_"))

@@ -209,6 +209,22 @@ def test_quality(spark):
     assert quality.classify(docs.where("doc_id < 0"), labels, ["doc_id"]).count() == 0
 
 
+def prose(rnd, n):
+    return " ".join(rnd.choice(["the", "river", "runs", "over", "stones", "and", "falls"]) for _ in range(n))
+
+
+def test_quality_rejects_junk_of_any_share(spark):
+    """40 % of the rows are copies of one junk text."""
+    import random
+
+    rnd = random.Random(5)
+    rows = [(i, prose(rnd, rnd.randrange(20, 80)), "en") for i in range(300)] + [(i, "zq#%&*x@! " * 30, "en") for i in range(300, 500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(250)], "doc_id bigint, quality int, toxic int")
+    kept = {r["doc_id"]: r["kept_"] for r in quality.classify(docs, labels, ["doc_id"]).collect()}
+    assert sum(kept[i] for i in range(300)) >= 294 and not any(kept[i] for i in range(300, 500))
+
+
 def test_model_probabilities_sum_to_one(spark):
     docs = spark.createDataFrame([("en", "abracadabra abraham"), ("en", "banana bandana")], "lang string, text string")
     shards = quality.load(quality.fit(docs))
