@@ -8,14 +8,13 @@ joins of the sharded count tables, order by order.  Scoring joins the n-grams of
 each batch of documents with hash shards of the finished tables, one for each
 language and order, backing off where an n-gram was never seen.
 
-The model is fitted on at most ``train_docs`` trusted documents, those of least
-id hash; everything else covers all rows.  A document's score is its mean
-negative log-likelihood, shrunk towards its language's centre as if ``prior``
-more characters had been read, as short texts vary more.  A language's threshold
-is the ``trusted_quantile`` of the scores of trusted documents that the model has
-not seen; no share of the other documents moves it.  A language with too few of
-those for that quantile also gets the room above its centre that they have over
-all languages.
+The model is fitted on half of the trusted documents, everything else covers all
+rows.  A document's score is its mean negative log-likelihood, shrunk towards its
+language's centre as if ``prior`` more characters had been read, as short texts
+vary more.  A language's threshold is the ``trusted_quantile`` of the scores of
+trusted documents that the model has not seen; no share of the other documents
+moves it.  A language with too few of those for that quantile also gets the room
+above its centre that they have over all languages.
 """
 
 from __future__ import annotations
@@ -34,6 +33,8 @@ ORDER, BITS = 5, 12
 DIRECT, START = 1280, 4095
 OPEN = "\U0010ffff" * (ORDER - 1)
 VOCABULARY = 1 << BITS
+#: Most ids that are sent to all tasks.
+SENT_IDS = 1 << 20
 
 
 def gram_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -182,28 +183,43 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return kept.select("doc_id", F.xxhash64("doc_id").alias("h"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, columns: list[str], train_docs: int = 65_536, prior: int = 300, trusted_quantile: float = 0.995) -> DataFrame:
+def dealt(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, lang_, fits): trusted documents, half to fit the model and half to set thresholds.
+
+    If the hash puts all of a language's documents into one half, those of its least
+    hash set the threshold and the others fit.  A language's only one fits.
+    """
+    ids = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang_")).distinct().join(trusted_ids(labels), "doc_id")
+    ids = write_read(ids.withColumn("odd_", F.pmod("h", F.lit(2)) == 1), "trusted")
+    halves = ids.groupBy("lang_").agg(F.min("odd_").alias("low_"), F.max("odd_").alias("high_"), F.min("h").alias("first_"), F.max("h").alias("last_"))
+    one_half = F.col("low_") == F.col("high_")
+    fits = F.when(~one_half, ~F.col("odd_")).otherwise((F.col("h") != F.col("first_")) | (F.col("first_") == F.col("last_")))
+    return write_read(ids.join(F.broadcast(halves), "lang_").select("doc_id", "lang_", fits.alias("fits")), "dealt")
+
+
+def classify(docs: DataFrame, labels: DataFrame, columns: list[str], prior: int = 300, trusted_quantile: float = 0.995) -> DataFrame:
     """The given columns with perplexity_, score_, threshold_ and kept_ for every document.
 
     Documents have (doc_id, text, lang), labels (doc_id, quality, toxic).  Half of the
-    trusted ids may be used to fit, the others set thresholds.  Null or empty texts
-    have no perplexity and are kept; so are languages without trusted documents.
-    Null languages are one language.  Repeated rows are scored alike.
+    trusted ids fit the model, the others set thresholds.  Null or empty texts
+    have no perplexity and are kept; so are languages with less than two trusted
+    documents.  Null languages are one language.  Repeated rows are scored alike.
     """
     aside = {c: f"{c}input" for c in columns if c in ("lang_", "n_chars_", "nll_", "centre_", "bar_", "held_", "room_", "limit_")}
     if aside:  # names of this function's own columns step aside
-        renamed = classify(docs.withColumnsRenamed(aside), labels, [aside.get(c, c) for c in columns], train_docs, prior, trusted_quantile)
+        renamed = classify(docs.withColumnsRenamed(aside), labels, [aside.get(c, c) for c in columns], prior, trusted_quantile)
         return renamed.withColumnsRenamed({v: k for k, v in aside.items()})
-    trusted = trusted_ids(labels)
-    # At most train_docs ids of eight bytes: a bounded side to broadcast.
-    sample = trusted.where("pmod(h, 2) = 0").orderBy("h", "doc_id").limit(train_docs).select("doc_id")
-    folder = fit(docs.select("doc_id", "lang", "text").join(F.broadcast(sample), "doc_id"))
+    trusted = dealt(docs, labels)
+    lang = F.coalesce("lang", F.lit(""))
+    sample = trusted.where("fits").select("doc_id", "lang_")
+    if sample.count() <= SENT_IDS:  # else the texts are shuffled once to meet their ids
+        sample = F.broadcast(sample)
+    folder = fit(docs.select("doc_id", "lang", "text", lang.alias("lang_")).join(sample, ["doc_id", "lang_"]))
     asked = list(dict.fromkeys([*columns, "doc_id", "lang"]))
     scored = write_read(score(docs, folder, asked), "scored")
-    lang = F.coalesce("lang", F.lit(""))
-    held_out = scored.select("doc_id", lang.alias("lang_"), "n_chars_", "nll_").where("nll_ is not null").join(trusted.where("pmod(h, 2) = 1").select("doc_id"), "doc_id")
-    # Only languages of the sample have scores, so these tables have train_docs rows at most and
-    # are broadcast: a join by language would meet most rows in one task.
+    held_out = scored.select("doc_id", lang.alias("lang_"), "n_chars_", "nll_").where("nll_ is not null").join(trusted.where("not fits").select("doc_id", "lang_"), ["doc_id", "lang_"])
+    # These tables have a row for each language with trusted documents and are broadcast:
+    # a join by language would meet most rows in one task.
     centre = F.broadcast(write_read(held_out.groupBy("lang_").agg(F.percentile_approx("nll_", 0.5, 10_000).alias("centre_")), "centres"))
     shrunk = (F.col("nll_") * F.col("n_chars_") + prior * F.col("centre_")) / (F.col("n_chars_") + prior)
     placed = held_out.join(centre, "lang_")

@@ -225,6 +225,24 @@ def test_quality_rejects_junk_of_any_share(spark):
     assert sum(kept[i] for i in range(300)) >= 294 and not any(kept[i] for i in range(300, 500))
 
 
+def test_quality_judges_small_languages(spark):
+    """A language of few trusted documents is judged, however many another has and wherever their hashes lie."""
+    import random
+
+    rnd = random.Random(6)
+    rows = [(i, prose(rnd, 40), "en") for i in range(400)] + [(i, prose(rnd, 40)[::-1], "xx") for i in range(400, 404)] + [(404, "zq#%&*x@! " * 30, "xx"), (405, prose(rnd, 40)[::-1], "yy")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    parity = {r["doc_id"]: r["p"] for r in docs.select("doc_id", F.expr("pmod(xxhash64(doc_id), 2)").alias("p")).collect()}
+    few = [i for i in range(400, 404) if parity[i] == parity[400]]
+    assert len(few) >= 2
+    labels = spark.createDataFrame([(i, 1, 0) for i in [*range(400), *few, 405]], "doc_id bigint, quality int, toxic int")
+    roles = {r["doc_id"]: r["fits"] for r in quality.dealt(docs, labels).collect()}
+    assert {roles[i] for i in few} == {True, False} and roles[405]
+    assert sum(roles[i] for i in range(400)) == sum(parity[i] == 0 for i in range(400))
+    rows = {r["doc_id"]: r for r in quality.classify(docs, labels, ["doc_id"]).collect()}
+    assert not rows[404]["kept_"] and all(rows[i]["kept_"] for i in few) and rows[405]["kept_"] and rows[405]["perplexity_"] is not None
+
+
 def test_model_probabilities_sum_to_one(spark):
     docs = spark.createDataFrame([("en", "abracadabra abraham"), ("en", "banana bandana")], "lang string, text string")
     shards = quality.load(quality.fit(docs))
