@@ -29,6 +29,8 @@ from .common import map_batches, slices, texts_of
 UNIT = 576
 WIDTH, ROWS = 96, 96
 MAX_CODES = 4096
+#: Codes of a full table that are decoded at a time.
+FULL_CODES = 1 << 14
 
 
 def code_widths(count: int, size: int) -> np.ndarray:
@@ -42,8 +44,8 @@ def code_widths(count: int, size: int) -> np.ndarray:
 
 @lru_cache(maxsize=8)
 def positions(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Widths and bit offsets of codes after a clear code, past the full table."""
-    bits = code_widths(1 << 14, size)
+    """Widths and bit offsets of the codes after a clear code that fill the table, and of the next."""
+    bits = code_widths(MAX_CODES - (1 << size) - 1, size)
     return bits, np.cumsum(bits) - bits
 
 
@@ -91,34 +93,61 @@ def lzw_decode(stream: bytes, size: int, expected: int) -> np.ndarray:
     """Palette indices of an LZW code stream; ``expected`` of them at most."""
     clear, out, have, bit = 1 << size, [], 0, 0
     raw = np.frombuffer(stream + b"\0\0\0", dtype=np.uint8).astype(np.int64)
-    bits, starts = positions(size)
+    first = positions(size)
+    full = np.full(FULL_CODES, 12), 12 * np.arange(FULL_CODES)
     total = 8 * len(stream)
-    while have < expected and bit + size + 1 <= total:
+    held = None  # once the table is full: its text, where each code's begins, and their lengths
+    while have < expected:
+        bits, starts = first if held is None else full
         n = int(np.searchsorted(starts + bits, total - bit, side="right"))
+        if not n:
+            break
         at = bit + starts[:n]
         byte = at >> 3
         codes = ((raw[byte] | raw[byte + 1] << 8 | raw[byte + 2] << 16) >> (at & 7)) & ((1 << bits[:n]) - 1)
         stops = np.flatnonzero((codes == clear) | (codes == clear + 1))
         stop = int(stops[0]) if len(stops) else n
-        part = lzw_strings(codes[:stop], clear)
+        if held is None:
+            part, begin, lengths = first_strings(codes[:stop], clear)
+            if stop == n == len(bits):  # all codes are defined; no clear code need follow
+                held = part, begin, lengths
+        else:
+            part = full_table_strings(codes[:stop], clear, *held)
         out.append(part)
         have += len(part)
-        if stop == n and n < len(bits):
-            break
         if stop < n:
             if codes[stop] == clear + 1:
                 break
-            bit = int(at[stop] + bits[stop])
+            bit, held = int(at[stop] + bits[stop]), None
+        elif n < len(bits):
+            break
         else:
-            raise ValueError("more codes without a clear code than this decoder holds")
+            bit = int(at[-1] + bits[n - 1])
     return np.concatenate(out)[:expected] if out else np.zeros(0, np.uint8)
 
 
+def full_table_strings(codes: np.ndarray, clear: int, text: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Output of codes of a full table: copies of the text that filled it."""
+    literal = codes < clear
+    of = np.where(literal, 0, codes - clear - 2)
+    sizes = np.where(literal, 1, lengths[of] + 1)
+    ends = np.cumsum(sizes)
+    source = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin[of] - (ends - sizes), sizes)
+    out = text[np.where(np.repeat(literal, sizes), 0, source)]
+    out[(ends - sizes)[literal]] = codes[literal]
+    return out
+
+
 def lzw_strings(codes: np.ndarray, clear: int) -> np.ndarray:
-    """Output of the codes between two clear codes."""
+    """Output of the codes from a clear code to the next or a full table."""
+    return first_strings(codes, clear)[0]
+
+
+def first_strings(codes: np.ndarray, clear: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Output of those codes, and each code's begin and length."""
     n = len(codes)
     if not n:
-        return np.zeros(0, np.uint8)
+        return np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
     own = np.arange(n)
     literal = codes < clear
     parent = np.where(literal, own, codes - clear - 2)  # the code whose text, and one byte more, is copied
@@ -142,7 +171,7 @@ def lzw_strings(codes: np.ndarray, clear: int) -> np.ndarray:
         if np.array_equal(further, source):
             break
         source = further
-    return codes[of[source]].astype(np.uint8)
+    return codes[of[source]].astype(np.uint8), begin, lengths
 
 
 def blocks(data: bytes) -> bytes:

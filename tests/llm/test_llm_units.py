@@ -142,6 +142,39 @@ def test_lzw_strings_match_a_string_table():
         assert gif.lzw_strings(np.array(codes), 4).tobytes() == naive_lzw(codes, 4)
 
 
+def deferred_lzw(data, size):
+    """An encoder that never clears: it goes on with the full table."""
+    clear = 1 << size
+    table, codes, prefix = {}, [], data[:1]
+    for b in data[1:]:
+        longer = prefix + bytes([b])
+        if len(longer) > 1 and longer in table:
+            prefix = longer
+            continue
+        codes.append(table[prefix] if len(prefix) > 1 else prefix[0])
+        if len(table) < 4096 - clear - 2:
+            table[longer] = clear + 2 + len(table)
+        prefix = bytes([b])
+    codes.append(table[prefix] if len(prefix) > 1 else prefix[0])
+    codes.append(clear + 1)
+    bits, at = clear, size + 1
+    for c, w in zip(codes, gif.code_widths(len(codes), size), strict=True):
+        bits |= c << at
+        at += int(w)
+    return bits.to_bytes((at + 7) // 8, "little"), len(codes)
+
+
+@pytest.mark.parametrize("size", [2, 8])
+def test_lzw_deferred_clear(size):
+    for n in (3_000, 40_000, 150_000):
+        data = bytes(RND.randrange(1 << size) if RND.random() < 0.5 else i % 3 for i in range(n))
+        stream, codes = deferred_lzw(data, size)
+        assert n < 150_000 or codes > 4096 + (1 << 14)
+        assert gif.lzw_decode(stream, size, n).tobytes() == data
+        again = gif.lzw_decode(stream, size, n + 1)
+        assert again.tobytes() == data
+
+
 def test_gif_composition_rules():
     colours = bytes([255, 0, 0, 0, 255, 0, 0, 0, 255, 9, 9, 9])
     frames = [
