@@ -2,9 +2,10 @@
 
 Documents become pieces of at most ``capacity`` tokens.  Only the histogram of
 piece lengths (``capacity`` counts, whatever the size of the corpus) reaches the
-driver.  There, patterns of a few lengths that fill a sequence exactly are
-enumerated; non-negative least squares fits how often to repeat each, so that
-the histogram is used up; the counts are rounded down; and what remains is
+driver.  There, patterns that fill a sequence exactly are sought by what they
+would use of the unfitted counts (column generation over all such patterns);
+non-negative least squares fits how often to repeat each, so that the histogram
+is used up; the counts are rounded down; and what remains is
 packed by best fit, again on counts of equal lengths.  The result is a table of
 runs (length, first rank, place of a piece in its pattern), and each piece finds
 its sequence by its rank among the pieces of its length.  Ranks come from counts
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from .bpe import BacktrackingBpe
 from .common import claim, map_batches, slices, texts_of, write_read
 
+#: Pieces of a pattern that are told apart when patterns are weighed, and rounds of seeking patterns.
+LAYERS, ROUNDS = 6, 6
 CACHE_ENTRIES, WORD_ENTRIES = 900_000, 400_000
 #: Texts with these go to the tokenizer whole: they split Python's words, not its own.
 ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -158,58 +161,101 @@ def tokenized_pieces(df: DataFrame, path: str, capacity: int = 4096, end_id: int
     return map_batches(df, [id_col, text_col], run, schema)
 
 
-def exact_patterns(histogram: dict[int, int], capacity: int, most: int = 20_000) -> list[tuple[int, ...]]:
-    """Patterns of one to four present lengths, longest first, that fill a sequence exactly."""
-    present = sorted((n for n in histogram if 0 < n <= capacity), reverse=True)
-    have = set(present)
-    found = [(n,) for n in present if n == capacity]
-    found += [(n, capacity - n) for n in present if capacity - n in have and n >= capacity - n]
-    step = max(1, len(present) * len(present) // (2 * most))
-    k = 0
-    for i, a in enumerate(present):
-        for b in present[i:]:
-            c = capacity - a - b
-            if c <= 0 or c > b:
-                continue
-            k += 1
-            if k % step:
-                continue
-            if c in have:
-                found.append((a, b, c))
-            half = c // 2
-            if 0 < half <= b and half in have and c - half in have:
-                found.append(tuple(sorted((a, b, half, c - half), reverse=True)))
+def exact_patterns(weights: dict[int, float], capacity: int) -> list[tuple[int, ...]]:
+    """For each length, the pattern with it that fills a sequence exactly and weighs most, longest length first.
+
+    A pattern's weight is its lengths' sum over the root of their number.  All patterns
+    of the given lengths compete: tables over sums hold the best choice of k lengths,
+    the last one of LAYERS or more.  Patterns of no positive weight are left out.
+    """
+    lengths = np.array(sorted(n for n in weights if 0 < n <= capacity), dtype=np.int64)
+    if not len(lengths):
+        return []
+    worth = np.array([weights[n] for n in lengths.tolist()], dtype=float)
+    best = np.full((LAYERS + 1, capacity + 1), -np.inf)
+    best[0, 0] = 0
+    last = np.zeros((LAYERS + 1, capacity + 1), dtype=np.int64)
+    more = np.zeros(capacity + 1, dtype=bool)  # the last table's choice goes on in that table
+    rows = np.arange(LAYERS)
+    for total in range(1, capacity + 1):
+        n = int(np.searchsorted(lengths, total, side="right"))
+        if not n:
+            continue
+        left = total - lengths[:n]
+        sums = best[:, left] + worth[:n]
+        pick = sums.argmax(axis=1)
+        best[1:, total] = sums[rows, pick[:-1]]
+        last[1:, total] = lengths[pick[:-1]]
+        if sums[LAYERS, pick[LAYERS]] > best[LAYERS, total]:
+            best[LAYERS, total], last[LAYERS, total], more[total] = sums[LAYERS, pick[LAYERS]], lengths[pick[LAYERS]], True
+    found = []
+    roots = np.sqrt(np.arange(1, LAYERS + 2))
+    for n, w in zip(lengths.tolist()[::-1], worth.tolist()[::-1], strict=True):
+        values = (w + best[:, capacity - n]) / roots
+        k = int(values.argmax())
+        if not 0 < values[k] < np.inf:
+            continue
+        pattern, total = [n], capacity - n
+        while total:
+            pattern.append(int(last[k, total]))
+            k -= not (k == LAYERS and more[total])
+            total -= pattern[-1]
+        found.append(tuple(sorted(pattern, reverse=True)))
     return list(dict.fromkeys(found))
 
 
-def fit_counts(patterns: list[tuple[int, ...]], histogram: dict[int, int], sweeps: int = 40) -> list[float]:
-    """Non-negative least squares by cyclic coordinate descent.
+def fit_counts(patterns: list[tuple[int, ...]], histogram: dict[int, int], sweeps: int = 200) -> list[float]:
+    """Non-negative least squares by accelerated projected gradient steps.
 
     Minimises the squared difference between the histogram and what the repeated
-    patterns use; each step solves one pattern's count exactly and keeps it at 0
-    or more, so every sweep lowers the error.
+    patterns use; a pattern's step is bounded by what all patterns use of its lengths.
     """
-    rest = defaultdict(float, {k: float(v) for k, v in histogram.items()})
-    uses = []
-    for p in patterns:
-        u = defaultdict(int)
-        for n in p:
-            u[n] += 1
-        uses.append((list(u.items()), float(sum(v * v for v in u.values()))))
-    x = [0.0] * len(patterns)
+    if not patterns:
+        return []
+    at = {n: i for i, n in enumerate(histogram)}
+    want = np.array(list(histogram.values()), dtype=float)
+    of = np.repeat(np.arange(len(patterns)), [len(p) for p in patterns])
+    uses = np.array([at[n] for p in patterns for n in p])
+    bound = np.bincount(of, np.bincount(uses, minlength=len(want))[uses])
+    x = ahead = np.zeros(len(patterns))
+    pace = 1.0
     for _ in range(sweeps):
-        change = 0.0
-        for j, (use, norm) in enumerate(uses):
-            step = sum(rest[n] * v for n, v in use) / norm
-            step = max(step, -x[j])
-            if step:
-                x[j] += step
-                change += abs(step)
-                for n, v in use:
-                    rest[n] -= step * v
-        if change < 1e-3 * max(1.0, sum(x)):
-            break
-    return x
+        rest = want - np.bincount(uses, ahead[of], len(want))
+        step = np.bincount(of, rest[uses])
+        new = np.maximum(0, ahead + step / bound)
+        if step @ (new - x) < 0:
+            pace = 1.0
+        following = (1 + (1 + 4 * pace * pace) ** 0.5) / 2
+        ahead = np.maximum(0, new + (pace - 1) / following * (new - x))
+        if np.abs(new - x).sum() < 1e-4 * max(1.0, new.sum()):
+            return new.tolist()
+        x, pace = new, following
+    return x.tolist()
+
+
+def priced_patterns(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, ...]], list[float]]:
+    """Patterns and their fitted counts by column generation.
+
+    The part of the histogram that a fit leaves unused is the weight by which the
+    next patterns are sought, until none is new or the error hardly falls.
+    """
+    patterns = exact_patterns(histogram, capacity)
+    known, error = set(patterns), np.inf
+    for _ in range(ROUNDS):
+        fitted = fit_counts(patterns, histogram)
+        rest = dict.fromkeys(histogram, 0.0) | histogram
+        for p, x in zip(patterns, fitted, strict=True):
+            if x:
+                for n in p:
+                    rest[n] -= x
+        now = sum(v * v for v in rest.values())
+        fresh = [p for p in exact_patterns(rest, capacity) if p not in known] if now < 0.99 * error else []
+        if not fresh:
+            return patterns, fitted
+        error = now
+        known.update(fresh)
+        patterns = patterns + fresh
+    return patterns, fit_counts(patterns, histogram)
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -255,15 +301,10 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...
     return done
 
 
-def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Runs (length, first rank, repeats, first sequence, offset) that place every piece.
-
-    Fitted patterns are used in the order of their fitted counts, each as often as
-    its rounded-down count and the pieces left allow; the residual goes to best fit.
-    If best fit alone needs fewer sequences, the plan is that of best fit.
-    """
-    patterns = exact_patterns(histogram, capacity)
-    fitted = fit_counts(patterns, histogram)
+def fitted_fill(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Fitted patterns in the order of their counts, each as often as its rounded-down
+    count and the pieces left allow; the residual by best fit."""
+    patterns, fitted = priced_patterns(histogram, capacity)
     rest, chosen = dict(histogram), []
     for j in sorted(range(len(patterns)), key=lambda j: (-fitted[j], patterns[j])):
         need = defaultdict(int)
@@ -274,9 +315,18 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
             chosen.append((patterns[j], times))
             for n, v in need.items():
                 rest[n] -= v * times
-    chosen += best_fit(rest, capacity)
-    alone = best_fit(histogram, capacity)
-    if sum(r for _, r in alone) < sum(r for _, r in chosen):
+    return chosen + best_fit(rest, capacity)
+
+
+def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
+    """Runs (length, first rank, repeats, first sequence, offset) that place every piece.
+
+    If best fit alone needs fewer sequences than fitted patterns and best fit of
+    their residual, the plan is that of best fit.
+    """
+    chosen, alone = fitted_fill(histogram, capacity), best_fit(histogram, capacity)
+    counts = sum(r for _, r in chosen), sum(r for _, r in alone)
+    if counts[1] < counts[0]:
         chosen = alone
     used, runs, sequence = defaultdict(int), [], 0
     for pattern, repeats in chosen:

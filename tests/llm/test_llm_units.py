@@ -105,6 +105,23 @@ def test_plan_places_everything_once():
     assert packing.plan({}, 8) == []
 
 
+def test_patterns_of_many_lengths_are_all_sought():
+    """Over 1000 lengths, of which few fill a sequence: each of these is found, whatever its place among the others."""
+    capacity = 4096
+    counts = {n: 1 for n in range(2050, 3100)} | {1500: 90, 1201: 90, 1395: 90, 901: 7, 902: 7, 903: 7, 1390: 7}
+    patterns = packing.exact_patterns(counts, capacity)
+    assert (1500, 1395, 1201) in patterns and (1390, 903, 902, 901) in patterns
+    assert all(sum(p) == capacity for p in patterns)
+    rnd = random.Random(3)
+    weights = {n: rnd.random() for n in rnd.sample(range(1, 25), 12)}
+
+    def every(left, most):
+        yield from [()] if not left else ((n, *p) for n in weights if n <= min(left, most) for p in every(left - n, n))
+
+    best = max(sum(map(weights.get, p)) / len(p) ** 0.5 for p in every(24, 24) if len(p) <= packing.LAYERS)
+    assert max(sum(map(weights.get, p)) / len(p) ** 0.5 for p in packing.exact_patterns(weights, 24)) >= best - 1e-12
+
+
 def test_fit_is_non_negative_and_lowers_the_error():
     counts = {3: 10, 5: 10, 2: 4, 8: 1}
     patterns = packing.exact_patterns(counts, 8)
