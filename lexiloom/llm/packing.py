@@ -15,6 +15,7 @@ by (task, length), so neither a hot length nor a hot source meets in one task.
 from __future__ import annotations
 
 import json
+import logging
 import unicodedata
 import zlib
 from array import array
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 from .bpe import BacktrackingBpe
 from .common import claim, map_batches, slices, texts_of, write_read
 
+log = logging.getLogger(__name__)
 #: Pieces of a pattern that are told apart when patterns are weighed, and rounds of seeking patterns.
 LAYERS, ROUNDS = 6, 6
 CACHE_ENTRIES, WORD_ENTRIES = 900_000, 400_000
@@ -322,10 +324,11 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     """Runs (length, first rank, repeats, first sequence, offset) that place every piece.
 
     If best fit alone needs fewer sequences than fitted patterns and best fit of
-    their residual, the plan is that of best fit.
+    their residual, the plan is that of best fit; the log says which and both counts.
     """
     chosen, alone = fitted_fill(histogram, capacity), best_fit(histogram, capacity)
     counts = sum(r for _, r in chosen), sum(r for _, r in alone)
+    log.info("packing: %d sequences by fitted patterns, %d by best fit alone; using %s", *counts, "best fit" if counts[1] < counts[0] else "fitted patterns")
     if counts[1] < counts[0]:
         chosen = alone
     used, runs, sequence = defaultdict(int), [], 0
