@@ -10,7 +10,7 @@ name of the title's gender and the name's script.
 
 Distinctness is checked on the table of distinct values: of values with one
 surrogate, and of surrogates that are real values, all but one winner are hashed
-anew until none is left.  The table is a join away from the texts; each text is
+anew until none is left, after some attempts in a wider format.  The table is a join away from the texts; each text is
 split at its entities and put together again.  Keys are hashes of texts, so
 exact copies are treated once.  Nothing is collected but emptiness checks.
 """
@@ -47,6 +47,8 @@ GIVEN = {
 }
 SYLLABLES = {"latin": "ba be bi bo da de di do ka ke ki ko la le li lo ma me mi mo na ne ni no ra re ri ro sa se si so".split(), "cyrillic": "ба бе би бо да де ди до ка ке ки ко ла ле ли ло ма ме ми мо на не ни но ра ре ри ро са се си со".split()}
 MOST_ATTEMPTS = 64
+#: Attempts after which a format counts as full and, two by two, wider ones are tried.
+OWN_FORMAT = 8
 
 
 def first_group(text: Column, pattern: str, group: int = 1) -> Column:
@@ -122,19 +124,27 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(1), n), weight), F.lit(0), lambda a, b: a + b)
 
 
-def surrogate_value(kind: Column, value: Column, seed: Column) -> Column:
-    """The canonical surrogate of a canonical value."""
+def surrogate_value(kind: Column, value: Column, seed: Column, wider: int = 0) -> Column:
+    """The canonical surrogate of a canonical value, in a format widened so many times.
+
+    A wider e-mail address or secret has more letters, a wider name more syllables, a
+    wider private IP address is of a larger network; other formats have no wider one.
+    """
     shaped = reshaped(value, seed)
+    extra = F.concat(F.lit(""), *[F.char(97 + number(seed, -1 - i, 6)) for i in range(wider)])
     hexed = F.array_join(F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: F.lower(F.hex(number(seed, i, 16)))), "")
     body = F.substring(shaped, F.lit(1), F.length(value) - 1)
     check = F.pmod(10 - F.pmod(luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")
     card = F.when(luhn_sum(value) % 10 == 0, F.concat(body, check)).otherwise(shaped)
     octets = F.array_join(F.array(*[(1 + number(seed, i, 254)).cast("string") for i in range(4)]), ".")
-    ip = F.when(value.startswith("10."), F.concat(F.lit("10."), F.substring_index(octets, ".", 3))).when(value.startswith("192.168."), F.concat(F.lit("192.168."), F.substring_index(octets, ".", 2))).otherwise(octets)
+    small, large = value.startswith("192.168."), value.startswith("10.")
+    if wider:
+        small, large = F.lit(False), (small | large) if wider == 1 else F.lit(False)
+    ip = F.when(large, F.concat(F.lit("10."), F.substring_index(octets, ".", 3))).when(small, F.concat(F.lit("192.168."), F.substring_index(octets, ".", 2))).otherwise(octets)
     local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     # A domain keeps its top level; its surrogate does not depend on the local part.
     top = F.substring_index(domain, ".", -1)
-    email = F.concat(reshaped(local, seed), F.lit("@"), F.lit("d"), F.substring(F.sha2(F.concat_ws("|", F.lit("domain"), F.col("secret_"), domain), 256), 1, 8), F.lit(".example."), top)
+    email = F.concat(reshaped(local, seed), extra, F.lit("@"), F.lit("d"), F.substring(F.sha2(F.concat_ws("|", F.lit("domain"), F.col("secret_"), domain), 256), 1, 8), F.lit(".example."), top)
     area = F.when(F.length(value) > 10, F.concat(F.substring(value, F.lit(1), F.length(value) - 10), (2 + number(seed, 0, 8)).cast("string"), F.substring(shaped, F.length(value) - 8, F.lit(9)))).otherwise(F.concat((2 + number(seed, 0, 8)).cast("string"), F.substring(shaped, F.lit(2), F.length(value))))
     iban = F.concat(F.substring(value, 1, 2), F.substring(shaped, F.lit(3), F.length(value)))
     key = F.concat(F.substring(value, 1, 4), F.substring(shaped, F.lit(5), F.length(value)))
@@ -146,7 +156,7 @@ def surrogate_value(kind: Column, value: Column, seed: Column) -> Column:
         given = F.when((gender == g) & (script == s), picked) if given is None else given.when((gender == g) & (script == s), picked)
 
     def family(s: str) -> Column:
-        parts = [F.element_at(F.array(*map(F.lit, SYLLABLES[s])), 1 + number(seed, i, len(SYLLABLES[s]))) for i in range(1, 5)]
+        parts = [F.element_at(F.array(*map(F.lit, SYLLABLES[s])), 1 + number(seed, i, len(SYLLABLES[s]))) for i in range(1, 5 + wider)]
         return F.initcap(F.concat(*parts))
 
     last = F.when(script == "cyrillic", family("cyrillic")).otherwise(family("latin"))
@@ -159,7 +169,8 @@ def surrogate_value(kind: Column, value: Column, seed: Column) -> Column:
         .when(kind == "iban", iban)
         .when(kind == "key", key)
         .when(kind == "name", name)
-        .when((kind == "secret") & value.rlike("^[0-9a-f]+$"), hexed)
+        .when((kind == "secret") & value.rlike("^[0-9a-f]+$"), F.concat(hexed, extra))
+        .when(kind == "secret", F.concat(shaped, extra))
         .otherwise(shaped)
     )
 
@@ -191,8 +202,9 @@ def assign(values: DataFrame, key: str) -> DataFrame:
     todo, attempt, settled = values, 0, None
     while True:
         seed = F.sha2(F.concat_ws("|", "secret_", "kind", "value", F.lit(attempt)), 256)
+        wider = max(0, attempt - OWN_FORMAT) // 2
         # Stored before it is joined, so that hashing runs once for each value.
-        tried = write_read(todo.withColumn("seed_", seed).withColumn("surrogate", surrogate_value(F.col("kind"), F.col("value"), F.col("seed_"))).drop("seed_"), "surrogates")
+        tried = write_read(todo.withColumn("seed_", seed).withColumn("surrogate", surrogate_value(F.col("kind"), F.col("value"), F.col("seed_"), wider)).drop("seed_"), "surrogates")
         free = tried.join(values.select("kind", F.col("value").alias("surrogate")), ["kind", "surrogate"], "left_anti")
         won = free.groupBy("kind", "surrogate").agg(F.min("value").alias("value"))
         if settled is not None:

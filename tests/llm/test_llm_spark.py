@@ -209,6 +209,19 @@ def test_quality(spark):
     assert quality.classify(docs.where("doc_id < 0"), labels, ["doc_id"]).count() == 0
 
 
+def test_full_formats_are_widened(spark):
+    """More one-letter addresses than letters, and a secret without letters or digits."""
+    rows = [("email", f"{c}@x.com") for c in "abcdefghijklmnopqrstuvwxyzé"] + [("secret", "-" * 8)]
+    settled = {tuple(r)[:2]: r["surrogate"] for r in pii.assign(spark.createDataFrame(rows, "kind string, value string"), "k").collect()}
+    assert set(settled) == set(rows) and len(set(settled.values())) == 28
+    assert all(regex.fullmatch(pii.PATTERNS["email"], s) for (k, _), s in settled.items() if k == "email")
+    assert settled["secret", "-" * 8] != "-" * 8
+    ips = spark.createDataFrame([("ip", "192.168.1.1"), ("ip", "10.1.1.1")], "kind string, value string").withColumn("secret_", F.lit("k"))
+    for wider, want in ((0, ("192.168.", "10.")), (1, ("10.", "10.")), (2, ("", ""))):
+        got = ips.select(pii.surrogate_value(F.col("kind"), F.col("value"), F.lit("s"), wider).alias("s")).collect()
+        assert all(r["s"].startswith(w) and regex.fullmatch(pii.PATTERNS["ip"], r["s"]) for r, w in zip(got, want, strict=True))
+
+
 def prose(rnd, n):
     return " ".join(rnd.choice(["the", "river", "runs", "over", "stones", "and", "falls"]) for _ in range(n))
 
