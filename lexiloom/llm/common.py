@@ -4,6 +4,8 @@
   place that the driver and all executors can see.
 * ``write_read`` cuts lineage through a Parquet table in that folder, so a lost
   executor never makes a long plan run again from its start.
+* ``Scratch`` does the same with tables that are deleted when the operation ends.
+* ``spread_join`` joins on keys of which one may hold any share of the rows.
 * ``map_batches`` runs a Python function over Arrow batches of some columns.
 * ``slices`` cuts a batch into runs of bounded text size, so that the working
   arrays of one step stay small whatever the lengths of the documents.
@@ -11,6 +13,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -18,15 +21,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a local one if unset (tests)."""
+    """The folder that ``spark.checkpoint.dir`` names; a local one if unset on a local master (tests)."""
     root = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lexiloom-")
         spark.conf.set(CHECKPOINT_KEY, root)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -47,6 +53,56 @@ def write_read(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared root, by the file system that its URI names."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+class Scratch:
+    """Tables of one operation, deleted when its ``with`` block ends, also after a failure."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def table(self, df: DataFrame, purpose: str) -> DataFrame:
+        """Write ``df`` and read it back, as ``write_read`` does."""
+        self.paths.append(shared_dir(self.spark, purpose))
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            delete(self.spark, path)
+
+
+#: Rows of one key that may meet in a task, and, at most, keys that are spread out.
+KEY_ROWS, HOT_KEYS = 1000, 10_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], by: Column, how: str = "inner", total: int | None = None) -> DataFrame:
+    """``left`` joined with ``right`` on columns of which one value may hold any share of ``left``.
+
+    A key with over ``total / HOT_KEYS`` rows of ``left`` (and over KEY_ROWS) is hot, so
+    there are HOT_KEYS of them at most, and their list is broadcast.  Rows of a hot key
+    are dealt by a hash of ``by`` to as many parts as keep each small, and the rows of
+    ``right`` are repeated for each part.  ``left`` is read twice and should be stored.
+    """
+    total = left.count() if total is None else total
+    each = max(KEY_ROWS, -(-total // HOT_KEYS))
+    hot = left.groupBy(*on).agg(F.count("*").alias("n_")).where(F.col("n_") > each).select(*on, F.ceil(F.col("n_") / each).cast("int").alias("parts_"))
+    hot = write_read(hot, "hot-keys")
+    if hot.isEmpty():
+        return left.join(right.hint("merge"), on, how)
+    parts = F.coalesce("parts_", F.lit(1))
+    dealt = left.join(F.broadcast(hot), on, "left").withColumn("part_", F.pmod(F.xxhash64(by), parts)).drop("parts_")
+    again = right.join(F.broadcast(hot), on, "left").withColumn("part_", F.explode(F.sequence(F.lit(0).cast("bigint"), (parts - 1).cast("bigint")))).drop("parts_")
+    return dealt.join(again.hint("merge"), [*on, "part_"], how).drop("part_")
+
+
 def map_batches(df: DataFrame, columns: list[str], fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``fn`` over Arrow batches of ``columns``; other columns are never read."""
     return df.select(*columns).mapInArrow(fn, schema)
@@ -81,6 +137,11 @@ def claim(owner: str, clear: Callable[[], object] = lambda: None) -> None:
     if _memory[0] not in (None, owner):
         _memory[1]()
         gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:  # what was freed goes back to the system
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass
     _memory[:] = owner, clear
 
 
