@@ -2,14 +2,13 @@
 
 Documents become pieces of at most ``capacity`` tokens.  Only the histogram of
 piece lengths (``capacity`` counts, whatever the size of the corpus) reaches the
-driver.  There, patterns that fill a sequence exactly are sought by what they
-would use of the unfitted counts (column generation over all such patterns);
-non-negative least squares fits how often to repeat each, so that the histogram
-is used up; the counts are rounded down; and what remains is
-packed by best fit, again on counts of equal lengths.  The result is a table of
-runs (length, first rank, place of a piece in its pattern), and each piece finds
-its sequence by its rank among the pieces of its length.  Ranks come from counts
-by (task, length), so neither a hot length nor a hot source meets in one task.
+driver.  There, patterns of few pieces that fill a sequence, or leave little room, are
+enumerated by size; non-negative least squares fits how often to repeat each, so that
+the histogram is used up; the counts are rounded; and what remains is packed by best
+fit, again on counts of equal lengths, first into the room that patterns left.  The
+result is a table of runs (length, first rank, place of a piece in its pattern), and
+each piece finds its sequence by its rank among the pieces of its length.  Ranks come
+from counts by (task, length), so neither a hot length nor a hot source meets in one task.
 """
 
 from __future__ import annotations
@@ -34,8 +33,8 @@ from .bpe import BacktrackingBpe
 from .common import claim, map_batches, slices, texts_of, write_read
 
 log = logging.getLogger(__name__)
-#: Pieces of a pattern that are told apart when patterns are weighed, and rounds of seeking patterns.
-LAYERS, ROUNDS = 6, 6
+#: Most pieces of a pattern, and the share of a sequence that it may leave, of the plans that are compared.
+PLANS = ((8, 32), (3, 32), (3, 8))
 CACHE_ENTRIES, WORD_ENTRIES = 900_000, 400_000
 #: Texts with these go to the tokenizer whole: they split Python's words, not its own.
 ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -163,50 +162,87 @@ def tokenized_pieces(df: DataFrame, path: str, capacity: int = 4096, end_id: int
     return map_batches(df, [id_col, text_col], run, schema)
 
 
-def exact_patterns(weights: dict[int, float], capacity: int) -> list[tuple[int, ...]]:
-    """For each length, the pattern with it that fills a sequence exactly and weighs most, longest length first.
+class PatternSearch:
+    """Patterns of a histogram's lengths and how often each fits what those before it left.
 
-    A pattern's weight is its lengths' sum over the root of their number.  All patterns
-    of the given lengths compete: tables over sums hold the best choice of k lengths,
-    the last one of LAYERS or more.  Patterns of no positive weight are left out.
+    Single pieces and pairs are enumerated completely, by the room that they leave.  Larger
+    patterns fill a sequence exactly: for each first length, from the longest, the most
+    plentiful lengths of middling size and of all pairs that sum to the rest the one
+    with the most pieces.
     """
-    lengths = np.array(sorted(n for n in weights if 0 < n <= capacity), dtype=np.int64)
-    if not len(lengths):
-        return []
-    worth = np.array([weights[n] for n in lengths.tolist()], dtype=float)
-    best = np.full((LAYERS + 1, capacity + 1), -np.inf)
-    best[0, 0] = 0
-    last = np.zeros((LAYERS + 1, capacity + 1), dtype=np.int64)
-    more = np.zeros(capacity + 1, dtype=bool)  # the last table's choice goes on in that table
-    rows = np.arange(LAYERS)
-    for total in range(1, capacity + 1):
-        n = int(np.searchsorted(lengths, total, side="right"))
-        if not n:
-            continue
-        left = total - lengths[:n]
-        sums = best[:, left] + worth[:n]
-        pick = sums.argmax(axis=1)
-        best[1:, total] = sums[rows, pick[:-1]]
-        last[1:, total] = lengths[pick[:-1]]
-        if sums[LAYERS, pick[LAYERS]] > best[LAYERS, total]:
-            best[LAYERS, total], last[LAYERS, total], more[total] = sums[LAYERS, pick[LAYERS]], lengths[pick[LAYERS]], True
-    found = []
-    roots = np.sqrt(np.arange(1, LAYERS + 2))
-    for n, w in zip(lengths.tolist()[::-1], worth.tolist()[::-1], strict=True):
-        values = (w + best[:, capacity - n]) / roots
-        k = int(values.argmax())
-        if not 0 < values[k] < np.inf:
-            continue
-        pattern, total = [n], capacity - n
-        while total:
-            pattern.append(int(last[k, total]))
-            k -= not (k == LAYERS and more[total])
-            total -= pattern[-1]
-        found.append(tuple(sorted(pattern, reverse=True)))
-    return list(dict.fromkeys(found))
-
-
-def fit_counts(patterns: list[tuple[int, ...]], histogram: dict[int, int], sweeps: int = 200) -> list[float]:
+
+    def __init__(self, histogram: dict[int, int], capacity: int):
+        self.capacity, self.found = capacity, {}
+        self.rest = np.zeros(capacity + 1, dtype=np.int64)
+        for n, c in histogram.items():
+            self.rest[n] = c
+
+    def note(self, pattern: tuple[int, ...], times: int) -> None:
+        self.found[pattern] = self.found.get(pattern, 0) + times
+        for n in pattern:
+            self.rest[n] -= times
+
+    def take(self, pattern: tuple[int, ...]) -> int:
+        times = min(int(self.rest[n]) // pattern.count(n) for n in set(pattern))
+        if times > 0:
+            self.note(pattern, times)
+        return times
+
+    def pairs(self, room: int) -> None:
+        """All patterns of one or two pieces that leave so much room."""
+        total = self.capacity - room
+        if self.rest[total] > 0:
+            self.note((total,), int(self.rest[total]))
+        a = np.arange(total // 2 + 1, total)
+        both = np.minimum(self.rest[a], self.rest[total - a])
+        for i in np.flatnonzero(both).tolist():
+            self.note((int(a[i]), total - int(a[i])), int(both[i]))
+        if total % 2 == 0 and self.rest[total // 2] > 1:
+            self.note((total // 2,) * 2, int(self.rest[total // 2]) // 2)
+
+    def last_pair(self, total: int, longest: int) -> tuple[int, int] | None:
+        """Two lengths of this sum with the most pieces to pair."""
+        low, high = (total + 1) // 2, min(longest, total - 1)
+        if low > high:
+            return None
+        both = np.minimum(self.rest[low : high + 1], self.rest[total - high : total - low + 1][::-1])
+        if 2 * low == total:
+            both[0] = self.rest[low] // 2
+        i = int(both.argmax())
+        return (low + i, total - low - i) if both[i] > 0 else None
+
+    def larger(self, size: int, first: int) -> None:
+        """Patterns of ``size`` pieces that begin with the length ``first``, until none is left."""
+        while self.rest[first] > 0:
+            pattern, total = [first], self.capacity - first
+            for _ in range(size - 3):
+                mean = total // (size - len(pattern))
+                low, high = max(1, mean // 2), min(first, 2 * mean, total - 2)
+                own = self.rest[low : high + 1].copy()
+                for n in pattern:
+                    if low <= n <= high:
+                        own[n - low] -= 1
+                if not len(own) or own.max() <= 0:
+                    return
+                pattern.append(low + int(own.argmax()))
+                total -= pattern[-1]
+            two = self.last_pair(total, first)
+            if two is None or not self.take(tuple(sorted((*pattern, *two), reverse=True))) > 0:
+                return
+
+
+def few_piece_patterns(histogram: dict[int, int], capacity: int, size: int, most_room: int) -> dict[tuple[int, ...], int]:
+    """Patterns of at most ``size`` pieces and a first guess of their counts."""
+    search = PatternSearch(histogram, capacity)
+    for room in range(min(most_room, capacity - 1) + 1):
+        search.pairs(room)
+    for k in range(3, size + 1):
+        for first in sorted(histogram, reverse=True):
+            search.larger(k, first)
+    return search.found
+
+
+def fit_counts(patterns: list[tuple[int, ...]], histogram: dict[int, int], start: list[float] | None = None, sweeps: int = 200) -> list[float]:
     """Non-negative least squares by accelerated projected gradient steps.
 
     Minimises the squared difference between the histogram and what the repeated
@@ -219,7 +255,7 @@ def fit_counts(patterns: list[tuple[int, ...]], histogram: dict[int, int], sweep
     of = np.repeat(np.arange(len(patterns)), [len(p) for p in patterns])
     uses = np.array([at[n] for p in patterns for n in p])
     bound = np.bincount(of, np.bincount(uses, minlength=len(want))[uses])
-    x = ahead = np.zeros(len(patterns))
+    x = ahead = np.zeros(len(patterns)) if start is None else np.array(start, dtype=float)
     pace = 1.0
     for _ in range(sweeps):
         rest = want - np.bincount(uses, ahead[of], len(want))
@@ -235,33 +271,8 @@ def fit_counts(patterns: list[tuple[int, ...]], histogram: dict[int, int], sweep
     return x.tolist()
 
 
-def priced_patterns(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, ...]], list[float]]:
-    """Patterns and their fitted counts by column generation.
-
-    The part of the histogram that a fit leaves unused is the weight by which the
-    next patterns are sought, until none is new or the error hardly falls.
-    """
-    patterns = exact_patterns(histogram, capacity)
-    known, error = set(patterns), np.inf
-    for _ in range(ROUNDS):
-        fitted = fit_counts(patterns, histogram)
-        rest = dict.fromkeys(histogram, 0.0) | histogram
-        for p, x in zip(patterns, fitted, strict=True):
-            if x:
-                for n in p:
-                    rest[n] -= x
-        now = sum(v * v for v in rest.values())
-        fresh = [p for p in exact_patterns(rest, capacity) if p not in known] if now < 0.99 * error else []
-        if not fresh:
-            return patterns, fitted
-        error = now
-        known.update(fresh)
-        patterns = patterns + fresh
-    return patterns, fit_counts(patterns, histogram)
-
-
-def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Best fit decreasing on counts: (pattern, repeats), longest lengths first."""
+def best_fit(counts: dict[int, int], capacity: int, begun: list[tuple[tuple[int, ...], int]] = ()) -> list[tuple[tuple[int, ...], int]]:
+    """Best fit decreasing on counts: (pattern, repeats), longest lengths first, also into the room of those begun."""
     open_by_room: dict[int, list[list]] = defaultdict(list)  # room -> groups [pattern, repeats]
     rooms: list[int] = []
     done: list[tuple[tuple[int, ...], int]] = []
@@ -276,6 +287,8 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...
                 rooms.insert(at, room)
         open_by_room[room].append([pattern, repeats])
 
+    for pattern, repeats in begun:
+        put(capacity - sum(pattern), pattern, repeats)
     for n in sorted((n for n, c in counts.items() if c > 0), reverse=True):
         left = counts[n]
         while left:
@@ -303,34 +316,33 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...
     return done
 
 
-def fitted_fill(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Fitted patterns in the order of their counts, each as often as its rounded-down
-    count and the pieces left allow; the residual by best fit."""
-    patterns, fitted = priced_patterns(histogram, capacity)
-    rest, chosen = dict(histogram), []
-    for j in sorted(range(len(patterns)), key=lambda j: (-fitted[j], patterns[j])):
-        need = defaultdict(int)
-        for n in patterns[j]:
-            need[n] += 1
-        times = min(int(fitted[j]), *(rest[n] // v for n, v in need.items()))
+def fitted_fill(histogram: dict[int, int], capacity: int, size: int, most_room: int) -> tuple[list[tuple[tuple[int, ...], int]], int]:
+    """Fitted patterns, those of few pieces first, each as often as its rounded count and the
+    pieces left allow; the residual by best fit.  Also the number of pieces in fitted patterns."""
+    guess = few_piece_patterns(histogram, capacity, size, most_room)
+    patterns = list(guess)
+    fitted = fit_counts(patterns, histogram, [guess[p] for p in patterns])
+    rest, chosen, placed = dict(histogram), [], 0
+    for j in sorted(range(len(patterns)), key=lambda j: (len(patterns[j]), -fitted[j], patterns[j])):
+        pattern = patterns[j]
+        times = min(int(fitted[j] + 0.5), *(rest[n] // pattern.count(n) for n in pattern))
         if times > 0:
-            chosen.append((patterns[j], times))
-            for n, v in need.items():
-                rest[n] -= v * times
-    return chosen + best_fit(rest, capacity)
+            chosen.append((pattern, times))
+            placed += times * len(pattern)
+            for n in pattern:
+                rest[n] -= times
+    return best_fit(rest, capacity, chosen), placed
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
     """Runs (length, first rank, repeats, first sequence, offset) that place every piece.
 
-    If best fit alone needs fewer sequences than fitted patterns and best fit of
-    their residual, the plan is that of best fit; the log says which and both counts.
+    Every plan of PLANS is fitted patterns and best fit of their residual; that of the
+    fewest sequences is taken, of equal ones the first.
     """
-    chosen, alone = fitted_fill(histogram, capacity), best_fit(histogram, capacity)
-    counts = sum(r for _, r in chosen), sum(r for _, r in alone)
-    log.info("packing: %d sequences by fitted patterns, %d by best fit alone; using %s", *counts, "best fit" if counts[1] < counts[0] else "fitted patterns")
-    if counts[1] < counts[0]:
-        chosen = alone
+    plans = [fitted_fill(histogram, capacity, size, capacity // share) for size, share in PLANS]
+    chosen, placed = min(plans, key=lambda p: sum(r for _, r in p[0]))
+    log.info("packing: %d sequences; %d of %d pieces in fitted patterns", sum(r for _, r in chosen), placed, sum(histogram.values()))
     used, runs, sequence = defaultdict(int), [], 0
     for pattern, repeats in chosen:
         offset = 0
