@@ -83,23 +83,23 @@ class Scratch:
 KEY_ROWS, HOT_KEYS = 1000, 10_000
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: list[str], by: Column, how: str = "inner", total: int | None = None) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], by: Column, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """``left`` joined with ``right`` on columns of which one value may hold any share of ``left``.
 
     A key with over ``total / HOT_KEYS`` rows of ``left`` (and over KEY_ROWS) is hot, so
     there are HOT_KEYS of them at most, and their list is broadcast.  Rows of a hot key
     are dealt by a hash of ``by`` to as many parts as keep each small, and the rows of
-    ``right`` are repeated for each part.  ``left`` is read twice and should be stored.
+    ``right`` are repeated for each part.  ``counts`` (keys and ``n_``) are left's rows by
+    key, if known; else ``left`` is read once more and should be stored.
     """
-    total = left.count() if total is None else total
-    each = max(KEY_ROWS, -(-total // HOT_KEYS))
-    hot = left.groupBy(*on).agg(F.count("*").alias("n_")).where(F.col("n_") > each).select(*on, F.ceil(F.col("n_") / each).cast("int").alias("parts_"))
-    hot = write_read(hot, "hot-keys")
+    counts = left.groupBy(*on).agg(F.count("*").alias("n_")) if counts is None else counts
+    each = max(KEY_ROWS, -(-(counts.agg(F.sum("n_")).first()[0] or 0) // HOT_KEYS))
+    hot = write_read(counts.where(F.col("n_") > each).select(*on, F.ceil(F.col("n_") / each).cast("bigint").alias("parts_")), "hot-keys")
     if hot.isEmpty():
         return left.join(right.hint("merge"), on, how)
-    parts = F.coalesce("parts_", F.lit(1))
+    parts = F.coalesce("parts_", F.lit(1).cast("bigint"))
     dealt = left.join(F.broadcast(hot), on, "left").withColumn("part_", F.pmod(F.xxhash64(by), parts)).drop("parts_")
-    again = right.join(F.broadcast(hot), on, "left").withColumn("part_", F.explode(F.sequence(F.lit(0).cast("bigint"), (parts - 1).cast("bigint")))).drop("parts_")
+    again = right.join(F.broadcast(hot), on, "left").withColumn("part_", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))).drop("parts_")
     return dealt.join(again.hint("merge"), [*on, "part_"], how).drop("part_")
 
 

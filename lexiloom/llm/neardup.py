@@ -14,8 +14,11 @@ from the start; links are sought between classes only.
 All pairs of a bucket are never listed.  Buckets give star edges, whose
 components hold every candidate pair.  Within such a block, a breadth-first
 search compares each reached class with those not yet reached, until none is
-left: a large group of near copies costs about one pass over it.  Blocks too
-large for a task are compared with one class first, and what that leaves with all, part by part.
+left: a large group of near copies costs about one pass over it.  Blocks that would be
+too much work for a task are cut into parts: their least class is compared with all
+parts first, and what that leaves with every part.  Hot buckets, blocks and classes
+are spread over tasks.  Sets are compared by 64-bit hashes of their shingles, and equal
+ones told by 128 bits and the size.
 """
 
 from __future__ import annotations
@@ -27,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import claim, map_batches, slices, texts_of, write_read
+from .common import claim, map_batches, slices, spread_join, texts_of, write_read
 from .graphs import components
 from .hashing import U, constants, mix, powers, shingle_sets
 
 ROWS = 5
 MISS = 1e-6
-#: Shingles of one block that a task holds at once.
-BLOCK_SHINGLES = 4_000_000
+#: Shingles of one block that a task holds, and shingles times classes that it may compare.
+BLOCK_SHINGLES, BLOCK_WORK = 400_000, 100_000_000
 
 
 def bands_for(threshold: float, rows: int = ROWS, miss: float = MISS) -> int:
@@ -112,20 +115,28 @@ def sets_of(df: DataFrame, words: int, id_col: str, text_col: str, extra: list[s
     return map_batches(df, [id_col, *extra, text_col], run, f"{kinds}, shingles binary")
 
 
-def linked(sets: list[np.ndarray], a: np.ndarray, others: np.ndarray, percent: int) -> np.ndarray:
-    """Which of the sets numbered ``others`` are similar enough to the set ``a``."""
-    n = np.array([len(sets[i]) for i in others])
-    near = others[(100 * np.minimum(n, len(a)) >= percent * np.maximum(n, len(a)))]
-    if not len(near) or not len(a):
-        return near[:0]
-    sizes = np.array([len(sets[i]) for i in near])
-    items = np.concatenate([sets[i] for i in near])
-    at = np.searchsorted(a, items)
-    at[at == len(a)] = 0
-    hit = np.concatenate(([0], np.cumsum(a[at] == items)))
-    ends = np.cumsum(sizes)
-    common = hit[ends] - hit[ends - sizes]
-    return near[100 * common >= percent * (sizes + len(a) - common)]
+class Gathered:
+    """Sets laid out by size, to be compared with one set at a time."""
+
+    def __init__(self, ids: list[int], sets: list[np.ndarray]):
+        sizes = np.array([len(s) for s in sets], dtype=np.int64)
+        order = np.argsort(sizes, kind="stable")
+        self.ids, self.sizes = np.array(ids, dtype=np.int64)[order], sizes[order]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.concatenate([sets[i] for i in order.tolist()])
+
+    def near(self, a: np.ndarray, percent: int) -> np.ndarray:
+        """Ids of the sets that are similar enough to the set ``a``."""
+        lo = int(np.searchsorted(self.sizes, -(-percent * len(a) // 100)))
+        hi = int(np.searchsorted(self.sizes, 100 * len(a) // percent, side="right"))
+        if lo >= hi:
+            return self.ids[:0]
+        n, begin = self.sizes[lo:hi], self.starts[lo]
+        items = self.flat[begin : self.starts[hi - 1] + n[-1]]
+        at = np.searchsorted(a, items)
+        at[at == len(a)] = 0
+        common = np.add.reduceat((a[at] == items).astype(np.int64), self.starts[lo:hi] - begin)
+        return self.ids[lo:hi][100 * common >= percent * (n + len(a) - common)]
 
 
 def search_block(ids: list[int], sets: list[np.ndarray], percent: int) -> list[int]:
@@ -204,67 +215,59 @@ def search_blocks(members: DataFrame, percent: int) -> DataFrame:
     return members.select("block", "node", "shingles").repartition("block").sortWithinPartitions("block").mapInArrow(run, "node bigint, component bigint")
 
 
-def search_large_blocks(members: DataFrame, percent: int, most: int) -> DataFrame:
-    """(a, b) links that connect what is linked, for blocks larger than a task should hold.
-
-    One pass compares each block's least class with all others; what is linked to it
-    is connected, so no pair among those needs a look.  Each of the others is then
-    compared with every class of its block: both sides are dealt into parts of bounded
-    size, and each pair of parts is a task.  A block of near copies leaves few others.
-    """
-    members = write_read(members.select("block", "node", "shingles", (F.length("shingles") / 8).cast("long").alias("n")), "large-blocks")
-    def compare(pairs: DataFrame) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                a, b, x, y = (batch.column(c).to_pylist() for c in ("a", "b", "x", "y"))
-                keep = [i for i in range(len(a)) if len(linked([np.frombuffer(y[i], dtype=U)], np.frombuffer(x[i], dtype=U), np.zeros(1, np.int64), percent))]
-                yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
-
-        return pairs.mapInArrow(run, "a bigint, b bigint")
-
-    least = members.groupBy("block").agg(F.min("node").alias("a"))
-    pivots = least.join(members.select("block", F.col("node").alias("a"), F.col("shingles").alias("x")), ["block", "a"])
-    rows = members.join(pivots, "block").select("a", F.col("node").alias("b"), "x", F.col("shingles").alias("y"))
-    found = write_read(compare(rows), "pivot-links")
-    others = members.join(found.select(F.col("b").alias("node")), "node", "left_anti")
-
-    def parts_of(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("block").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / most)).cast("int").alias(name))
-
-    sizes = write_read(parts_of(members, "parts").join(parts_of(others, "chunks"), "block"), "block-parts")
-
-    def dealt(df: DataFrame, own: str, other: str, is_open: bool) -> DataFrame:
-        """Rows with their own part and once for each part of the other side."""
-        number = F.pmod(F.xxhash64("node"), F.col(own)).cast("int")
-        each = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
-        first, second = ("chunk", "part") if is_open else ("part", "chunk")
-        return df.join(sizes, "block").select("block", "node", "shingles", number.alias(first), each.alias(second), F.lit(is_open).alias("open"))
-
-    left, right = dealt(others, "chunks", "parts", True), dealt(members, "parts", "chunks", False)
+def compare(gathered: DataFrame, others: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """(a, b) links between the two tables' rows (keys, node, shingles) with equal keys; the first are held, the others pass by."""
+    rows = gathered.select(*keys, "node", "shingles", F.lit(0).alias("turn")).unionByName(others.select(*keys, "node", "shingles", F.lit(1).alias("turn")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, sets = None, [], []
+        key, ids, sets, held = None, [], [], None
         for batch in batches:
             a, b = [], []
-            for block, chunk, part, is_open, node, s in zip(*(batch.column(c).to_pylist() for c in ("block", "chunk", "part", "open", "node", "shingles")), strict=True):
-                if (block, chunk, part) != key:
-                    key, ids, sets = (block, chunk, part), [], []
+            for *own, node, s, turn in zip(*(batch.column(c).to_pylist() for c in [*keys, "node", "shingles", "turn"]), strict=True):
+                if own != key:
+                    key, ids, sets, held = own, [], [], None
                 s = np.frombuffer(s, dtype=U)
-                if is_open:  # sorted before the part's members
+                if turn == 0:
                     ids.append(node)
                     sets.append(s)
                 elif ids:
-                    for j in linked(sets, s, np.arange(len(ids)), percent).tolist():
-                        a.append(ids[j])
-                        b.append(node)
+                    held = held or Gathered(ids, sets)
+                    near = held.near(s, percent).tolist()
+                    a += near
+                    b += [node] * len(near)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    keys = ["block", "chunk", "part"]
-    rest = left.unionByName(right).repartition(*keys).sortWithinPartitions(*keys, F.desc("open")).mapInArrow(run, "a bigint, b bigint")
-    return rest.unionByName(found)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "turn").mapInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def search_large_blocks(members: DataFrame, percent: int, most: int) -> DataFrame:
+    """(a, b) links that connect what is linked in blocks of several parts.
+
+    ``members`` is a stored table (block, node, parts, shingles).  One pass compares each
+    block's least class with all others; what is linked to it is connected, so no pair
+    among those needs a look.  Each of the others is then compared with every class of
+    its block: the others are dealt into chunks, and each pair of chunk and part is a
+    group of its own.  A block of near copies leaves few others.
+    """
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).alias("part")
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts").cast("bigint") - 1)).alias("part")
+    dealt = members.select("block", part, "node", "shingles")
+    # A block's name is its least class.
+    pivots = members.where("node = block").select("block", every, "node", "shingles")
+    found = write_read(compare(pivots, dealt, ["block", "part"], percent), "pivot-links")
+    others = write_read(members.join(found.select(F.col("b").alias("node")).hint("merge"), "node", "left_anti"), "others")
+    chunks = others.groupBy("block").agg(F.ceil(F.sum(F.length("shingles") / 8) / most).alias("chunks"), F.count("*").alias("n_"))
+    chunks = write_read(chunks, "chunks")
+    counts = chunks.select("block", "n_")
+    number = F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk")
+    left = spread_join(others, chunks.drop("n_"), ["block"], F.col("node"), counts=counts).select("block", number, "parts", "node", "shingles")
+    left = left.select("block", "chunk", every, "node", "shingles")
+    again = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk")
+    right = spread_join(dealt, chunks.drop("n_"), ["block"], F.col("node")).select("block", again, "part", "node", "shingles")
+    return compare(left, right, ["block", "chunk", "part"], percent).unionByName(found)
+
+
+def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block_shingles: int = BLOCK_SHINGLES, block_work: int = BLOCK_WORK) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row.
 
     Links join documents with 100 * |A & B| >= percent * |A | B| over distinct
@@ -276,27 +279,33 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
     threshold = percent / 100
     base = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketched = write_read(sketch_documents(base, words, threshold, "doc_id", "text"), "sketches")
-    usable = sketched.where("doc_id is not null and n_shingles > 0")
-    classes = write_read(usable.groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "classes")
+    has_words = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    same = ["set1", "set2", "n_shingles"]
+    classes = write_read(sketched.where(has_words).groupBy(*same).agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.count("*").alias("n_")), "classes")
     # Buckets: pairs are edges at once; larger ones give a star around their least member.
     banded = classes.select("node", F.explode("bands").alias("key"))
-    buckets = write_read(banded.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    stars = banded.join(buckets.where("n > 2").select("key", "a"), "key").select("a", F.col("node").alias("b"))
-    coarse = components(buckets.where("n = 2").select("a", "b").unionByName(stars).where("a != b").distinct())
-    coarse = write_read(coarse.select("node", F.col("component").alias("block")), "blocks")
+    buckets = write_read(banded.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("n_")).where("n_ > 1"), "buckets")
+    large = buckets.where("n_ > 2")
+    stars = spread_join(banded, large.select("key", "a"), ["key"], F.col("node"), counts=large.select("key", "n_")).select("a", F.col("node").alias("b"))
+    coarse = components(buckets.where("n_ = 2").select("a", "b").unionByName(stars).where("a != b").distinct())
+    coarse = write_read(coarse.select("node", F.col("component").alias("block")).join(classes.select("node", "n_shingles").hint("merge"), "node"), "blocks")
+    # A block's parts: what a task may hold and compare.
+    weights = write_read(coarse.groupBy("block").agg(F.sum("n_shingles").cast("double").alias("all_"), F.count("*").alias("n_")), "weights")
+    parts = F.ceil(F.greatest(F.lit(1.0), F.col("all_") / block_shingles, F.sqrt(F.col("all_") * F.col("n_") / block_work))).cast("int").alias("parts")
+    placed = spread_join(coarse.select("node", "block"), weights.select("block", parts), ["block"], F.col("node"), counts=weights.select("block", "n_"))
     # Full sets of the members only.  The list of members grows with the corpus, so it is never broadcast.
-    texts = base.join(coarse.hint("merge"), base["doc_id"] == coarse["node"]).select("node", "block", "text")
-    members = write_read(sets_of(texts, words, "node", "text", ["block"]), "members")
-    weight = write_read(members.groupBy("block").agg(F.sum(F.length("shingles") / 8).alias("shingles")), "weights")
-    large = weight.where(F.col("shingles") > block_shingles).select("block")
-    small = members.join(weight.where(F.col("shingles") <= block_shingles).select("block"), "block")
-    found = search_blocks(small, percent).select(F.col("node").alias("a"), F.col("component").alias("b"))
-    if not large.isEmpty():
-        found = found.unionByName(components(search_large_blocks(members.join(large, "block"), percent, block_shingles)).select(F.col("node").alias("a"), F.col("component").alias("b")))
+    texts = base.join(write_read(placed, "placed").hint("merge"), base["doc_id"] == F.col("node")).select("node", "block", "parts", "text")
+    members = write_read(sets_of(texts, words, "node", "text", ["block", "parts"]), "members")
+    found = search_blocks(members.where("parts = 1"), percent).select(F.col("node").alias("a"), F.col("component").alias("b"))
+    several = members.where("parts > 1")
+    if not several.isEmpty():
+        found = found.unionByName(components(search_large_blocks(several, percent, block_shingles)).select(F.col("node").alias("a"), F.col("component").alias("b")))
     final = found.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
-    named = classes.select("set1", "set2", "n_shingles", "node").join(final, "node", "left").select("set1", "set2", "n_shingles", F.coalesce("component", "node").alias("component"))
+    named = classes.select(*same, "node").join(final.hint("merge"), "node", "left").select(*same, F.coalesce("component", "node").alias("component"))
     named = write_read(named, "named-classes")
-    out = sketched.drop("bands").join(named, ["set1", "set2", "n_shingles"], "left")
+    out = spread_join(sketched.where(has_words).drop("bands"), named, same, F.col("doc_id"), counts=classes.select(*same, "n_"))
+    alone = sketched.where(~has_words).drop("bands").withColumn("component", F.lit(None).cast("bigint"))
+    out = out.select(*alone.columns).unionByName(alone)
     component = F.coalesce("component", "doc_id")
     return out.select(F.col("doc_id").alias(id_col), "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

@@ -67,8 +67,10 @@ def test_components(spark):
 
 
 @pytest.mark.parametrize("block", [neardup.BLOCK_SHINGLES, 1500])
-def test_near_duplicates_match_brute_force(spark, block):
-    """With a small block size, the distributed search of large blocks runs too."""
+def test_near_duplicates_match_brute_force(spark, block, monkeypatch):
+    """With a small block size, the distributed search of large blocks runs too, and keys are spread."""
+    if block == 1500:
+        monkeypatch.setattr(common, "KEY_ROWS", 8)
     texts = near_copies()
     want, links = brute_components([brute_shingles(t, 3) for t in texts], 85)
     rows = {r["doc_id"]: r for r in neardup.near_duplicates(frame(spark, texts), 3, 85, block_shingles=block).collect()}
