@@ -7,10 +7,11 @@ names carry the task attempt, and only files that a finished attempt reports
 enter the capture table, so a lost executor leaves garbage but no wrong record.
 
 Index: capture lines sorted by reversed-host URL key are written in compressed
-blocks; the sparse directory has one row for each block (first key, file,
-offset, length).  A lookup binary-searches the directory, range-reads the
-blocks that can hold the key, binary-searches their lines, and range-reads
-the records.  Reading everything back walks the same directory block by block.
+blocks; the sparse directory has one row for each block (first key, last key, file,
+offset, length).  Lookups take a table of keys: sorted ranges of keys binary-search the
+part of the directory that covers them, the blocks found are dealt out and range-read
+once each, their lines are binary-searched, and the records range-read.  Reading
+everything back is a lookup of all keys; a hot key is as many groups as it has blocks.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, shared_dir, write_read
+from .common import map_batches, shared_dir, spread_join, write_read
 
 BLOCK_LINES = 3000
 FILE_BYTES = 1 << 30
@@ -106,13 +107,18 @@ def page_of(urn: str | None) -> int | None:
 def with_roles(pages: DataFrame, min_revisit: int = 1000) -> DataFrame:
     """(page_id, url, payload, digest, refers_to): refers_to is null for responses.
 
-    Only (digest, id) is aggregated; hot payloads shrink before the shuffle.
+    Only ids and digests are grouped by digest, the hot ones spread; payloads meet their
+    roles by page id, and those of pages without an id stay where they are.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"), F.sha1(payload).alias("digest"))
-    repeated = base.where((F.length("payload") >= min_revisit) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.max("page_id").alias("original"), F.count("*").alias("n"))
-    joined = base.join(repeated.where("n > 1").select("digest", "original"), "digest", "left")
-    return joined.select("page_id", "url", "payload", "digest", F.when(F.col("page_id") < F.col("original"), F.col("original")).alias("refers_to"))
+    known = F.col("page_id").isNotNull()
+    large = write_read(base.where((F.length("payload") >= min_revisit) & known).select("page_id", "digest"), "digests")
+    repeated = write_read(large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n_")).where("n_ > 1"), "repeated")
+    roles = spread_join(large, repeated.drop("n_"), ["digest"], F.col("page_id"), counts=repeated.select("digest", "n_")).where("page_id < refers_to").distinct()
+    names = ["page_id", "url", "payload", "digest", "refers_to"]
+    joined = base.where(known).join(write_read(roles, "roles").hint("merge"), ["page_id", "digest"], "left").select(*names)
+    return joined.unionByName(base.where(~known).withColumn("refers_to", F.lit(None).cast("bigint")).select(*names))
 
 
 def write_archives(records: DataFrame, folder: str, date: str = "2026-01-01T00:00:00Z", level: int = 6, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -147,8 +153,8 @@ def write_archives(records: DataFrame, folder: str, date: str = "2026-01-01T00:0
     return write_read(map_batches(records, ["page_id", "url", "payload", "digest", "refers_to"], run, "key string, url string, page_id bigint, kind string, file string, offset bigint, length bigint"), "captures")
 
 
-def write_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES) -> DataFrame:
-    """Sort capture lines by key, write them in compressed blocks; returns the stored block directory."""
+def write_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES) -> str:
+    """Sort capture lines by key, write them in compressed blocks; returns the folder of the block directory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -183,7 +189,9 @@ def write_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
 
     # Keys are compared as UTF-8 bytes here and by code points below: the same order.
     ordered = captures.select("key", "page_id", "kind", "file", "offset", "length").repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
-    return write_read(ordered.mapInArrow(run, "first_key string, last_key string, file string, offset bigint, length bigint, n_lines int"), "block-directory")
+    directory = shared_dir(captures.sparkSession, "block-directory")
+    ordered.mapInArrow(run, "first_key string, last_key string, file string, offset bigint, length bigint, n_lines int").write.parquet(directory)
+    return directory
 
 
 def read_range(store, path: str, offset: int, length: int) -> bytes:
@@ -195,76 +203,102 @@ def read_block(store, path: str, offset: int, length: int) -> list[str]:
     return gzip.decompress(read_range(store, path, offset, length)).decode("utf-8").split("\n")[:-1]
 
 
-class CaptureIndex:
-    """Lookups in a written index; ``directory`` holds its rows sorted by first key."""
-
-    def __init__(self, index_folder: str, archive_folder: str, directory: list[tuple[str, str, str, int, int]]):
-        self.index, self.archives = index_folder, archive_folder
-        self.rows = sorted(directory)
-        self.first = [r[0] for r in self.rows]
-
-    def captures(self, url: str) -> list[list]:
-        """[page_id, kind, file, offset, length] of all captures of a URL, by page id."""
-        key = url_key(url)
-        store, path = filesystem(self.index)
-        at = max(0, bisect_left(self.first, key) - 1)
-        found = []
-        while at < len(self.rows) and self.first[at] <= key:
-            _, last, file, offset, length = self.rows[at][:5]
-            if last >= key:
-                lines = read_block(store, f"{path}/{file}", offset, length)
-                keys = [line.partition(" ")[0] for line in lines]
-                found += [json.loads(line.partition(" ")[2]) for line in lines[bisect_left(keys, key) : bisect_right(keys, key)]]
-            at += 1
-        return found
-
-    def records(self, url: str) -> list[dict]:
-        """Parsed records of all captures of a URL, by range reads."""
-        store, path = filesystem(self.archives)
-        return [parse_record(gzip.decompress(read_range(store, f"{path}/{file}", offset, length))) for _, _, file, offset, length in self.captures(url)]
-
-
-def read_archives(directory: DataFrame, index_folder: str, archive_folder: str) -> DataFrame:
-    """(page_id, record_type, refers_to, digest, payload) of every indexed record.
-
-    Blocks are dealt evenly to tasks; each block's records are read by ranges in
-    the order of their files and offsets.  A payload that does not match its digest fails the task.
+def find_blocks(keys: DataFrame, directory: str) -> DataFrame:
+    """(key, file, offset, length) of the index blocks that can hold each distinct key.
+
+    Keys are dealt in sorted ranges; each batch of them reads the directory rows that
+    cover its range and binary-searches them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.dataset as ds
+
+        store, path = filesystem(directory)
+        rows = ds.dataset(path, filesystem=store, format="parquet")
+        for batch in batches:
+            wanted = batch.column("key").to_pylist()
+            if not wanted:
+                continue
+            near = rows.to_table(filter=(ds.field("last_key") >= wanted[0]) & (ds.field("first_key") <= wanted[-1])).to_pylist()
+            near.sort(key=lambda r: (r["first_key"], r["last_key"]))
+            last = [r["last_key"] for r in near]  # as sorted as the first keys are
+            found = []
+            for key in wanted:
+                at = bisect_left(last, key)
+                while at < len(near) and near[at]["first_key"] <= key:
+                    found.append((key, near[at]["file"], near[at]["offset"], near[at]["length"]))
+                    at += 1
+            columns = list(zip(*found, strict=True)) or [[]] * 4
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "file", "offset", "length"])
+
+    distinct = keys.select("key").where("key is not null").distinct()
+    return distinct.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(run, "key string, file string, offset bigint, length bigint")
+
+
+def lookup(keys: DataFrame, directory: str, index_folder: str, archive_folder: str) -> DataFrame:
+    """(key, page_id, record_type, refers_to, digest, payload) of every capture of the given ``key`` values.
+
+    Each block found is one group: it is read once, its lines are binary-searched for
+    each key, and the records are read by ranges in the order of their files and
+    offsets.  A payload that does not match its digest fails the task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, archive_path = filesystem(archive_folder)
         _, index_path = filesystem(index_folder)
+        block, wanted = None, []
         for batch in batches:
-            for file, offset, length in zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "length")), strict=True):
-                lines = read_block(store, f"{index_path}/{file}", offset, length)
-                entries = sorted((json.loads(line.partition(" ")[2]) for line in lines), key=lambda e: (e[2], e[3]))
-                rows, opened, handle = [], None, None
-                for page, kind, name, at, size in entries:
-                    if name != opened:
-                        if handle is not None:
-                            handle.close()
-                        opened, handle = name, store.open_input_file(f"{archive_path}/{name}")
-                    record = parse_record(zlib.decompress(handle.read_at(size, at), wbits=31))
-                    headers = record["headers"]
-                    digest = base64.b32decode(headers["warc-payload-digest"].removeprefix("sha1:"))
-                    payload = record["payload"] if kind == "response" else None
-                    if payload is not None and hashlib.sha1(payload).digest() != digest:
-                        raise ValueError(f"payload of {headers['warc-record-id']} does not match its digest")
-                    rows.append((page_of(headers["warc-record-id"]), headers["warc-type"], page_of(headers.get("warc-refers-to")), digest.hex(), payload))
-                    if len(rows) == 500:
-                        yield to_batch(rows)
-                        rows = []
+            for file, offset, length, key in zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "length", "key")), strict=True):
+                if (file, offset, length) != block:
+                    yield from records(store, archive_path, index_path, block, wanted)
+                    block, wanted = (file, offset, length), []
+                wanted.append(key)
+        yield from records(store, archive_path, index_path, block, wanted)
+
+    def records(store, archive_path: str, index_path: str, block: tuple | None, wanted: list[str]) -> Iterator[pa.RecordBatch]:
+        if block is None:
+            return
+        lines = read_block(store, f"{index_path}/{block[0]}", *block[1:])
+        keys = [line.partition(" ")[0] for line in lines]
+        entries = [(key, json.loads(line.partition(" ")[2])) for key in wanted for line in lines[bisect_left(keys, key) : bisect_right(keys, key)]]
+        rows, opened, handle = [], None, None
+        for key, (_, kind, name, at, size) in sorted(entries, key=lambda e: (e[1][2], e[1][3])):
+            if name != opened:
                 if handle is not None:
                     handle.close()
+                opened, handle = name, store.open_input_file(f"{archive_path}/{name}")
+            record = parse_record(zlib.decompress(handle.read_at(size, at), wbits=31))
+            headers = record["headers"]
+            digest = base64.b32decode(headers["warc-payload-digest"].removeprefix("sha1:"))
+            payload = record["payload"] if kind == "response" else None
+            if payload is not None and hashlib.sha1(payload).digest() != digest:
+                raise ValueError(f"payload of {headers['warc-record-id']} does not match its digest")
+            rows.append((key, page_of(headers["warc-record-id"]), headers["warc-type"], page_of(headers.get("warc-refers-to")), digest.hex(), payload))
+            if len(rows) == 500:
                 yield to_batch(rows)
+                rows = []
+        if handle is not None:
+            handle.close()
+        yield to_batch(rows)
 
     def to_batch(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) or [[]] * 5
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["page_id", "record_type", "refers_to", "digest", "payload"])
+        columns = list(zip(*rows, strict=True)) or [[]] * 6
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "page_id", "record_type", "refers_to", "digest", "payload"])
+
+    blocks = find_blocks(keys, directory).repartition("file", "offset").sortWithinPartitions("file", "offset", "key")
+    return blocks.mapInArrow(run, "key string, page_id bigint, record_type string, refers_to bigint, digest string, payload binary")
+
+
+def lookup_urls(urls: DataFrame, directory: str, index_folder: str, archive_folder: str) -> DataFrame:
+    """``lookup`` of the keys of a ``url`` column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([url_key(u) for u in batch.column(0).to_pylist()], pa.string())], names=["key"])
 
-    blocks = directory.select("file", "offset", "length").repartition(F.xxhash64("file", "offset"))
-    return blocks.mapInArrow(run, "page_id bigint, record_type string, refers_to bigint, digest string, payload binary")
+    return lookup(map_batches(urls.distinct(), ["url"], run, "key string"), directory, index_folder, archive_folder)
 
 
 def archive_and_read(pages: DataFrame, min_revisit: int = 1000, block_lines: int = BLOCK_LINES) -> DataFrame:
@@ -278,7 +312,9 @@ def archive_and_read(pages: DataFrame, min_revisit: int = 1000, block_lines: int
     archives, index = shared_dir(spark, "warc"), shared_dir(spark, "cdx")
     captures = write_archives(with_roles(pages, min_revisit), archives)
     directory = write_index(captures, index, block_lines)
-    read = write_read(read_archives(directory, index, archives).select("page_id", "record_type", "refers_to", "digest", F.length("payload").cast("long").alias("n")), "records")
-    sizes = read.where("record_type = 'response'").groupBy(F.col("page_id").alias("original")).agg(F.max("n").alias("size"))
-    joined = read.join(sizes, F.col("refers_to") == F.col("original"), "left")
-    return joined.select("page_id", F.coalesce("n", "size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+    found = lookup(captures, directory, index, archives)
+    read = write_read(found.select("page_id", "record_type", "refers_to", "digest", F.length("payload").cast("long").alias("payload_bytes")), "records")
+    names = ["page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to"]
+    responses, revisits = read.where("record_type = 'response'"), read.where("record_type = 'revisit'").drop("payload_bytes")
+    sizes = responses.where("page_id is not null").groupBy(F.col("page_id").alias("refers_to"), "digest").agg(F.max("payload_bytes").alias("payload_bytes"))
+    return responses.select(*names).unionByName(spread_join(revisits, sizes, ["refers_to", "digest"], F.col("page_id")).select(*names))

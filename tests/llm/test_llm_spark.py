@@ -153,13 +153,20 @@ def test_warc_lookup(spark):
     pages = spark.createDataFrame([(i, f"http://h{i % 9}.org/p{i % 50}", f"page {i} " * 200) for i in range(400)], "page_id bigint, url string, html string")
     archives, index = common.shared_dir(spark, "warc"), common.shared_dir(spark, "cdx")
     directory = warc.write_index(warc.write_archives(warc.with_roles(pages), archives), index, 7)
-    found = warc.CaptureIndex(index, archives, [(r["first_key"], r["last_key"], r["file"], r["offset"], r["length"]) for r in directory.collect()])
-    for i in (0, 33, 399):
-        url = f"http://h{i % 9}.org/p{i % 50}"
-        want = [k for k in range(400) if (k % 9, k % 50) == (i % 9, i % 50)]
-        assert [c[0] for c in found.captures(url)] == want
-        assert found.records(url)[0]["payload"] == (f"page {want[0]} " * 200).encode()
-    assert found.captures("http://nowhere.org/") == []
+    asked = [f"http://h{i % 9}.org/p{i % 50}" for i in (0, 33, 399)] + ["http://nowhere.org/", None, "http://a.org", "http://zz.zz/"]
+    rows = warc.lookup_urls(spark.createDataFrame([(u,) for u in asked], "url string"), directory, index, archives).collect()
+    want = {k for k in range(400) if f"http://h{k % 9}.org/p{k % 50}" in asked}
+    assert {r["page_id"] for r in rows} == want and len(rows) == len(want)
+    assert all(bytes(r["payload"]) == (f"page {r['page_id']} " * 200).encode() for r in rows)
+
+
+def test_warc_hot_key(spark, monkeypatch):
+    """Most captures have one URL and one payload: the key spans many blocks, the digest many parts."""
+    monkeypatch.setattr(common, "KEY_ROWS", 10)
+    rows = [(i, "http://hot.org/" if i % 4 else f"http://c{i}.org", "z" * 1200 if i % 3 else f"own {i}") for i in range(150)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r["page_id"]: r for r in warc.archive_and_read(pages, block_lines=5).collect()}
+    assert len(got) == 150 and all(got[i]["refers_to"] == (149 if i % 3 and i != 149 else None) and got[i]["payload_bytes"] == len(h) for i, _, h in rows)
 
 
 #: Personal data and what it is; written by hand, without the module's patterns.
@@ -250,8 +257,9 @@ def test_collisions_are_resolved(spark):
     assert len(settled) == 34 and len({s for _, _, s in settled}) == 34 and not {s for _, _, s in settled} & {v for _, v, _ in settled}
 
 
-def test_full_formats_are_widened(spark):
+def test_full_formats_are_widened(spark, monkeypatch):
     """More one-letter addresses than letters, and a secret without letters or digits."""
+    monkeypatch.setattr(pii, "OWN_FORMAT", 1)
     rows = [("email", f"{c}@x.com") for c in "abcdefghijklmnopqrstuvwxyzé"] + [("secret", "-" * 8)]
     with common.Scratch(spark) as scratch:
         settled = {tuple(r)[:2]: r["surrogate"] for r in pii.assign(spark.createDataFrame(rows, "kind string, value string"), "k", scratch).collect()}
@@ -261,7 +269,7 @@ def test_full_formats_are_widened(spark):
     formats = [("ip", "192.168.1.1"), ("ip", "10.1.1.1"), ("ssn", "123456789"), ("phone", "+33612345678"), ("card", "4111111111111111"), ("iban", "DE89370400440532013000"), ("family", "smith"), ("ipv6", "a::b:c")]
     values = spark.createDataFrame(formats, "kind string, value string")
     for wider, prefixes in ((0, ("192.168.", "10.")), (1, ("10.", "10.")), (2, ("", ""))):
-        got = [r["s"] for r in values.select(pii.surrogate_value(F.col("kind"), F.col("value"), F.lit("s"), F.lit("d"), wider).alias("s")).collect()]
+        got = [r["s"] for r in values.select(pii.surrogate_value(F.col("kind"), F.col("value"), F.lit("s"), F.lit("d"), pii.reshaped(pii.to_shape(F.col("kind"), F.col("value")), F.lit("s")), wider).alias("s")).collect()]
         assert got[0].startswith(prefixes[0]) and got[1].startswith(prefixes[1])
         assert [len(s) - len(v) for s, (_, v) in zip(got[2:6], formats[2:6], strict=True)] == [wider] * 4
 
@@ -319,15 +327,67 @@ def test_quality_judges_small_languages(spark):
     assert not rows[404]["kept_"] and all(rows[i]["kept_"] for i in few) and rows[405]["kept_"] and rows[405]["perplexity_"] is not None
 
 
+def brute_kneser_ney(texts, order):
+    """p(symbol, context) by plain counting: raw counts for the longest n-grams and those at a text's start, else distinct predecessors."""
+    import collections
+
+    start, counts = "\0", {k: collections.Counter() for k in range(1, order + 1)}
+    for t in texts:
+        padded = start * (order - 1) + t
+        for i in range(order - 1, len(padded)):
+            counts[order][padded[i - order + 1 : i + 1]] += 1
+    for k in range(order - 1, 0, -1):
+        for g, c in counts[k + 1].items():
+            counts[k][g[1:]] += c if g[1] == start else 1
+    discounts = {}
+    for k, own in counts.items():
+        n1, n2, n3, n4 = (max(1, sum(c == i for c in own.values())) for i in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        raw = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3)
+        discounts[k] = [min(max(d, 0.05), i + 0.95) for i, d in enumerate(raw)]
+
+    def p(symbol, context):
+        below = p(symbol, context[1:]) if context else 1 / quality.VOCABULARY
+        k = len(context) + 1
+        here = {g: c for g, c in counts[k].items() if g[:-1] == context}
+        if not here:
+            return below
+        total = sum(here.values())
+        cut = {g: discounts[k][min(c, 3) - 1] for g, c in here.items()}
+        g = context + symbol
+        return (max(here.get(g, 0) - cut.get(g, 0), 0) + sum(cut.values()) * below) / total
+
+    return p
+
+
+@pytest.mark.parametrize("shard_grams", [quality.SHARD_GRAMS, 40])
+def test_perplexity_matches_plain_kneser_ney(spark, shard_grams, monkeypatch):
+    """Also with more shards than a worker holds."""
+    import math
+
+    trained = ["abracadabra abraham", "banana bandana", "abra banana", "a", "the cat sat on the mat"]
+    asked = ["abra cadabra", "zzz", "banana", "ab", "the mat sat", "\U0010ffff日本"]
+    model = quality.fit(spark.createDataFrame([("en", t) for t in trained] + [("", "other words")], "lang string, text string"), shard_grams)
+    assert (model.shards > quality.CACHED) == (shard_grams == 40)
+    p = brute_kneser_ney(trained, quality.ORDER)
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(asked)] + [(99, "x", "fr")], "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: r["nll_"] for r in quality.score(docs, model, ["doc_id"]).collect()}
+    for i, t in enumerate(asked[:-1]):
+        padded = "\0" * (quality.ORDER - 1) + t
+        want = -sum(math.log(p(padded[j], padded[j - quality.ORDER + 1 : j])) for j in range(quality.ORDER - 1, len(padded))) / len(t)
+        assert got[i] == pytest.approx(want, rel=1e-5)
+    assert got[99] is None and got[5] > got[0]
+
+
 def test_model_probabilities_sum_to_one(spark):
     docs = spark.createDataFrame([("en", "abracadabra abraham"), ("en", "banana bandana")], "lang string, text string")
-    shards = quality.load(quality.fit(docs))
+    model = quality.fit(docs)
     context = "abra"
     symbols = np.arange(quality.VOCABULARY, dtype=np.int64)
     code = 0
     for c in context:
         code = code << quality.BITS | ord(c)
-    assert np.exp(quality.log_probabilities(shards, "en", code << quality.BITS | symbols)).sum() == pytest.approx(1, abs=1e-3)
+    assert np.exp(quality.log_probabilities(model, "en", code << quality.BITS | symbols)).sum() == pytest.approx(1, abs=1e-3)
 
 
 def test_pipeline_stages(spark):

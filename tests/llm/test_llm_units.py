@@ -216,7 +216,7 @@ def test_gif_composition_rules():
         {"pixels": bytes(range(4)) * 2, "width": 1, "palette": bytes([1, 1, 1] * 4), "interlaced": True, "left": 3, "top": 0, "disposal": 0},
     ]
     frames[3]["pixels"] = bytes([0, 1, 2, 3])
-    got = gif.read_gif(gif.write_gif(4, 4, frames, colours))["frames"]
+    got = gif.read_gif(gif.write_gif(4, 4, frames, colours), screens=True)["frames"]
     assert [f["pixels"] for f in got] == [f["pixels"] for f in frames]
     red, green, blue = (255, 0, 0, 255), (0, 255, 0, 255), (0, 0, 255, 255)
     assert tuple(got[1]["screen"][1, 1]) == green and tuple(got[1]["screen"][1, 2]) == red
@@ -224,7 +224,8 @@ def test_gif_composition_rules():
     assert tuple(got[3]["screen"][0, 0]) == (0, 0, 0, 0) and tuple(got[3]["screen"][2, 3]) == (1, 1, 1, 255)
     rows = gif.frame_rows({"frames": got})
     assert [r["at_ms"] for r in rows] == [0, 50, 120, 120] and sum(rows[0]["histogram"]) == 16
-    for damaged in (b"", b"GIF89a", gif.write_gif(4, 4, frames, colours)[:60]):
+    bomb = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0, 0, 0) + b";"
+    for damaged in (bomb, b"", b"GIF89a", gif.write_gif(4, 4, frames, colours)[:60]):
         with pytest.raises((ValueError, IndexError, struct.error)):
             gif.read_gif(damaged)
 
@@ -321,6 +322,45 @@ def test_order_minhash():
     assert ordermin.edited_text("abcde", "xy") == "abcxy" and ordermin.edited_text("abcd", "z") == "abz" and ordermin.edited_text("", "z") == ""
 
 
+M64 = (1 << 64) - 1
+
+
+def brute_mix(x):
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & M64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & M64
+    return x ^ x >> 31
+
+
+def brute_constant(i, seed):
+    return brute_mix((i + 1) * 0x9E3779B97F4A7C15 + seed & M64)
+
+
+def brute_order_minhash(text, k=12, size=2, entries=64):
+    """Signature by plain Python: numbered k-mers hashed one by one, sorted for every hash function."""
+    n = min(k, len(text))
+    seen, base = {}, []
+    for i in range(len(text) - n + 1 if text else 0):
+        gram = text[i : i + n]
+        number = seen[gram] = seen.get(gram, -1) + 1
+        rolled = brute_mix(sum((ord(c) + 1) * (brute_constant(j, 41) | 1) for j, c in enumerate(gram)) & M64)
+        base.append((rolled if number == 0 else brute_mix(rolled + number * 0x9E3779B97F4A7C15 & M64)) >> 32)
+    if not base:
+        return [0] * entries
+    out = []
+    for e in range(entries):
+        rank = [(b * (brute_constant(e, 43) | 1) + brute_constant(e, 53)) & M64 for b in base]
+        places = sorted(sorted(range(len(base)), key=lambda i: (rank[i], i))[:size])
+        total = sum(brute_mix(base[p]) * (brute_constant(j, 47) | 1) for j, p in enumerate(places))
+        out.append(brute_mix(total + len(places) & M64) >> 48)
+    return out
+
+
+def test_order_minhash_signature_matches_brute_force(monkeypatch):
+    monkeypatch.setattr(ordermin, "SLICE", 50)  # several slices
+    for t in ["", "a", "abcdefghijklm", "ab" * 40, "naïve \U0001f600 text " * 9, "".join(RND.choice("abc ") for _ in range(300)), "x" * 200]:
+        assert ordermin.signature(t).tolist() == brute_order_minhash(t)
+
+
 def brute_places(text):
     words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
     out = []
