@@ -5,6 +5,8 @@ distinct.  For each of m hash functions the l numbered k-mers of least value are
 selected, put back into text order, and hashed as a tuple.  Two texts agree in
 an entry only if the same k-mers stand in the same order, so the share of equal
 entries falls with edit distance and not only with the overlap of k-mer sets.
+Each hash function multiplies by and adds its own 64-bit values; k-mers are ranked in
+slices, so a long text needs no more working memory than a short one.
 
 ``fingerprint_edits`` also fingerprints each document's edited text, made with its
 successor in id order, shuffling the texts once.
@@ -24,6 +26,8 @@ from .common import write_read
 from .hashing import U, constants, mix
 
 K, TUPLE, ENTRIES = 12, 2, 64
+#: K-mers that are ranked at a time.
+SLICE = 2048
 
 
 def numbered_kmers(text: str, k: int = K) -> np.ndarray:
@@ -54,20 +58,32 @@ def numbered_kmers(text: str, k: int = K) -> np.ndarray:
     return out
 
 
+def least_places(base: np.ndarray, size: int, entries: int) -> np.ndarray:
+    """For each hash function, the places of the ``size`` k-mers of least rank, of equal ranks the first."""
+    times, plus = constants(entries, 43)[:, None] | U(1), constants(entries, 53)[:, None]
+    rows = np.arange(entries)[:, None]
+    ranks, places = np.zeros((entries, 0), U), np.zeros((entries, 0), np.int64)
+    for begin in range(0, len(base), SLICE):
+        own = base[None, begin : begin + SLICE].astype(U) * times + plus
+        picked, values = [], []
+        for _ in range(min(size, own.shape[1])):
+            least = own.argmin(axis=1)[:, None]
+            picked.append(least)
+            values.append(own[rows, least])
+            own[rows, least] = np.iinfo(U).max
+        # Of earlier slices and this one, the least; a stable order keeps the first of equals.
+        ranks, places = np.concatenate([ranks, *values], axis=1), np.concatenate([places, *(p + begin for p in picked)], axis=1)
+        order = np.argsort(ranks, axis=1, kind="stable")[:, :size]
+        ranks, places = ranks[rows, order], places[rows, order]
+    return places
+
+
 def signature(text: str, k: int = K, size: int = TUPLE, entries: int = ENTRIES) -> np.ndarray:
     """The text's tuples as 16-bit hashes; a text with fewer k-mers than ``size`` uses what it has."""
     base = numbered_kmers(text, k)
     if not len(base):
         return np.zeros(entries, np.uint16)
-    multipliers = (constants(entries, 43) >> U(32)).astype(np.uint32) | np.uint32(1)
-    ranks = (base ^ (base >> np.uint32(15)))[None, :] * multipliers[:, None]
-    rows = np.arange(entries)
-    picked = []
-    for _ in range(min(size, len(base))):
-        least = ranks.argmin(axis=1)
-        picked.append(least)
-        ranks[rows, least] = np.iinfo(np.uint32).max
-    places = np.sort(np.stack(picked, axis=1), axis=1)
+    places = np.sort(least_places(base, size, entries), axis=1)
     keys = constants(size, 47) | U(1)
     total = np.zeros(entries, dtype=U)
     for j in range(places.shape[1]):
