@@ -1,6 +1,6 @@
 """GIF media columns: LZW, palettes, disposal, transparency, timed frames.
 
-The decoder reads any GIF87a/89a stream.  Code extraction is vectorised, as code
+The decoder reads any GIF87a/89a stream of up to PIXELS screen pixels.  Code extraction is vectorised, as code
 widths depend only on the number of codes since the last clear code.  Strings
 are resolved without a string table: what an LZW code stands for is a copy of
 earlier output (the previous code's text and the byte after it), so each output
@@ -8,7 +8,7 @@ byte points to an earlier one and pointer doubling leads all of them to literals
 in a logarithmic number of gathers.
 
 Frames are composed on the logical screen by their disposal and transparency
-rules; each stored frame has its delay, place, palette indices and a histogram
+rules, one screen for all of them; each stored frame has its delay, place, palette indices and a histogram
 over 64 colours (four levels a channel) of the composed screen.
 """
 
@@ -29,6 +29,8 @@ from .common import map_batches, slices, texts_of
 UNIT = 576
 WIDTH, ROWS = 96, 96
 MAX_CODES = 4096
+#: Most pixels of a screen or frame; a file that claims more is not decoded, as a few bytes can claim 16 GiB.
+PIXELS = 1 << 27
 #: Codes of a full table that are decoded at a time.
 FULL_CODES = 1 << 14
 
@@ -221,11 +223,12 @@ def write_gif(width: int, height: int, frames: list[dict], colours: bytes | None
     return b"".join(parts)
 
 
-def read_gif(data: bytes) -> dict:
+def read_gif(data: bytes, screens: bool = False) -> dict:
     """Screen size and frames of a GIF file.
 
     Frames have ``left, top, width, height, delay, disposal, transparent, pixels``
-    (palette indices, rows in order) and ``screen``, the composed RGBA screen.
+    (palette indices, rows in order), ``histogram`` of the composed screen and, if
+    asked, ``screen``, a copy of it (RGBA).
     """
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF file")
@@ -243,6 +246,8 @@ def read_gif(data: bytes) -> dict:
             at += 1 + data[at]
         return b"".join(found), at + 1
 
+    if width * height > PIXELS:
+        raise ValueError("GIF screen with too many pixels")
     screen = np.zeros((height, width, 4), np.uint8)
     frames, control = [], (0, 0, None)
     while at < len(data) and data[at] != 0x3B:
@@ -262,6 +267,8 @@ def read_gif(data: bytes) -> dict:
             n = 3 << ((flags & 7) + 1)
             colours = np.frombuffer(data, np.uint8, n, at).reshape(-1, 3)
             at += n
+        if w * h > PIXELS:
+            raise ValueError("GIF frame with too many pixels")
         size = data[at]
         stream, at = sub_blocks(at + 1)
         pixels = lzw_decode(stream, size, w * h)
@@ -285,7 +292,7 @@ def read_gif(data: bytes) -> dict:
         else:
             mask = shown != clear
             box[mask] = drawn[mask]
-        frames.append({"left": left, "top": top, "width": w, "height": h, "delay": delay, "disposal": disposal, "transparent": clear, "pixels": pixels.tobytes(), "screen": screen.copy()})
+        frames.append({"left": left, "top": top, "width": w, "height": h, "delay": delay, "disposal": disposal, "transparent": clear, "pixels": pixels.tobytes(), "histogram": colour_histogram(screen)} | ({"screen": screen.copy()} if screens else {}))
         if disposal == 2:
             box[...] = 0
         elif disposal == 3:
@@ -333,13 +340,17 @@ def frame_rows(gif: dict) -> list[dict]:
     """Stored frames: start time, place, indices and the screen's colour histogram."""
     rows, now = [], 0
     for f in gif["frames"]:
-        rows.append({"at_ms": now, "delay_ms": 10 * f["delay"], **{k: f[k] for k in ("left", "top", "width", "height", "disposal", "transparent", "pixels")}, "histogram": colour_histogram(f["screen"]).tolist()})
+        rows.append({"at_ms": now, "delay_ms": 10 * f["delay"], **{k: f[k] for k in ("left", "top", "width", "height", "disposal", "transparent", "pixels")}, "histogram": f["histogram"].tolist()})
         now += 10 * f["delay"]
     return rows
 
 
 def decode_media(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """(id, width, height, frames) of a column of GIF files; null or damaged files give null frames."""
+    """(id, width, height, frames) of a column of GIF files; null or damaged files give null frames.
+
+    Rows are independent: repeated rows repeat, an empty table stays empty, and of other
+    columns none is read.
+    """
     kind = pa.list_(pa.struct([("at_ms", pa.int64()), ("delay_ms", pa.int64()), *((c, pa.int32()) for c in ("left", "top", "width", "height", "disposal", "transparent")), ("pixels", pa.binary()), ("histogram", pa.list_(pa.int64()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,7 +373,8 @@ def digest_media(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Digests of stored media rows (id, n_bytes, media), from their decoded frames.
 
     Fused with the decoder so that frames need not travel back: the payload is the
-    frames' indices in turn, the feature the colour histogram summed over frames.
+    frames' indices in turn, the feature the colour histogram summed over frames.  Null
+    media give nulls; media that ``store_texts`` did not write and that are damaged fail.
     """
     names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames"]
 
@@ -371,6 +383,9 @@ def digest_media(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
             rows = []
             for x in batch.column("media"):
                 media = x.as_py()
+                if media is None:
+                    rows.append((None,) * 7)
+                    continue
                 frames = frame_rows(read_gif(media))
                 payload = b"".join(f["pixels"] for f in frames)
                 histogram = np.sum([f["histogram"] for f in frames], axis=0)
