@@ -4,16 +4,19 @@ Training text is what labels call trusted.  N-grams are of characters (order 5),
 separate for each language; a symbol takes 12 bits, so an n-gram is one integer.
 Counts of the trusted sample are aggregated in shards by n-gram; continuation
 counts, discounts, context weights and interpolated probabilities follow from
-joins of the sharded count tables, order by order.  Scoring joins the n-grams of
-each batch of documents with hash shards of the finished tables, one for each
-language and order, backing off where an n-gram was never seen.
+joins of the sharded count tables, order by order; n-grams that begin with the start
+symbol keep their counts, as nothing but it can precede them.  Scoring joins the
+distinct n-grams of each slice of documents with the finished tables, backing off where
+an n-gram was never seen.  These are cut into shards of about SHARD_GRAMS n-grams, by
+hash; a worker holds CACHED shards at most and reads the others in turn for each slice,
+so its memory is bounded whatever the size of the model.
 
 The model is fitted on half of the trusted documents, everything else covers all
 rows.  A document's score is its mean negative log-likelihood, shrunk towards its
 language's centre as if ``prior`` more characters had been read, as short texts
 vary more.  A language's threshold is the ``trusted_quantile`` of the scores of
-trusted documents that the model has not seen; no share of the other documents
-moves it.  A language with too few of those for that quantile also gets the room
+trusted documents that the model has not seen (its rank is exact to 1 in 100,000 of
+them); no share of the other documents moves it.  A language with too few of those for that quantile also gets the room
 above its centre that they have over all languages.
 """
 
@@ -21,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +37,8 @@ ORDER, BITS = 5, 12
 DIRECT, START = 1280, 4095
 OPEN = "\U0010ffff" * (ORDER - 1)
 VOCABULARY = 1 << BITS
+#: N-grams of a shard of the model, and shards that a worker holds.
+SHARD_GRAMS, CACHED = 2_000_000, 3
 #: Most ids that are sent to all tasks.
 SENT_IDS = 1 << 20
 
@@ -40,9 +46,10 @@ SENT_IDS = 1 << 20
 def gram_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the n-grams that end at each character, and each text's number of them.
 
-    Code points below DIRECT are symbols of their own, others share the rest by remainder.
+    Code points below DIRECT are symbols of their own, others share the rest by remainder;
+    U+10FFFF, which stands for the start of a text, counts as U+10FFFE within one.
     """
-    points = np.frombuffer("".join(OPEN + t for t in texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+    points = np.frombuffer("".join(OPEN + t.replace("\U0010ffff", "\U0010fffe") for t in texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
     symbols = np.where(points < DIRECT, points, DIRECT + points % (START - DIRECT))
     symbols[points == 0x10FFFF] = START
     codes = np.zeros(max(0, len(symbols) - ORDER + 1), dtype=np.int64)
@@ -55,13 +62,13 @@ def gram_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes[own], counts
 
 
-def by_language(languages: list, texts: list[str]) -> Iterator[tuple[str, list[int]]]:
+def by_language(languages: list, texts: list[str], most: int = 1 << 20) -> Iterator[tuple[str, list[int]]]:
     """Row numbers of each language, cut into slices of bounded text."""
     rows: dict[str, list[int]] = {}
     for i, lang in enumerate(languages):
         rows.setdefault(lang or "", []).append(i)
     for lang, own in rows.items():
-        for a, b in slices([len(texts[i]) for i in own], 1 << 20):
+        for a, b in slices([len(texts[i]) for i in own], most):
             yield lang, own[a:b]
 
 
@@ -79,13 +86,23 @@ def count_grams(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(run, "lang string, g bigint, c bigint").groupBy("lang", "g").agg(F.sum("c").alias("c"))
 
 
-def fit(docs: DataFrame) -> str:
-    """Fit the model on (lang, text) rows; returns the folder of its tables (lang, order, kind, key, value)."""
+class Model(NamedTuple):
+    """Where a fitted model's tables (shard, lang, order, kind, key, value) are, and their number of shards."""
+
+    folder: str
+    shards: int
+
+
+def fit(docs: DataFrame, shard_grams: int = SHARD_GRAMS) -> Model:
+    """Fit the model on (lang, text) rows."""
     spark = docs.sparkSession
     counts = {ORDER: write_read(count_grams(docs), f"counts-{ORDER}")}
     for k in range(ORDER - 1, 0, -1):  # continuation counts: distinct longer n-grams with this ending
-        counts[k] = write_read(counts[k + 1].groupBy("lang", F.col("g").bitwiseAND((1 << BITS * k) - 1).alias("g")).agg(F.count("*").alias("c")), f"counts-{k}")
-    folder = shared_dir(spark, "kneser-ney")
+        ending = F.col("g").bitwiseAND((1 << BITS * k) - 1).alias("g")
+        both = counts[k + 1].groupBy("lang", ending).agg(F.count("*").alias("n"), F.sum("c").alias("all"))
+        begins = F.shiftright("g", BITS * (k - 1)) == START
+        counts[k] = write_read(both.select("lang", "g", F.when(begins, F.col("all")).otherwise(F.col("n")).alias("c")), f"counts-{k}")
+    written = shared_dir(spark, "kneser-ney")
     lower = None
     for k in range(1, ORDER + 1):
         n1, n2, n3, n4 = (F.greatest(F.count_if(F.col("c") == i), F.lit(1)).cast("double") for i in (1, 2, 3, 4))
@@ -108,18 +125,27 @@ def fit(docs: DataFrame) -> str:
         lower = write_read(joined.select("lang", "g", ((c - F.col("d")) / F.col("total") + F.col("weight") * below).alias("p")), f"probabilities-{k}")
         tables = lower.select("lang", F.lit(k).alias("order"), F.lit(0).alias("kind"), F.col("g").alias("key"), F.ln("p").cast("float").alias("value"))
         tables = tables.unionByName(contexts.select("lang", F.lit(k).alias("order"), F.lit(1).alias("kind"), F.col("context").alias("key"), F.ln("weight").cast("float").alias("value")))
-        tables.write.mode("append").parquet(folder)
-    return folder
-
-
-@lru_cache(maxsize=1)
-def load(folder: str) -> dict[tuple[str, int, int], IntMap]:
-    """The model's hash shards by (language, order, kind)."""
+        tables.write.mode("append").parquet(written)
+    tables = spark.read.schema("lang string, order int, kind int, key bigint, value float").parquet(written)
+    shards = max(1, -(-tables.count() // shard_grams))
+    folder = shared_dir(spark, "kneser-ney-shards")
+    shard = F.pmod(F.col("key").bitwiseXOR(F.shiftright("key", 17)), F.lit(shards))
+    tables.withColumn("shard", shard).repartition(shards, "shard").write.partitionBy("shard").parquet(folder)
+    return Model(folder, shards)
+
+
+@lru_cache(maxsize=CACHED)
+def load(folder: str, shard: int) -> dict[tuple[str, int, int], IntMap]:
+    """One shard's tables by (language, order, kind)."""
     import pyarrow.dataset as ds
     from pyarrow import fs
 
-    store, path = fs.FileSystem.from_uri(folder)
-    table = ds.dataset(path, filesystem=store, format="parquet").to_table()
+    store, path = fs.FileSystem.from_uri(f"{folder}/shard={shard}")
+    if store.get_file_info(path).type == fs.FileType.NotFound:
+        return {}
+    table = ds.dataset(path, filesystem=store, format="parquet").to_table(["lang", "order", "kind", "key", "value"])
+    if not len(table):
+        return {}
     lang = table["lang"].combine_chunks().dictionary_encode()
     names = lang.dictionary.to_pylist()
     group = lang.indices.to_numpy().astype(np.int64) * 64 + table["order"].to_numpy() * 2 + table["kind"].to_numpy()
@@ -133,41 +159,45 @@ def load(folder: str) -> dict[tuple[str, int, int], IntMap]:
     return shards
 
 
-def log_probabilities(shards: dict, lang: str, codes: np.ndarray) -> np.ndarray:
+def log_probabilities(model: Model, lang: str, codes: np.ndarray) -> np.ndarray:
     """Interpolated log-probability of each n-gram's last character; nan for a language without model."""
-    out = np.zeros(len(codes))
-    if (lang, 1, 0) not in shards:
-        out[:] = np.nan
-        return out
-    left = np.arange(len(codes))
+    grams, back = np.unique(codes, return_inverse=True)
+    known, weights = (np.full((ORDER + 1, len(grams)), np.nan, dtype=np.float32) for _ in range(2))
+    for shard in range(model.shards):
+        tables = load(model.folder, shard)
+        for k in range(1, ORDER + 1):
+            ending = grams & ((1 << BITS * k) - 1)
+            for kind, values, key in ((0, known, ending), (1, weights, ending >> BITS)):
+                table = tables.get((lang, k, kind))
+                if table is not None:
+                    own = np.flatnonzero((key ^ (key >> 17)) % model.shards == shard)
+                    values[k, own] = table.get(key[own])
+    if np.isnan(weights[1]).all():
+        return np.full(len(codes), np.nan)
+    out, still = np.zeros(len(grams)), np.ones(len(grams), dtype=bool)
     for k in range(ORDER, 0, -1):
-        own = codes[left] & ((1 << BITS * k) - 1)
-        p = shards[lang, k, 0].get(own)
-        seen = ~np.isnan(p)
-        out[left[seen]] += p[seen]
-        left, own = left[~seen], own[~seen]
-        if not len(left):
-            return out
-        weight = shards[lang, k, 1].get(own >> BITS)
-        out[left] += np.where(np.isnan(weight), 0, weight)
-    out[left] += np.log(1.0 / VOCABULARY)
-    return out
-
-
-def score(df: DataFrame, folder: str, columns: list[str]) -> DataFrame:
+        seen = still & ~np.isnan(known[k])
+        out[seen] += known[k][seen]
+        still &= ~seen
+        out[still] += np.nan_to_num(weights[k][still])
+    out[still] += np.log(1.0 / VOCABULARY)
+    return out[back]
+
+
+def score(df: DataFrame, model: Model, columns: list[str]) -> DataFrame:
     """The given columns with n_chars_ and nll_: characters and mean negative log-likelihood (null if none)."""
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*columns).schema)
     asked = list(dict.fromkeys([*columns, "lang", "text"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("quality", load.cache_clear)
-        shards = load(folder)
+        most = min(8, max(1, model.shards // CACHED)) << 20  # shards that are not held are read once a slice
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             nll = np.full(len(texts), np.nan)
-            for lang, rows in by_language(batch.column("lang").to_pylist(), texts):
+            for lang, rows in by_language(batch.column("lang").to_pylist(), texts, most):
                 codes, counts = gram_codes([texts[i] for i in rows])
-                sums = np.concatenate(([0.0], np.cumsum(log_probabilities(shards, lang, codes))))
+                sums = np.concatenate(([0.0], np.cumsum(log_probabilities(model, lang, codes))))
                 ends = np.cumsum(counts)
                 some = counts > 0
                 nll[np.array(rows)[some]] = -(sums[ends] - sums[ends - counts])[some] / counts[some]
@@ -214,9 +244,9 @@ def classify(docs: DataFrame, labels: DataFrame, columns: list[str], prior: int
     sample = trusted.where("fits").select("doc_id", "lang_")
     if sample.count() <= SENT_IDS:  # else the texts are shuffled once to meet their ids
         sample = F.broadcast(sample)
-    folder = fit(docs.select("doc_id", "lang", "text", lang.alias("lang_")).join(sample, ["doc_id", "lang_"]))
+    model = fit(docs.select("doc_id", "lang", "text", lang.alias("lang_")).join(sample, ["doc_id", "lang_"]))
     asked = list(dict.fromkeys([*columns, "doc_id", "lang"]))
-    scored = write_read(score(docs, folder, asked), "scored")
+    scored = write_read(score(docs, model, asked), "scored")
     held_out = scored.select("doc_id", lang.alias("lang_"), "n_chars_", "nll_").where("nll_ is not null").join(trusted.where("not fits").select("doc_id", "lang_"), ["doc_id", "lang_"])
     # These tables have a row for each language with trusted documents and are broadcast:
     # a join by language would meet most rows in one task.
