@@ -75,8 +75,8 @@ SCRIPTS = [
     (0x3041, 0x3096, 0x304B, 60), (0x30A1, 0x30FA, 0x30AB, 60), (0x3400, 0x9FFF, 0x4E00, 20000), (0xAC00, 0xD7A3, 0xAC00, 11172),
     (0x660, 0x669, 0x660, 10), (0x6F0, 0x6F9, 0x6F0, 10), (0x966, 0x96F, 0x966, 10), (0xFF10, 0xFF19, 0xFF10, 10),
 ]
-#: Attempts after which a format counts as full and, two by two, wider ones are tried.
-OWN_FORMAT = 8
+#: Attempts after which a format counts as full and each attempt takes a wider one.
+OWN_FORMAT = 6
 #: Marks the entities of a text that has no such character; others are split by the pattern.
 MARKER = "￾"
 
@@ -173,14 +173,12 @@ def reshaped(value: Column, seed: Column) -> Column:
     def one(i: Column) -> Column:
         c = F.substring(value, i, F.lit(1))
         point = F.ascii(c)
-
-        def letter(first: int, count: int) -> Column:
-            return F.decode(F.unhex(F.lpad(F.hex(F.lit(first) + number(seed, i, count)), 4, "0")), "UTF-16BE")
-
-        out = F.when(c.between("0", "9"), number(seed, i, 10).cast("string"))
-        for low, high, first, count in SCRIPTS:
-            out = out.when(point.between(low, high), letter(first, count))
-        return out.when(c.rlike(r"\p{Lu}"), letter(65, 26)).when(c.rlike(r"\p{L}"), letter(97, 26)).when(c.rlike(r"\p{N}"), number(seed, i, 10).cast("string")).when(c.rlike(r"\p{M}"), "").otherwise(c)
+        first, count = F.when(c.rlike(r"\p{Lu}"), 65).when(c.rlike(r"\p{L}"), 97), F.when(c.rlike(r"\p{L}"), 26)
+        for low, high, start, many in SCRIPTS:
+            first, count = F.when(point.between(low, high), start).otherwise(first), F.when(point.between(low, high), many).otherwise(count)
+        drawn = F.pmod(F.xxhash64(seed, i), F.coalesce(count, F.lit(10))).cast("int")
+        letter = F.decode(F.unhex(F.lpad(F.hex(first + drawn), 4, "0")), "UTF-16BE")
+        return F.when(c.between("0", "9"), drawn.cast("string")).when(first.isNotNull(), letter).when(c.rlike(r"\p{N}"), drawn.cast("string")).when(c.rlike(r"\p{M}"), "").otherwise(c)
 
     return F.array_join(F.transform(F.sequence(F.lit(1), F.length(value)), one), "")
 
@@ -216,13 +214,17 @@ def name_word(kind: Column, value: Column, seed: Column, wider: int) -> Column:
     return F.when(value.rlike("[Ѐ-ӿ]"), of("cyrillic")).when(value.rlike("[Ͱ-Ͽ]"), of("greek")).when(value.rlike("[؀-ۿ]"), of("arabic")).otherwise(of("latin"))
 
 
-def surrogate_value(kind: Column, value: Column, seed: Column, domain_seed: Column, wider: int = 0) -> Column:
-    """The canonical surrogate of a canonical value, in a format widened so many times.
+def to_shape(kind: Column, value: Column) -> Column:
+    """What of a value is reshaped letter by letter."""
+    return F.when(kind == "email", F.substring_index(value, "@", 1)).when(kind.isin(*NAME_KINDS, "ip", "ipv6"), "").otherwise(value)
+
+
+def surrogate_value(kind: Column, value: Column, seed: Column, domain_seed: Column, shaped: Column, wider: int = 0) -> Column:
+    """The canonical surrogate of a canonical value, in a format widened so many times; ``shaped`` is ``to_shape``, reshaped.
 
     A wider e-mail address or secret has more letters, a wider name more syllables, a wider
     private IP address is of a larger network, and other numbers have more digits.
     """
-    shaped = reshaped(value, seed)
     extra = F.concat(F.lit(""), *[F.char(97 + number(seed, -1 - i, 6)) for i in range(wider)])
     digits = F.concat(F.lit(""), *[number(seed, -1 - i, 10).cast("string") for i in range(wider)])
     hexed = F.array_join(F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: F.lower(F.hex(number(seed, i, 16)))), "")
@@ -236,9 +238,8 @@ def surrogate_value(kind: Column, value: Column, seed: Column, domain_seed: Colu
     ip = F.when(large, F.concat(F.lit("10."), F.substring_index(octets, ".", 3))).when(small, F.concat(F.lit("192.168."), F.substring_index(octets, ".", 2))).otherwise(octets)
     groups = F.array_join(F.array(*[F.lower(F.hex(4096 + number(seed, i, 61440))) for i in range(8)]), ":")
     hextets = F.array_join(F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: F.when(F.substring(value, i, F.lit(1)) == ":", ":").otherwise(F.lower(F.hex(1 + number(seed, i, 15))))), "")
-    local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     # A domain keeps its top level; its surrogate does not depend on the local part.
-    email = F.concat(reshaped(local, seed), extra, F.lit("@d"), F.substring(domain_seed, 1, 16), F.lit(".example."), F.substring_index(domain, ".", -1))
+    email = F.concat(shaped, extra, F.lit("@d"), F.substring(domain_seed, 1, 16), F.lit(".example."), F.substring_index(value, ".", -1))
     n = F.length(value)
     # The country code or the national trunk digit stays.
     head = F.when(value.startswith("+"), F.concat(F.lit("+"), F.regexp_extract(value, COUNTRY, 1))).when(value.startswith("0"), "0").otherwise("")
@@ -289,7 +290,7 @@ def assign(values: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     """(kind, value, surrogate) for stored distinct (kind, value): surrogates distinct and never a real value.
 
     Of the values with one surrogate the least keeps it.  After OWN_FORMAT attempts the
-    format is widened every second time, so the room grows until all are placed.
+    format is widened every time, so the room grows until all are placed.
     """
     kind, value = F.col("kind"), F.col("value")
     real = values.select(space_of(kind).alias("space"), value.alias("surrogate")).distinct()
@@ -297,9 +298,10 @@ def assign(values: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     while True:
         seed = keyed(key, kind, value, F.lit(str(attempt)))
         domain = keyed(key, F.lit("domain"), F.substring_index(value, "@", -1))
-        made = surrogate_value(kind, value, F.col("seed_"), domain, max(0, attempt - OWN_FORMAT) // 2)
+        made = surrogate_value(kind, value, F.col("seed_"), domain, F.col("shaped_"), max(0, attempt - OWN_FORMAT))
         # Stored before it is joined, so that hashing runs once for each value.
-        tried = scratch.table(todo.withColumn("seed_", seed).select("kind", "value", space_of(kind).alias("space"), made.alias("surrogate")), "surrogates")
+        seeded = todo.withColumn("seed_", seed).withColumn("shaped_", reshaped(to_shape(kind, value), F.col("seed_")))
+        tried = scratch.table(seeded.select("kind", "value", space_of(kind).alias("space"), made.alias("surrogate")), "surrogates")
         free = tried.join(real, ["space", "surrogate"], "left_anti")
         if settled is not None:
             free = free.join(settled.select("space", "surrogate"), ["space", "surrogate"], "left_anti")
