@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, spread_join, write_read
+from .common import KEY_ROWS, Scratch, spread_join, write_read
 
 MALE = ["Mr", "Mister", "Sir", "Herr", "Herrn", "Señor", "Sr", "Monsieur", "господин", "Κύριος", "السيد"]
 FEMALE = ["Mrs", "Ms", "Miss", "Lady", "Frau", "Señora", "Sra", "Señorita", "Srta", "Madame", "Mme", "Mademoiselle", "Mlle", "госпожа", "Κυρία", "السيدة"]
@@ -55,8 +55,12 @@ PATTERNS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
 }
 PATTERN = "|".join(PATTERNS.values())
-#: Every entity but a name has one of these in it; most texts have none and are passed by.
-HINT = r"\d[\d.)]|@|[0-9A-Fa-f]:[0-9A-Fa-f:]|\d[ -]\d|(?i:token|passw|secret|api[_-]?key)|A[KS]IA"
+#: Every entity and every titled name has one of these in it; most texts have none and are passed by.
+#: The look ahead leaves most places at once.
+HINT = (
+    r"(?=[0-9@:=ADFHLMPRSгΚا])(?:\d[\d.)]|\d[ -]\d|@|:[0-9A-Fa-f:]|A[KS]IA|(?<=(?i:token|password|passwd|secret|key)[\"']?\s{0,3})[=:]|"
+    + TITLED + ")"
+)
 #: Country codes of the international numbering plan, by length.
 COUNTRY = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 DIGIT_KINDS = ("phone", "card", "ssn")
@@ -126,7 +130,7 @@ def pattern_with(words: Column) -> Column:
 
 
 def may_hold_entities(text: Column) -> Column:
-    return F.coalesce(text.rlike(HINT) | text.rlike(TITLED), F.lit(False))
+    return F.coalesce(text.rlike(HINT), F.lit(False))
 
 
 def kind_of(entity: Column) -> Column:
@@ -313,13 +317,14 @@ def assign(values: DataFrame, key: str, scratch: Scratch) -> DataFrame:
         attempt += 1
 
 
-def surrogate_lists(candidates: DataFrame, key: str) -> DataFrame:
-    """(key_, entities_) for each distinct text with entities; candidates are (text_, key_)."""
+def surrogate_lists(candidates: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(key_, entities_) for each distinct text with entities, and (key_, n_) of frequent texts; candidates are (text_, key_)."""
     with Scratch(candidates.sparkSession) as scratch:
         found = candidates.withColumn("words_", words_of(names_in(F.col("text_")))).withColumn("found_", F.regexp_extract_all("text_", pattern_with(F.col("words_")), F.lit(0)))
-        # One row for each distinct text with entities; its text stays behind.
-        texts = found.where(F.size("found_") > 0).groupBy("key_").agg(F.first("found_").alias("found_"), F.first("words_").alias("words_"))
+        # One row for each distinct text; its text stays behind.
+        texts = found.groupBy("key_").agg(F.first("found_").alias("found_"), F.first("words_").alias("words_"), F.count("*").alias("n_"))
         texts = scratch.table(texts, "entities-by-text")
+        counts = write_read(texts.where(F.col("n_") > KEY_ROWS).select("key_", "n_"), "text-counts")
         places = texts.select("key_", "words_", F.posexplode("found_").alias("at_", "entity"))
         role = F.filter("words_", lambda w: w["word"] == F.lower("entity"))
         places = scratch.table(places.select("key_", "at_", "entity", F.when(F.size(role) > 0, role[0]["kind"]).alias("role")), "places")
@@ -333,7 +338,7 @@ def surrogate_lists(candidates: DataFrame, key: str) -> DataFrame:
         # Numbers that only look like cards have no surrogate and keep their place in the list.
         joined = spread_join(known, table, ["entity", "role"], F.col("key_"), "left")
         lists = joined.groupBy("key_").agg(F.transform(F.array_sort(F.collect_list(F.struct("at_", "kind", "new"))), lambda x: F.struct(x["kind"].alias("kind"), x["new"].alias("surrogate"))).alias("entities_"))
-        return write_read(lists, "surrogate-lists")
+        return write_read(lists, "surrogate-lists"), counts
 
 
 def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
@@ -357,9 +362,9 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataF
     text = F.col(text_col)
     none = F.expr("cast(array() as array<struct<kind:string,surrogate:string>>)")
     candidates = docs.where(may_hold_entities(text)).withColumn("key_", F.sha2(text, 256))
-    lists = surrogate_lists(candidates.select(text.alias("text_"), "key_"), key)
+    lists, counts = surrogate_lists(candidates.select(text.alias("text_"), "key_"), key)
     # The lists grow with the corpus, so they are never broadcast; rows of a hot text are spread.
-    joined = spread_join(candidates, lists, ["key_"], F.spark_partition_id(), "left").withColumn("words_", F.when(F.col("entities_").isNotNull(), words_of(names_in(text))))
+    joined = spread_join(candidates, lists, ["key_"], F.spark_partition_id(), "left", counts).withColumn("words_", F.when(F.col("entities_").isNotNull(), words_of(names_in(text))))
     pattern = pattern_with(F.col("words_"))
     marked = F.split(F.regexp_replace(text, pattern, F.lit(MARKER)), MARKER, -1)
     pieces = F.when(text.contains(MARKER), F.split(text, pattern, -1)).otherwise(marked)

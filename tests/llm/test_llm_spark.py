@@ -237,7 +237,7 @@ def test_surrogates_are_distinct_and_leave_nothing(spark):
         assert {rows[i][at]["kind"] for i in range(600)} == {kind} and len(set(new)) == 600 and not any(n in t for n in new for t in many)
     left = set(glob.glob(common.shared_root(spark).removeprefix("file://") + "/lexiloom/*")) - before
     kinds = {p.split("/")[-1].rsplit("-", 1)[0] for p in left}
-    assert kinds <= {"surrogate-lists", "hot-keys"}
+    assert kinds <= {"surrogate-lists", "hot-keys", "text-counts"}
     for p in left:
         assert all("secret-key" not in str(tuple(r)) and "@mail.org" not in str(tuple(r)) for r in spark.read.parquet("file://" + p).collect())
 
@@ -249,6 +249,18 @@ def test_hot_texts_and_entities_are_spread(spark):
     assert len(rows) == 5000 and len({r["entities_"][0]["surrogate"] for r in rows}) == 1 and not any("me@here" in r["text"] for r in rows)
 
 
+def test_no_entity_is_passed_by():
+    """What makes a text a candidate is in every entity and every titled name."""
+    hint = regex.compile(pii.HINT)
+    for e, _ in ENTITIES:
+        assert hint.search(e)
+    for title in pii.MALE + pii.FEMALE + pii.NEUTRAL:
+        assert hint.search(f"x {title} Smith") and hint.search(f"{title}. Smith")
+    for s in ('token = "abcdefgh"', "password:hunterhunter", "API_KEY='abcdefghij'", "api-key=abcdefgh", "Secret = abcdefgh", "fe80::abcd", "a:b:c:d:e:f:a:b", "AKIA" + "A" * 16, "+1 (222) 333-4444", "1.2.3.4"):
+        assert hint.search(s), s
+    assert not hint.search("The Drum. Mash Sit 1 x a=b: c Missing Herring")
+
+
 def test_collisions_are_resolved(spark):
     """All two-digit formats: the space is full, so collisions must occur and end."""
     values = spark.createDataFrame([("x", f"{i:02d}a") for i in range(0, 100, 3)], "kind string, value string")
