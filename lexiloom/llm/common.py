@@ -21,6 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,6 +126,14 @@ def slices(sizes: list[int], most: int = 1 << 22) -> Iterator[tuple[int, int]]:
         yield a, len(sizes)
 
 
+def text_slices(batch: pa.RecordBatch, column: str, most: int = 1 << 22) -> Iterator[tuple[int, int, list[str]]]:
+    """Runs [a, b) of rows of bounded text size and their texts; only one run's texts are Python strings at a time."""
+    values = batch.column(column)
+    sizes = pc.fill_null(pc.binary_length(values), 0).to_pylist()
+    for a, b in slices(sizes, most):
+        yield a, b, [x or "" for x in values[a:b].to_pylist()]
+
+
 _memory: list = [None, None]
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import claim, map_batches, slices, spread_join, texts_of, write_read
+from .common import claim, map_batches, spread_join, text_slices, write_read
 from .graphs import components
 from .hashing import U, constants, mix, powers, shingle_sets
 
@@ -87,9 +87,8 @@ def sketch_documents(df: DataFrame, words: int, threshold: float, id_col: str, t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("near-duplicates", powers.cache_clear)
         for batch in batches:
-            texts = texts_of(batch, text_col)
-            for a, b in slices([len(t) for t in texts], 1 << 21):
-                sets = shingle_sets(texts[a:b], words)
+            for a, b, texts in text_slices(batch, text_col, 1 << 21):
+                sets = shingle_sets(texts, words)
                 sizes = [len(s) for s in sets]
                 first = np.array([mix(s + U(3)).sum(dtype=U) for s in sets], dtype=U).astype(np.int64)
                 second = np.array([np.bitwise_xor.reduce(mix(s + U(5))) for s in sets], dtype=U).astype(np.int64)
@@ -107,9 +106,8 @@ def sets_of(df: DataFrame, words: int, id_col: str, text_col: str, extra: list[s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("near-duplicates", powers.cache_clear)
         for batch in batches:
-            texts = texts_of(batch, text_col)
-            for a, b in slices([len(t) for t in texts], 1 << 21):
-                sets = [s.tobytes() for s in shingle_sets(texts[a:b], words)]
+            for a, b, texts in text_slices(batch, text_col, 1 << 21):
+                sets = [s.tobytes() for s in shingle_sets(texts, words)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c)[a:b] for c in [id_col, *extra]), pa.array(sets, pa.binary())], names=[id_col, *extra, "shingles"])
 
     return map_batches(df, [id_col, *extra, text_col], run, f"{kinds}, shingles binary")

@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import BacktrackingBpe
-from .common import claim, map_batches, slices, texts_of, write_read
+from .common import claim, map_batches, slices, text_slices, write_read
 
 log = logging.getLogger(__name__)
 #: Most pieces of a pattern, and the share of a sequence that it may leave, of the plans that are compared.
 PLANS = ((8, 32), (3, 32), (3, 8))
-CACHE_ENTRIES, WORD_ENTRIES = 900_000, 400_000
+CACHE_ENTRIES, WORD_ENTRIES = 450_000, 200_000
 #: Texts with these go to the tokenizer whole: they split Python's words, not its own.
 ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
@@ -96,7 +96,7 @@ class ChunkTokenizer:
         new -= self.known.keys()
         split = {c: self.parts(c) if self.own_split else None for c in new}
         words = list({w for p in split.values() if p for w in p} - self.words.keys())
-        for a, b in slices([len(w) for w in words], 1 << 20):
+        for a, b in slices([len(w) for w in words], 1 << 17):
             self.words.update(zip(words[a:b], self.bpe.encode_words([w.encode() for w in words[a:b]]), strict=True))
         of = self.words.__getitem__
         self.known.update((c, of(p[0]) if len(p) == 1 else b"".join(map(of, p))) for c, p in split.items() if p is not None)
@@ -134,12 +134,11 @@ def tokenized_pieces(df: DataFrame, path: str, capacity: int = 4096, end_id: int
         tok, seen = chunk_tokenizer(path), np.zeros(capacity + 1, dtype=np.int64)
         tail = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            texts = texts_of(batch, text_col)
-            for a, b in slices([len(t) for t in texts]):
-                tok.prepare(texts[a:b])
+            for a, _, texts in text_slices(batch, text_col, 1 << 20):
+                tok.prepare(texts)
                 rows, out = [], defaultdict(list)
-                for i in range(a, b):
-                    ids = tok.encode(texts[i]) + tail
+                for i, text in enumerate(texts, a):
+                    ids = tok.encode(text) + tail
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[at : at + 4 * capacity]
                         n = len(own) // 4
