@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import measures as m
 from ..functions.tokens import sentences
+from .concordance import at_matches
 from .frequency import count_items
 
 
 def neighbours(sents: DataFrame, node: str, window: int) -> DataFrame:
     """(collocate, o): lower-cased tokens within ``window`` of the node, itself left out; slices of each row, no join."""
     low = sents.select(F.transform("toks", lambda t: F.lower(t)).alias("toks"))
-    at = low.select("toks", F.posexplode("toks").alias("at", "t")).where(F.col("t") == node.lower())
+    at = at_matches(low, lambda t: t == node.lower()).withColumnRenamed("token_idx", "at")
     start = F.greatest(F.col("at") - window, F.lit(0))
     around = F.concat(F.slice("toks", start + 1, F.col("at") - start), F.slice("toks", F.col("at") + 2, F.lit(window)))
     return at.select(F.explode(around).alias("collocate")).groupBy("collocate").agg(F.count("*").alias("o"))
@@ -68,7 +69,18 @@ def keyness(target: DataFrame, reference: DataFrame, min_freq: int = 5, sides: t
     t = target.select(F.col("item").alias("term"), F.col("freq").alias("a"))
     r = reference.select(F.col("item").alias("term"), F.col("freq").alias("b"))
     both = t.join(r, "term", "full_outer").select("term", F.coalesce("a", F.lit(0)).alias("f1"), F.coalesce("b", F.lit(0)).alias("f2"))
-    both = both.where(F.greatest("f1", "f2") >= min_freq).crossJoin(F.broadcast(n1)).crossJoin(F.broadcast(n2))
+    return _scored(both, n1.crossJoin(F.broadcast(n2)), min_freq)
+
+
+def keyness_of_parts(tokens_df: DataFrame, is_target: Column, item: str = "text_lc", min_freq: int = 5) -> DataFrame:
+    """``keyness`` of the tokens for which ``is_target`` holds against those for which it does not, counted in one pass."""
+    one = F.count_if(is_target).alias("f1"), F.count_if(~is_target).alias("f2")
+    both = tokens_df.groupBy(F.col(item).alias("term")).agg(*one).where("f1 + f2 > 0")
+    return _scored(both, both.agg(F.coalesce(F.sum("f1"), F.lit(0)).alias("n1"), F.coalesce(F.sum("f2"), F.lit(0)).alias("n2")), min_freq)
+
+
+def _scored(both: DataFrame, totals: DataFrame, min_freq: int) -> DataFrame:
+    both = both.where(F.greatest("f1", "f2") >= min_freq).crossJoin(F.broadcast(totals))
     scores = m.keyness_columns(F.col("f1"), F.col("f2"), F.col("n1"), F.col("n2"))
     ratio = scores["log_ratio"]
     direction = F.when(ratio > 0, "positive").when(ratio < 0, "negative").otherwise("none")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons
 from ..functions import measures as m
 from ..functions.tokens import sentences
+from .concordance import at_matches, context
 from .lexical import markers_found
 
 
@@ -24,16 +25,20 @@ def align(source: DataFrame, target: DataFrame, pairs: DataFrame | None = None)
     return both.select("doc_id", "target_id", "sentence_idx", "source", "target", F.round(m.length_ratio_confidence(F.length("source"), F.length("target")), 6).alias("confidence"))
 
 
-def parallel_concordance(aligned: DataFrame, query: str, window: int = 5, substring: bool = False, limit: int | None = 100) -> DataFrame:
-    """Matches in the source with context over white-space tokens, and the aligned target sentence."""
+def parallel_concordance(source: DataFrame, target: DataFrame, query: str, pairs: DataFrame | None = None, window: int = 5, substring: bool = False, limit: int | None = 100) -> DataFrame:
+    """Matches in the source with context over white-space tokens, and the aligned target sentence (null without one).
+
+    Only sentences with a match are looked up in the target.
+    """
     q = query.lower()
-    words = aligned.select("doc_id", "sentence_idx", "target", F.filter(F.split("source", r"\s+"), lambda t: t != "").alias("w"))
-    at = words.select("*", F.posexplode("w").alias("token_idx", "node"))
-    at = at.where(F.contains(F.lower("node"), F.lit(q)) if substring else F.lower("node") == q)
-    start = F.greatest(F.col("token_idx") - window, F.lit(0))
-    left = F.array_join(F.slice("w", start + 1, F.col("token_idx") - start), " ")
-    right = F.array_join(F.slice("w", F.col("token_idx") + 2, F.lit(window)), " ")
-    out = at.select("doc_id", "sentence_idx", "token_idx", left.alias("left_context"), "node", right.alias("right_context"), "target")
+    words = F.filter(F.split("sentence", r"\s+"), lambda t: t != "")
+    rows = sentences(source).where(F.contains(F.lower("sentence"), F.lit(q))).select("doc_id", "sentence_idx", words.alias("toks"))
+    at = at_matches(rows, lambda t: F.contains(F.lower(t), F.lit(q)) if substring else F.lower(t) == q)
+    left, right = context(F.col("toks"), F.col("token_idx"), window)
+    lines = at.select("doc_id", "sentence_idx", "token_idx", left.alias("left_context"), "node", right.alias("right_context"))
+    lines = lines.join(pairs, "doc_id", "left") if pairs is not None else lines.withColumn("target_id", F.col("doc_id"))
+    other = sentences(target).select(F.col("doc_id").alias("target_id"), "sentence_idx", F.col("sentence").alias("target"))
+    out = lines.join(other, ["target_id", "sentence_idx"], "left").select("doc_id", "sentence_idx", "token_idx", "left_context", "node", "right_context", "target")
     return out if limit is None else out.orderBy("doc_id", "sentence_idx", "token_idx").limit(limit)
 
 

@@ -57,9 +57,9 @@ def ai_disclosure(turns: DataFrame, group: str | None = None) -> DataFrame:
     )
 
 
-def delete_document(docs: DataFrame, doc_ids: list[int], id_col: str = "doc_id") -> DataFrame:
-    """All other rows; statistics are recomputed from what is left."""
-    return docs.where(F.col(id_col).isNull() | ~F.col(id_col).isin(doc_ids))
+def delete_document(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """All rows but those whose id the table ``gone`` has; statistics are recomputed from what is left."""
+    return docs.join(gone.select(id_col), id_col, "left_anti")
 
 
 def merge_by_id(parts: list[DataFrame], id_col: str = "id") -> DataFrame:
@@ -74,23 +74,44 @@ def merge_by_id(parts: list[DataFrame], id_col: str = "id") -> DataFrame:
 
 
 class Table:
-    """A small Parquet table with append and rewrite, for saved searches, bookmarks and the like."""
+    """A Parquet table with append and rewrite, for saved searches, bookmarks and the like.
+
+    A rewrite is written beside the table and then takes its place; if the session ends
+    in between, the next reader finds either the old rows or the complete new ones.
+    """
 
     def __init__(self, spark, path: str, schema: str):
         self.spark, self.path, self.schema = spark, path, schema
+        self._beside = f"{path}-rewritten"
+
+    def _folder(self, path: str):
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return folder, folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _settle(self) -> None:
+        """Finish a rewrite whose table is gone already, and drop one that was not complete."""
+        old, files = self._folder(self.path)
+        new, _ = self._folder(self._beside)
+        if files.exists(new):
+            if files.exists(old):
+                files.delete(new, True)
+            else:
+                files.rename(new, old)
 
     def rows(self) -> DataFrame:
-        from pyspark.errors import AnalysisException
-
-        try:
-            return self.spark.read.schema(self.schema).parquet(self.path)
-        except AnalysisException:
+        self._settle()
+        old, files = self._folder(self.path)
+        if not files.exists(old):
             return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(self.path)
 
     def add(self, rows: list[tuple]) -> None:
+        self._settle()
         self.spark.createDataFrame(rows, self.schema).write.mode("append").parquet(self.path)
 
     def remove(self, condition: Column) -> None:
-        """Rewrite without the matching rows; rows pass through memory, so the table must be small."""
-        kept = self.rows().where(~condition).collect()
-        self.spark.createDataFrame(kept, self.schema).write.mode("overwrite").parquet(self.path)
+        """Rewrite without the rows for which the condition holds."""
+        self.rows().where(~F.coalesce(condition, F.lit(False))).write.parquet(self._beside)
+        old, files = self._folder(self.path)
+        files.delete(old, True)
+        self._settle()

@@ -6,6 +6,8 @@ concordance is a scan, a filter and a top-k, without shuffle or window.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +42,14 @@ def context(toks: Column, at: Column, window: int) -> tuple[Column, Column]:
 
 def hits(sents: DataFrame, query: str, case_sensitive: bool = False) -> DataFrame:
     """One row for each match in sentence rows: their columns, token_idx and node."""
-    some = sents.where(F.exists("toks", lambda t: matches(t, query, case_sensitive)))
-    return some.select("*", F.posexplode("toks").alias("token_idx", "node")).where(matches(F.col("node"), query, case_sensitive))
+    return at_matches(sents, lambda t: matches(t, query, case_sensitive))
+
+
+def at_matches(sents: DataFrame, test: Callable[[Column], Column]) -> DataFrame:
+    """Sentence rows once for each matching token, with token_idx and node; only positions are exploded."""
+    found = F.filter(F.transform("toks", lambda t, i: F.when(test(t), i)), lambda i: i.isNotNull())
+    at = sents.select("*", F.explode(found).alias("token_idx"))
+    return at.withColumn("node", F.get("toks", F.col("token_idx")))
 
 
 def search_concordance(docs: DataFrame, query: str, case_sensitive: bool = False, window: int = 5, limit: int | None = 100, offset: int = 0) -> DataFrame:

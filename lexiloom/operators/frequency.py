@@ -25,16 +25,17 @@ def frequency(tokens_df: DataFrame, item: str = "text", min_freq: int = 1, limit
 
 def corpus_statistics(docs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Documents, sentences, tokens and true distinct types, for the whole table or by columns."""
-    sized = docs.select(*by, split_sentences(F.col("text")).alias("s"))
-    sized = sized.select(*by, F.size("s").alias("n"), F.flatten(F.transform("s", split_tokens)).alias("t"))
-    counts = sized.groupBy(*by).agg(F.count("*").alias("documents"), F.sum(F.greatest("n", F.lit(0))).alias("sentences"), F.sum(F.greatest(F.size("t"), F.lit(0)).cast("long")).alias("tokens"))
-    types = tokens(docs, by).select(*by, "text_lc").distinct().groupBy(*by).agg(F.count("*").alias("types"))
+    sized = docs.select(*by, F.size(split_sentences(F.col("text"))).alias("n"))
+    counts = sized.groupBy(*by).agg(F.count("*").alias("documents"), F.sum(F.greatest("n", F.lit(0))).alias("sentences"))
+    # Each word once: its count gives the tokens, its row the type.
+    words = tokens(docs, by).groupBy(*by, "text_lc").agg(F.count("*").alias("c"))
+    types = words.groupBy(*by).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count("*").alias("types"))
     if not by:
         return counts.crossJoin(F.broadcast(types)).select("documents", "sentences", "tokens", "types")
     same = counts[by[0]].eqNullSafe(types[by[0]])
     for c in by[1:]:
         same &= counts[c].eqNullSafe(types[c])
-    return counts.join(types, same, "left").select(*(counts[c] for c in by), "documents", "sentences", "tokens", F.coalesce("types", F.lit(0)).alias("types"))
+    return counts.join(types, same, "left").select(*(counts[c] for c in by), "documents", "sentences", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("types", F.lit(0)).alias("types"))
 
 
 def standardised_ttr(docs: DataFrame, chunk: int = 1000) -> DataFrame:
@@ -43,14 +44,14 @@ def standardised_ttr(docs: DataFrame, chunk: int = 1000) -> DataFrame:
     Positions come from per-document counts and running sums over them, never from
     an ordering of all tokens.
     """
-    per_doc = tokens(docs).groupBy("doc_id").agg(F.count("*").alias("n"))
     rows = docs.select("doc_id", F.flatten(F.transform(split_sentences(F.col("text")), split_tokens)).alias("toks"))
+    per_doc = rows.select("doc_id", F.greatest(F.size("toks"), F.lit(0)).alias("n"))
     placed = rows.join(positions(per_doc), "doc_id").select("offset", F.posexplode("toks").alias("at", "text"))
     chunks = placed.groupBy(F.floor((F.col("offset") + F.col("at")) / chunk).alias("chunk"), "text").agg(F.count("*").alias("c"))
     by_chunk = chunks.groupBy("chunk").agg(F.sum("c").alias("n"), F.count("*").alias("types"))
     full = F.col("n") == chunk
     ratios = by_chunk.agg(F.avg(F.when(full, F.col("types") / F.col("n"))).alias("mean"), F.count_if(full).alias("chunks"))
-    whole = tokens(docs).groupBy("text").agg(F.count("*").alias("c")).agg(m.type_token_ratio(F.count("*"), F.sum("c")).alias("ttr"))
+    whole = chunks.groupBy("text").agg(F.sum("c").alias("c")).agg(m.type_token_ratio(F.count("*"), F.sum("c")).alias("ttr"))
     return ratios.crossJoin(F.broadcast(whole)).select(F.round(F.when(F.col("chunks") > 1, F.col("mean")).otherwise(F.col("ttr")), 6).alias("sttr"), "chunks")
 
 

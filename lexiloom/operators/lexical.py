@@ -83,30 +83,35 @@ def claims(docs: DataFrame, rows: list[tuple[str, Column, Column]], id_col: str
     return docs.select(id_col, F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())).alias("x")).select(id_col, "x.category", "x.confidence")
 
 
+def with_markers(docs: DataFrame, lists: dict[str, list[str]], text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(id, text, one count for each list): the text is lowered once and each list counted once."""
+    low = docs.select(id_col, F.lower(F.col(text_col)).alias("text"))
+    return low.select(id_col, "text", *(markers_found(F.col("text"), w).alias(k) for k, w in lists.items()))
+
+
 def persuasion(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Appeals by their markers, a third of confidence each, and argument structure by causal connectors."""
-    text = F.lower(F.col(text_col))
-    rules = [(k, markers_found(text, w) > 0, F.least(F.lit(1.0), markers_found(text, w) / 3)) for k, w in lexicons.PERSUASION.items()]
-    return claims(docs, [*rules, ("argument_structure", markers_found(text, lexicons.TOULMIN) > 0, F.lit(0.6))])
+    found = with_markers(docs, lexicons.PERSUASION | {"argument_structure": lexicons.TOULMIN}, text_col)
+    rules = [(k, F.col(k) > 0, F.least(F.lit(1.0), F.col(k) / 3)) for k in lexicons.PERSUASION]
+    return claims(found, [*rules, ("argument_structure", F.col("argument_structure") > 0, F.lit(0.6))])
 
 
 def framing(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    text = F.lower(F.col(text_col))
-    return claims(docs, [(k, markers_found(text, w) > 0, F.lit(0.6)) for k, w in lexicons.FRAMING.items()])
+    return claims(with_markers(docs, lexicons.FRAMING, text_col), [(k, F.col(k) > 0, F.lit(0.6)) for k in lexicons.FRAMING])
 
 
 def narrative(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Narrative stages; the abstract is looked for in the text before its first non-empty full-stop part ends."""
-    text = F.lower(F.col(text_col))
-    parts = F.filter(F.split(text, r"\."), lambda s: F.trim(s) != "")
+    found = with_markers(docs, lexicons.NARRATIVE, text_col)
+    parts = F.filter(F.split("text", r"\."), lambda s: F.trim(s) != "")
     opening = F.try_element_at(parts, F.lit(1))
-    rules = [("abstract", markers_found(opening, lexicons.NARRATIVE_OPENING) > 0, F.lit(0.5))]
-    return claims(docs, rules + [(k, markers_found(text, w) > 0, F.lit(0.5)) for k, w in lexicons.NARRATIVE.items()])
+    found = found.withColumn("opening_", opening).withColumn("abstract", markers_found(F.col("opening_"), lexicons.NARRATIVE_OPENING))
+    return claims(found, [(k, F.col(k) > 0, F.lit(0.5)) for k in ["abstract", *lexicons.NARRATIVE]])
 
 
-def cultural(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    text = F.lower(F.col(text_col))
-    return claims(docs, [(k, markers_found(text, w) > 0, F.lit(0.5)) for k, w in lexicons.CULTURAL.items()])
+def cultural(docs: DataFrame, text_col: str = "text", lists: dict[str, list[str]] | None = None) -> DataFrame:
+    lists = lists or lexicons.CULTURAL
+    return claims(with_markers(docs, lists, text_col), [(k, F.col(k) > 0, F.lit(0.5)) for k in lists])
 
 
 def keyword_pattern(words: list[str]) -> str:

@@ -78,9 +78,8 @@ def grammar_counts(t: DataFrame, patterns: list[str] | None = None, examples: in
     found = grammar(t, patterns)
     first = F.slice(F.array_sort(F.collect_list(F.struct(*KEY, "token_idx", "evidence_id"))), 1, examples)
     counts = found.groupBy("pattern").agg(F.count("*").alias("freq"))
-    # Examples come from each document's least match, so no group is gathered whole.
-    least = found.groupBy("pattern", "doc_id").agg(F.min(F.struct("sentence_idx", "token_idx", "evidence_id")).alias("x")).select("pattern", "doc_id", "x.*")
-    ranked = top_rows(least, "pattern", ["doc_id", "sentence_idx", "token_idx"], examples)
+    # Each partition is cut to its first few before the shuffle, so no group is gathered whole.
+    ranked = top_rows(found, "pattern", [*KEY, "token_idx", "evidence_id"], examples)
     return counts.join(ranked.groupBy("pattern").agg(F.transform(first, lambda x: x["evidence_id"]).alias("examples")), "pattern", "left")
 
 

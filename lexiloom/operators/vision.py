@@ -16,9 +16,15 @@ from pyspark.sql import functions as F
 from ..functions import measures as m
 from .lexical import claims
 
-#: Named colours of the alignment, their RGB.
-COLOURS = {"red": (255, 0, 0), "green": (0, 128, 0), "blue": (0, 0, 255), "yellow": (255, 255, 0), "orange": (255, 165, 0), "purple": (128, 0, 128), "black": (0, 0, 0), "white": (255, 255, 255), "grey": (128, 128, 128), "brown": (139, 69, 19), "pink": (255, 192, 203)}
-POSITIONS = {"left": "x < 0.34", "right": "x > 0.66", "top": "y < 0.34", "bottom": "y > 0.66", "centre": "x between 0.34 and 0.66 and y between 0.34 and 0.66"}
+#: Named colours of the alignment and their RGB.
+COLOURS = {
+    "red": (220, 50, 50), "crimson": (220, 20, 60), "scarlet": (255, 36, 0), "blue": (50, 50, 220), "navy": (0, 0, 128), "azure": (0, 127, 255), "green": (50, 180, 50), "olive": (128, 128, 0), "lime": (191, 255, 0),
+    "yellow": (255, 255, 0), "gold": (255, 215, 0), "orange": (255, 165, 0), "amber": (255, 191, 0), "purple": (128, 0, 128), "violet": (238, 130, 238), "magenta": (255, 0, 255), "pink": (255, 192, 203),
+    "white": (255, 255, 255), "black": (0, 0, 0), "grey": (128, 128, 128), "gray": (128, 128, 128), "brown": (139, 69, 19), "tan": (210, 180, 140),
+}
+#: Where the centre of a region has to be for a position term.
+MIDDLE = "x > 0.3 and x < 0.7 and y > 0.3 and y < 0.7"
+POSITIONS = {"left": "x < 0.4", "right": "x > 0.6", "top": "y < 0.4", "bottom": "y > 0.6", "center": MIDDLE, "centre": MIDDLE, "middle": MIDDLE}
 
 
 def pixel_measures(pixels: np.ndarray) -> dict:

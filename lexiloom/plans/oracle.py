@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions import lexicons
 from ..functions.cleaning import BUCKWALTER
+from ..operators import lexical, vision
 from . import fixtures
 
 TEXT_TOKENS = """
@@ -170,6 +171,7 @@ GRAMMAR = f"""p AS ({PARSED}), g AS (
   UNION ALL SELECT t.doc_id, t.sentence_idx, t.token_idx, 'tense', CASE WHEN contains(morph, 'Tense=Past') THEN 'past' WHEN contains(morph, 'Tense=Pres') THEN 'present' ELSE 'future' END, t.text, {EV} FROM p t WHERE pos IN ('VERB', 'AUX') AND regexp_matches(morph, 'Tense=(Past|Pres|Fut)'))"""
 D = "o::DOUBLE AS o, r::DOUBLE AS r, c::DOUBLE AS c, n::DOUBLE AS n"
 ALIGN = f"""WITH base AS ({ALL}), {TEXT_TOKENS}, pr AS (SELECT a.doc_id, b.doc_id AS target_id, a.sentence_idx::INT AS sentence_idx, a.sentence AS source, b.sentence AS target FROM sents a JOIN sents b ON b.doc_id = a.doc_id + 1 AND b.sentence_idx = a.sentence_idx WHERE a.lang = 'en')"""
+ALIGN_LEFT = ALIGN.replace("FROM sents a JOIN", "FROM sents a LEFT JOIN")
 ATT = lexicons.ATTESTED
 
 
@@ -236,19 +238,19 @@ ORACLE: dict[str, str] = {
     "persuasion_markers": claim_sql([(k, f"{markers('t', w)} > 0", f"least(1.0::DOUBLE, {markers('t', w)} / 3)") for k, w in lexicons.PERSUASION.items()] + [("argument_structure", f"{markers('t', lexicons.TOULMIN)} > 0", "0.6")]),
     "framing_markers": claim_sql([(k, f"{markers('t', w)} > 0", "0.6") for k, w in lexicons.FRAMING.items()]),
     "narrative_stages": claim_sql([("abstract", f"{markers('coalesce(list_filter(string_split(t, chr(46)), lambda s: length(trim(s)) > 0)[1], chr(32))', lexicons.NARRATIVE_OPENING)} > 0", "0.5")] + [(k, f"{markers('t', w)} > 0", "0.5") for k, w in lexicons.NARRATIVE.items()]),
-    "cultural_markers": claim_sql([(k, f"{markers('t', w)} > 0", "0.5") for k, w in lexicons.CULTURAL.items()]),
+    "cultural_markers": claim_sql([(k, f"{markers('t', w)} > 0", "0.5") for k, w in lexicons.ATTESTED["cultural"].items()]),
     "top_words": r"SELECT word, count(*) AS freq FROM (SELECT unnest(regexp_split_to_array(lower(text), '\s+')) AS word FROM documents) WHERE length(word) >= 2 GROUP BY word ORDER BY freq DESC, word LIMIT 50",
     "register_scores": r"SELECT doc_id, round(c / (c + d + 1), 3) AS classical, round(1 / (c + d + 1), 3) AS msa, round(d / (c + d + 1), 3) AS dialectal FROM (SELECT doc_id, len(list_intersect(w, ['the', 'der', 'una'])) AS c, len(list_intersect(w, ['of', 'and'])) AS d FROM (SELECT doc_id, list_distinct(regexp_split_to_array(text, '\s+')) AS w FROM documents))",
     "dialect_heuristic": f"SELECT id, CASE WHEN k = 'none' THEN 0.85 ELSE 0.3 END::DOUBLE AS msa, CASE WHEN k = 'egy' THEN 0.6 ELSE 0.05 END::DOUBLE AS egy, CASE WHEN k = 'glf' THEN 0.6 ELSE 0.05 END::DOUBLE AS glf, CASE WHEN k = 'lev' THEN 0.6 ELSE 0.05 END::DOUBLE AS lev FROM (SELECT id, CASE " + " ".join(f"WHEN {markers('text', w)} > 0 THEN '{k}'" for k, w in lexicons.DIALECT_MARKERS.items()) + f" ELSE 'none' END AS k FROM ({values(fixtures.ARABIC, 'id, text', 'id::BIGINT AS id, text')}))",
     "align_positional": ALIGN + " SELECT doc_id, target_id, sentence_idx, round(greatest(0, 1 - 0.5 * abs(1 - length(source) / length(target))), 6) AS confidence FROM pr",
-    "parallel_kwic": ALIGN + rf", w AS (SELECT doc_id, sentence_idx, target, {split_words('source')} AS w FROM pr) SELECT doc_id, sentence_idx, (i - 1)::INT AS token_idx, array_to_string(list_slice(w, greatest(i - 5, 1), i - 1), ' ') AS left_context, node, array_to_string(list_slice(w, i + 1, i + 5), ' ') AS right_context, target FROM (SELECT *, unnest(w) AS node, generate_subscripts(w, 1) AS i FROM w) WHERE lower(node) = 'the'",
+    "parallel_kwic": ALIGN_LEFT + rf", w AS (SELECT doc_id, sentence_idx, target, {split_words('source')} AS w FROM pr) SELECT doc_id, sentence_idx, (i - 1)::INT AS token_idx, array_to_string(list_slice(w, greatest(i - 5, 1), i - 1), ' ') AS left_context, node, array_to_string(list_slice(w, i + 1, i + 5), ' ') AS right_context, target FROM (SELECT *, unnest(w) AS node, generate_subscripts(w, 1) AS i FROM w) WHERE lower(node) = 'the'",
     "subcorpus_filter": "SELECT doc_id, lang FROM documents WHERE source = 'src5' AND (2000 + doc_id % 20)::VARCHAR BETWEEN '2005' AND '2010'",
     "delete_documents": stats_all("SELECT * FROM documents WHERE doc_id NOT IN (0, 1, 2, 3)"),
     "ai_disclosure": "SELECT count(*) AS turns, count(*) FILTER (role = 'assistant') AS assistant_turns, count(*) FILTER (role = 'user') AS user_turns, count(DISTINCT conv_id) AS conversations, (SELECT string_agg(role, ',' ORDER BY role) FROM (SELECT DISTINCT role FROM conversations)) AS roles FROM conversations",
     "measures_truth_table": f"SELECT id, round(log2(o / (r * c / n)), 6) AS mi, round((o - r * c / n) / sqrt(o), 6) AS t_score, round(2 * o / (r + c), 6) AS dice, round(14 + log2(2 * o / (r + c)), 6) AS log_dice, round({ll('o', 'r', 'c', 'n')}, 6) AS ll, round({chi('o', 'r', 'c', 'n')}, 6) AS chi2, round(o / r - CASE WHEN n - r > 0 THEN (c - o) / (n - r) ELSE 0 END, 6) AS dp_yx, round(o / c - CASE WHEN n - c > 0 THEN (r - o) / (n - c) ELSE 0 END, 6) AS dp_xy, round((o / c * 1e6 + 1) / (r / n * 1e6 + 1), 6) AS simple FROM ({values(fixtures.COUNTS, 'id, o, r, c, n', 'id::BIGINT AS id, ' + D)})",
     "dispersion_truth_table": f"WITH t AS ({values(fixtures.PARTS, 'id, fs', 'id::BIGINT AS id, unnest(fs) AS f')}), s AS (SELECT id, sum(f) AS total, count(*) AS n, avg(f) AS mean, stddev_pop(f) AS sd FROM t GROUP BY id) SELECT id, round(max(CASE WHEN n < 2 THEN 1 WHEN mean = 0 THEN 0 ELSE greatest(0, 1 - sd / mean / sqrt(n - 1)) END), 6) AS d, round(coalesce(0.5 * sum(CASE WHEN total > 0 THEN abs(f / total - 1 / n) END), 0), 6) AS dp FROM t JOIN s USING (id) GROUP BY id",
     "grammar_fixture": f"WITH {GRAMMAR} SELECT * FROM g",
-    "grammar_counts_fixture": f"WITH {GRAMMAR}, r AS (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY doc_id) AS k FROM (SELECT pattern, doc_id, arg_min(evidence_id, sentence_idx * 1000 + token_idx) AS e FROM g GROUP BY ALL)) SELECT pattern, freq, examples FROM (SELECT pattern, count(*) AS freq FROM g GROUP BY pattern) JOIN (SELECT pattern, string_agg(e, ',' ORDER BY doc_id) AS examples FROM r WHERE k <= 3 GROUP BY pattern) USING (pattern)",
+    "grammar_counts_fixture": f"WITH {GRAMMAR}, r AS (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY doc_id, sentence_idx, token_idx, evidence_id) AS k FROM g) SELECT pattern, freq, examples FROM (SELECT pattern, count(*) AS freq FROM g GROUP BY pattern) JOIN (SELECT pattern, string_agg(evidence_id, ',' ORDER BY k) AS examples FROM r WHERE k <= 3 GROUP BY pattern) USING (pattern)",
     "pos_distribution_fixture": f"WITH p AS ({PARSED}) SELECT pos, count(*) AS freq, round(count(*) / (SELECT count(*) FROM p) * 100, 4) AS percent FROM p GROUP BY pos",
     "pos_bigrams_fixture": f"WITH p AS ({PARSED}) SELECT pattern, count(*) AS freq FROM (SELECT pos || ' ' || lead(pos) OVER (PARTITION BY doc_id, sentence_idx ORDER BY token_idx) AS pattern FROM p) WHERE pattern IS NOT NULL GROUP BY pattern",
     "dependency_pairs_fixture": f"WITH p AS ({PARSED}) SELECT h.lemma AS governor, t.lemma AS dependent, count(*) AS freq FROM p t {HEAD} WHERE t.dep_rel = 'nsubj' GROUP BY ALL",
@@ -294,3 +296,20 @@ ORACLE |= {
       coalesce((SELECT string_agg(c.text, ' ' ORDER BY c.token_idx) FROM p c WHERE c.doc_id = t.doc_id AND c.sentence_idx = t.sentence_idx AND c.token_idx BETWEEN t.token_idx + 1 AND t.token_idx + 2), '') AS right_context
       FROM p t WHERE lower(t.lemma) = 'climb'""",
 }
+
+COLOUR_ROWS = ", ".join(f"('{k}', {r}, {g}, {b})" for k, (r, g, b) in vision.COLOURS.items())
+PLACES = " ".join(f"WHEN span = '{k}' THEN CASE WHEN {rule} THEN 0.7 ELSE 0.0 END" for k, rule in vision.POSITIONS.items())
+TERMS = ", ".join(f"'{k}'" for k in [*vision.COLOURS, *vision.POSITIONS])
+REDACTED = text(lexical.keyword_pattern(ATT["redaction"]))
+
+ORACLE |= {
+    "region_alignment_fixture": rf"""WITH r AS ({values(fixtures.REGIONS, 'image_id, region, x, y, r, g, b', 'image_id::BIGINT AS image_id, region::BIGINT AS region, x, y, r, g, b')}),
+      c AS ({values(fixtures.CAPTIONS, 'image_id, caption', 'image_id::BIGINT AS image_id, caption')}), w AS (SELECT image_id, string_split_regex(lower(caption), '\s+') AS ws FROM c),
+      t AS (SELECT image_id, (i - 1)::INT AS "at", regexp_replace(ws[i], '^[^\pL\pN]+|[^\pL\pN]+$', '', 'g') AS span FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM w)),
+      s AS (SELECT * FROM t WHERE (length(span) >= 4 OR span IN ({TERMS})) AND span NOT IN ('with', 'this', 'that')),
+      k AS (SELECT * FROM (VALUES {COLOUR_ROWS}) v(name, cr, cg, cb))
+      SELECT * FROM (SELECT r.image_id, region, "at", span, round(coalesce(CASE WHEN name IS NOT NULL THEN greatest(0.0, 1 - 2 * sqrt((r - cr) * (r - cr) + (g - cg) * (g - cg) + (b - cb) * (b - cb)) / (sqrt(3.0) * 255)) END, CASE {PLACES} END, 0.2)::DOUBLE, 6) AS score
+      FROM r JOIN s ON r.image_id = s.image_id LEFT JOIN k ON span = name) WHERE score > 0.1""",
+    "redact_sentences": rf"""WITH s AS (SELECT doc_id, regexp_matches(text, {REDACTED}) AS hit, string_split_regex(text, '[.!?]\s+') AS parts FROM documents)
+      SELECT doc_id, hit AS was_filtered, (1 + len(list_filter(parts, lambda x: regexp_matches(x, {REDACTED}))))::BIGINT AS parts FROM s""",
+}

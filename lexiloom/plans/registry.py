@@ -122,26 +122,25 @@ def _counts(df: DataFrame) -> DataFrame:
 
 @query
 def keyness_source_vs_rest(spark, d):
-    x = english(spark, d)
-    return association.keyness(_counts(x.where("source = 'src1'")), _counts(x.where("source <> 'src1'")))
+    words = tokens(english(spark, d).where("source is not null"), ("source",))
+    return association.keyness_of_parts(words, F.col("source") == "src1")
 
 
 @query
 def keyness_top(spark, d):
-    x = english(spark, d)
-    return association.top_keyness(association.keyness(_counts(x.where("source = 'src1'")), _counts(x.where("source <> 'src1'"))), "positive", 50)
+    return association.top_keyness(keyness_source_vs_rest(spark, d), "positive", 50)
 
 
 @query
 def keyness_conversation_roles(spark, d):
     x = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), "role", "text")
-    return association.keyness(_counts(x.where("role = 'user'")), _counts(x.where("role = 'assistant'")))
+    return association.keyness_of_parts(tokens(x.where("role in ('user', 'assistant')"), ("role",)), F.col("role") == "user")
 
 
 @query
 def keyness_quality_labels(spark, d):
-    x = docs(spark, d).join(table(spark, d, "labels"), "doc_id")
-    return association.keyness(_counts(x.where("quality = 1")), _counts(x.where("quality = 0")))
+    x = docs(spark, d).join(table(spark, d, "labels").where("quality in (0, 1)"), "doc_id")
+    return association.keyness_of_parts(tokens(x, ("quality",)), F.col("quality") == 1)
 
 
 @query
@@ -207,7 +206,7 @@ def rare_words(spark, d):
 
 def _cleaned(spark, d, **options):
     c = cleaning.clean_text(F.col("text"), cleaning.CleanOptions(**options))
-    return docs(spark, d).select("doc_id", F.length(c).cast("long").alias("n_chars"), F.md5(c).alias("digest"))
+    return docs(spark, d).select("doc_id", c.alias("c")).select("doc_id", F.length("c").cast("long").alias("n_chars"), F.md5("c").alias("digest"))
 
 
 @query
@@ -237,7 +236,7 @@ def clean_corpus_effect(spark, d):
 @query
 def html_text(spark, d):
     text = cleaning.strip_html(F.col("html"))
-    return table(spark, d, "pages").select("page_id", F.length(text).cast("long").alias("n_chars"), F.md5(text).alias("digest"))
+    return table(spark, d, "pages").select("page_id", text.alias("c")).select("page_id", F.length("c").cast("long").alias("n_chars"), F.md5("c").alias("digest"))
 
 
 @query
@@ -269,7 +268,7 @@ def narrative_stages(spark, d):
 
 @query
 def cultural_markers(spark, d):
-    return lexical.cultural(docs(spark, d))
+    return lexical.cultural(docs(spark, d), lists=lexicons.ATTESTED["cultural"])
 
 
 @query
@@ -308,7 +307,8 @@ def align_positional(spark, d):
 
 @query
 def parallel_kwic(spark, d):
-    return bilingual.parallel_concordance(bilingual.align(*_sides(spark, d)), "the", limit=None)
+    source, target, pairs = _sides(spark, d)
+    return bilingual.parallel_concordance(source, target, "the", pairs, limit=None)
 
 
 @query
@@ -319,7 +319,7 @@ def subcorpus_filter(spark, d):
 
 @query
 def delete_documents(spark, d):
-    return frequency.corpus_statistics(catalog.delete_document(docs(spark, d), [0, 1, 2, 3]))
+    return frequency.corpus_statistics(catalog.delete_document(docs(spark, d), spark.range(4).withColumnRenamed("id", "doc_id")))
 
 
 @query
