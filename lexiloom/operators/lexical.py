@@ -115,9 +115,10 @@ def cultural(docs: DataFrame, text_col: str = "text", lists: dict[str, list[str]
 
 
 def keyword_pattern(words: list[str]) -> str:
+    """One of the words between what is no letter, digit or underscore of any script."""
     import re
 
-    return r"(?i)\b(?:" + "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True)) + r")\b"
+    return r"(?i)(?:^|[^\p{L}\p{N}_])(?:" + "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True)) + r")(?:$|[^\p{L}\p{N}_])"
 
 
 def redact_sentences(docs: DataFrame, words: list[str] | None = None, mark: str = lexicons.REDACTION_MARK, gate_open: bool = False) -> DataFrame:
