@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import logging
+import re
 import unicodedata
 import zlib
 from array import array
@@ -35,20 +36,28 @@ from .common import claim, map_batches, slices, text_slices, write_read
 log = logging.getLogger(__name__)
 #: Most pieces of a pattern, and the share of a sequence that it may leave, of the plans that are compared.
 PLANS = ((8, 32), (3, 32), (3, 8))
-CACHE_ENTRIES, WORD_ENTRIES = 450_000, 200_000
+CACHE_ENTRIES, WORD_ENTRIES = 200_000, 500_000
 #: Texts with these go to the tokenizer whole: they split Python's words, not its own.
 ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
 #: Fixed value: the split pattern of this kind of vocabulary, applied to lower-cased text.
+#: Texts with these go through the memory of chunks.
+ODD = re.compile("[\u2000-\U0010ffff\u03a3\u0130\x1c-\x1f]|<\\|")
+ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
+#: The same for letters below U+0180 where no other number than the ten digits occurs.
+LATIN_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\s\w]|_)+")
+NOT_LATIN = re.compile("[\u0180-\uffff\u00b2\u00b3\u00b9\u00bc-\u00be]")
 PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
 class ChunkTokenizer:
-    """Ids of whole texts through a memory of space-free chunks.
+    """Ids of whole texts through memories of words and space-free chunks.
 
     For vocabularies whose pre-tokenizer drops white space, a text's ids are the
-    ids of its chunks in turn.  Chunks of the common alphabets are composed,
+    ids of its words in turn.  Texts of the common alphabets are composed, lower-cased
+    and split here and their words encoded many at a time by the backtracking encoder.
+    Other texts are the ids of their chunks in turn.  Chunks of the common alphabets are composed,
     lower-cased and split here and their words encoded many at a time by the
     backtracking encoder; all others are encoded by the library, one by one.
     """
@@ -84,20 +93,42 @@ class ChunkTokenizer:
         chunk = chunk.lower()
         return [chunk] if chunk.isalpha() else PARTS.findall(chunk)
 
+    def words_of(self, text: str) -> list[str] | None:
+        """Words of a whole text after normalisation; None if it goes by chunks."""
+        if not self.own_split or ODD.search(text):
+            return None
+        if text.isascii():
+            return ASCII_PARTS.findall(text.lower())
+        text = unicodedata.normalize("NFC", text).lower()
+        return (PARTS if NOT_LATIN.search(text) else LATIN_PARTS).findall(text)
+
+    def learn(self, words: list[str]) -> None:
+        for a, b in slices([len(w) for w in words], 1 << 20):
+            self.words.update(zip(words[a:b], self.bpe.encode_words([w.encode() for w in words[a:b]]), strict=True))
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Little-endian ids of each text."""
+        if len(self.words) >= WORD_ENTRIES:
+            self.words.clear()
+        split = [self.words_of(t) for t in texts]
+        new: set[str] = set()
+        new.update(*(w for w in split if w is not None))
+        self.learn(list(new - self.words.keys()))
+        self.prepare([t for t, w in zip(texts, split, strict=True) if w is None])
+        of = self.words.__getitem__
+        return [self.encode(t) if w is None else b"".join(map(of, w)) for t, w in zip(texts, split, strict=True)]
+
     def prepare(self, texts: list[str]) -> None:
         """Learn all unknown chunks of many texts at once."""
         if len(self.known) >= CACHE_ENTRIES:
             self.known.clear()
-        if len(self.words) >= WORD_ENTRIES:
-            self.words.clear()
         new: set[str] = set()
         for t in texts:
             new.update(t.split())
         new -= self.known.keys()
         split = {c: self.parts(c) if self.own_split else None for c in new}
         words = list({w for p in split.values() if p for w in p} - self.words.keys())
-        for a, b in slices([len(w) for w in words], 1 << 17):
-            self.words.update(zip(words[a:b], self.bpe.encode_words([w.encode() for w in words[a:b]]), strict=True))
+        self.learn(words)
         of = self.words.__getitem__
         self.known.update((c, of(p[0]) if len(p) == 1 else b"".join(map(of, p))) for c, p in split.items() if p is not None)
         rest = [c for c, p in split.items() if p is None]
@@ -135,22 +166,21 @@ def tokenized_pieces(df: DataFrame, path: str, capacity: int = 4096, end_id: int
         tail = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             for a, _, texts in text_slices(batch, text_col, 1 << 20):
-                tok.prepare(texts)
                 rows, out = [], defaultdict(list)
-                for i, text in enumerate(texts, a):
-                    ids = tok.encode(text) + tail
+                for i, own in enumerate(tok.encode_many(texts), a):
+                    ids = own + tail
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        own = ids[at : at + 4 * capacity]
-                        n = len(own) // 4
+                        part = ids[at : at + 4 * capacity]
+                        n = len(part) // 4
                         rows.append(i)
                         out["piece"].append(k)
                         out["start"].append(at // 4)
                         out["length"].append(n)
-                        out["ids_crc32"].append(zlib.crc32(own))
+                        out["ids_crc32"].append(zlib.crc32(part))
                         out["seq"].append(int(seen[n]))
                         seen[n] += 1
                         if with_ids:
-                            out["ids"].append(np.frombuffer(own, dtype="<u4").astype(np.int32))
+                            out["ids"].append(np.frombuffer(part, dtype="<u4").astype(np.int32))
                 columns = [batch.column(id_col).take(pa.array(rows)), pa.array(out["piece"], pa.int32()), *(pa.array(out[c], pa.int64()) for c in ("start", "length", "ids_crc32")), pa.array([task] * len(rows), pa.int32()), pa.array(out["seq"], pa.int64())]
                 names = [id_col, "piece", "start", "length", "ids_crc32", "task", "seq"]
                 if with_ids:
