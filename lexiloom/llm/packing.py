@@ -30,7 +30,6 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import BacktrackingBpe
 from .common import claim, map_batches, slices, text_slices, write_read
 
 log = logging.getLogger(__name__)
@@ -56,10 +55,10 @@ class ChunkTokenizer:
 
     For vocabularies whose pre-tokenizer drops white space, a text's ids are the
     ids of its words in turn.  Texts of the common alphabets are composed, lower-cased
-    and split here and their words encoded many at a time by the backtracking encoder.
-    Other texts are the ids of their chunks in turn.  Chunks of the common alphabets are composed,
-    lower-cased and split here and their words encoded many at a time by the
-    backtracking encoder; all others are encoded by the library, one by one.
+    and split here; the library encodes their new words many at a time, between spaces,
+    and the tokens that close a word cut its answer.  Other texts are the ids of their
+    chunks in turn.  Chunks of the common alphabets are composed, lower-cased and split
+    in the same way; all others are encoded by the library, one by one.
     """
 
     def __init__(self, path: str):
@@ -68,7 +67,10 @@ class ChunkTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.bpe = BacktrackingBpe(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        end = self.tokenizer.model.end_of_word_suffix or ""
+        self.closes[[i for w, i in vocabulary.items() if end and w.endswith(end)]] = True
         self.own_split = self._splits_as_expected(path)
         self.known: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -103,8 +105,16 @@ class ChunkTokenizer:
         return (PARTS if NOT_LATIN.search(text) else LATIN_PARTS).findall(text)
 
     def learn(self, words: list[str]) -> None:
+        """Put the ids of normalised words into the memory."""
         for a, b in slices([len(w) for w in words], 1 << 20):
-            self.words.update(zip(words[a:b], self.bpe.encode_words([w.encode() for w in words[a:b]]), strict=True))
+            own = words[a:b]
+            ids = np.array(self.tokenizer.encode(" ".join(own), add_special_tokens=False).ids, dtype="<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(own):
+                flat, cuts = ids.tobytes(), (4 * ends).tolist()
+                self.words.update(zip(own, (flat[i:j] for i, j in zip([0, *cuts], cuts)), strict=True))
+            else:  # a vocabulary whose words do not end in a token of their own
+                self.words.update((w, array("I", e.ids).tobytes()) for w, e in zip(own, self.tokenizer.encode_batch_fast(own, add_special_tokens=False), strict=True))
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
@@ -113,7 +123,7 @@ class ChunkTokenizer:
         split = [self.words_of(t) for t in texts]
         new: set[str] = set()
         new.update(*(w for w in split if w is not None))
-        self.learn(list(new - self.words.keys()))
+        self.learn(list(new.difference(self.words)))
         self.prepare([t for t, w in zip(texts, split, strict=True) if w is None])
         of = self.words.__getitem__
         return [self.encode(t) if w is None else b"".join(map(of, w)) for t, w in zip(texts, split, strict=True)]
@@ -125,10 +135,8 @@ class ChunkTokenizer:
         new: set[str] = set()
         for t in texts:
             new.update(t.split())
-        new -= self.known.keys()
-        split = {c: self.parts(c) if self.own_split else None for c in new}
-        words = list({w for p in split.values() if p for w in p} - self.words.keys())
-        self.learn(words)
+        split = {c: self.parts(c) if self.own_split else None for c in new.difference(self.known)}
+        self.learn(list({w for p in split.values() if p for w in p}.difference(self.words)))
         of = self.words.__getitem__
         self.known.update((c, of(p[0]) if len(p) == 1 else b"".join(map(of, p))) for c, p in split.items() if p is not None)
         rest = [c for c, p in split.items() if p is None]

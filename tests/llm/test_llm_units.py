@@ -61,11 +61,15 @@ def test_word_vocabulary_matches_library():
     path = public_tokenizers.path("word_bpe_49k.json")
     library, own = Tokenizer.from_file(path), packing.ChunkTokenizer(path)
     assert own.own_split
-    texts = odd_texts(1500, 2) + ["e\u0301 x\u0301\u00a0y it's 'tis I'LL .'s 12\u00bd\u00b2 \u0345a ΐ ſ ﬁ", " \u0301a b"]
+    texts = odd_texts(1500, 2) + ["e\u0301 x\u0301\u00a0y it's 'tis I'LL .'s 12\u00bd\u00b2 \u0345a ΐ ſ ﬁ", " \u0301a b", "J\u030c J\u030ca =\u0338 \u1100\u1161 </w> a</w> x"]
     for t, ids in zip(texts, own.encode_many(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+    many = own.encode_many(texts)
     own.prepare(texts)  # all by chunks give the same
-    assert [own.encode(t) for t in texts] == own.encode_many(texts)
+    assert [own.encode(t) for t in texts] == many
+    own.words.clear()
+    own.closes[:] = False  # words one by one give the same
+    assert own.encode_many(texts) == many
 
 
 @pytest.mark.parametrize("small", [False, True])
