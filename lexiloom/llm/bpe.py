@@ -250,7 +250,7 @@ class BacktrackingBpe:
     def learn(self, chunks: list[str]) -> None:
         """Put the ids of ' ' + chunk into the memory for all these chunks."""
         split = [[" " + c] if c.isalpha() else SPLIT.findall(" " + c) for c in chunks]
-        new = list({w for s in split for w in s} - self.words.keys())
+        new = list({w for s in split for w in s}.difference(self.words))
         for a, b in slices([len(w) for w in new], 1 << 20):
             self.words.update(zip(new[a:b], self.encode_words([w.encode() for w in new[a:b]]), strict=True))
         of = self.words.__getitem__
@@ -278,7 +278,7 @@ class BacktrackingBpe:
             return self.chunk_ids(head) + b"".join(map(self.chunks.__getitem__, rest))
         except KeyError:
             self.forget()
-            self.learn(list(set(rest) - self.chunks.keys()))
+            self.learn(list(set(rest).difference(self.chunks)))
         return self.chunk_ids(head) + b"".join(map(self.chunks.__getitem__, rest))
 
     def prepare(self, texts: list[str]) -> None:
@@ -287,7 +287,7 @@ class BacktrackingBpe:
         new: set[str] = set()
         for t in texts:
             new.update(t.split(" "))
-        self.learn(list(new - self.chunks.keys()))
+        self.learn(list(new.difference(self.chunks)))
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text; strings of special tokens in it become their ids."""

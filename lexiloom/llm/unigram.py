@@ -82,7 +82,7 @@ class UnigramCounter:
         new: set[str] = set()
         for t in texts:
             new.update(self.words(t))
-        for w in new - self.known.keys():
+        for w in new.difference(self.known):
             self.known[w] = self.count_word(MARK + w)
 
     @staticmethod
