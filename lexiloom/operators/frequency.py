@@ -63,11 +63,26 @@ def dispersion_table(parts: DataFrame, freq: str = "freq") -> DataFrame:
     return out.select(F.col("total").alias("frequency"), "parts", F.round(m.juilland_d(F.col("mean"), F.col("sd"), F.col("parts")), 6).alias("juilland_d"), F.round(F.coalesce(m.deviation_of_proportions(F.col("difference")), F.lit(0.0)), 6).alias("gries_dp"))
 
 
+def part_frequencies(docs: DataFrame, term: str, part: str = "doc_id") -> DataFrame:
+    """part, freq, tokens: how often a term stands in each part, and the part's size; parts without it have zero."""
+    toks = F.flatten(F.transform(split_sentences(F.col("text")), split_tokens))
+    rows = docs.select(part, toks.alias("toks"))
+    hits = F.size(F.filter("toks", lambda t: F.lower(t) == term.lower()))
+    return rows.groupBy(part).agg(F.sum(F.greatest(hits, F.lit(0)).cast("long")).alias("freq"), F.sum(F.greatest(F.size("toks"), F.lit(0)).cast("long")).alias("tokens"))
+
+
 def dispersion(docs: DataFrame, term: str, part: str = "doc_id") -> DataFrame:
     """How evenly a term is spread over the parts of a corpus; parts without it count as zero."""
-    hits = F.size(F.filter(F.flatten(F.transform(split_sentences(F.col("text")), split_tokens)), lambda t: F.lower(t) == term.lower()))
-    parts = docs.groupBy(part).agg(F.sum(F.greatest(hits, F.lit(0)).cast("long")).alias("freq"))
-    return dispersion_table(parts)
+    return dispersion_table(part_frequencies(docs, term, part))
+
+
+def weighted_dispersion(parts: DataFrame) -> DataFrame:
+    """Gries' DP of ``part_frequencies`` with each part expected to hold its share of the tokens; 0 without matches."""
+    total = parts.agg(F.sum("freq").alias("frequency"), F.sum("tokens").alias("size"), F.count("*").alias("parts"))
+    observed = F.col("freq") / F.nullif(F.col("frequency"), F.lit(0))
+    expected = F.col("tokens") / F.nullif(F.col("size"), F.lit(0))
+    out = parts.crossJoin(F.broadcast(total)).agg(F.max("frequency").alias("frequency"), F.max("parts").alias("parts"), F.sum(F.abs(observed - expected)).alias("x"))
+    return out.select(F.coalesce("frequency", F.lit(0)).alias("frequency"), F.coalesce("parts", F.lit(0)).alias("parts"), F.round(F.coalesce(F.col("x") / 2, F.lit(0.0)), 6).alias("weighted_dp"))
 
 
 def slide(toks: Column, n: int) -> Column:

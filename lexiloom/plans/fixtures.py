@@ -44,3 +44,5 @@ IMAGES = [(1, 0.8, 220.0, 0.7, 0.3, 0.45, 0.55, 0.7), (2, 0.1, 40.0, 0.5, 0.5, 0
 
 REGIONS = [(1, 0, 0.2, 0.2, 250, 10, 10), (1, 1, 0.8, 0.5, 10, 10, 240), (2, 0, 0.5, 0.9, 120, 130, 120)]
 CAPTIONS = [(1, "A red, bright flag on the left"), (2, "Grey sky with bottom text")]
+
+DOMINANT = ["#e02020", "#e0e020", "#20a020", "#2020c0", "#c020c0", "#808080"]

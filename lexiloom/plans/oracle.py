@@ -313,3 +313,71 @@ ORACLE |= {
     "redact_sentences": rf"""WITH s AS (SELECT doc_id, regexp_matches(text, {REDACTED}) AS hit, string_split_regex(text, '[.!?]\s+') AS parts FROM documents)
       SELECT doc_id, hit AS was_filtered, (1 + len(list_filter(parts, lambda x: regexp_matches(x, {REDACTED}))))::BIGINT AS parts FROM s""",
 }
+
+CAPTIONED = f"""SELECT doc_id AS image_id, coalesce(text, '') AS caption, coalesce(source, '') AS ocr, (doc_id % 21 - 10) / 10 AS warm, (doc_id % 11) / 10 AS sat,
+  doc_id % 256 AS bright, (doc_id % 8) / 8 AS centre, doc_id % {len(fixtures.DOMINANT)} AS hue, string_split_regex(lower(coalesce(text, '')), '\\s+') AS ws,
+  lower(coalesce(source, '') || ' ' || coalesce(text, '')) AS said FROM documents"""
+
+
+def readings(rules: list[tuple[str, str, str]], base: str = CAPTIONED, more: str = "") -> str:
+    return " UNION ALL ".join(f"SELECT image_id, '{k}' AS category, round(({v})::DOUBLE, 6) AS confidence{more} FROM ({base}) WHERE {ok}" for k, ok, v in rules)
+
+
+def one_of(x: str, ws: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({x}, {text(w)})" for w in ws) + ")"
+
+
+def how_many(x: str, ws: list[str]) -> str:
+    return "(" + " + ".join(f"contains({x}, {text(w)})::INT" for w in ws) + ")"
+
+
+def words_in(ws: list[str]) -> str:
+    return "(" + " + ".join(f"list_contains(ws, {text(w)})::INT" for w in ws) + ")"
+
+
+GROUPS = words_in(lexicons.IN_GROUP + lexicons.OUT_GROUP)
+TONE = "CASE WHEN warm > 0.2 AND bright > 150 THEN 'positive/warm' WHEN warm < -0.2 AND bright < 100 THEN 'negative/cold' WHEN bright > 200 THEN 'positive/bright' ELSE 'neutral' END"
+FEELINGS = f"SELECT image_id, {TONE} AS tone, {how_many('said', lexicons.GLAD_WORDS)} AS glad, {how_many('said', lexicons.SAD_WORDS)} AS sad FROM ({CAPTIONED})"
+CDA = {
+    "fairclough": [("textual_analysis", "caption <> '' OR ocr <> ''", "0.5"), ("ideological_naturalization", "sat > 0.5", "least(1, sat)")],
+    "van_dijk": [("us_them_polarization", f"{GROUPS} > 0", f"least(1, {GROUPS} / 5)")],
+    "wodak": [("historical_context", "TRUE", "0.4")],
+    "machin_mayr": [("visual_evaluative_loading:warm", "warm > 0.2", "least(1, abs(warm))"), ("visual_evaluative_loading:cold", "warm < -0.2", "least(1, abs(warm))")],
+}
+
+
+def parts(by: str) -> str:
+    return with_tokens(ALL, f"SELECT {by} AS part, count(*) FILTER (lower(text) = 'the') AS freq, count(*) AS tokens FROM toks GROUP BY 1")
+
+
+ORACLE |= {
+    "social_semiotic": readings(
+        [
+            *((f"symbolic_attribute:{k}", f"hue = {i}", "0.5") for i, k in enumerate(["red", "yellow", "green", "blue", "purple"])),
+            ("symbolic_attribute:high_key", "bright > 200", "0.5"),
+            ("symbolic_attribute:low_key", "bright < 60", "0.5"),
+            ("power_relation", "centre > 0.6", "least(1, 2 * (centre - 0.5))"),
+            ("identity", one_of("lower(caption)", lexicons.FIRST_PERSON), "0.6"),
+        ]
+    ),
+    "critical_discourse": " UNION ALL ".join(readings(rules, more=f", '{k}' AS framework") for k, rules in CDA.items()),
+    "visual_metaphor": readings(
+        [
+            ("visual_metaphor_candidate", "warm > 0.3 AND sat > 0.4", "0.4"),
+            ("cross_modal_metaphor_candidate", f"caption <> '' AND ocr <> '' AND warm > 0.2 AND {one_of('said', lexicons.COLD_WORDS)}", "0.3"),
+        ]
+    ),
+    "combined_emotion": readings(
+        [
+            *((f"image_emotion:{k}", f"tone = '{k}'", "0.5") for k in ("positive/warm", "negative/cold", "positive/bright", "neutral")),
+            ("text_emotion:positive", "glad > sad", "least(1, (glad + sad) / 5)"),
+            ("text_emotion:negative", "glad + sad > 0 AND glad <= sad", "least(1, (glad + sad) / 5)"),
+            ("emotional_mismatch", "tone LIKE 'positive%' AND glad + sad > 0 AND glad <= sad", "0.4"),
+        ],
+        FEELINGS,
+    ),
+    "dispersion_parts": f"""SELECT b.source, coalesce(freq, 0) AS freq, coalesce(tokens, 0) AS tokens FROM (SELECT DISTINCT source FROM documents) b
+      LEFT JOIN ({parts('source')}) p ON b.source IS NOT DISTINCT FROM p.part""",
+    "dispersion_weighted": f"""WITH q AS (SELECT coalesce(freq, 0) AS f, coalesce(tokens, 0) AS n FROM (SELECT DISTINCT doc_id FROM documents) b LEFT JOIN ({parts('doc_id')}) p ON doc_id = part)
+      SELECT coalesce(sum(f), 0)::BIGINT AS frequency, count(*) AS parts, round(coalesce(sum(abs(f / nullif((SELECT sum(f) FROM q), 0) - n / nullif((SELECT sum(n) FROM q), 0))) / 2, 0.0), 6) AS weighted_dp FROM q""",
+}

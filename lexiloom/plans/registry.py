@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import cleaning, lexicons
 from ..functions import measures as m
 from ..functions.tokens import annotated, sentences, tokens
-from ..operators import association, bilingual, catalog, concordance, frequency, lexical, syntax, vision
+from ..operators import association, bilingual, catalog, concordance, frequency, lexical, multimodal, syntax, vision
 from . import fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,6 +159,16 @@ def dispersion_by_source(spark, d):
     return frequency.dispersion(docs(spark, d), "the", part="source")
 
 
+@query
+def dispersion_parts(spark, d):
+    return frequency.part_frequencies(docs(spark, d), "the", part="source")
+
+
+@query
+def dispersion_weighted(spark, d):
+    return frequency.weighted_dispersion(frequency.part_frequencies(docs(spark, d), "the"))
+
+
 @query
 def bigrams(spark, d):
     return frequency.ngrams(english(spark, d), 2, limit=None)
@@ -417,3 +427,43 @@ def region_alignment_fixture(spark, d):
     regions = spark.createDataFrame(fixtures.REGIONS, "image_id bigint, region bigint, x double, y double, r int, g int, b int")
     spans = vision.text_spans(spark.createDataFrame(fixtures.CAPTIONS, "image_id bigint, caption string"), ["with", "this", "that"])
     return vision.align_regions(regions, spans)
+
+
+def captioned(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as captions of images whose measures come from their ids: a test of rules, not of images."""
+    n = F.col("doc_id")
+    colours = F.array(*map(F.lit, fixtures.DOMINANT))
+    return docs(spark, d).select(
+        n.alias("image_id"),
+        F.col("text").alias("caption"),
+        F.col("source").alias("ocr"),
+        ((F.pmod(n, F.lit(21)) - 10) / 10).alias("warm_cold"),
+        (F.pmod(n, F.lit(11)) / 10).alias("saturation"),
+        F.pmod(n, F.lit(256)).cast("double").alias("brightness"),
+        (F.pmod(n, F.lit(8)) / 8).alias("iv_centre"),
+        F.array(F.get(colours, F.pmod(n, F.lit(len(fixtures.DOMINANT))).cast("int"))).alias("dominant"),
+    )
+
+
+@query
+def social_semiotic(spark, d):
+    return multimodal.social_semiotic(captioned(spark, d))
+
+
+@query
+def critical_discourse(spark, d):
+    out = None
+    for k in multimodal.CDA_FRAMEWORKS:
+        found = multimodal.critical_discourse(captioned(spark, d), k).withColumn("framework", F.lit(k))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query
+def visual_metaphor(spark, d):
+    return multimodal.visual_metaphor(captioned(spark, d))
+
+
+@query
+def combined_emotion(spark, d):
+    return multimodal.combined_emotion(captioned(spark, d))
