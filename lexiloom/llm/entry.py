@@ -97,6 +97,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import simhash_duplicates
+
+    return simhash_duplicates(documents(spark, sf_dir), words=4, differ=4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit() and callable(f)}
 
