@@ -103,6 +103,19 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_duplicates(documents(spark, sf_dir), words=4, differ=4)
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectorcodes import compress_vectors
+
+    return compress_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hardneg import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), label=label)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit() and callable(f)}
 
@@ -127,7 +140,37 @@ CASE WHEN page_id < original THEN original END AS refers_to
 FROM p LEFT JOIN o ON o.h = p.h
 """
 
+FINITE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def op12_sql(rounds: int = 4) -> str:
+    """Codebooks round by round; distances from inner products, which are exact for whole numbers below 2^53."""
+    nearest = """a{r} AS MATERIALIZED (SELECT vec_id, part, min(((qq - 2 * list_dot_product(q, c) + list_dot_product(c, c)) * 256)::BIGINT + entry) AS k FROM p JOIN b{r} USING (part) GROUP BY ALL)"""
+    means = """m{r} AS (SELECT part, entry, list(x ORDER BY i) AS c FROM (SELECT part, k % 256 AS entry, i, floor(sum(q[i]) / count(*)) AS x FROM p JOIN a{r} USING (vec_id, part), range(1, 17) t(i) GROUP BY ALL) GROUP BY ALL),
+b{s} AS MATERIALIZED (SELECT part, b{r}.entry, coalesce(m{r}.c, b{r}.c) AS c FROM b{r} LEFT JOIN m{r} USING (part, entry))"""
+    steps = ",\n".join(f"{nearest.format(r=r)},\n{means.format(r=r, s=r + 1)}" for r in range(rounds))
+    return f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings WHERE {FINITE}),
+p AS MATERIALIZED (SELECT vec_id, label, part, q, list_dot_product(q, q) AS qq FROM (SELECT vec_id, label, part, x[16 * part + 1 : 16 * part + 16] AS q FROM v, range(4) t(part))),
+b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, q AS c FROM p QUALIFY entry < 256),
+{steps},
+{nearest.format(r=rounds)},
+e AS (SELECT vec_id, label, string_agg(printf('%02x', k % 256), '' ORDER BY part) AS code, sum(k // 256)::BIGINT AS error FROM a{rounds} JOIN p USING (vec_id, part) GROUP BY ALL)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+(SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: x::BIGINT), ','), ',' ORDER BY part, entry)) FROM b{rounds}) AS codebooks_sha256
+FROM e
+"""
+
+
+OP13_SQL = f"""
+WITH v AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings WHERE label IS NOT NULL AND {FINITE}),
+s AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_dot_product(a.x, b.x)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b)::INT AS rank, s.b AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score QUALIFY rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that SQL can express; the others are tested against brute force."""
-    return {"op2_near_duplicates": OP2_SQL, "op6_warc_index": OP6_SQL}
+    return {"op2_near_duplicates": OP2_SQL, "op6_warc_index": OP6_SQL, "op12_vector_codes": op12_sql(), "op13_hard_negatives": OP13_SQL}
