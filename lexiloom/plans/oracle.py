@@ -381,3 +381,17 @@ ORACLE |= {
     "dispersion_weighted": f"""WITH q AS (SELECT coalesce(freq, 0) AS f, coalesce(tokens, 0) AS n FROM (SELECT DISTINCT doc_id FROM documents) b LEFT JOIN ({parts('doc_id')}) p ON doc_id = part)
       SELECT coalesce(sum(f), 0)::BIGINT AS frequency, count(*) AS parts, round(coalesce(sum(abs(f / nullif((SELECT sum(f) FROM q), 0) - n / nullif((SELECT sum(n) FROM q), 0))) / 2, 0.0), 6) AS weighted_dp FROM q""",
 }
+
+GRAMS = r"""
+x AS (SELECT doc_id, lang, length(text) AS n_chars, string_split(' ' || trim(regexp_replace(lower(text), '[^\p{L}]+', ' ', 'g')) || ' ', '') AS c FROM documents WHERE regexp_matches(text, '\p{L}')),
+grams AS (SELECT doc_id, lang, n_chars, unnest(list_concat(list_filter(c, lambda y: y <> ' '), list_transform(range(1, len(c)), lambda i: c[i] || c[i + 1]), list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2]))) AS gram FROM x)
+"""
+PROFILES = "SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS rank FROM (SELECT lang, gram, count(*) AS n FROM grams WHERE lang IS NOT NULL {more} GROUP BY ALL) QUALIFY rank <= 300"
+ORACLE |= {
+    "language_profiles": f"WITH {GRAMS} {PROFILES.format(more='')}",
+    "detect_languages": f"""WITH {GRAMS}, p AS MATERIALIZED ({PROFILES.format(more='AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)')}),
+      own AS (SELECT doc_id, gram, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, gram) AS r FROM (SELECT doc_id, gram, count(*) AS n FROM grams WHERE n_chars > 100 GROUP BY ALL) QUALIFY r <= 300),
+      far AS (SELECT doc_id, k.lang, sum(coalesce(abs(p.rank - r), 300))::BIGINT AS d FROM own CROSS JOIN (SELECT DISTINCT lang FROM p) k LEFT JOIN p ON p.lang = k.lang AND p.gram = own.gram GROUP BY ALL),
+      best AS (SELECT doc_id, list(lang ORDER BY d, lang) AS l, list(d ORDER BY d, lang) AS d FROM far GROUP BY ALL)
+      SELECT doc_id, coalesce(l[1], 'en') AS detected, d[1] AS distance, d[2] AS runner_up FROM documents LEFT JOIN best USING (doc_id)""",
+}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import cleaning, lexicons
 from ..functions import measures as m
 from ..functions.tokens import annotated, sentences, tokens
-from ..operators import association, bilingual, catalog, concordance, frequency, lexical, multimodal, syntax, vision
+from ..operators import association, bilingual, catalog, concordance, frequency, language, lexical, multimodal, syntax, vision
 from . import fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -467,3 +467,15 @@ def visual_metaphor(spark, d):
 @query
 def combined_emotion(spark, d):
     return multimodal.combined_emotion(captioned(spark, d))
+
+
+@query
+def detect_languages(spark, d):
+    x = docs(spark, d)
+    trusted = x.join(table(spark, d, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi")
+    return language.detect_language(x, language.fit_profiles(trusted), default="en")
+
+
+@query
+def language_profiles(spark, d):
+    return language.fit_profiles(docs(spark, d))
