@@ -4,7 +4,8 @@
   place that the driver and all executors can see.
 * ``write_read`` cuts lineage through a Parquet table in that folder, so a lost
   executor never makes a long plan run again from its start.
-* ``Scratch`` does the same with tables that are deleted when the operation ends.
+* ``Scratch`` does the same with tables that are deleted when the operation ends;
+  ``Recorded`` deletes those of all operations in a block.
 * ``spread_join`` joins on keys of which one may hold any share of the rows.
 * ``map_batches`` runs a Python function over Arrow batches of some columns.
 * ``slices`` cuts a batch into runs of bounded text size, so that the working
@@ -26,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_recorded: list[list[str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -43,7 +45,10 @@ def shared_root(spark: SparkSession) -> str:
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder name below the shared root; nothing is made yet."""
-    return f"{shared_root(spark)}/lexiloom/{purpose}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/lexiloom/{purpose}-{uuid.uuid4().hex}"
+    for paths in _recorded:
+        paths.append(path)
+    return path
 
 
 def write_read(df: DataFrame, purpose: str) -> DataFrame:
@@ -80,22 +85,38 @@ class Scratch:
             delete(self.spark, path)
 
 
+class Recorded(Scratch):
+    """All tables below the shared root that are begun between the ``with`` and ``stop``; deleted at the block's end."""
+
+    def __enter__(self) -> Recorded:
+        _recorded.append(self.paths)
+        return self
+
+    def stop(self) -> None:
+        _recorded[:] = [p for p in _recorded if p is not self.paths]
+
+    def __exit__(self, *error) -> None:
+        self.stop()
+        super().__exit__(*error)
+
+
 #: Rows of one key that may meet in a task, and, at most, keys that are spread out.
 KEY_ROWS, HOT_KEYS = 1000, 10_000
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: list[str], by: Column, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], by: Column, how: str = "inner", counts: DataFrame | None = None, store: Callable[[DataFrame, str], DataFrame] = write_read) -> DataFrame:
     """``left`` joined with ``right`` on columns of which one value may hold any share of ``left``.
 
     A key with over ``total / HOT_KEYS`` rows of ``left`` (and over KEY_ROWS) is hot, so
     there are HOT_KEYS of them at most, and their list is broadcast.  Rows of a hot key
     are dealt by a hash of ``by`` to as many parts as keep each small, and the rows of
     ``right`` are repeated for each part.  ``counts`` (keys and ``n_``) are left's rows by
-    key, if known; else ``left`` is read once more and should be stored.
+    key, if known; else ``left`` is read once more and should be stored.  ``store`` keeps the hot
+    keys; where keys must not stay on disk, it is that of a ``Scratch``.
     """
     counts = left.groupBy(*on).agg(F.count("*").alias("n_")) if counts is None else counts
     each = max(KEY_ROWS, -(-(counts.agg(F.sum("n_")).first()[0] or 0) // HOT_KEYS))
-    hot = write_read(counts.where(F.col("n_") > each).select(*on, F.ceil(F.col("n_") / each).cast("bigint").alias("parts_")), "hot-keys")
+    hot = store(counts.where(F.col("n_") > each).select(*on, F.ceil(F.col("n_") / each).cast("bigint").alias("parts_")), "hot-keys")
     if hot.isEmpty():
         return left.join(right.hint("merge"), on, how)
     parts = F.coalesce("parts_", F.lit(1).cast("bigint"))

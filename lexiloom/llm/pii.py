@@ -336,7 +336,7 @@ def surrogate_lists(candidates: DataFrame, key: str) -> tuple[DataFrame, DataFra
         table = scratch.table(table, "surrogate-table")
         known = places.withColumn("role", F.coalesce("role", F.lit("")))
         # Numbers that only look like cards have no surrogate and keep their place in the list.
-        joined = spread_join(known, table, ["entity", "role"], F.col("key_"), "left")
+        joined = spread_join(known, table, ["entity", "role"], F.col("key_"), "left", store=scratch.table)
         lists = joined.groupBy("key_").agg(F.transform(F.array_sort(F.collect_list(F.struct("at_", "kind", "new"))), lambda x: F.struct(x["kind"].alias("kind"), x["new"].alias("surrogate"))).alias("entities_"))
         return write_read(lists, "surrogate-lists"), counts
 
@@ -350,7 +350,10 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataF
     least value keeps it.  Whole texts are searched, whatever their length.  A column
     ``entities_`` of the input gives way to the new one; ``key_``, ``text_`` and ``words_`` are kept.
 
-    Not detected: names without a title anywhere in the text, titles behind names, national
+    A name's word is replaced wherever it stands capitalised in its document, so a month or place of that
+    name goes with it; four numbers joined by dots are an address, also in a version.
+
+    Not detected: names without a title anywhere in the text, titles behind names or in capitals (MR.), national
     phone numbers other than (ddd) ddd-dddd, ddd-ddd-dddd, 0d dd dd dd dd and 0ddd dddddd,
     cards of other than 15 or 16 digits or without a valid check digit, postal addresses.
     """

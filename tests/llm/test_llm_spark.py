@@ -1,5 +1,6 @@
 """Training-data operators on Spark: nulls, empty and repeated rows, clashing columns, brute force."""
 
+import glob
 import hashlib
 import zlib
 
@@ -227,8 +228,6 @@ def test_names_keep_their_people(spark):
 
 def test_surrogates_are_distinct_and_leave_nothing(spark):
     """Values and surrogates are one to one, no surrogate is a real value, and no table keeps originals or the key."""
-    import glob
-
     many = [f"user{i}@mail.org from 192.168.{i % 250}.{i // 250}, Mr. Name{chr(97 + i % 26)}{chr(97 + i // 26)} Kin" for i in range(600)]
     before = set(glob.glob(common.shared_root(spark).removeprefix("file://") + "/lexiloom/*"))
     rows = {r["doc_id"]: r["entities_"] for r in pii.replace_entities(frame(spark, many), "secret-key").collect()}
@@ -237,16 +236,20 @@ def test_surrogates_are_distinct_and_leave_nothing(spark):
         assert {rows[i][at]["kind"] for i in range(600)} == {kind} and len(set(new)) == 600 and not any(n in t for n in new for t in many)
     left = set(glob.glob(common.shared_root(spark).removeprefix("file://") + "/lexiloom/*")) - before
     kinds = {p.split("/")[-1].rsplit("-", 1)[0] for p in left}
-    assert kinds <= {"surrogate-lists", "hot-keys", "text-counts"}
+    assert kinds <= {"surrogate-lists", "hot-keys", "text-counts"}  # hot keys of texts are digests
     for p in left:
         assert all("secret-key" not in str(tuple(r)) and "@mail.org" not in str(tuple(r)) for r in spark.read.parquet("file://" + p).collect())
 
 
 def test_hot_texts_and_entities_are_spread(spark):
-    """One text and one entity hold most rows; every row is treated."""
-    texts = ["write to me@here.org"] * 2500 + [f"call {i}: me@here.org" for i in range(2500)]
+    """One text, one entity and one name hold most rows; every row is treated, and no table that stays holds an original."""
+    before = set(glob.glob(common.shared_root(spark).removeprefix("file://") + "/lexiloom/*"))
+    texts = ["write to me@here.org"] * 2500 + [f"call {i}: me@here.org, Mr. John Hotname" for i in range(2500)]
     rows = pii.replace_entities(frame(spark, texts), "k").collect()
-    assert len(rows) == 5000 and len({r["entities_"][0]["surrogate"] for r in rows}) == 1 and not any("me@here" in r["text"] for r in rows)
+    for p in set(glob.glob(common.shared_root(spark).removeprefix("file://") + "/lexiloom/*")) - before:
+        assert not any(x in str(tuple(r)) for r in spark.read.parquet("file://" + p).collect() for x in ("me@here", "John", "Hotname"))
+    assert not any("Hotname" in r["text"] or "John" in r["text"] for r in rows)
+    assert len(rows) == 5000 and len({e["surrogate"] for r in rows for e in r["entities_"] if e["kind"] == "email"}) == 1 and not any("me@here" in r["text"] for r in rows)
 
 
 def test_no_entity_is_passed_by():
@@ -415,3 +418,22 @@ def test_pipeline_stages(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     assert packed.select("doc_id").distinct().count() == count
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Null, empty and repeated rows, a table without rows; no text from before privacy stays on disk."""
+    import corpus_pipeline
+
+    columns = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    good = [(i, f"Plain words of document number {i} are written to someone{i}@here.org about topic {i * 7} and more of {i * 13}.", "en", "s", 1) for i in range(40)]
+    rows = good + [(100, None, "en", "s", 0), (101, "", "en", "s", 0), (5, good[5][1], "en", "s", 1), (102, good[6][1], "en", "s", 1), (103, None, None, None, None)]
+    for name, own in (("full", rows), ("none", [])):
+        spark.createDataFrame(own, columns).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(r[0], 1, 0) for r in own[:40]], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    before = set(glob.glob(common.shared_root(spark).removeprefix("file://") + "/lexiloom/*"))
+    packed = corpus_pipeline.run(spark, f"{tmp_path}/full").collect()
+    ids = {r["doc_id"] for r in packed}
+    assert {100, 101, 103} <= ids and 102 not in ids and len(packed) == len(ids) >= 40
+    left = set(glob.glob(common.shared_root(spark).removeprefix("file://") + "/lexiloom/*")) - before
+    assert [p for p in left if any("@here.org" in str(tuple(r)) for r in spark.read.parquet("file://" + p).collect())] == []
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
