@@ -2,7 +2,10 @@
 
 Each stage is a function (spark, docs, sf_dir) -> DataFrame on all rows that its
 predecessor kept; ``run`` writes every stage's result as Parquet below the shared
-folder and reads it back, so a lost executor repeats a part of one stage only.
+folder and reads it back, so a lost executor repeats a part of one stage only.  Tables with
+texts as they were before ``privacy`` are deleted when ``run`` returns, also after a failure.
+An empty table gives an empty result; null and empty texts are packed as empty ones; of rows with one id
+one stays (see the operators).
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexiloom.llm import entry
-from lexiloom.llm.common import documents, write_read
+from lexiloom.llm.common import Recorded, documents, write_read
 from lexiloom.llm.neardup import drop_near_duplicates
 from lexiloom.llm.packing import pack_documents
 from lexiloom.llm.pii import replace_entities
@@ -46,6 +49,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES:
-        docs = write_read(stage(spark, docs, sf_dir), f"stage-{name}")
+    with Recorded(spark) as originals:
+        for name, stage in STAGES:
+            if stage is privacy:
+                originals.stop()
+            docs = write_read(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
