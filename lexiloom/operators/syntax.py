@@ -1,13 +1,11 @@
 """Patterns over annotated tokens (lemma, tag, morphology, dependency head and relation).
 
-Heads are 1-based within the sentence, 0 is the root.  Head lookups are equi-joins
-on (doc_id, sentence_idx, token_idx).
+Heads are 1-based within the sentence, 0 is the root.  Tables of ``operators.annotation`` bring their heads'
+columns along; for others, head lookups are equi-joins on (doc_id, sentence_idx, token_idx).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,30 +20,42 @@ def evidence(prefix: str = "") -> Column:
     return F.concat_ws(":", "doc_id", "sentence_idx", f"{prefix}token_idx").alias("evidence_id")
 
 
-def with_heads(rows: DataFrame, tokens_df: DataFrame) -> DataFrame:
-    """Each row with the text, lemma and tag of its head; rows without a head in the sentence are left out."""
-    heads = tokens_df.select(*KEY, (F.col("token_idx") + 1).alias("dep_head"), F.col("token_idx").alias("head_idx"), F.col("text").alias("head_text"), F.col("lemma").alias("head_lemma"), F.col("pos").alias("head_pos"))
-    return rows.join(heads, [*KEY, "dep_head"])
-
+def looked_up(t: DataFrame) -> DataFrame:
+    """Every token with its head's place, text, lemma and tag; null for roots and heads outside the sentence.
 
-def passives(t: DataFrame) -> DataFrame:
-    found = with_heads(t.where(F.col("dep_rel").isin("aux:pass", "auxpass")), t)
-    return found.select(*KEY, "token_idx", F.lit("passive").alias("pattern"), F.col("text").alias("marker"), F.col("head_text").alias("target"), evidence())
+    Annotators give these columns themselves, as a head is in the same sentence; other tables are joined with themselves.
+    """
+    if "head_text" in t.columns:
+        return t.withColumn("head_idx", F.when(F.col("head_text").isNotNull(), F.col("dep_head") - 1))
+    heads = t.select(*KEY, (F.col("token_idx") + 1).alias("dep_head"), F.col("token_idx").alias("head_idx"), F.col("text").alias("head_text"), F.col("lemma").alias("head_lemma"), F.col("pos").alias("head_pos"))
+    return t.join(heads, [*KEY, "dep_head"], "left")
 
 
-def modals(t: DataFrame) -> DataFrame:
-    found = with_heads(t.where((F.col("dep_rel") == "aux") & F.lower("lemma").isin(MODALS)), t)
-    return found.select(*KEY, "token_idx", F.lit("modal").alias("pattern"), F.col("text").alias("marker"), F.col("head_text").alias("target"), evidence())
+def with_heads(rows: DataFrame, tokens_df: DataFrame) -> DataFrame:
+    """Each row with the place, text, lemma and tag of its head; rows without a head in the sentence are left out."""
+    if "head_text" in rows.columns:
+        return looked_up(rows).where("head_idx is not null")
+    heads = tokens_df.select(*KEY, (F.col("token_idx") + 1).alias("dep_head"), F.col("token_idx").alias("head_idx"), F.col("text").alias("head_text"), F.col("lemma").alias("head_lemma"), F.col("pos").alias("head_pos"))
+    return rows.join(heads, [*KEY, "dep_head"])
 
 
-def negations(t: DataFrame) -> DataFrame:
-    found = t.where((F.col("dep_rel") == "neg") | ((F.col("pos") == "PART") & F.coalesce("morph", F.lit("")).contains("Neg")))
-    return found.select(*KEY, "token_idx", F.lit("negation").alias("pattern"), F.col("text").alias("marker"), F.lit(None).cast("string").alias("target"), evidence())
+def _found(marker: Column | str, target: Column | str | None, when: Column) -> tuple[Column, Column, Column]:
+    none = F.lit(None).cast("string")
+    return when, F.col(marker) if isinstance(marker, str) else marker, none if target is None else F.col(target)
 
 
-def relative_clauses(t: DataFrame) -> DataFrame:
-    found = t.where(F.col("dep_rel").isin("acl:relc", "relcl"))
-    return found.select(*KEY, "token_idx", F.lit("relative_clause").alias("pattern"), F.col("text").alias("marker"), F.lit(None).cast("string").alias("target"), evidence())
+def row_patterns() -> dict[str, tuple[Column, Column, Column]]:
+    """Patterns that a token and its head show by themselves: (condition, marker, target)."""
+    morph = F.coalesce("morph", F.lit(""))
+    headed = F.col("head_text").isNotNull()
+    tense = F.when(morph.contains("Tense=Past"), "past").when(morph.contains("Tense=Pres"), "present").when(morph.contains("Tense=Fut"), "future")
+    return {
+        "passive": _found("text", "head_text", headed & F.col("dep_rel").isin("aux:pass", "auxpass")),
+        "modal": _found("text", "head_text", headed & (F.col("dep_rel") == "aux") & F.lower("lemma").isin(MODALS)),
+        "negation": _found("text", None, (F.col("dep_rel") == "neg") | ((F.col("pos") == "PART") & morph.contains("Neg"))),
+        "relative_clause": _found("text", None, F.col("dep_rel").isin("acl:relc", "relcl")),
+        "tense": _found(tense, "text", F.col("pos").isin("VERB", "AUX") & tense.isNotNull()),
+    }
 
 
 def complex_noun_phrases(t: DataFrame) -> DataFrame:
@@ -55,21 +65,24 @@ def complex_noun_phrases(t: DataFrame) -> DataFrame:
     return grouped.select(*KEY, "token_idx", F.lit("complex_np").alias("pattern"), F.array_join(F.transform("m", lambda x: x["text"]), " ").alias("marker"), "target", evidence())
 
 
-def tenses(t: DataFrame) -> DataFrame:
-    tense = F.when(F.col("morph").contains("Tense=Past"), "past").when(F.col("morph").contains("Tense=Pres"), "present").when(F.col("morph").contains("Tense=Fut"), "future")
-    found = t.where(F.col("pos").isin("VERB", "AUX")).withColumn("tense", tense).where("tense is not null")
-    return found.select(*KEY, "token_idx", F.lit("tense").alias("pattern"), F.col("tense").alias("marker"), F.col("text").alias("target"), evidence())
-
-
-DETECTORS: dict[str, Callable[[DataFrame], DataFrame]] = {"passive": passives, "modal": modals, "negation": negations, "relative_clause": relative_clauses, "complex_np": complex_noun_phrases, "tense": tenses}
+DETECTORS = ("passive", "modal", "negation", "relative_clause", "complex_np", "tense")
 
 
 def grammar(t: DataFrame, patterns: list[str] | None = None) -> DataFrame:
-    """All matches of the named detectors (all by default)."""
+    """All matches of the named patterns (all by default): one pass for those that a token shows, one for noun phrases."""
+    names = list(patterns or DETECTORS)
+    unknown = set(names) - set(DETECTORS)
+    if unknown:
+        raise ValueError(f"unknown patterns: {', '.join(sorted(unknown))}")
+    own = row_patterns()
     out = None
-    for name in patterns or DETECTORS:
-        found = DETECTORS[name](t)
-        out = found if out is None else out.unionByName(found)
+    if shown := [n for n in names if n in own]:
+        structs = [F.when(own[n][0], F.struct(F.lit(n).alias("pattern"), own[n][1].alias("marker"), own[n][2].alias("target"))) for n in shown]
+        found = looked_up(t).select(*KEY, "token_idx", F.explode(F.filter(F.array(*structs), lambda x: x.isNotNull())).alias("p"))
+        out = found.select(*KEY, "token_idx", "p.pattern", "p.marker", "p.target", evidence())
+    if "complex_np" in names:
+        phrases = complex_noun_phrases(t)
+        out = phrases if out is None else out.unionByName(phrases)
     return out
 
 
@@ -113,8 +126,8 @@ def pos_ngrams(t: DataFrame, n: int = 2, min_freq: int = 2, limit: int | None =
 
 def metaphor_candidates(t: DataFrame, limit: int | None = 50, light: list[str] = LIGHT_VERBS, concrete: list[str] = CONCRETE_NOUNS) -> DataFrame:
     """Verbs that are not light whose first subject is an abstract noun."""
-    subjects = t.where("dep_rel = 'nsubj'").groupBy(*KEY, (F.col("dep_head") - 1).alias("token_idx")).agg(F.min(F.struct("token_idx", "text", "lemma", "pos")).alias("s"))
-    verbs = t.where((F.col("pos") == "VERB") & ~F.lower("lemma").isin(light))
-    found = verbs.join(subjects, [*KEY, "token_idx"]).where((F.col("s.pos") == "NOUN") & ~F.lower("s.lemma").isin(concrete))
-    out = found.select(*KEY, "token_idx", F.lower("lemma").alias("verb"), F.col("s.lemma").alias("subject"), evidence())
+    subjects = with_heads(t.where("dep_rel = 'nsubj'"), t).where((F.col("head_pos") == "VERB") & ~F.lower("head_lemma").isin(light))
+    first = subjects.groupBy(*KEY, F.col("head_idx").alias("at")).agg(F.min(F.struct("token_idx", "head_lemma", "lemma", "pos")).alias("s"))
+    found = first.where((F.col("s.pos") == "NOUN") & ~F.lower("s.lemma").isin(concrete)).withColumnRenamed("at", "token_idx")
+    out = found.select(*KEY, "token_idx", F.lower("s.head_lemma").alias("verb"), F.col("s.lemma").alias("subject"), evidence())
     return out if limit is None else out.orderBy(*KEY, "token_idx").limit(limit)

@@ -18,27 +18,6 @@ COUNTS = [(1, 1, 100, 100, 10000), (2, 200, 100, 100, 10000), (3, 10, 1000, 1000
 
 PARTS = [(1, [10, 10, 10, 10]), (2, [10, 0, 0, 0]), (3, [4, 2, 2, 0]), (4, [1, 2, 3]), (5, [0, 0]), (6, [5])]
 
-PARSED_SCHEMA = "doc_id bigint, sentence_idx int, token_idx int, text string, lemma string, pos string, morph string, dep_head int, dep_rel string"
-PARSED = [
-    (1, 0, 0, "letters", "letter", "NOUN", None, 3, "nsubj:pass"),
-    (1, 0, 1, "were", "be", "AUX", "Tense=Past", 3, "aux:pass"),
-    (1, 0, 2, "sent", "send", "VERB", "Tense=Past|VerbForm=Part", 0, "root"),
-    (1, 1, 0, "we", "we", "PRON", None, 4, "nsubj"),
-    (1, 1, 1, "must", "must", "AUX", "Tense=Pres", 4, "aux"),
-    (1, 1, 2, "not", "not", "PART", "Polarity=Neg", 4, "neg"),
-    (1, 1, 3, "wait", "wait", "VERB", "Tense=Pres", 0, "root"),
-    (2, 0, 0, "old", "old", "ADJ", None, 3, "amod"),
-    (2, 0, 1, "stone", "stone", "NOUN", None, 3, "compound"),
-    (2, 0, 2, "walls", "wall", "NOUN", None, 0, "root"),
-    (3, 0, 0, "prices", "price", "NOUN", None, 2, "nsubj"),
-    (3, 0, 1, "climbed", "climb", "VERB", "Tense=Past", 0, "root"),
-    (3, 1, 0, "child", "child", "NOUN", None, 2, "nsubj"),
-    (3, 1, 1, "climbed", "climb", "VERB", "Tense=Past", 0, "root"),
-    (4, 0, 0, "people", "people", "NOUN", None, 0, "root"),
-    (4, 0, 1, "who", "who", "PRON", None, 3, "nsubj"),
-    (4, 0, 2, "leave", "leave", "VERB", "Tense=Pres", 1, "acl:relc"),
-]
-
 IMAGES_SCHEMA = "image_id bigint, saturation double, brightness double, iv_left double, iv_right double, iv_top double, iv_bottom double, iv_centre double"
 IMAGES = [(1, 0.8, 220.0, 0.7, 0.3, 0.45, 0.55, 0.7), (2, 0.1, 40.0, 0.5, 0.5, 0.2, 0.8, 0.5), (3, 0.5, 128.0, 0.4, 0.6, 0.5, 0.5, 0.2)]
 

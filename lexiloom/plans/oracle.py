@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions import lexicons
 from ..functions.cleaning import BUCKWALTER
-from ..operators import lexical, vision
+from ..operators import annotation, lexical, vision
 from . import fixtures
 
 TEXT_TOKENS = """
@@ -159,10 +159,42 @@ def digest(inner: str, last: str) -> str:
     return f"SELECT doc_id, length(c) AS n_chars, md5(c) AS digest FROM (SELECT doc_id, {last} AS c FROM ({inner}))"
 
 
-PARSED = values(fixtures.PARSED, "doc_id, sentence_idx, token_idx, text, lemma, pos, morph, dep_head, dep_rel", "doc_id::BIGINT AS doc_id, sentence_idx::INT AS sentence_idx, token_idx::INT AS token_idx, text, lemma, pos, morph, dep_head, dep_rel")
+CLOSED_ROWS = [(lang, w, tag, *(annotation.FORMS.get(w, (w, "")) if lang == "en" else (w, ""))) for lang, classes in annotation.CLOSED.items() for tag, ws in classes.items() for w in ws.split()]
+ENDING_ROWS = [(lang, i, ending, tag, morph, int(cut)) for lang, rows in annotation.ENDINGS.items() for i, (ending, tag, morph, cut) in enumerate(rows)]
+SENTENCE_OF = "PARTITION BY doc_id, sentence_idx"
+
+
+def nearest(kind: str, ahead: bool) -> str:
+    frame = "BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING" if ahead else "BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    return f"{'min' if ahead else 'max'}(CASE WHEN pos = '{kind}' THEN token_idx END) OVER ({SENTENCE_OF} ORDER BY token_idx ROWS {frame})"
+
+
+#: The annotated tokens p: words looked up in the lists, heads from windows over each sentence.
+PARSED = with_tokens(ALL, f"""SELECT t.doc_id, t.lang, t.sentence_idx::INT AS sentence_idx, t.token_idx::INT AS token_idx, t.text, x.lemma, x.pos, x.morph, x.lw, rel[1]::INT + 1 AS dep_head, rel[2] AS dep_rel FROM r JOIN x USING (doc_id, sentence_idx, token_idx) JOIN toks t USING (doc_id, sentence_idx, token_idx)""", f""",
+  closed AS ({values(CLOSED_ROWS, "lang, w, tag, lemma, morph")}), endings AS ({values(ENDING_ROWS, "lang, i, ending, tag, morph, cut")}),
+  voc AS (SELECT DISTINCT CASE WHEN lang IN ('en', 'de', 'fr', 'es') THEN lang ELSE 'en' END AS lang, lower(text) AS w FROM toks),
+  ended AS (SELECT v.lang, v.w, arg_min(struct_pack(tag, morph, cut, n := length(ending)), i) AS e FROM voc v JOIN endings e ON e.lang = v.lang AND suffix(v.w, ending) AND length(v.w) > length(ending) + 1 GROUP BY ALL),
+  lex AS (SELECT v.lang, v.w, CASE WHEN c.w IS NOT NULL THEN c.lemma WHEN num THEN v.w WHEN e.cut = 1 THEN left(v.w, length(v.w) - e.n) ELSE v.w END AS lemma,
+    CASE WHEN c.w IS NOT NULL THEN c.tag WHEN num THEN 'NUM' ELSE coalesce(e.tag, 'NOUN') END AS pos, CASE WHEN c.w IS NOT NULL THEN c.morph WHEN num THEN '' ELSE coalesce(e.morph, '') END AS morph
+    FROM (SELECT *, regexp_full_match(w, '\\p{{Nd}}+') AS num FROM voc) v LEFT JOIN closed c USING (lang, w) LEFT JOIN ended USING (lang, w)),
+  x AS MATERIALIZED (SELECT doc_id, sentence_idx, token_idx, w AS lw, lemma, pos, morph FROM (SELECT doc_id, sentence_idx, token_idx, CASE WHEN lang IN ('en', 'de', 'fr', 'es') THEN lang ELSE 'en' END AS lang, lower(text) AS w FROM toks) JOIN lex USING (lang, w)),
+  near AS (SELECT *, {nearest('NOUN', True)} AS na, {nearest('NOUN', False)} AS nb, {nearest('VERB', True)} AS va, lag(pos) OVER s AS before, lag(lw) OVER s AS word_before,
+    coalesce(min(token_idx) FILTER (pos = 'VERB') OVER a, min(token_idx) FILTER (pos = 'AUX') OVER a, min(token_idx) FILTER (pos = 'NOUN') OVER a, 0) AS root FROM x WINDOW s AS ({SENTENCE_OF} ORDER BY token_idx), a AS ({SENTENCE_OF})),
+  r AS (SELECT n.doc_id, n.sentence_idx, n.token_idx, CASE WHEN n.token_idx = root THEN row(-1, 'root')
+    WHEN n.pos = 'DET' AND na IS NOT NULL THEN row(na, 'det') WHEN n.pos = 'ADJ' AND na IS NOT NULL THEN row(na, 'amod') WHEN n.pos = 'NUM' AND na IS NOT NULL THEN row(na, 'nummod')
+    WHEN n.pos = 'ADP' AND na IS NOT NULL THEN row(na, 'case') WHEN n.pos = 'CCONJ' AND na IS NOT NULL THEN row(na, 'cc')
+    WHEN n.pos = 'AUX' AND n.lemma = 'be' AND v.morph = 'Tense=Past' THEN row(va, 'aux:pass') WHEN n.pos = 'AUX' AND va IS NOT NULL THEN row(va, 'aux') WHEN n.pos = 'PART' AND va IS NOT NULL THEN row(va, 'neg') WHEN n.pos = 'ADV' AND va IS NOT NULL THEN row(va, 'advmod')
+    WHEN n.pos = 'VERB' AND word_before IN ('who', 'which', 'qui') AND nb IS NOT NULL THEN row(nb, 'relcl') WHEN n.pos = 'VERB' THEN row(root, 'conj')
+    WHEN n.pos = 'NOUN' AND na = n.token_idx + 1 THEN row(na, 'compound')
+    WHEN n.pos = 'NOUN' AND h.pos IN ('VERB', 'AUX') AND n.token_idx < root AND coalesce(na > root, true) THEN row(root, 'nsubj')
+    WHEN n.pos = 'NOUN' AND h.pos IN ('VERB', 'AUX') AND n.token_idx > root AND coalesce(nb < root, true) THEN row(root, 'obj')
+    WHEN n.pos = 'NOUN' AND nb IS NOT NULL AND before <> 'NOUN' THEN row(nb, 'nmod')
+    WHEN n.pos = 'PRON' AND n.token_idx < root THEN row(root, 'nsubj') WHEN n.pos = 'PRON' THEN row(root, 'obj') ELSE row(root, 'dep') END AS rel
+    FROM near n LEFT JOIN x v ON v.doc_id = n.doc_id AND v.sentence_idx = n.sentence_idx AND v.token_idx = va LEFT JOIN x h ON h.doc_id = n.doc_id AND h.sentence_idx = n.sentence_idx AND h.token_idx = root)
+""")
 HEAD = "JOIN p h ON h.doc_id = t.doc_id AND h.sentence_idx = t.sentence_idx AND h.token_idx = t.dep_head - 1"
 EV = "t.doc_id || ':' || t.sentence_idx || ':' || t.token_idx AS evidence_id"
-GRAMMAR = f"""p AS ({PARSED}), g AS (
+GRAMMAR = f"""p AS MATERIALIZED ({PARSED}), g AS (
   SELECT t.doc_id, t.sentence_idx, t.token_idx, 'passive' AS pattern, t.text AS marker, h.text AS target, {EV} FROM p t {HEAD} WHERE t.dep_rel IN ('aux:pass', 'auxpass')
   UNION ALL SELECT t.doc_id, t.sentence_idx, t.token_idx, 'modal', t.text, h.text, {EV} FROM p t {HEAD} WHERE t.dep_rel = 'aux' AND lower(t.lemma) IN {words(lexicons.MODALS)}
   UNION ALL SELECT t.doc_id, t.sentence_idx, t.token_idx, 'negation', t.text, NULL, {EV} FROM p t WHERE t.dep_rel = 'neg' OR (t.pos = 'PART' AND contains(coalesce(t.morph, ''), 'Neg'))
@@ -249,12 +281,12 @@ ORACLE: dict[str, str] = {
     "ai_disclosure": "SELECT count(*) AS turns, count(*) FILTER (role = 'assistant') AS assistant_turns, count(*) FILTER (role = 'user') AS user_turns, count(DISTINCT conv_id) AS conversations, (SELECT string_agg(role, ',' ORDER BY role) FROM (SELECT DISTINCT role FROM conversations)) AS roles FROM conversations",
     "measures_truth_table": f"SELECT id, round(log2(o / (r * c / n)), 6) AS mi, round((o - r * c / n) / sqrt(o), 6) AS t_score, round(2 * o / (r + c), 6) AS dice, round(14 + log2(2 * o / (r + c)), 6) AS log_dice, round({ll('o', 'r', 'c', 'n')}, 6) AS ll, round({chi('o', 'r', 'c', 'n')}, 6) AS chi2, round(o / r - CASE WHEN n - r > 0 THEN (c - o) / (n - r) ELSE 0 END, 6) AS dp_yx, round(o / c - CASE WHEN n - c > 0 THEN (r - o) / (n - c) ELSE 0 END, 6) AS dp_xy, round((o / c * 1e6 + 1) / (r / n * 1e6 + 1), 6) AS simple FROM ({values(fixtures.COUNTS, 'id, o, r, c, n', 'id::BIGINT AS id, ' + D)})",
     "dispersion_truth_table": f"WITH t AS ({values(fixtures.PARTS, 'id, fs', 'id::BIGINT AS id, unnest(fs) AS f')}), s AS (SELECT id, sum(f) AS total, count(*) AS n, avg(f) AS mean, stddev_pop(f) AS sd FROM t GROUP BY id) SELECT id, round(max(CASE WHEN n < 2 THEN 1 WHEN mean = 0 THEN 0 ELSE greatest(0, 1 - sd / mean / sqrt(n - 1)) END), 6) AS d, round(coalesce(0.5 * sum(CASE WHEN total > 0 THEN abs(f / total - 1 / n) END), 0), 6) AS dp FROM t JOIN s USING (id) GROUP BY id",
-    "grammar_fixture": f"WITH {GRAMMAR} SELECT * FROM g",
-    "grammar_counts_fixture": f"WITH {GRAMMAR}, r AS (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY doc_id, sentence_idx, token_idx, evidence_id) AS k FROM g) SELECT pattern, freq, examples FROM (SELECT pattern, count(*) AS freq FROM g GROUP BY pattern) JOIN (SELECT pattern, string_agg(evidence_id, ',' ORDER BY k) AS examples FROM r WHERE k <= 3 GROUP BY pattern) USING (pattern)",
-    "pos_distribution_fixture": f"WITH p AS ({PARSED}) SELECT pos, count(*) AS freq, round(count(*) / (SELECT count(*) FROM p) * 100, 4) AS percent FROM p GROUP BY pos",
-    "pos_bigrams_fixture": f"WITH p AS ({PARSED}) SELECT pattern, count(*) AS freq FROM (SELECT pos || ' ' || lead(pos) OVER (PARTITION BY doc_id, sentence_idx ORDER BY token_idx) AS pattern FROM p) WHERE pattern IS NOT NULL GROUP BY pattern",
-    "dependency_pairs_fixture": f"WITH p AS ({PARSED}) SELECT h.lemma AS governor, t.lemma AS dependent, count(*) AS freq FROM p t {HEAD} WHERE t.dep_rel = 'nsubj' GROUP BY ALL",
-    "metaphor_fixture": f"WITH p AS ({PARSED}), s AS (SELECT doc_id, sentence_idx, dep_head - 1 AS v, arg_min(lemma, token_idx) AS lemma, arg_min(pos, token_idx) AS pos FROM p WHERE dep_rel = 'nsubj' GROUP BY ALL) SELECT t.doc_id, t.sentence_idx, t.token_idx, lower(t.lemma) AS verb, s.lemma AS subject, {EV} FROM p t JOIN s ON s.doc_id = t.doc_id AND s.sentence_idx = t.sentence_idx AND s.v = t.token_idx WHERE t.pos = 'VERB' AND lower(t.lemma) NOT IN {words(lexicons.LIGHT_VERBS)} AND s.pos = 'NOUN' AND lower(s.lemma) NOT IN {words(lexicons.CONCRETE_NOUNS)}",
+    "grammar": f"WITH {GRAMMAR} SELECT * FROM g",
+    "grammar_counts": f"WITH {GRAMMAR}, r AS (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY doc_id, sentence_idx, token_idx, evidence_id) AS k FROM g) SELECT pattern, freq, examples FROM (SELECT pattern, count(*) AS freq FROM g GROUP BY pattern) JOIN (SELECT pattern, string_agg(evidence_id, ',' ORDER BY k) AS examples FROM r WHERE k <= 3 GROUP BY pattern) USING (pattern)",
+    "pos_distribution": f"WITH p AS MATERIALIZED ({PARSED}) SELECT pos, count(*) AS freq, round(count(*) / (SELECT count(*) FROM p) * 100, 4) AS percent FROM p GROUP BY pos",
+    "pos_bigrams": f"WITH p AS MATERIALIZED ({PARSED}) SELECT pattern, count(*) AS freq FROM (SELECT pos || ' ' || lead(pos) OVER (PARTITION BY doc_id, sentence_idx ORDER BY token_idx) AS pattern FROM p) WHERE pattern IS NOT NULL GROUP BY pattern",
+    "dependency_pairs": f"WITH p AS MATERIALIZED ({PARSED}) SELECT h.lemma AS governor, t.lemma AS dependent, count(*) AS freq FROM p t {HEAD} WHERE t.dep_rel = 'nsubj' GROUP BY ALL",
+    "metaphor_candidates": f"WITH p AS MATERIALIZED ({PARSED}), s AS (SELECT doc_id, sentence_idx, dep_head - 1 AS v, arg_min(lemma, token_idx) AS lemma, arg_min(pos, token_idx) AS pos FROM p WHERE dep_rel = 'nsubj' GROUP BY ALL) SELECT t.doc_id, t.sentence_idx, t.token_idx, lower(t.lemma) AS verb, s.lemma AS subject, {EV} FROM p t JOIN s ON s.doc_id = t.doc_id AND s.sentence_idx = t.sentence_idx AND s.v = t.token_idx WHERE t.pos = 'VERB' AND lower(t.lemma) NOT IN {words(lexicons.LIGHT_VERBS)} AND s.pos = 'NOUN' AND lower(s.lemma) NOT IN {words(lexicons.CONCRETE_NOUNS)}",
 }
 
 
@@ -291,10 +323,10 @@ ORACLE |= {
       s AS ({" UNION ALL ".join(f"SELECT corpus, '{k}' AS ck, CASE WHEN {ok} THEN 'pass' ELSE '{bad}' END AS status FROM c" for k, (ok, bad) in CHECKS.items())})
       SELECT corpus, CASE WHEN bool_or(status = 'fail') OVER w THEN 'fail' WHEN bool_or(status = 'warn') OVER w THEN 'warn' ELSE 'pass' END AS overall, ck AS "check", status FROM s WINDOW w AS (PARTITION BY corpus)""",
     "visual_grammar_fixture": " UNION ALL ".join(f"SELECT image_id, '{k}' AS category, round(least(1.0, 2 * ({v}))::DOUBLE, 6) AS confidence FROM ({IMAGES}) WHERE {ok}" for k, ok, v in CLAIMS),
-    "lemma_kwic_fixture": f"""WITH p AS ({PARSED}) SELECT t.doc_id, t.sentence_idx, t.token_idx,
+    "lemma_kwic": f"""WITH p AS MATERIALIZED ({PARSED}) SELECT t.doc_id, t.sentence_idx, t.token_idx,
       coalesce((SELECT string_agg(c.text, ' ' ORDER BY c.token_idx) FROM p c WHERE c.doc_id = t.doc_id AND c.sentence_idx = t.sentence_idx AND c.token_idx BETWEEN t.token_idx - 2 AND t.token_idx - 1), '') AS left_context, t.text AS node,
       coalesce((SELECT string_agg(c.text, ' ' ORDER BY c.token_idx) FROM p c WHERE c.doc_id = t.doc_id AND c.sentence_idx = t.sentence_idx AND c.token_idx BETWEEN t.token_idx + 1 AND t.token_idx + 2), '') AS right_context
-      FROM p t WHERE lower(t.lemma) = 'climb'""",
+      FROM p t WHERE t.lemma = 'be'""",
 }
 
 COLOUR_ROWS = ", ".join(f"('{k}', {r}, {g}, {b})" for k, (r, g, b) in vision.COLOURS.items())
@@ -395,3 +427,5 @@ ORACLE |= {
       best AS (SELECT doc_id, list(lang ORDER BY d, lang) AS l, list(d ORDER BY d, lang) AS d FROM far GROUP BY ALL)
       SELECT doc_id, coalesce(l[1], 'en') AS detected, d[1] AS distance, d[2] AS runner_up FROM documents LEFT JOIN best USING (doc_id)""",
 }
+
+ORACLE["rule_annotation"] = f"""WITH p AS MATERIALIZED ({PARSED}) SELECT t.lang, t.pos, t.dep_rel, t.morph, h.pos AS head_pos, count(*) AS freq, sum(t.dep_head)::BIGINT AS heads, count(DISTINCT t.lemma) AS lemmas, max(h.lemma) AS last_head, count(*) FILTER (t.lw IN {words(lexicons.STOP_WORDS_EN)}) AS stop_words FROM p t LEFT {HEAD} GROUP BY ALL"""

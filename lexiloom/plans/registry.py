@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import cleaning, lexicons
 from ..functions import measures as m
-from ..functions.tokens import annotated, sentences, tokens
-from ..operators import association, bilingual, catalog, concordance, frequency, language, lexical, multimodal, syntax, vision
+from ..functions.tokens import sentences, tokens
+from ..operators import annotation, association, bilingual, catalog, concordance, frequency, language, lexical, multimodal, perceptron, syntax, vision
 from . import fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -372,44 +372,59 @@ def dispersion_truth_table(spark, d):
     return s.join(dp, "id").select("id", F.round(m.juilland_d(F.col("mean"), F.col("sd"), F.col("n")), 6).alias("d"), F.round(F.coalesce(m.deviation_of_proportions(F.col("x")), F.lit(0.0)), 6).alias("dp"))
 
 
-def parsed(spark: SparkSession) -> DataFrame:
-    return annotated(spark.createDataFrame(fixtures.PARSED, fixtures.PARSED_SCHEMA))
+def parsed(spark: SparkSession, d: str) -> DataFrame:
+    return annotation.RuleAnnotator().annotate(docs(spark, d), ("lang",))
 
 
 @query
-def grammar_fixture(spark, d):
-    return syntax.grammar(parsed(spark))
+def rule_annotation(spark, d):
+    """Every token's annotation, summed up: counts, heads and lemmas of each kind of token."""
+    t = parsed(spark, d)
+    return t.groupBy("lang", "pos", "dep_rel", "morph", "head_pos").agg(F.count("*").alias("freq"), F.sum("dep_head").alias("heads"), F.countDistinct("lemma").alias("lemmas"), F.max("head_lemma").alias("last_head"), F.count_if("is_stop").alias("stop_words"))
 
 
 @query
-def grammar_counts_fixture(spark, d):
-    out = syntax.grammar_counts(parsed(spark))
+def trained_annotation(spark, d):
+    """A model of 1,000 documents' sentences, applied to all documents: how often each tag and relation is given."""
+    x = docs(spark, d)
+    model = perceptron.train(perceptron.training_sentences(x, annotation.RuleAnnotator(), most=1000), rounds=3)
+    return perceptron.TrainedAnnotator(model).annotate(x, ("lang",)).groupBy("lang", "pos", "dep_rel").agg(F.count("*").alias("freq"))
+
+
+@query
+def grammar(spark, d):
+    return syntax.grammar(parsed(spark, d))
+
+
+@query
+def grammar_counts(spark, d):
+    out = syntax.grammar_counts(parsed(spark, d))
     return out.select("pattern", "freq", F.array_join("examples", ",").alias("examples"))
 
 
 @query
-def pos_distribution_fixture(spark, d):
-    return syntax.pos_distribution(parsed(spark))
+def pos_distribution(spark, d):
+    return syntax.pos_distribution(parsed(spark, d))
 
 
 @query
-def pos_bigrams_fixture(spark, d):
-    return syntax.pos_ngrams(parsed(spark), 2, min_freq=1)
+def pos_bigrams(spark, d):
+    return syntax.pos_ngrams(parsed(spark, d), 2, min_freq=1, limit=None)
 
 
 @query
-def dependency_pairs_fixture(spark, d):
-    return syntax.dependency_pairs(parsed(spark))
+def dependency_pairs(spark, d):
+    return syntax.dependency_pairs(parsed(spark, d), limit=None)
 
 
 @query
-def metaphor_fixture(spark, d):
-    return syntax.metaphor_candidates(parsed(spark))
+def metaphor_candidates(spark, d):
+    return syntax.metaphor_candidates(parsed(spark, d), limit=None)
 
 
 @query
-def lemma_kwic_fixture(spark, d):
-    return concordance.annotated_concordance(parsed(spark), "climb", "lemma", window=2)
+def lemma_kwic(spark, d):
+    return concordance.annotated_concordance(parsed(spark, d), "be", "lemma", window=2)
 
 
 @query
