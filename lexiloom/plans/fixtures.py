@@ -10,7 +10,9 @@ WIKITEXT = [
     (3, ""),
 ]
 
-ARABIC = [(1, "هذا كتاب جديد"), (2, "عايز أروح البيت"), (3, "شلون الحال"), (4, "شو هيك كتير"), (5, "مدرسة إلى أى")]
+#: Latin letters and the Arabic ones, with short vowels among them, that stand for them in tables without Arabic.
+LATIN, ARABIC = "abcdefghijklmnopqrstuvwxyzäöüßéèêçñó", "ابثديفغهيجكلمنوصقرستوشوخةزأإآىَُِّئؤ"
+DIALECTS = {"egy": ["تهته"], "glf": ["يرين"], "lev": ["تيون"]}
 
 CORPORA = [("a", 100, 0, "regex", "builtin", "1", 3), ("b", 100, 2, "regex", "builtin", "1", 3), ("c", 0, 0, "regex", None, "1", 0)]
 

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from ..functions import lexicons
-from ..functions.cleaning import BUCKWALTER
-from ..operators import annotation, lexical, vision
+from ..functions.cleaning import BUCKWALTER, DIACRITICS
+from ..operators import annotation, arabic, lexical, vision
 from . import fixtures
 
 TEXT_TOKENS = """
@@ -273,7 +273,6 @@ ORACLE: dict[str, str] = {
     "cultural_markers": claim_sql([(k, f"{markers('t', w)} > 0", "0.5") for k, w in lexicons.ATTESTED["cultural"].items()]),
     "top_words": r"SELECT word, count(*) AS freq FROM (SELECT unnest(regexp_split_to_array(lower(text), '\s+')) AS word FROM documents) WHERE length(word) >= 2 GROUP BY word ORDER BY freq DESC, word LIMIT 50",
     "register_scores": r"SELECT doc_id, round(c / (c + d + 1), 3) AS classical, round(1 / (c + d + 1), 3) AS msa, round(d / (c + d + 1), 3) AS dialectal FROM (SELECT doc_id, len(list_intersect(w, ['the', 'der', 'una'])) AS c, len(list_intersect(w, ['of', 'and'])) AS d FROM (SELECT doc_id, list_distinct(regexp_split_to_array(text, '\s+')) AS w FROM documents))",
-    "dialect_heuristic": f"SELECT id, CASE WHEN k = 'none' THEN 0.85 ELSE 0.3 END::DOUBLE AS msa, CASE WHEN k = 'egy' THEN 0.6 ELSE 0.05 END::DOUBLE AS egy, CASE WHEN k = 'glf' THEN 0.6 ELSE 0.05 END::DOUBLE AS glf, CASE WHEN k = 'lev' THEN 0.6 ELSE 0.05 END::DOUBLE AS lev FROM (SELECT id, CASE " + " ".join(f"WHEN {markers('text', w)} > 0 THEN '{k}'" for k, w in lexicons.DIALECT_MARKERS.items()) + f" ELSE 'none' END AS k FROM ({values(fixtures.ARABIC, 'id, text', 'id::BIGINT AS id, text')}))",
     "align_positional": ALIGN + " SELECT doc_id, target_id, sentence_idx, round(greatest(0, 1 - 0.5 * abs(1 - length(source) / length(target))), 6) AS confidence FROM pr",
     "parallel_kwic": ALIGN_LEFT + rf", w AS (SELECT doc_id, sentence_idx, target, {split_words('source')} AS w FROM pr) SELECT doc_id, sentence_idx, (i - 1)::INT AS token_idx, array_to_string(list_slice(w, greatest(i - 5, 1), i - 1), ' ') AS left_context, node, array_to_string(list_slice(w, i + 1, i + 5), ' ') AS right_context, target FROM (SELECT *, unnest(w) AS node, generate_subscripts(w, 1) AS i FROM w) WHERE lower(node) = 'the'",
     "subcorpus_filter": "SELECT doc_id, lang FROM documents WHERE source = 'src5' AND (2000 + doc_id % 20)::VARCHAR BETWEEN '2005' AND '2010'",
@@ -310,7 +309,6 @@ CLAIMS = [
 IMAGE_COLUMNS = "image_id, saturation, brightness, iv_left, iv_right, iv_top, iv_bottom, iv_centre"
 IMAGES = values(fixtures.IMAGES, IMAGE_COLUMNS, ", ".join(f"{c.strip()}::{'BIGINT' if c.strip() == 'image_id' else 'DOUBLE'} AS {c.strip()}" for c in IMAGE_COLUMNS.split(",")))
 LETTERS, SIGNS = (text(x) for x in BUCKWALTER)
-ARABIC = values(fixtures.ARABIC, "id, text", "id::BIGINT AS id, text")
 
 ORACLE |= {
     "colloc_top": f"SELECT * FROM ({colloc('corpus')}) ORDER BY coalesce(nullif(log_likelihood, 0), nullif(mi, 0), o) DESC, collocate LIMIT 100",
@@ -318,7 +316,6 @@ ORACLE |= {
       SELECT collocate, round(cos(2 * pi() * k / (SELECT count(*) FROM t)), 6) + 0 AS x, round(sin(2 * pi() * k / (SELECT count(*) FROM t)), 6) + 0 AS y,
       round(greatest(0.5, 4 * abs(log_likelihood) / (SELECT max(abs(log_likelihood)) FROM t)), 4) AS edge_width, round(12 + 18 * o / (SELECT max(o) FROM t), 4) AS radius FROM t""",
     "wikitext": f"SELECT id, {chain('text', WIKI)} AS text FROM ({values(fixtures.WIKITEXT, 'id, text', 'id::BIGINT AS id, text')})",
-    "arabic_normalised": f"SELECT id, translate(text, 'أإآةى', 'اااهي') AS normalised, translate(text, {LETTERS}, {SIGNS}) AS buckwalter FROM ({ARABIC})",
     "precheck": f"""WITH c AS ({values(fixtures.CORPORA, 'corpus, token_count, ai_turns, backend, model_name, model_version, document_count')}),
       s AS ({" UNION ALL ".join(f"SELECT corpus, '{k}' AS ck, CASE WHEN {ok} THEN 'pass' ELSE '{bad}' END AS status FROM c" for k, (ok, bad) in CHECKS.items())})
       SELECT corpus, CASE WHEN bool_or(status = 'fail') OVER w THEN 'fail' WHEN bool_or(status = 'warn') OVER w THEN 'warn' ELSE 'pass' END AS overall, ck AS "check", status FROM s WINDOW w AS (PARTITION BY corpus)""",
@@ -429,3 +426,36 @@ ORACLE |= {
 }
 
 ORACLE["rule_annotation"] = f"""WITH p AS MATERIALIZED ({PARSED}) SELECT t.lang, t.pos, t.dep_rel, t.morph, h.pos AS head_pos, count(*) AS freq, sum(t.dep_head)::BIGINT AS heads, count(DISTINCT t.lemma) AS lemmas, max(h.lemma) AS last_head, count(*) FILTER (t.lw IN {words(lexicons.STOP_WORDS_EN)}) AS stop_words FROM p t LEFT {HEAD} GROUP BY ALL"""
+
+IN_ARABIC = f"SELECT doc_id, lang, translate(lower(text), {text(fixtures.LATIN)}, {text(fixtures.ARABIC)}) AS text FROM documents"
+
+
+def plain(x: str) -> str:
+    return f"regexp_replace({x}, {text(DIACRITICS)}, '', 'g')"
+
+
+PREFIX_ROWS = [(form, kind, parts, other) for form, kind, parts in arabic.prefixes() for other in arabic.TOGETHER[kind]]
+TEMPLATE_ROWS = [(i, t, tag, broken, *(t.index(x) + 1 for x in "فعل")) for i, (t, tag, broken) in enumerate(arabic.TEMPLATES)]
+#: All readings of all words, the best one first; templates are compared letter by letter.
+ARABIC_WORDS = f"""WITH base AS ({IN_ARABIC}), {TEXT_TOKENS},
+  freq AS (SELECT text AS word, count(*) AS freq FROM toks WHERE regexp_matches(text, {text(arabic.SCRIPT)}) GROUP BY 1),
+  w AS (SELECT word, translate(replace({plain("word")}, 'ـ', ''), 'أإآٱ', 'اااا') AS w FROM freq),
+  pre AS ({values(PREFIX_ROWS, "prefix, pk, pp, sk")}), suf AS ({values(arabic.suffixes(), "suffix, sk, sp")}), tem AS ({values(TEMPLATE_ROWS, "number, template, tag, broken, a, b, c")}),
+  cut AS (SELECT word, pk, pp, pre.sk, sp, substring(w, length(prefix) + 1, length(w) - length(prefix) - length(suffix)) AS stem, length(prefix) + length(suffix) AS affixes FROM w JOIN pre ON starts_with(w, prefix) JOIN suf ON suf.sk = pre.sk AND ends_with(w, suffix) AND length(prefix) + length(suffix) + 3 <= length(w) WHERE w NOT IN {words(arabic.PARTICLES)}),
+  fit AS (SELECT *, stem[a] || stem[b] || stem[c] AS root, starts_with(pk, 'verb') OR starts_with(sk, 'verb') AS verbal, pk IN ('noun', 'article') OR starts_with(sk, 'noun') AS nominal FROM cut JOIN tem ON length(stem) = length(template)
+    AND len(list_filter(range(1, length(template) + 1), lambda i: i NOT IN (a, b, c) AND stem[i] <> template[i])) = 0),
+  best AS (SELECT * FROM fit WHERE CASE WHEN verbal THEN tag IN ('verb', 'any') WHEN nominal THEN tag <> 'verb' ELSE true END
+    QUALIFY row_number() OVER (PARTITION BY word ORDER BY len(list_distinct(list_filter(string_split(translate(root, 'اويىءئؤ', ''), ''), lambda x: x <> ''))) DESC, affixes, length(template) DESC, number, pk, sk, pp) = 1),
+  named AS (SELECT word, freq, coalesce(pp, '') AS prefix, coalesce(stem, w) AS stem, coalesce(sp, '') AS suffix, coalesce(root, '') AS root, coalesce(template, '') AS template,
+    CASE WHEN root IS NULL THEN CASE WHEN w IN {words(arabic.PARTICLES)} THEN 'part' ELSE 'x' END WHEN tag <> 'any' THEN tag WHEN verbal THEN 'verb' ELSE 'noun' END AS pos,
+    CASE WHEN root IS NULL THEN '' WHEN broken OR regexp_matches(sp, '^(ات|ون|ين|وا|تم)') THEN 'p' WHEN sp = 'ان' THEN 'd' ELSE 's' END AS number,
+    CASE WHEN root IS NULL THEN '' WHEN regexp_matches(sp, '^(ة|ات|ت)') THEN 'f' ELSE 'm' END AS gender, coalesce(broken, false) AS broken_plural FROM w JOIN freq USING (word) LEFT JOIN best USING (word)),
+  words AS MATERIALIZED (SELECT *, array_to_string(list_filter([prefix, stem, suffix], lambda x: x <> ''), '+') AS segments, translate(word, {LETTERS}, {SIGNS}) AS buckwalter FROM named)"""
+KNOWN_DIALECT = " ".join(f"WHEN {markers('text', ws)} > 0 THEN '{k}'" for k, ws in fixtures.DIALECTS.items())
+ORACLE |= {
+    "arabic_words": f"{ARABIC_WORDS} SELECT * FROM words",
+    "arabic_roots": f"{ARABIC_WORDS} SELECT root, sum(freq)::BIGINT AS freq, count(*) AS words FROM words WHERE root <> '' GROUP BY root",
+    "arabic_segments": f"{ARABIC_WORDS} SELECT lang, prefix, suffix, pos, number, gender, broken_plural, count(*) AS freq, count(DISTINCT stem) AS stems FROM toks JOIN words ON word = text GROUP BY ALL",
+    "arabic_normalised": f"SELECT doc_id, md5(translate(text, 'أإآةى', 'اااهي')) AS normalised, md5(translate(text, {LETTERS}, {SIGNS})) AS buckwalter, md5({plain('text')}) AS plain FROM ({IN_ARABIC})",
+    "dialect_heuristic": f"SELECT doc_id, CASE WHEN k = 'none' THEN 0.85 ELSE 0.3 END::DOUBLE AS msa, CASE WHEN k = 'egy' THEN 0.6 ELSE 0.05 END::DOUBLE AS egy, CASE WHEN k = 'glf' THEN 0.6 ELSE 0.05 END::DOUBLE AS glf, CASE WHEN k = 'lev' THEN 0.6 ELSE 0.05 END::DOUBLE AS lev FROM (SELECT doc_id, CASE {KNOWN_DIALECT} ELSE 'none' END AS k FROM ({IN_ARABIC}))",
+}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import cleaning, lexicons
 from ..functions import measures as m
 from ..functions.tokens import sentences, tokens
-from ..operators import annotation, association, bilingual, catalog, concordance, frequency, language, lexical, multimodal, perceptron, syntax, vision
+from ..operators import annotation, arabic, association, bilingual, catalog, concordance, frequency, language, lexical, multimodal, perceptron, syntax, vision
 from . import fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -291,17 +291,38 @@ def register_scores(spark, d):
     return docs(spark, d).select("doc_id", bilingual.register(F.col("text"), ["the", "der", "una"], ["of", "and"]).alias("r")).select("doc_id", "r.*")
 
 
+def in_arabic(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with their Latin letters written as Arabic ones: the tables hold no Arabic."""
+    return docs(spark, d).withColumn("text", F.translate(F.lower("text"), fixtures.LATIN, fixtures.ARABIC))
+
+
 @query
 def dialect_heuristic(spark, d):
-    rows = spark.createDataFrame(fixtures.ARABIC, "id bigint, text string")
-    return rows.select("id", bilingual.dialect(F.col("text")).alias("x")).select("id", "x.*")
+    return in_arabic(spark, d).select("doc_id", bilingual.dialect(F.col("text"), fixtures.DIALECTS).alias("x")).select("doc_id", "x.*")
 
 
 @query
 def arabic_normalised(spark, d):
-    rows = spark.createDataFrame(fixtures.ARABIC, "id bigint, text string")
     x = F.col("text")
-    return rows.select("id", cleaning.normalise_arabic(x).alias("normalised"), cleaning.buckwalter(x).alias("buckwalter"))
+    forms = {"normalised": cleaning.normalise_arabic(x), "buckwalter": cleaning.buckwalter(x), "plain": cleaning.dediacritise(x)}
+    return in_arabic(spark, d).select("doc_id", *(F.md5(v).alias(k) for k, v in forms.items()))
+
+
+@query
+def arabic_words(spark, d):
+    return arabic.word_analysis(in_arabic(spark, d))
+
+
+@query
+def arabic_roots(spark, d):
+    return arabic.root_frequency(arabic.word_analysis(in_arabic(spark, d)))
+
+
+@query
+def arabic_segments(spark, d):
+    """How often each run of prefixes and suffixes stands around a stem of each kind."""
+    t = arabic.annotate_tokens(in_arabic(spark, d), ("lang",))
+    return t.groupBy("lang", "prefix", "suffix", "pos", "number", "gender", "broken_plural").agg(F.count("*").alias("freq"), F.countDistinct("stem").alias("stems"))
 
 
 def _sides(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
