@@ -459,3 +459,4 @@ ORACLE |= {
     "arabic_normalised": f"SELECT doc_id, md5(translate(text, 'أإآةى', 'اااهي')) AS normalised, md5(translate(text, {LETTERS}, {SIGNS})) AS buckwalter, md5({plain('text')}) AS plain FROM ({IN_ARABIC})",
     "dialect_heuristic": f"SELECT doc_id, CASE WHEN k = 'none' THEN 0.85 ELSE 0.3 END::DOUBLE AS msa, CASE WHEN k = 'egy' THEN 0.6 ELSE 0.05 END::DOUBLE AS egy, CASE WHEN k = 'glf' THEN 0.6 ELSE 0.05 END::DOUBLE AS glf, CASE WHEN k = 'lev' THEN 0.6 ELSE 0.05 END::DOUBLE AS lev FROM (SELECT doc_id, CASE {KNOWN_DIALECT} ELSE 'none' END AS k FROM ({IN_ARABIC}))",
 }
+ORACLE["charset_round_trip"] = "SELECT doc_id, length(text) AS n_chars, md5(text) AS digest FROM documents"

@@ -11,6 +11,7 @@ from ..functions import cleaning, lexicons
 from ..functions import measures as m
 from ..functions.tokens import sentences, tokens
 from ..operators import annotation, arabic, association, bilingual, catalog, concordance, frequency, language, lexical, multimodal, perceptron, syntax, vision
+from ..sources import charset
 from . import fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -515,3 +516,11 @@ def detect_languages(spark, d):
 @query
 def language_profiles(spark, d):
     return language.fit_profiles(docs(spark, d))
+
+
+@query
+def charset_round_trip(spark, d):
+    """Documents written in six encodings, the encodings found by what is known of all texts, and the texts decoded."""
+    x = docs(spark, d)
+    found = charset.detect_and_decode(charset.written(x), charset.fit_byte_pairs(x), "doc_id")
+    return found.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
