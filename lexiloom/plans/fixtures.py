@@ -4,11 +4,14 @@ from __future__ import annotations
 
 FREQUENCY_LIST = [("the", 5000), ("of", 3000), ("and", 2900), ("to", 2600), ("a", 2300), ("in", 2000), ("is", 1000), ("colour", 40), ("zebra", 7)]
 
-WIKITEXT = [
-    (1, "== History ==\n'''Bold''' text with [[Target|a link]] and [[Plain]].<ref name=\"x\">cite</ref>\n* item one\n{{Infobox|a=b}}End<!-- gone -->"),
-    (2, "See [http://example.org site here] or [http://example.org].\n\n\n\n# first\n:: second <br/> done"),
-    (3, ""),
-]
+#: What no markup consists of; everything else gives way to spaces before a text becomes a wiki page.
+NO_MARKUP = r"[^\p{L}\p{N} .,]+"
+#: A wiki page before its title, before its words and after them.
+WIKI_PAGE = (
+    "== ",
+    " ==\n{{Infobox|a={{b|{{c}}}}|d=[[e]]}}'''bold''' [[Target|shown]]\n{|\n|-\n| {{x|}}\n{|\n| inner\n|}\n|}\n* ",
+    '<ref name="x">[http://example.org cite {{y}}]</ref> [http://example.org site here]<!-- [[gone --> [[Plain]]\n\n\n\n;;end <br/>',
+)
 
 #: Latin letters and the Arabic ones, with short vowels among them, that stand for them in tables without Arabic.
 LATIN, ARABIC = "abcdefghijklmnopqrstuvwxyzäöüßéèêçñó", "ابثديفغهيجكلمنوصقرستوشوخةزأإآىَُِّئؤ"

@@ -289,13 +289,6 @@ ORACLE: dict[str, str] = {
 }
 
 
-def chain(x: str, steps: list[tuple[str, str]]) -> str:
-    for pattern, by in steps:
-        x = f"regexp_replace({x}, {text(pattern)}, {text(by)}, 'g')"
-    return x
-
-
-WIKI = [(r"(?s)<!--.*?-->", ""), (r"\{\{[^}]*\}\}", ""), (r"(?s)<ref[^>]*>.*?</ref>", ""), (r"<ref[^>]*/>", ""), (r"<[^>]+>", ""), (r"\[\[[^\]]*\|([^\]]+)\]\]", r"\1"), (r"\[\[([^\]]+)\]\]", r"\1"), (r"\[https?://[^\s]+\s+([^\]]+)\]", r"\1"), (r"\[https?://[^\s]+\]", ""), ("'''", ""), ("''", ""), (r"(?m)^=+\s*(.*?)\s*=+$", r"\1"), (r"(?m)^[*#:;]+\s*", ""), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", "")]
 RECIPE = " AND ".join(f"coalesce({c}, '') <> ''" for c in ("backend", "model_name", "model_version"))
 CHECKS = {"annotation_version": ("token_count > 0", "fail"), "ai_nondeterminism": ("coalesce(ai_turns, 0) = 0", "warn"), "pipeline_recipe": (RECIPE, "fail"), "documents": ("document_count > 0", "fail")}
 CLAIMS = [
@@ -315,7 +308,6 @@ ORACLE |= {
     "collocation_network": f"""WITH t AS (SELECT *, row_number() OVER (ORDER BY log_likelihood DESC, collocate) - 1 AS k FROM ({colloc('corpus')}) ORDER BY log_likelihood DESC, collocate LIMIT 20)
       SELECT collocate, round(cos(2 * pi() * k / (SELECT count(*) FROM t)), 6) + 0 AS x, round(sin(2 * pi() * k / (SELECT count(*) FROM t)), 6) + 0 AS y,
       round(greatest(0.5, 4 * abs(log_likelihood) / (SELECT max(abs(log_likelihood)) FROM t)), 4) AS edge_width, round(12 + 18 * o / (SELECT max(o) FROM t), 4) AS radius FROM t""",
-    "wikitext": f"SELECT id, {chain('text', WIKI)} AS text FROM ({values(fixtures.WIKITEXT, 'id, text', 'id::BIGINT AS id, text')})",
     "precheck": f"""WITH c AS ({values(fixtures.CORPORA, 'corpus, token_count, ai_turns, backend, model_name, model_version, document_count')}),
       s AS ({" UNION ALL ".join(f"SELECT corpus, '{k}' AS ck, CASE WHEN {ok} THEN 'pass' ELSE '{bad}' END AS status FROM c" for k, (ok, bad) in CHECKS.items())})
       SELECT corpus, CASE WHEN bool_or(status = 'fail') OVER w THEN 'fail' WHEN bool_or(status = 'warn') OVER w THEN 'warn' ELSE 'pass' END AS overall, ck AS "check", status FROM s WINDOW w AS (PARTITION BY corpus)""",
@@ -339,8 +331,9 @@ ORACLE |= {
       k AS (SELECT * FROM (VALUES {COLOUR_ROWS}) v(name, cr, cg, cb))
       SELECT * FROM (SELECT r.image_id, region, "at", span, round(coalesce(CASE WHEN name IS NOT NULL THEN greatest(0.0, 1 - 2 * sqrt((r - cr) * (r - cr) + (g - cg) * (g - cg) + (b - cb) * (b - cb)) / (sqrt(3.0) * 255)) END, CASE {PLACES} END, 0.2)::DOUBLE, 6) AS score
       FROM r JOIN s ON r.image_id = s.image_id LEFT JOIN k ON span = name) WHERE score > 0.1""",
-    "redact_sentences": rf"""WITH s AS (SELECT doc_id, regexp_matches(text, {REDACTED}) AS hit, string_split_regex(text, '[.!?]\s+') AS parts FROM documents)
-      SELECT doc_id, hit AS was_filtered, (1 + len(list_filter(parts, lambda x: regexp_matches(x, {REDACTED}))))::BIGINT AS parts FROM s""",
+    "redact_sentences": rf"""WITH s AS (SELECT doc_id, text, regexp_matches(text, {REDACTED}) AS hit, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS parts FROM documents)
+      SELECT doc_id, hit AS was_filtered, (1 + len(list_filter(parts, lambda x: regexp_matches(x, {REDACTED}))))::BIGINT AS parts,
+      md5(CASE WHEN hit THEN array_to_string(list_transform(parts, lambda x: CASE WHEN regexp_matches(x, {REDACTED}) THEN {text(lexicons.REDACTION_MARK)} ELSE x END), ' ') ELSE text END) AS digest FROM s""",
 }
 
 CAPTIONED = f"""SELECT doc_id AS image_id, coalesce(text, '') AS caption, coalesce(source, '') AS ocr, (doc_id % 21 - 10) / 10 AS warm, (doc_id % 11) / 10 AS sat,
@@ -460,3 +453,5 @@ ORACLE |= {
     "dialect_heuristic": f"SELECT doc_id, CASE WHEN k = 'none' THEN 0.85 ELSE 0.3 END::DOUBLE AS msa, CASE WHEN k = 'egy' THEN 0.6 ELSE 0.05 END::DOUBLE AS egy, CASE WHEN k = 'glf' THEN 0.6 ELSE 0.05 END::DOUBLE AS glf, CASE WHEN k = 'lev' THEN 0.6 ELSE 0.05 END::DOUBLE AS lev FROM (SELECT doc_id, CASE {KNOWN_DIALECT} ELSE 'none' END AS k FROM ({IN_ARABIC}))",
 }
 ORACLE["charset_round_trip"] = "SELECT doc_id, length(text) AS n_chars, md5(text) AS digest FROM documents"
+ORACLE["wikitext_plain"] = rf"""SELECT doc_id, length(x) AS n_chars, md5(x) AS digest FROM (SELECT doc_id, source || chr(10) || 'bold shown' || chr(10) || chr(10) ||
+  regexp_replace(regexp_replace(text, {text(fixtures.NO_MARKUP)}, ' ', 'g').trim() || ' site here Plain', '^ +', '') || chr(10) || chr(10) || 'end' AS x FROM documents)"""

@@ -11,7 +11,7 @@ from ..functions import cleaning, lexicons
 from ..functions import measures as m
 from ..functions.tokens import sentences, tokens
 from ..operators import annotation, arabic, association, bilingual, catalog, concordance, frequency, language, lexical, multimodal, perceptron, syntax, vision
-from ..sources import charset
+from ..sources import charset, wikitext
 from . import fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -251,15 +251,18 @@ def html_text(spark, d):
 
 
 @query
-def wikitext(spark, d):
-    rows = spark.createDataFrame(fixtures.WIKITEXT, "id bigint, text string")
-    return rows.select("id", cleaning.strip_wikitext(F.col("text")).alias("text"))
+def wikitext_plain(spark, d):
+    """Documents dressed up as wiki pages, with nested templates, tables and links, and their text again."""
+    words = F.trim(F.regexp_replace("text", fixtures.NO_MARKUP, " "))
+    opening, head, tail = fixtures.WIKI_PAGE
+    page = F.concat(F.lit(opening), "source", F.lit(head), words, F.lit(tail))
+    return docs(spark, d).select("doc_id", wikitext.strip_wikitext(page).alias("x")).select("doc_id", F.length("x").cast("long").alias("n_chars"), F.md5("x").alias("digest"))
 
 
 @query
 def redact_sentences(spark, d):
     out = lexical.redact_sentences(docs(spark, d), lexicons.ATTESTED["redaction"])
-    return out.select("doc_id", "was_filtered", F.size(F.split("text", r"\[redacted")).cast("long").alias("parts"))
+    return out.select("doc_id", "was_filtered", F.size(F.split("text", r"\[redacted")).cast("long").alias("parts"), F.md5("text").alias("digest"))
 
 
 @query

@@ -44,3 +44,16 @@ def read_wordlist(spark: SparkSession, path: str) -> DataFrame:
 
 
 READERS = {"tsv": read_tsv, "csv": read_csv, "json": read_json, "lst": read_lst}
+
+
+#: Words that a list may have, as lists become part of a query's plan.
+MOST_WORDS = 100_000
+
+
+def read_word_list(spark: SparkSession, path: str) -> list[str]:
+    """The words or phrases of a text file, one a line, lower-case, sorted, once each; lines with # in front are notes."""
+    words = spark.read.text(path).select(F.lower(F.trim("value")).alias("w")).where((F.col("w") != "") & ~F.col("w").startswith("#")).distinct()
+    rows = words.orderBy("w").limit(MOST_WORDS + 1).collect()
+    if len(rows) > MOST_WORDS:
+        raise ValueError(f"more than {MOST_WORDS} words in {path}")
+    return [r["w"] for r in rows]
