@@ -21,30 +21,50 @@ _CLOSES = {"}}": "{{", "|}": "{|", "]]": "[[", "]": "["}
 _DROPPED = ("{{", "{|", "<ref")
 
 
-def _shown(kind: str, inner: str) -> str:
-    """What a closed mark leaves of its inside."""
+def _shown(kind: str, held: list) -> list:
+    """What a closed mark leaves of its pieces; pieces are strings, or lists of what closed marks within left."""
     if kind in _DROPPED:
-        return ""
-    if kind == "[[":
-        return inner.rpartition("|")[2]
-    return inner.partition(" ")[2].strip()  # an address, and what is shown for it
+        return []
+    if kind == "[[":  # what follows the last bar
+        for i in range(len(held) - 1, -1, -1):
+            if isinstance(held[i], str) and "|" in held[i]:
+                return [held[i].rpartition("|")[2], *held[i + 1 :]]
+        return held
+    for i, piece in enumerate(held):  # an address, and behind a space what is shown for it
+        if isinstance(piece, str) and " " in piece:
+            return [piece.partition(" ")[2], *held[i + 1 :]]
+    return []
+
+
+def _flat(pieces: list) -> str:
+    out, stack = [], [iter(pieces)]
+    while stack:
+        for x in stack[-1]:
+            if isinstance(x, list):
+                stack.append(iter(x))
+                break
+            out.append(x)
+        else:
+            stack.pop()
+    return "".join(out)
 
 
 def plain_wikitext(text: str) -> str:
     """Text of a page's markup: see the module; headings and list items are lines of their own."""
-    # Open marks: (kind, the mark itself, what it holds so far); the first frame is the page.
-    frames: list[tuple[str, str, list[str]]] = [("", "", [])]
-    open_: dict[str, int] = {}
+    # Open marks: (kind, the mark itself, its pieces so far); the first frame is the page.
+    frames: list[tuple[str, str, list]] = [("", "", [])]
+    places: dict[str, list[int]] = {}  # of each kind's open frames
     at = 0
 
-    def close(down_to: int, leave: bool) -> None:
-        """Close the frames above a depth; those that nothing closed keep their marks."""
-        while len(frames) > down_to:
-            kind, mark, held = frames.pop()
-            open_[kind] -= 1
-            inner = "".join(held)
-            done = leave and len(frames) == down_to
-            frames[-1][2].append(_shown(kind, inner) if done else mark + inner)
+    def cut(depth: int) -> list:
+        """Take the frames from a depth on; those above it that nothing closed are text with their marks."""
+        held = frames[depth][2]
+        for kind, mark, pieces in frames[depth + 1 :]:
+            held.append(mark)
+            held.append(pieces)
+            places[kind].pop()
+        del frames[depth + 1 :]
+        return held
 
     while found := _MARK.search(text, at):
         frames[-1][2].append(text[at : found.start()])
@@ -53,24 +73,27 @@ def plain_wikitext(text: str) -> str:
         if mark == "<!--":
             end = text.find("-->", at)
             if end < 0:
-                frames[-1][2].append(mark)
+                frames[-1][2].append(text[found.start() :])
+                at = len(text)
             else:
                 at = end + 3
         elif kind or mark == "</ref>":
             kind = kind or "<ref"
-            if open_.get(kind):
-                close(max(i for i in range(len(frames)) if frames[i][0] == kind), True)
+            if places.get(kind):
+                depth = places[kind].pop()
+                held = cut(depth)
+                frames.pop()
+                frames[-1][2].append(_shown(kind, held))
             elif kind != "<ref":
                 frames[-1][2].append(mark)
         elif mark in ("{{", "{|", "[[", "[") or re.match(r"<ref\b[^>]*(?<!/)>", mark):
             kind = "<ref" if mark[0] == "<" else mark
+            places.setdefault(kind, []).append(len(frames))
             frames.append((kind, "" if kind == "<ref" else mark, []))
-            open_[kind] = open_.get(kind, 0) + 1
         # Other tags and emphasis leave nothing.
     frames[-1][2].append(text[at:])
-    close(1, False)
     lines = []
-    for line in "".join(frames[0][2]).split("\n"):
+    for line in _flat(cut(0)).split("\n"):
         if line[:1] == "=" and line.rstrip()[-1:] == "=":
             line = line.strip("= \t") or line
         elif line[:1] in ("*", "#", ":", ";") and line:

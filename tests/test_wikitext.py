@@ -40,6 +40,8 @@ def test_long_and_deep_pages_take_linear_time():
     began = time.perf_counter()
     assert wikitext.plain_wikitext("{{" * 100_000 + "x" + "}}" * 100_000) == ""
     assert len(wikitext.plain_wikitext("{{" * 100_000 + "x")) == 200_001
+    assert len(wikitext.plain_wikitext("[[a " * 100_000 + "x" + "]]" * 100_000)) == 200_001
+    assert len(wikitext.plain_wikitext("<!--" * 100_000)) == 400_000
     assert wikitext.plain_wikitext("[[a|b]] " * 200_000) == ("b " * 200_000).strip()
     assert time.perf_counter() - began < 20
 
