@@ -51,7 +51,13 @@ def pixel_measures(pixels: np.ndarray) -> dict:
     total = salience.sum()
     total = total if total > 1e-6 else 0.0  # a plain image leaves rounding errors only
     share = (lambda part: float(part.sum() / total)) if total else (lambda part: 0.5)
-    ys, xs = np.indices(grey.shape)
+    across, down = salience.sum(axis=0), salience.sum(axis=1)
+    thirds = []
+    for tx in (w / 3, 2 * w / 3):  # around each crossing of the lines of thirds
+        for ty in (h / 3, 2 * h / 3):
+            part = salience[max(0, int(ty - 10)) : int(ty + 10), max(0, int(tx - 10)) : int(tx + 10)]
+            thirds.append(round(float(part.sum() / total), 4) if total else 0.0)
+    centre = share(salience[h // 4 : 3 * h // 4, w // 4 : 3 * w // 4])
     return {
         "dominant": [f"#{c // 64 * 32:02x}{c // 8 % 8 * 32:02x}{c % 8 * 32:02x}" for _, c in top],
         "warm_cold": round(float((counts[warm].sum() - counts[vivid & ~warm].sum()) / n), 3),
@@ -62,24 +68,30 @@ def pixel_measures(pixels: np.ndarray) -> dict:
         "iv_right": round(share(salience[:, w // 2 :]), 3),
         "iv_top": round(share(salience[: h // 2]), 3),
         "iv_bottom": round(share(salience[h // 2 :]), 3),
-        "iv_centre": round(share(salience[h // 4 : 3 * h // 4, w // 4 : 3 * w // 4]), 3),
-        "salience_x": round(float((xs * salience).sum() / total / w) if total else 0.5, 3),
-        "salience_y": round(float((ys * salience).sum() / total / h) if total else 0.5, 3),
+        "iv_centre": round(centre, 3),
+        "salience_x": round(float(np.arange(w) @ across / total / w) if total else 0.5, 3),
+        "salience_y": round(float(np.arange(h) @ down / total / h) if total else 0.5, 3),
+        "shares": [round(float(-c / n) * 100, 2) for c, _ in top],
+        "thirds": thirds,
+        "balance": round(share(salience[:, w // 2 :]) - share(salience[:, : w // 2]), 3),
+        "framing": round(1 - centre, 3),
     }
 
 
-MEASURES = "dominant array<string>, warm_cold double, brightness double, contrast double, saturation double, iv_left double, iv_right double, iv_top double, iv_bottom double, iv_centre double, salience_x double, salience_y double"
+MEASURES = "dominant array<string>, warm_cold double, brightness double, contrast double, saturation double, iv_left double, iv_right double, iv_top double, iv_bottom double, iv_centre double, salience_x double, salience_y double, shares array<double>, thirds array<double>, balance double, framing double"
 
 
 def analyse_pixels(images: DataFrame) -> DataFrame:
-    """Measures of images given as (image_id, width, height, rgb binary)."""
+    """Measures of images given as (image_id, width, height, rgb binary); those without pixels are left out."""
+    images = images.where("rgb is not null and width > 0 and height > 0")
     kind = images.schema["image_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [pixel_measures(np.frombuffer(x, np.uint8).reshape(h, w, 3)) for w, h, x in zip(*(batch.column(c).to_pylist() for c in ("width", "height", "rgb")), strict=True)]
             names = [part.split()[0] for part in MEASURES.split(", ")]
-            kinds = [pa.list_(pa.string()) if n == "dominant" else pa.float64() for n in names]
+            lists = {"dominant": pa.list_(pa.string()), "shares": pa.list_(pa.float64()), "thirds": pa.list_(pa.float64())}
+            kinds = [lists.get(n, pa.float64()) for n in names]
             yield pa.RecordBatch.from_arrays([batch.column("image_id"), *(pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True))], names=["image_id", *names])
 
     return images.select("image_id", "width", "height", "rgb").mapInArrow(run, f"image_id {kind}, {MEASURES}")

@@ -23,10 +23,6 @@ COUNTS = [(1, 1, 100, 100, 10000), (2, 200, 100, 100, 10000), (3, 10, 1000, 1000
 
 PARTS = [(1, [10, 10, 10, 10]), (2, [10, 0, 0, 0]), (3, [4, 2, 2, 0]), (4, [1, 2, 3]), (5, [0, 0]), (6, [5])]
 
-IMAGES_SCHEMA = "image_id bigint, saturation double, brightness double, iv_left double, iv_right double, iv_top double, iv_bottom double, iv_centre double"
-IMAGES = [(1, 0.8, 220.0, 0.7, 0.3, 0.45, 0.55, 0.7), (2, 0.1, 40.0, 0.5, 0.5, 0.2, 0.8, 0.5), (3, 0.5, 128.0, 0.4, 0.6, 0.5, 0.5, 0.2)]
-
-REGIONS = [(1, 0, 0.2, 0.2, 250, 10, 10), (1, 1, 0.8, 0.5, 10, 10, 240), (2, 0, 0.5, 0.9, 120, 130, 120)]
-CAPTIONS = [(1, "A red, bright flag on the left"), (2, "Grey sky with bottom text")]
+CAPTION_COLOURS = ["red", "grey", "olive", "brown", "green"]
 
 DOMINANT = ["#e02020", "#e0e020", "#20a020", "#2020c0", "#c020c0", "#808080"]

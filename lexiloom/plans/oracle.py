@@ -291,16 +291,6 @@ ORACLE: dict[str, str] = {
 
 RECIPE = " AND ".join(f"coalesce({c}, '') <> ''" for c in ("backend", "model_name", "model_version"))
 CHECKS = {"annotation_version": ("token_count > 0", "fail"), "ai_nondeterminism": ("coalesce(ai_turns, 0) = 0", "warn"), "pipeline_recipe": (RECIPE, "fail"), "documents": ("document_count > 0", "fail")}
-CLAIMS = [
-    ("information_value:given_new", "abs(iv_left - iv_right) > 0.1", "abs(iv_left - iv_right)"),
-    ("information_value:ideal_real", "abs(iv_top - iv_bottom) > 0.1", "abs(iv_top - iv_bottom)"),
-    ("information_value:centre_margin", "iv_centre > 0.6", "iv_centre - 0.5"),
-    ("salience", "true", "0.45"),
-    ("framing", "1 - iv_centre > 0.6 OR 1 - iv_centre < 0.4", "abs(1 - iv_centre - 0.5)"),
-    ("modality", "(saturation + brightness / 255) / 2 > 0.6 OR (saturation + brightness / 255) / 2 < 0.3", "abs((saturation + brightness / 255) / 2 - 0.5)"),
-]
-IMAGE_COLUMNS = "image_id, saturation, brightness, iv_left, iv_right, iv_top, iv_bottom, iv_centre"
-IMAGES = values(fixtures.IMAGES, IMAGE_COLUMNS, ", ".join(f"{c.strip()}::{'BIGINT' if c.strip() == 'image_id' else 'DOUBLE'} AS {c.strip()}" for c in IMAGE_COLUMNS.split(",")))
 LETTERS, SIGNS = (text(x) for x in BUCKWALTER)
 
 ORACLE |= {
@@ -311,21 +301,29 @@ ORACLE |= {
     "precheck": f"""WITH c AS ({values(fixtures.CORPORA, 'corpus, token_count, ai_turns, backend, model_name, model_version, document_count')}),
       s AS ({" UNION ALL ".join(f"SELECT corpus, '{k}' AS ck, CASE WHEN {ok} THEN 'pass' ELSE '{bad}' END AS status FROM c" for k, (ok, bad) in CHECKS.items())})
       SELECT corpus, CASE WHEN bool_or(status = 'fail') OVER w THEN 'fail' WHEN bool_or(status = 'warn') OVER w THEN 'warn' ELSE 'pass' END AS overall, ck AS "check", status FROM s WINDOW w AS (PARTITION BY corpus)""",
-    "visual_grammar_fixture": " UNION ALL ".join(f"SELECT image_id, '{k}' AS category, round(least(1.0, 2 * ({v}))::DOUBLE, 6) AS confidence FROM ({IMAGES}) WHERE {ok}" for k, ok, v in CLAIMS),
     "lemma_kwic": f"""WITH p AS MATERIALIZED ({PARSED}) SELECT t.doc_id, t.sentence_idx, t.token_idx,
       coalesce((SELECT string_agg(c.text, ' ' ORDER BY c.token_idx) FROM p c WHERE c.doc_id = t.doc_id AND c.sentence_idx = t.sentence_idx AND c.token_idx BETWEEN t.token_idx - 2 AND t.token_idx - 1), '') AS left_context, t.text AS node,
       coalesce((SELECT string_agg(c.text, ' ' ORDER BY c.token_idx) FROM p c WHERE c.doc_id = t.doc_id AND c.sentence_idx = t.sentence_idx AND c.token_idx BETWEEN t.token_idx + 1 AND t.token_idx + 2), '') AS right_context
       FROM p t WHERE t.lemma = 'be'""",
 }
 
+#: Bytes of texts as pixels of images 48 wide, and the mean colours of three by three cells.
+REGIONS = """WITH h AS (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS hs, strlen(text) AS n FROM documents),
+      bytes AS (SELECT doc_id, n, unnest(range(1, n + 1)) - 1 AS i, ('0x' || unnest(hs))::INT AS v FROM h),
+      size AS (SELECT doc_id, greatest(3, ((n + 431) // 432) * 3) AS height FROM h),
+      cells AS (SELECT doc_id, i % 3 AS channel, (i // 144) // (height // 3) * 3 + (i // 3) % 48 // 16 AS region, sum(v) AS s FROM bytes JOIN size USING (doc_id) GROUP BY ALL),
+      grid AS (SELECT doc_id, height, region FROM size, range(9) t(region)),
+      regions AS (SELECT doc_id AS image_id, region, round((region % 3 * 16 + 8) / 48, 3) AS x, round((region // 3 + 0.5) / 3, 3) AS y, coalesce(sum(s) FILTER (channel = 0), 0) // (height // 3 * 16) AS r,
+        coalesce(sum(s) FILTER (channel = 1), 0) // (height // 3 * 16) AS g, coalesce(sum(s) FILTER (channel = 2), 0) // (height // 3 * 16) AS b FROM grid LEFT JOIN cells USING (doc_id, region) GROUP BY doc_id, region, height)"""
+CAPTION_COLOUR = "[" + ", ".join(map(text, fixtures.CAPTION_COLOURS)) + "][doc_id % 5 + 1]"
 COLOUR_ROWS = ", ".join(f"('{k}', {r}, {g}, {b})" for k, (r, g, b) in vision.COLOURS.items())
 PLACES = " ".join(f"WHEN span = '{k}' THEN CASE WHEN {rule} THEN 0.7 ELSE 0.0 END" for k, rule in vision.POSITIONS.items())
 TERMS = ", ".join(f"'{k}'" for k in [*vision.COLOURS, *vision.POSITIONS])
 REDACTED = text(lexical.keyword_pattern(ATT["redaction"]))
 
 ORACLE |= {
-    "region_alignment_fixture": rf"""WITH r AS ({values(fixtures.REGIONS, 'image_id, region, x, y, r, g, b', 'image_id::BIGINT AS image_id, region::BIGINT AS region, x, y, r, g, b')}),
-      c AS ({values(fixtures.CAPTIONS, 'image_id, caption', 'image_id::BIGINT AS image_id, caption')}), w AS (SELECT image_id, string_split_regex(lower(caption), '\s+') AS ws FROM c),
+    "region_alignment": rf"""{REGIONS}, r AS (SELECT image_id, region, x, y, r, g, b FROM regions),
+      c AS (SELECT doc_id AS image_id, 'A ' || {CAPTION_COLOUR} || ' page, ' || source || ', with (left) text at the bottom in ' || lang AS caption FROM documents), w AS (SELECT image_id, string_split_regex(lower(caption), '\s+') AS ws FROM c),
       t AS (SELECT image_id, (i - 1)::INT AS "at", regexp_replace(ws[i], '^[^\pL\pN]+|[^\pL\pN]+$', '', 'g') AS span FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM w)),
       s AS (SELECT * FROM t WHERE (length(span) >= 4 OR span IN ({TERMS})) AND span NOT IN ('with', 'this', 'that')),
       k AS (SELECT * FROM (VALUES {COLOUR_ROWS}) v(name, cr, cg, cb))
@@ -455,3 +453,7 @@ ORACLE |= {
 ORACLE["charset_round_trip"] = "SELECT doc_id, length(text) AS n_chars, md5(text) AS digest FROM documents"
 ORACLE["wikitext_plain"] = rf"""SELECT doc_id, length(x) AS n_chars, md5(x) AS digest FROM (SELECT doc_id, source || chr(10) || 'bold shown' || chr(10) || chr(10) ||
   regexp_replace(regexp_replace(text, {text(fixtures.NO_MARKUP)}, ' ', 'g').trim() || ' site here Plain', '^ +', '') || chr(10) || chr(10) || 'end' AS x FROM documents)"""
+ORACLE |= {
+    "image_regions": f"{REGIONS} SELECT image_id, region, x, y, r::INT AS r, g::INT AS g, b::INT AS b FROM regions",
+    "image_pixels": "SELECT doc_id AS image_id, 48 AS width, greatest(3, ((strlen(text) + 431) // 432) * 3) AS height, md5(encode(text) || repeat(chr(0), CASE WHEN text = '' THEN 432 ELSE (432 - strlen(text) % 432) % 432 END)::BLOB) AS digest, NULL::VARCHAR AS error FROM documents",
+}

@@ -11,7 +11,7 @@ from ..functions import cleaning, lexicons
 from ..functions import measures as m
 from ..functions.tokens import sentences, tokens
 from ..operators import annotation, arabic, association, bilingual, catalog, concordance, frequency, language, lexical, multimodal, perceptron, syntax, vision
-from ..sources import charset, wikitext
+from ..sources import charset, images, wikitext
 from . import fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -457,16 +457,38 @@ def collocation_network(spark, d):
     return association.network_layout(association.collocations(english(spark, d), "of", limit=None))
 
 
+def document_images(spark: SparkSession, d: str) -> DataFrame:
+    """Documents' bytes written as PNG files and read back."""
+    return images.decode_images(images.text_images(docs(spark, d)), "doc_id", "png")
+
+
+@query
+def image_pixels(spark, d):
+    return document_images(spark, d).select("image_id", "width", "height", F.md5("rgb").alias("digest"), "error")
+
+
+@query
+def image_measures(spark, d):
+    """Colour and composition of every document's image."""
+    return vision.analyse_pixels(document_images(spark, d))
+
+
+@query
+def image_regions(spark, d):
+    return images.extract_regions(document_images(spark, d))
+
+
 @query
-def visual_grammar_fixture(spark, d):
-    return vision.visual_grammar(spark.createDataFrame(fixtures.IMAGES, fixtures.IMAGES_SCHEMA))
+def visual_grammar(spark, d):
+    return vision.visual_grammar(vision.analyse_pixels(document_images(spark, d)))
 
 
 @query
-def region_alignment_fixture(spark, d):
-    regions = spark.createDataFrame(fixtures.REGIONS, "image_id bigint, region bigint, x double, y double, r int, g int, b int")
-    spans = vision.text_spans(spark.createDataFrame(fixtures.CAPTIONS, "image_id bigint, caption string"), ["with", "this", "that"])
-    return vision.align_regions(regions, spans)
+def region_alignment(spark, d):
+    """Regions of documents' images against captions made of the documents' columns."""
+    caption = F.concat(F.lit("A "), F.get(F.array(*map(F.lit, fixtures.CAPTION_COLOURS)), F.pmod("doc_id", F.lit(len(fixtures.CAPTION_COLOURS))).cast("int")), F.lit(" page, "), "source", F.lit(", with (left) text at the bottom in "), "lang")
+    spans = vision.text_spans(docs(spark, d).select(F.col("doc_id").alias("image_id"), caption.alias("caption")), ["with", "this", "that"])
+    return vision.align_regions(images.extract_regions(document_images(spark, d)), spans)
 
 
 def captioned(spark: SparkSession, d: str) -> DataFrame:
