@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import Conflict, Log
+
 
 def subcorpus(docs: DataFrame, meta: str = "meta", year_min: str | None = None, year_max: str | None = None, **equal: str) -> DataFrame:
     """Documents whose metadata map satisfies all criteria; years are compared as text."""
@@ -76,42 +80,43 @@ def merge_by_id(parts: list[DataFrame], id_col: str = "id") -> DataFrame:
 class Table:
     """A Parquet table with append and rewrite, for saved searches, bookmarks and the like.
 
-    A rewrite is written beside the table and then takes its place; if the session ends
-    in between, the next reader finds either the old rows or the complete new ones.
+    Rows are in folders that are never changed; the newest entry of a log names those that count.  A
+    change writes its folder first and its entry last, so a reader finds the table before or after
+    it, and of two changes at once the second is made again on top of the first.
     """
 
     def __init__(self, spark, path: str, schema: str):
         self.spark, self.path, self.schema = spark, path, schema
-        self._beside = f"{path}-rewritten"
-
-    def _folder(self, path: str):
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return folder, folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _settle(self) -> None:
-        """Finish a rewrite whose table is gone already, and drop one that was not complete."""
-        old, files = self._folder(self.path)
-        new, _ = self._folder(self._beside)
-        if files.exists(new):
-            if files.exists(old):
-                files.delete(new, True)
-            else:
-                files.rename(new, old)
+        self.log = Log(spark, f"{path}/log")
 
-    def rows(self) -> DataFrame:
-        self._settle()
-        old, files = self._folder(self.path)
-        if not files.exists(old):
+    def _folders(self) -> tuple[int, list[str]]:
+        numbers = self.log.numbers()
+        return (numbers[-1], self.log.read(numbers[-1]).split()) if numbers else (0, [])
+
+    def _read(self, folders: list[str]) -> DataFrame:
+        if not folders:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self.path)
+        return self.spark.read.schema(self.schema).parquet(*(f"{self.path}/{f}" for f in folders))
+
+    def rows(self) -> DataFrame:
+        return self._read(self._folders()[1])
+
+    def _change(self, make) -> None:
+        """``make(folders)`` gives the new rows and the folders that stay; made again if another change came first."""
+        while True:
+            number, folders = self._folders()
+            rows, stay = make(folders)
+            name = f"rows-{uuid.uuid4().hex}"
+            rows.write.parquet(f"{self.path}/{name}")
+            try:
+                self.log.put(number + 1, "\n".join([*stay, name]))
+                return
+            except Conflict:
+                Log(self.spark, self.path).delete(name)
 
     def add(self, rows: list[tuple]) -> None:
-        self._settle()
-        self.spark.createDataFrame(rows, self.schema).write.mode("append").parquet(self.path)
+        self._change(lambda folders: (self.spark.createDataFrame(rows, self.schema), folders))
 
     def remove(self, condition: Column) -> None:
         """Rewrite without the rows for which the condition holds."""
-        self.rows().where(~F.coalesce(condition, F.lit(False))).write.parquet(self._beside)
-        old, files = self._folder(self.path)
-        files.delete(old, True)
-        self._settle()
+        self._change(lambda folders: (self._read(folders).where(~F.coalesce(condition, F.lit(False))), []))

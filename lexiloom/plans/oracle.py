@@ -457,3 +457,14 @@ ORACLE |= {
     "image_regions": f"{REGIONS} SELECT image_id, region, x, y, r::INT AS r, g::INT AS g, b::INT AS b FROM regions",
     "image_pixels": "SELECT doc_id AS image_id, 48 AS width, greatest(3, ((strlen(text) + 431) // 432) * 3) AS height, md5(encode(text) || repeat(chr(0), CASE WHEN text = '' THEN 432 ELSE (432 - strlen(text) % 432) % 432 END)::BLOB) AS digest, NULL::VARCHAR AS error FROM documents",
 }
+
+CLEANED = f"SELECT doc_id, {finish(STOPPED)} AS text FROM (SELECT doc_id, lower({collapse('text')}) AS t1 FROM documents)"
+
+
+def token_state(label: str, base: str, made: str) -> str:
+    return f"SELECT '{label}' AS state, (SELECT count(*) FROM documents) AS documents, ({made}) AS made, * FROM (" + with_tokens(base, "SELECT count(*) AS tokens, count(DISTINCT lower(text)) AS types FROM toks") + ")"
+
+
+ORACLE["corpus_versions"] = " UNION ALL ".join(
+    [token_state("before", ALL, "SELECT count(*) FROM documents"), token_state("after", CLEANED, f"SELECT count(*) FROM documents d JOIN ({CLEANED}) c USING (doc_id) WHERE d.text IS DISTINCT FROM c.text")]
+)

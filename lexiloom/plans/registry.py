@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import cleaning, lexicons
 from ..functions import measures as m
 from ..functions.tokens import sentences, tokens
-from ..operators import annotation, arabic, association, bilingual, catalog, concordance, frequency, language, lexical, multimodal, perceptron, syntax, vision
-from ..sources import charset, images, wikitext
+from ..operators import annotation, arabic, association, bilingual, catalog, concordance, frequency, language, lexical, multimodal, perceptron, syntax, versions, vision
+from ..sources import charset, images, storage, wikitext
 from . import fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -549,3 +549,18 @@ def charset_round_trip(spark, d):
     x = docs(spark, d)
     found = charset.detect_and_decode(charset.written(x), charset.fit_byte_pairs(x), "doc_id")
     return found.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+@query
+def corpus_versions(spark, d):
+    """Documents ingested, then cleaned: counts of both versions, and for how many documents each made rows."""
+    store = versions.Versions(spark, storage.shared_folder(spark, "versions"))
+    x = docs(spark, d).select("doc_id", "text")
+    cleaned = x.withColumn("text", cleaning.clean_text(F.col("text"), cleaning.CleanOptions(lowercase=True, remove_stop_words=True)))
+    out = None
+    for label, source in (("before", x), ("after", cleaned)):
+        entry = store.commit(source, tokens, "regex-tokens", {"version": 1})
+        counts = store.rows().agg(F.count("*").alias("tokens"), F.countDistinct("text_lc").alias("types"))
+        counts = counts.select(F.lit(label).alias("state"), F.lit(entry["documents"]).cast("long").alias("documents"), F.lit(entry["made"]).cast("long").alias("made"), "tokens", "types")
+        out = counts if out is None else out.unionByName(counts)
+    return out
