@@ -409,7 +409,7 @@ grams AS (SELECT doc_id, lang, n_chars, unnest(list_concat(list_filter(c, lambda
 PROFILES = "SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS rank FROM (SELECT lang, gram, count(*) AS n FROM grams WHERE lang IS NOT NULL {more} GROUP BY ALL) QUALIFY rank <= 300"
 ORACLE |= {
     "language_profiles": f"WITH {GRAMS} {PROFILES.format(more='')}",
-    "detect_languages": f"""WITH {GRAMS}, p AS MATERIALIZED ({PROFILES.format(more='AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)')}),
+    "detect_languages": f"""WITH {GRAMS}, p AS MATERIALIZED ({PROFILES.format(more='')}),
       own AS (SELECT doc_id, gram, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, gram) AS r FROM (SELECT doc_id, gram, count(*) AS n FROM grams WHERE n_chars > 100 GROUP BY ALL) QUALIFY r <= 300),
       far AS (SELECT doc_id, k.lang, sum(coalesce(abs(p.rank - r), 300))::BIGINT AS d FROM own CROSS JOIN (SELECT DISTINCT lang FROM p) k LEFT JOIN p ON p.lang = k.lang AND p.gram = own.gram GROUP BY ALL),
       best AS (SELECT doc_id, list(lang ORDER BY d, lang) AS l, list(d ORDER BY d, lang) AS d FROM far GROUP BY ALL)
