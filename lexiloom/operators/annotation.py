@@ -1,7 +1,7 @@
 """From documents to annotated tokens: lemma, tag, morphology, head and relation.
 
 ``Annotator`` is the protocol: a table of documents in, a token table out, in the schema that
-``operators.syntax`` reads, with each head's text, lemma and tag beside its dependent.  Sentences are split into tokens by Spark; tags and heads are
+``operators.syntax`` reads, with each head's text, lemma and tag beside its dependent and each word's modifiers beside it.  Sentences are split into tokens by Spark; tags and heads are
 computed in Arrow batches of sentences with arrays over all tokens of a batch, so that
 a token costs a few array operations and a very long sentence no more than its length.
 
@@ -13,6 +13,7 @@ and as the source of training sentences for ``operators.perceptron``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -62,7 +63,9 @@ FORMS: dict[str, tuple[str, str]] = {
 RELATIVE = ("who", "which", "qui")
 DEFAULT_LANG = "en"
 
-TOKEN_SCHEMA = "sentence_idx int, token_idx int, text string, text_lc string, lemma string, pos string, pos_fine string, morph string, dep_head int, dep_rel string, is_punct boolean, is_stop boolean, head_text string, head_lemma string, head_pos string"
+TOKEN_SCHEMA = "sentence_idx int, token_idx int, text string, text_lc string, lemma string, pos string, pos_fine string, morph string, dep_head int, dep_rel string, is_punct boolean, is_stop boolean, head_text string, head_lemma string, head_pos string, modifiers array<string>"
+#: Relations of what modifies a noun.
+MODIFIERS = ("amod", "nmod", "compound", "nummod", "appos")
 _CLOSED = {lang: {w: tag for tag, ws in classes.items() for w in ws.split()} for lang, classes in CLOSED.items()}
 _STOP = set(STOP_WORDS_EN)
 
@@ -73,10 +76,14 @@ class Annotator(Protocol):
     def info(self) -> dict[str, str]:
         """Names and versions that a result should be stored with."""
 
-    def annotate(self, docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-        """The token table of ``docs``: doc_id, kept columns, then the columns of ``TOKEN_SCHEMA``."""
+    def annotate(self, docs: DataFrame, keep: tuple[str, ...] = (), columns: tuple[str, ...] | None = None) -> DataFrame:
+        """The token table of ``docs``: doc_id, kept columns, then those of ``columns`` (all by default) that ``TOKEN_SCHEMA`` has.
 
+        What is not asked for is not made, as Spark cannot see into the tasks to leave it out itself.
+        """
 
+
+@lru_cache(maxsize=1 << 17)
 def lexeme(word: str, lang: str, tag: str | None = None) -> tuple[str, str, str]:
     """Lemma, tag and morphology of a lower-case word; with a tag, its lemma and morphology as that."""
     closed = _CLOSED.get(lang, _CLOSED[DEFAULT_LANG])
@@ -100,7 +107,7 @@ class Batch:
 
     def __init__(self, toks: pa.Array, langs: list[str | None]):
         flat = toks.flatten()
-        sizes = np.array([len(t) if t is not None else 0 for t in toks], dtype=np.int64)
+        sizes = pc.fill_null(pc.list_value_length(toks), 0).to_numpy().astype(np.int64)
         self.n, self.flat = len(flat), flat
         self.ends = np.cumsum(sizes)
         self.begins = self.ends - sizes
@@ -111,8 +118,8 @@ class Batch:
         number = {x: i for i, x in enumerate(names)}
         lang = np.array([number[x or DEFAULT_LANG] for x in langs], dtype=np.int64)[self.of]
         pairs, self.word = np.unique(coded.indices.to_numpy().astype(np.int64) * len(names) + lang, return_inverse=True) if self.n else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        lower = coded.dictionary
-        self.words = [(names[p % len(names)], lower[p // len(names)].as_py()) for p in pairs.tolist()]
+        lower = coded.dictionary.to_pylist()
+        self.words = [(names[p % len(names)], lower[p // len(names)]) for p in pairs.tolist()]
 
     def nearest(self, of_kind: np.ndarray, ahead: bool) -> np.ndarray:
         """For each token the nearest other one of its sentence after (or before) it that is of a kind; -1 without one."""
@@ -153,55 +160,67 @@ def rule_heads(b: Batch, tag: np.ndarray, be: np.ndarray, past: np.ndarray, rela
     before_is &= b.place > 0
     passive = be & (verb_ahead >= 0) & past[verb_ahead]
     clausal = is_["VERB"] | is_["AUX"]
-    rules = [
-        ("root", at == root, np.full(b.n, -1)),
-        *((rel, is_[kind] & (noun_ahead >= 0), noun_ahead) for rel, kind in (("det", "DET"), ("amod", "ADJ"), ("nummod", "NUM"), ("case", "ADP"), ("cc", "CCONJ"))),
-        ("aux:pass", is_["AUX"] & passive, verb_ahead),
-        *((rel, is_[kind] & (verb_ahead >= 0), verb_ahead) for rel, kind in (("aux", "AUX"), ("neg", "PART"), ("advmod", "ADV"))),
-        ("relcl", is_["VERB"] & before_is[0] & (noun_before >= 0), noun_before),
-        ("conj", is_["VERB"], root),
-        ("compound", is_["NOUN"] & (noun_ahead == at + 1), noun_ahead),
-        ("nsubj", is_["NOUN"] & clausal[root] & (at < root) & ((noun_ahead < 0) | (noun_ahead > root)), root),
-        ("obj", is_["NOUN"] & clausal[root] & (at > root) & (noun_before < root), root),
-        ("nmod", is_["NOUN"] & (noun_before >= 0) & ~before_is[1], noun_before),
-        ("nsubj", is_["PRON"] & (at < root), root),
-        ("obj", is_["PRON"], root),
-        ("dep", np.ones(b.n, dtype=bool), root),
-    ]
-    which = np.select([c for _, c, _ in rules], np.arange(len(rules)))
-    head = np.select([c for _, c, _ in rules], [h for _, _, h in rules])
-    return head, np.array([RELATIONS.index(r) for r, _, _ in rules])[which]
-
-
-def token_rows(batch: pa.RecordBatch, b: Batch, ids: list[str], lexemes: list[tuple[str, str, str]], which: np.ndarray, tag: np.ndarray, head: np.ndarray, relation: np.ndarray) -> pa.RecordBatch:
+    head, relation, open_ = np.full(b.n, -1), np.full(b.n, RELATIONS.index("root"), dtype=np.int8), at != root
+
+    def rule(name: str, holds: np.ndarray, to: np.ndarray) -> None:
+        """Give the tokens that have no head yet and for which the rule holds theirs."""
+        own = np.flatnonzero(holds & open_)
+        head[own], relation[own], open_[own] = to[own], RELATIONS.index(name), False
+
+    for name, kind in (("det", "DET"), ("amod", "ADJ"), ("nummod", "NUM"), ("case", "ADP"), ("cc", "CCONJ")):
+        rule(name, is_[kind] & (noun_ahead >= 0), noun_ahead)
+    rule("aux:pass", is_["AUX"] & passive, verb_ahead)
+    for name, kind in (("aux", "AUX"), ("neg", "PART"), ("advmod", "ADV")):
+        rule(name, is_[kind] & (verb_ahead >= 0), verb_ahead)
+    rule("relcl", is_["VERB"] & before_is[0] & (noun_before >= 0), noun_before)
+    rule("conj", is_["VERB"], root)
+    rule("compound", is_["NOUN"] & (noun_ahead == at + 1), noun_ahead)
+    rule("nsubj", is_["NOUN"] & clausal[root] & (at < root) & ((noun_ahead < 0) | (noun_ahead > root)), root)
+    rule("obj", is_["NOUN"] & clausal[root] & (at > root) & (noun_before < root), root)
+    rule("nmod", is_["NOUN"] & (noun_before >= 0) & ~before_is[1], noun_before)
+    rule("nsubj", is_["PRON"] & (at < root), root)
+    rule("obj", is_["PRON"], root)
+    rule("dep", open_, root)
+    return head, relation
+
+
+def token_rows(batch: pa.RecordBatch, b: Batch, ids: list[str], wanted: tuple[str, ...], lexemes: list[tuple[str, str, str]], which: np.ndarray, tag: np.ndarray, head: np.ndarray, relation: np.ndarray) -> pa.RecordBatch:
     """The token table of a batch; ``which`` is each token's number in ``lexemes``."""
-    def column(values: list[str], at: np.ndarray) -> pa.Array:
+    def named(values: list[str], at: np.ndarray) -> pa.Array:
         return pa.array(values, pa.string()).take(pa.array(at)) if len(at) else pa.array([], pa.string())
 
-    n = b.n
-    own = pa.array(b.of)
+    n, own = b.n, pa.array(b.of)
     lower = [w for _, w in b.words]
-    columns = {c: batch.column(c).take(own) for c in ids} | {
-        "sentence_idx": batch.column("sentence_idx").take(own),
-        "token_idx": pa.array(b.place.astype(np.int32)),
-        "text": b.flat,
-        "text_lc": column(lower, b.word),
-        "lemma": column([x[0] for x in lexemes], which),
-        "pos": column(TAGS, tag),
-        "pos_fine": pa.array(np.full(n, ""), pa.string()),
-        "morph": column([x[2] for x in lexemes], which),
-        "dep_head": pa.array(np.where(head < 0, 0, b.place[head] + 1).astype(np.int32)),
-        "dep_rel": column(RELATIONS, relation),
-        "is_punct": pa.array(np.zeros(n, dtype=bool)),
-        "is_stop": pa.array(np.array([w in _STOP for w in lower], dtype=bool)[b.word] if n else np.zeros(0, dtype=bool)),
+    make = {
+        "sentence_idx": lambda: batch.column("sentence_idx").take(own),
+        "token_idx": lambda: pa.array(b.place.astype(np.int32)),
+        "text": lambda: b.flat,
+        "text_lc": lambda: named(lower, b.word),
+        "lemma": lambda: named([x[0] for x in lexemes], which),
+        "pos": lambda: named(TAGS, tag),
+        "pos_fine": lambda: named([""], np.zeros(n, dtype=np.int8)),
+        "morph": lambda: named([x[2] for x in lexemes], which),
+        "dep_head": lambda: pa.array(np.where(head < 0, 0, b.place[head] + 1).astype(np.int32) if n else np.zeros(0, np.int32)),
+        "dep_rel": lambda: named(RELATIONS, relation),
+        "is_punct": lambda: pa.array(np.zeros(n, dtype=bool)),
+        "is_stop": lambda: pa.array(np.array([w in _STOP for w in lower], dtype=bool)[b.word] if n else np.zeros(0, dtype=bool)),
     }
     up = pa.array(head, mask=head < 0)
-    columns |= {f"head_{c}": columns[c].take(up) for c in ("text", "lemma", "pos")}
-    return pa.RecordBatch.from_pydict(columns)
+    make |= {f"head_{c}": lambda c=c: make[c]().take(up) for c in ("text", "lemma", "pos")}
+    make["modifiers"] = lambda: modifiers_of(b, head, relation)
+    return pa.RecordBatch.from_pydict({c: batch.column(c).take(own) for c in ids} | {c: make[c]() for c in wanted})
+
+
+def modifiers_of(b: Batch, head: np.ndarray, relation: np.ndarray) -> pa.Array:
+    """The texts of each token's modifiers, in text order; null without any."""
+    own = np.flatnonzero(np.isin(relation, [i for i, r in enumerate(RELATIONS) if r in MODIFIERS]) & (head >= 0))
+    own = own[np.argsort(head[own], kind="stable")]
+    offsets = np.searchsorted(head[own], np.arange(b.n + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), b.flat.take(pa.array(own)), mask=pa.array(offsets[1:] == offsets[:-1]))
 
 
-def annotate_batches(docs: DataFrame, keep: tuple[str, ...], lang_col: str, work) -> DataFrame:
-    """``work(batch, Batch, id columns)`` over Arrow batches of sentences; gives the token table."""
+def annotate_batches(docs: DataFrame, keep: tuple[str, ...], lang_col: str, work, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """``work(batch, Batch, id columns, wanted columns)`` over Arrow batches of sentences; gives the token table."""
     kept = list(dict.fromkeys(["doc_id", *keep]))
     langs = [lang_col] if lang_col in docs.columns and lang_col not in kept else []
     rows = sentences(docs, tuple(c for c in [*kept, *langs] if c != "doc_id")).select(*kept, *langs, "sentence_idx", "toks")
@@ -210,9 +229,11 @@ def annotate_batches(docs: DataFrame, keep: tuple[str, ...], lang_col: str, work
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             known = batch.column(lang_col).to_pylist() if lang_col in batch.schema.names else [None] * batch.num_rows
-            yield work(batch, Batch(batch.column("toks"), known), kept)
+            yield work(batch, Batch(batch.column("toks"), known), kept, wanted)
 
-    return rows.mapInArrow(run, f"{schema}, {TOKEN_SCHEMA}")
+    kinds = dict(x.split(" ") for x in TOKEN_SCHEMA.split(", "))
+    wanted = tuple(c for c in kinds if columns is None or c in columns)
+    return rows.mapInArrow(run, ", ".join([schema, *(f"{c} {kinds[c]}" for c in wanted)]))
 
 
 class RuleAnnotator:
@@ -224,9 +245,9 @@ class RuleAnnotator:
     def info(self) -> dict[str, str]:
         return {"backend": "rules", "model_name": "closed-classes-and-endings", "model_version": "1"}
 
-    def annotate(self, docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    def annotate(self, docs: DataFrame, keep: tuple[str, ...] = (), columns: tuple[str, ...] | None = None) -> DataFrame:
         """Null and empty texts have no tokens; every token has a head within its sentence, or none if it is the root."""
-        return annotate_batches(docs, keep, self.lang_col, rule_batch)
+        return annotate_batches(docs, keep, self.lang_col, rule_batch, columns)
 
 
 def rule_tags(b: Batch) -> tuple[list[tuple[str, str, str]], np.ndarray, np.ndarray, np.ndarray]:
@@ -240,6 +261,6 @@ def rule_tags(b: Batch) -> tuple[list[tuple[str, str, str]], np.ndarray, np.ndar
     return lexemes, tags[b.word], head, relation
 
 
-def rule_batch(batch: pa.RecordBatch, b: Batch, ids: list[str]) -> pa.RecordBatch:
+def rule_batch(batch: pa.RecordBatch, b: Batch, ids: list[str], wanted: tuple[str, ...]) -> pa.RecordBatch:
     lexemes, tag, head, relation = rule_tags(b)
-    return token_rows(batch, b, ids, lexemes, b.word, tag, head, relation)
+    return token_rows(batch, b, ids, wanted, lexemes, b.word, tag, head, relation)

@@ -305,15 +305,15 @@ class TrainedAnnotator:
     def info(self) -> dict[str, str]:
         return {"backend": "perceptron", "model_name": self.name, "model_version": self.version}
 
-    def annotate(self, docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    def annotate(self, docs: DataFrame, keep: tuple[str, ...] = (), columns: tuple[str, ...] | None = None) -> DataFrame:
         sent = docs.sparkSession.sparkContext.broadcast(self.model)
 
-        def work(batch: pa.RecordBatch, b: Batch, ids: list[str]) -> pa.RecordBatch:
+        def work(batch: pa.RecordBatch, b: Batch, ids: list[str], wanted: tuple[str, ...]) -> pa.RecordBatch:
             m, sizes = sent.value, b.ends - b.begins
             tags = viterbi(m.tagger[tag_features(b)].sum(axis=1), b.begins, sizes, m.moves) if b.n else np.zeros(0, np.int64)
             head, relation = parse(tags, _word_hashes(b), b.begins, sizes, m.parser)
             pairs, which = np.unique(b.word * T + tags, return_inverse=True) if b.n else (np.zeros(0, np.int64), np.zeros(0, np.int64))
             lexemes = [lexeme(b.words[p // T][1], b.words[p // T][0], TAGS[p % T]) for p in pairs.tolist()]
-            return token_rows(batch, b, ids, lexemes, which, tags, head, relation)
+            return token_rows(batch, b, ids, wanted, lexemes, which, tags, head, relation)
 
-        return annotate_batches(docs, keep, self.lang_col, work)
+        return annotate_batches(docs, keep, self.lang_col, work, columns)

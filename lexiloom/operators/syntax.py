@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicons import CONCRETE_NOUNS, LIGHT_VERBS, MODALS
+from .annotation import MODIFIERS
 from .frequency import slide
 
 KEY = ["doc_id", "sentence_idx"]
-MODIFIERS = ("amod", "nmod", "compound", "nummod", "appos")
 
 
 def evidence(prefix: str = "") -> Column:
@@ -59,7 +59,10 @@ def row_patterns() -> dict[str, tuple[Column, Column, Column]]:
 
 
 def complex_noun_phrases(t: DataFrame) -> DataFrame:
-    """Nouns with two or more modifiers; the modifiers in text order."""
+    """Nouns with two or more modifiers; the modifiers in text order.  Without a column ``modifiers`` they are grouped by their heads."""
+    if "modifiers" in t.columns:
+        found = t.where((F.col("pos") == "NOUN") & (F.size("modifiers") >= 2))
+        return found.select(*KEY, "token_idx", F.lit("complex_np").alias("pattern"), F.array_join("modifiers", " ").alias("marker"), F.col("text").alias("target"), evidence())
     found = with_heads(t.where(F.col("dep_rel").isin(*MODIFIERS)), t).where(F.col("head_pos") == "NOUN")
     grouped = found.groupBy(*KEY, F.col("head_idx").alias("token_idx"), F.col("head_text").alias("target")).agg(F.array_sort(F.collect_list(F.struct("token_idx", "text"))).alias("m")).where(F.size("m") >= 2)
     return grouped.select(*KEY, "token_idx", F.lit("complex_np").alias("pattern"), F.array_join(F.transform("m", lambda x: x["text"]), " ").alias("marker"), "target", evidence())
@@ -69,18 +72,20 @@ DETECTORS = ("passive", "modal", "negation", "relative_clause", "complex_np", "t
 
 
 def grammar(t: DataFrame, patterns: list[str] | None = None) -> DataFrame:
-    """All matches of the named patterns (all by default): one pass for those that a token shows, one for noun phrases."""
+    """All matches of the named patterns (all by default): one pass for those that a token shows, and one for noun phrases if modifiers are not given."""
     names = list(patterns or DETECTORS)
     unknown = set(names) - set(DETECTORS)
     if unknown:
         raise ValueError(f"unknown patterns: {', '.join(sorted(unknown))}")
     own = row_patterns()
+    if "modifiers" in t.columns:
+        own["complex_np"] = _found(F.array_join("modifiers", " "), "text", (F.col("pos") == "NOUN") & (F.size("modifiers") >= 2))
     out = None
     if shown := [n for n in names if n in own]:
         structs = [F.when(own[n][0], F.struct(F.lit(n).alias("pattern"), own[n][1].alias("marker"), own[n][2].alias("target"))) for n in shown]
         found = looked_up(t).select(*KEY, "token_idx", F.explode(F.filter(F.array(*structs), lambda x: x.isNotNull())).alias("p"))
         out = found.select(*KEY, "token_idx", "p.pattern", "p.marker", "p.target", evidence())
-    if "complex_np" in names:
+    if "complex_np" in names and "complex_np" not in own:
         phrases = complex_noun_phrases(t)
         out = phrases if out is None else out.unionByName(phrases)
     return out

@@ -468,3 +468,12 @@ def token_state(label: str, base: str, made: str) -> str:
 ORACLE["corpus_versions"] = " UNION ALL ".join(
     [token_state("before", ALL, "SELECT count(*) FROM documents"), token_state("after", CLEANED, f"SELECT count(*) FROM documents d JOIN ({CLEANED}) c USING (doc_id) WHERE d.text IS DISTINCT FROM c.text")]
 )
+ORACLE |= {
+    "manifest_tree": """WITH t AS (SELECT doc_id::VARCHAR AS name, sha256('=' || text || chr(0) || '=' || lang || chr(0) || '=' || source) AS digest FROM documents),
+      l2 AS (SELECT left(sha256(name), 2) AS prefix, sha256(string_agg(name || ' ' || digest, chr(10) ORDER BY name)) AS digest, count(*) AS things FROM t GROUP BY 1),
+      l1 AS (SELECT left(prefix, 1) AS prefix, sha256(string_agg(prefix || ' ' || digest, chr(10) ORDER BY prefix)) AS digest, sum(things)::BIGINT AS things FROM l2 GROUP BY 1),
+      l0 AS (SELECT '' AS prefix, sha256(string_agg(prefix || ' ' || digest, chr(10) ORDER BY prefix)) AS digest, sum(things)::BIGINT AS things FROM l1)
+      SELECT 2 AS level, * FROM l2 UNION ALL SELECT 1, * FROM l1 UNION ALL SELECT 0, * FROM l0""",
+    "manifest_damage": "SELECT doc_id::VARCHAR AS name, CASE WHEN source = 'src3' THEN 'lost' ELSE 'changed' END AS change FROM documents WHERE source = 'src3' OR lang = 'es'",
+}
+ORACLE["archive_members"] = "SELECT kind, source || '/' || doc_id || '.txt' AS name, source AS genre, strlen(text) AS n_bytes, md5(text) AS digest FROM documents, (VALUES ('zip'), ('tar.gz')) k(kind)"

@@ -11,7 +11,7 @@ from ..functions import cleaning, lexicons
 from ..functions import measures as m
 from ..functions.tokens import sentences, tokens
 from ..operators import annotation, arabic, association, bilingual, catalog, concordance, frequency, language, lexical, multimodal, perceptron, syntax, versions, vision
-from ..sources import charset, images, storage, wikitext
+from ..sources import archives, charset, images, manifest, storage, wikitext
 from . import fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -397,15 +397,26 @@ def dispersion_truth_table(spark, d):
     return s.join(dp, "id").select("id", F.round(m.juilland_d(F.col("mean"), F.col("sd"), F.col("n")), 6).alias("d"), F.round(F.coalesce(m.deviation_of_proportions(F.col("x")), F.lit(0.0)), 6).alias("dp"))
 
 
-def parsed(spark: SparkSession, d: str) -> DataFrame:
-    return annotation.RuleAnnotator().annotate(docs(spark, d), ("lang",))
+PLACE = ("sentence_idx", "token_idx")
+HEADED = (*PLACE, "text", "lemma", "pos", "morph", "dep_head", "dep_rel", "head_text", "head_lemma", "head_pos")
+SHOWN = (*PLACE, "text", "lemma", "pos", "morph", "dep_head", "dep_rel", "head_text", "modifiers")
+
+
+def parsed(spark: SparkSession, d: str, columns: tuple[str, ...] = HEADED) -> DataFrame:
+    return annotation.RuleAnnotator().annotate(docs(spark, d), ("lang",), columns)
 
 
 @query
 def rule_annotation(spark, d):
     """Every token's annotation, summed up: counts, heads and lemmas of each kind of token."""
-    t = parsed(spark, d)
-    return t.groupBy("lang", "pos", "dep_rel", "morph", "head_pos").agg(F.count("*").alias("freq"), F.sum("dep_head").alias("heads"), F.countDistinct("lemma").alias("lemmas"), F.max("head_lemma").alias("last_head"), F.count_if("is_stop").alias("stop_words"))
+    kind = ("lang", "pos", "dep_rel", "morph", "head_pos")
+    # By lemma first, so that no task sorts tokens for distinct counts or greatest strings.
+    own = parsed(spark, d, (*kind[1:], "dep_head", "lemma", "is_stop")).groupBy(*kind, "lemma").agg(F.count("*").alias("freq"), F.sum("dep_head").alias("heads"), F.count_if("is_stop").alias("stop_words"))
+    own = own.groupBy(*kind).agg(F.sum("freq").alias("freq"), F.sum("heads").alias("heads"), F.count("*").alias("lemmas"), F.sum("stop_words").alias("stop_words"))
+    heads = parsed(spark, d, (*kind[1:], "head_lemma")).groupBy(*kind, "head_lemma").agg(F.count("*").alias("n"))
+    heads = heads.groupBy(*kind).agg(F.max("head_lemma").alias("last_head")).withColumnsRenamed({c: f"{c}_" for c in kind})
+    same = [own[c].eqNullSafe(heads[f"{c}_"]) for c in kind]
+    return own.join(heads, same).select(*kind, "freq", "heads", "lemmas", "last_head", "stop_words")
 
 
 @query
@@ -413,33 +424,33 @@ def trained_annotation(spark, d):
     """A model of 1,000 documents' sentences, applied to all documents: how often each tag and relation is given."""
     x = docs(spark, d)
     model = perceptron.train(perceptron.training_sentences(x, annotation.RuleAnnotator(), most=1000), rounds=3)
-    return perceptron.TrainedAnnotator(model).annotate(x, ("lang",)).groupBy("lang", "pos", "dep_rel").agg(F.count("*").alias("freq"))
+    return perceptron.TrainedAnnotator(model).annotate(x, ("lang",), ("pos", "dep_rel")).groupBy("lang", "pos", "dep_rel").agg(F.count("*").alias("freq"))
 
 
 @query
 def grammar(spark, d):
-    return syntax.grammar(parsed(spark, d))
+    return syntax.grammar(parsed(spark, d, SHOWN))
 
 
 @query
 def grammar_counts(spark, d):
-    out = syntax.grammar_counts(parsed(spark, d))
+    out = syntax.grammar_counts(parsed(spark, d, SHOWN))
     return out.select("pattern", "freq", F.array_join("examples", ",").alias("examples"))
 
 
 @query
 def pos_distribution(spark, d):
-    return syntax.pos_distribution(parsed(spark, d))
+    return syntax.pos_distribution(parsed(spark, d, ("pos",)))
 
 
 @query
 def pos_bigrams(spark, d):
-    return syntax.pos_ngrams(parsed(spark, d), 2, min_freq=1, limit=None)
+    return syntax.pos_ngrams(parsed(spark, d, (*PLACE, "pos")), 2, min_freq=1, limit=None)
 
 
 @query
 def dependency_pairs(spark, d):
-    return syntax.dependency_pairs(parsed(spark, d), limit=None)
+    return syntax.dependency_pairs(parsed(spark, d, ("lemma", "dep_head", "dep_rel", "head_text", "head_lemma", "head_pos")), limit=None)
 
 
 @query
@@ -449,7 +460,7 @@ def metaphor_candidates(spark, d):
 
 @query
 def lemma_kwic(spark, d):
-    return concordance.annotated_concordance(parsed(spark, d), "be", "lemma", window=2)
+    return concordance.annotated_concordance(parsed(spark, d, (*PLACE, "text", "lemma", "pos", "is_punct")), "be", "lemma", window=2)
 
 
 @query
@@ -564,3 +575,30 @@ def corpus_versions(spark, d):
         counts = counts.select(F.lit(label).alias("state"), F.lit(entry["documents"]).cast("long").alias("documents"), F.lit(entry["made"]).cast("long").alias("made"), "tokens", "types")
         out = counts if out is None else out.unionByName(counts)
     return out
+
+
+@query
+def manifest_tree(spark, d):
+    """The tree of digests over all documents."""
+    return manifest.build(manifest.row_digests(docs(spark, d), "doc_id", ["text", "lang", "source"]), depth=2)
+
+
+@query
+def manifest_damage(spark, d):
+    """Documents of one language changed and those of one source lost: what their manifest names."""
+    x = docs(spark, d)
+    damaged = x.where("source <> 'src3'").withColumn("text", F.when(F.col("lang") == "es", F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    a, b = (manifest.row_digests(t, "doc_id", ["text", "lang", "source"]) for t in (x, damaged))
+    return manifest.differences(a, b, manifest.build(a, depth=2), manifest.build(b, depth=2))
+
+
+@query
+def archive_members(spark, d):
+    """Documents written as zip and tar.gz archives and read back by ranges of members."""
+    out = None
+    for kind in ("zip", "tar.gz"):
+        folder = storage.shared_folder(spark, "archives")
+        archives.write_archives(docs(spark, d), folder, kind)
+        got = archives.read_members(spark, folder).withColumn("kind", F.lit(kind))
+        out = got if out is None else out.unionByName(got)
+    return out.select("kind", "name", "genre", F.octet_length("content").cast("long").alias("n_bytes"), F.md5("content").alias("digest"))

@@ -36,6 +36,15 @@ def test_rules_by_hand(spark):
     assert {r["pattern"] for r in syntax.grammar(t).collect()} == {"passive", "negation", "tense"}
 
 
+def test_modifiers_brought_along_equal_those_grouped(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").where("doc_id < 100")
+    t = annotation.RuleAnnotator().annotate(docs, ("lang",))
+    a, b = syntax.grammar(t, ["complex_np"]), syntax.grammar(t.drop("modifiers"), ["complex_np"])
+    assert a.count() == b.count() > 100 and a.exceptAll(b).count() == 0
+    few = annotation.RuleAnnotator().annotate(docs, (), ("pos", "token_idx"))
+    assert few.columns == ["doc_id", "token_idx", "pos"] and few.count() == t.count()
+
+
 def test_odd_texts(spark):
     rows = [(1, None, "en", "x"), (2, "", None, "x"), (3, " . !? ", "xx", None), (None, "a", None, None), (4, "ed", "tlh", ""), (5, "word " * 20_000, "de", ""), (4, "ed", "tlh", "")]
     t = annotate(spark, rows).collect()
