@@ -477,3 +477,13 @@ ORACLE |= {
     "manifest_damage": "SELECT doc_id::VARCHAR AS name, CASE WHEN source = 'src3' THEN 'lost' ELSE 'changed' END AS change FROM documents WHERE source = 'src3' OR lang = 'es'",
 }
 ORACLE["archive_members"] = "SELECT kind, source || '/' || doc_id || '.txt' AS name, source AS genre, strlen(text) AS n_bytes, md5(text) AS digest FROM documents, (VALUES ('zip'), ('tar.gz')) k(kind)"
+TOOL_ROWS = {
+    "concordance": kwic(ALL, "lower(node) = 'the'", 5),
+    "frequency": with_tokens(ALL, "SELECT lower(text) AS item FROM toks GROUP BY 1 HAVING count(*) >= 2"),
+    "grammar": f"SELECT * FROM ({ORACLE['grammar']}) WHERE pattern IN ('modal', 'complex_np', 'tense')",
+    "dependency_pairs": ORACLE["dependency_pairs"].replace("dep_rel = 'nsubj'", "dep_rel = 'obj'"),
+    "tags": ORACLE["pos_distribution"],
+    **dict.fromkeys(("languages", "redaction"), "SELECT * FROM documents"),
+    "statistics": "SELECT 1",
+}
+ORACLE["tool_results"] = " UNION ALL ".join(f"SELECT '{k}' AS tool, count(*) AS n_rows FROM ({v})" for k, v in TOOL_ROWS.items())

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import cleaning, lexicons
 from ..functions import measures as m
 from ..functions.tokens import sentences, tokens
-from ..operators import annotation, arabic, association, bilingual, catalog, concordance, frequency, language, lexical, multimodal, perceptron, syntax, versions, vision
+from ..operators import annotation, arabic, association, bilingual, catalog, concordance, frequency, language, lexical, multimodal, perceptron, syntax, tools, versions, vision
 from ..sources import archives, charset, images, manifest, storage, wikitext
 from . import fixtures
 
@@ -602,3 +602,14 @@ def archive_members(spark, d):
         got = archives.read_members(spark, folder).withColumn("kind", F.lit(kind))
         out = got if out is None else out.unionByName(got)
     return out.select("kind", "name", "genre", F.octet_length("content").cast("long").alias("n_bytes"), F.md5("content").alias("digest"))
+
+
+@query
+def tool_results(spark, d):
+    """Tools called by name over all documents, and how many rows each gives."""
+    calls = {"concordance": {"query": "the"}, "frequency": {"min_freq": 2}, "grammar": {"patterns": ["modal", "complex_np", "tense"]}, "dependency_pairs": {"relation": "obj"}, "tags": {}, "languages": {"default": "en"}, "redaction": {"words": ["the", "und"]}, "statistics": {}}
+    out = None
+    for name, arguments in calls.items():
+        n = tools.call(docs(spark, d), name, arguments).agg(F.lit(name).alias("tool"), F.count("*").alias("n_rows"))
+        out = n if out is None else out.unionByName(n)
+    return out
