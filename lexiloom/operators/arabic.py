@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cleaning import buckwalter, dediacritise
 from ..functions.tokens import tokens
+from ..sources.storage import stored
 
 SCRIPT = "[ء-غف-ي]"
 #: Runs of prefixes by kind: conjunction, preposition, article; or conjunction, future sign, person of the verb.
@@ -121,6 +122,7 @@ def segments() -> Column:
 def word_analysis(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Every distinct Arabic word of a corpus with its frequency, reading, segments and Buckwalter form."""
     words = tokens(docs, text_col=text_col).where(F.col("text").rlike(SCRIPT)).groupBy(F.col("text").alias("word")).agg(F.count("*").alias("freq"))
+    words = stored(words, "arabic-words")  # three branches read it, and texts are cut into words once
     return analyse_words(words).join(words, "word").select("*", segments().alias("segments"), buckwalter(F.col("word")).alias("buckwalter"))
 
 
