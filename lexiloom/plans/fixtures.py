@@ -1,9 +1,7 @@
-"""Literal inputs of queries whose operators need annotated, Arabic, wiki or image data."""
+"""Fixed parts of queries that dress documents up as wiki pages, Arabic texts or captions."""
 
 from __future__ import annotations
 
-FREQUENCY_LIST = [("the", 5000), ("of", 3000), ("and", 2900), ("to", 2600), ("a", 2300), ("in", 2000), ("is", 1000), ("colour", 40), ("zebra", 7)]
-
 #: What no markup consists of; everything else gives way to spaces before a text becomes a wiki page.
 NO_MARKUP = r"[^\p{L}\p{N} .,]+"
 #: A wiki page before its title, before its words and after them.
@@ -17,12 +15,6 @@ WIKI_PAGE = (
 LATIN, ARABIC = "abcdefghijklmnopqrstuvwxyzäöüßéèêçñó", "ابثديفغهيجكلمنوصقرستوشوخةزأإآىَُِّئؤ"
 DIALECTS = {"egy": ["تهته"], "glf": ["يرين"], "lev": ["تيون"]}
 
-CORPORA = [("a", 100, 0, "regex", "builtin", "1", 3), ("b", 100, 2, "regex", "builtin", "1", 3), ("c", 0, 0, "regex", None, "1", 0)]
-
-COUNTS = [(1, 1, 100, 100, 10000), (2, 200, 100, 100, 10000), (3, 10, 1000, 1000, 10000), (4, 10, 990, 5, 995), (5, 80, 100, 200, 1000), (6, 25, 25, 25, 25), (7, 7, 10, 10, 1000)]
-
-PARTS = [(1, [10, 10, 10, 10]), (2, [10, 0, 0, 0]), (3, [4, 2, 2, 0]), (4, [1, 2, 3]), (5, [0, 0]), (6, [5])]
-
 CAPTION_COLOURS = ["red", "grey", "olive", "brown", "green"]
 
 DOMINANT = ["#e02020", "#e0e020", "#20a020", "#2020c0", "#c020c0", "#808080"]

@@ -201,6 +201,7 @@ GRAMMAR = f"""p AS MATERIALIZED ({PARSED}), g AS (
   UNION ALL SELECT t.doc_id, t.sentence_idx, t.token_idx, 'relative_clause', t.text, NULL, {EV} FROM p t WHERE t.dep_rel IN ('acl:relc', 'relcl')
   UNION ALL SELECT t.doc_id, t.sentence_idx, t.token_idx, 'complex_np', t.marker, t.target, {EV} FROM (SELECT t.doc_id, t.sentence_idx, h.token_idx, string_agg(t.text, ' ' ORDER BY t.token_idx) AS marker, h.text AS target FROM p t {HEAD} WHERE h.pos = 'NOUN' AND t.dep_rel IN ('amod', 'nmod', 'compound', 'nummod', 'appos') GROUP BY ALL HAVING count(*) >= 2) t
   UNION ALL SELECT t.doc_id, t.sentence_idx, t.token_idx, 'tense', CASE WHEN contains(morph, 'Tense=Past') THEN 'past' WHEN contains(morph, 'Tense=Pres') THEN 'present' ELSE 'future' END, t.text, {EV} FROM p t WHERE pos IN ('VERB', 'AUX') AND regexp_matches(morph, 'Tense=(Past|Pres|Fut)'))"""
+WORD_COUNTS = with_tokens(ALL, "SELECT source, word, o, sum(o) OVER (PARTITION BY word) AS r, sum(o) OVER (PARTITION BY source) AS c, sum(o) OVER () AS n FROM (SELECT source, lower(text) AS word, count(*) AS o FROM toks GROUP BY ALL) QUALIFY r >= 100")
 D = "o::DOUBLE AS o, r::DOUBLE AS r, c::DOUBLE AS c, n::DOUBLE AS n"
 ALIGN = f"""WITH base AS ({ALL}), {TEXT_TOKENS}, pr AS (SELECT a.doc_id, b.doc_id AS target_id, a.sentence_idx::INT AS sentence_idx, a.sentence AS source, b.sentence AS target FROM sents a JOIN sents b ON b.doc_id = a.doc_id + 1 AND b.sentence_idx = a.sentence_idx WHERE a.lang = 'en')"""
 ALIGN_LEFT = ALIGN.replace("FROM sents a JOIN", "FROM sents a LEFT JOIN")
@@ -250,7 +251,7 @@ ORACLE: dict[str, str] = {
     "keyness_top": keyness(token_words(EN + " AND source = 'src1'"), token_words(EN + " AND source <> 'src1'"), tail="WHERE direction = 'positive' ORDER BY log_likelihood DESC, term LIMIT 50"),
     "keyness_conversation_roles": keyness(token_words("SELECT * FROM conversations WHERE role = 'user'"), token_words("SELECT * FROM conversations WHERE role = 'assistant'")),
     "keyness_quality_labels": keyness(token_words("SELECT * FROM documents JOIN labels USING (doc_id) WHERE quality = 1"), token_words("SELECT * FROM documents JOIN labels USING (doc_id) WHERE quality = 0")),
-    "keyness_vs_freq_list": keyness(token_words(EN), "", values(fixtures.FREQUENCY_LIST, "w, f")),
+    "keyness_vs_freq_list": keyness(token_words(EN), token_words("SELECT item_id AS doc_id, text FROM benchmark")),
     "dispersion_the": dispersion(EN, "doc_id"),
     "dispersion_by_source": dispersion(ALL, "source"),
     "bigrams": ngrams(2, "count(*) >= 5"),
@@ -278,8 +279,8 @@ ORACLE: dict[str, str] = {
     "subcorpus_filter": "SELECT doc_id, lang FROM documents WHERE source = 'src5' AND (2000 + doc_id % 20)::VARCHAR BETWEEN '2005' AND '2010'",
     "delete_documents": stats_all("SELECT * FROM documents WHERE doc_id NOT IN (0, 1, 2, 3)"),
     "ai_disclosure": "SELECT count(*) AS turns, count(*) FILTER (role = 'assistant') AS assistant_turns, count(*) FILTER (role = 'user') AS user_turns, count(DISTINCT conv_id) AS conversations, (SELECT string_agg(role, ',' ORDER BY role) FROM (SELECT DISTINCT role FROM conversations)) AS roles FROM conversations",
-    "measures_truth_table": f"SELECT id, round(log2(o / (r * c / n)), 6) AS mi, round((o - r * c / n) / sqrt(o), 6) AS t_score, round(2 * o / (r + c), 6) AS dice, round(14 + log2(2 * o / (r + c)), 6) AS log_dice, round({ll('o', 'r', 'c', 'n')}, 6) AS ll, round({chi('o', 'r', 'c', 'n')}, 6) AS chi2, round(o / r - CASE WHEN n - r > 0 THEN (c - o) / (n - r) ELSE 0 END, 6) AS dp_yx, round(o / c - CASE WHEN n - c > 0 THEN (r - o) / (n - c) ELSE 0 END, 6) AS dp_xy, round((o / c * 1e6 + 1) / (r / n * 1e6 + 1), 6) AS simple FROM ({values(fixtures.COUNTS, 'id, o, r, c, n', 'id::BIGINT AS id, ' + D)})",
-    "dispersion_truth_table": f"WITH t AS ({values(fixtures.PARTS, 'id, fs', 'id::BIGINT AS id, unnest(fs) AS f')}), s AS (SELECT id, sum(f) AS total, count(*) AS n, avg(f) AS mean, stddev_pop(f) AS sd FROM t GROUP BY id) SELECT id, round(max(CASE WHEN n < 2 THEN 1 WHEN mean = 0 THEN 0 ELSE greatest(0, 1 - sd / mean / sqrt(n - 1)) END), 6) AS d, round(coalesce(0.5 * sum(CASE WHEN total > 0 THEN abs(f / total - 1 / n) END), 0), 6) AS dp FROM t JOIN s USING (id) GROUP BY id",
+    "measures_by_source": f"SELECT source, word, round(log2(o / (r * c / n)), 6) + 0 AS mi, round((o - r * c / n) / sqrt(o), 6) + 0 AS t_score, round(2 * o / (r + c), 6) AS dice, round(14 + log2(2 * o / (r + c)), 6) + 0 AS log_dice, round({ll('o', 'r', 'c', 'n')}, 6) AS ll, round({chi('o', 'r', 'c', 'n')}, 6) AS chi2, round(o / r - CASE WHEN n - r > 0 THEN (c - o) / (n - r) ELSE 0 END, 6) + 0 AS dp_yx, round(o / c - CASE WHEN n - c > 0 THEN (r - o) / (n - c) ELSE 0 END, 6) + 0 AS dp_xy, round((o / c * 1e6 + 1) / (r / n * 1e6 + 1), 6) AS simple FROM (SELECT source, word, {D} FROM ({WORD_COUNTS}))",
+    "dispersion_by_word": f"WITH k AS MATERIALIZED ({WORD_COUNTS}), t AS (SELECT word, coalesce(o, 0) AS f FROM (SELECT DISTINCT word FROM k) CROSS JOIN (SELECT DISTINCT source FROM documents) LEFT JOIN k USING (word, source)), s AS (SELECT word, sum(f) AS total, count(*) AS n, avg(f) AS mean, stddev_pop(f) AS sd FROM t GROUP BY word) SELECT word, round(max(CASE WHEN n < 2 THEN 1 ELSE greatest(0, 1 - sd / mean / sqrt(n - 1)) END), 6) AS d, round(0.5 * sum(abs(f / total - 1 / n)), 6) AS dp FROM t JOIN s USING (word) GROUP BY word",
     "grammar": f"WITH {GRAMMAR} SELECT * FROM g",
     "grammar_counts": f"WITH {GRAMMAR}, r AS (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY doc_id, sentence_idx, token_idx, evidence_id) AS k FROM g) SELECT pattern, freq, examples FROM (SELECT pattern, count(*) AS freq FROM g GROUP BY pattern) JOIN (SELECT pattern, string_agg(evidence_id, ',' ORDER BY k) AS examples FROM r WHERE k <= 3 GROUP BY pattern) USING (pattern)",
     "pos_distribution": f"WITH p AS MATERIALIZED ({PARSED}) SELECT pos, count(*) AS freq, round(count(*) / (SELECT count(*) FROM p) * 100, 4) AS percent FROM p GROUP BY pos",
@@ -298,7 +299,7 @@ ORACLE |= {
     "collocation_network": f"""WITH t AS (SELECT *, row_number() OVER (ORDER BY log_likelihood DESC, collocate) - 1 AS k FROM ({colloc('corpus')}) ORDER BY log_likelihood DESC, collocate LIMIT 20)
       SELECT collocate, round(cos(2 * pi() * k / (SELECT count(*) FROM t)), 6) + 0 AS x, round(sin(2 * pi() * k / (SELECT count(*) FROM t)), 6) + 0 AS y,
       round(greatest(0.5, 4 * abs(log_likelihood) / (SELECT max(abs(log_likelihood)) FROM t)), 4) AS edge_width, round(12 + 18 * o / (SELECT max(o) FROM t), 4) AS radius FROM t""",
-    "precheck": f"""WITH c AS ({values(fixtures.CORPORA, 'corpus, token_count, ai_turns, backend, model_name, model_version, document_count')}),
+    "precheck": f"""WITH c AS (SELECT source AS corpus, sum(n_chars) AS token_count, count(*) FILTER (n_chars > 10000) AS ai_turns, 'regex' AS backend, max(lang) AS model_name, CASE WHEN count(*) % 2 = 0 THEN '1' END AS model_version, count(*) - 1 AS document_count FROM documents GROUP BY 1),
       s AS ({" UNION ALL ".join(f"SELECT corpus, '{k}' AS ck, CASE WHEN {ok} THEN 'pass' ELSE '{bad}' END AS status FROM c" for k, (ok, bad) in CHECKS.items())})
       SELECT corpus, CASE WHEN bool_or(status = 'fail') OVER w THEN 'fail' WHEN bool_or(status = 'warn') OVER w THEN 'warn' ELSE 'pass' END AS overall, ck AS "check", status FROM s WINDOW w AS (PARTITION BY corpus)""",
     "lemma_kwic": f"""WITH p AS MATERIALIZED ({PARSED}) SELECT t.doc_id, t.sentence_idx, t.token_idx,

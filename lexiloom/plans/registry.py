@@ -11,7 +11,8 @@ from ..functions import cleaning, lexicons
 from ..functions import measures as m
 from ..functions.tokens import sentences, tokens
 from ..operators import annotation, arabic, association, bilingual, catalog, concordance, frequency, language, lexical, multimodal, perceptron, syntax, tools, versions, vision
-from ..sources import archives, charset, images, manifest, storage, wikitext
+from ..sources import archives, charset, frequency_lists, images, manifest, storage, wikitext
+from ..sources.storage import stored
 from . import fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,7 +147,11 @@ def keyness_quality_labels(spark, d):
 
 @query
 def keyness_vs_freq_list(spark, d):
-    reference = spark.createDataFrame(fixtures.FREQUENCY_LIST, "item string, freq bigint")
+    """English documents against a frequency list in a file, which has the words of the benchmark passages."""
+    words = frequency.count_items(tokens(table(spark, d, "benchmark"), id_col="item_id"), "text_lc")
+    path = storage.shared_folder(spark, "frequency-list")
+    words.select(F.concat_ws("\t", "item", F.col("freq").cast("string"))).write.text(path)
+    reference = frequency_lists.read_tsv(spark, path).withColumnRenamed("word", "item")
     return association.keyness(_counts(english(spark, d)), reference)
 
 
@@ -364,13 +369,25 @@ def ai_disclosure(spark, d):
 
 @query
 def precheck(spark, d):
-    rows = spark.createDataFrame(fixtures.CORPORA, "corpus string, token_count bigint, ai_turns bigint, backend string, model_name string, model_version string, document_count bigint")
-    return catalog.precheck(rows)
+    """Every source as a corpus: without long texts it has no generated ones, with an even number of documents its recipe is whole."""
+    n = F.count("*")
+    corpora = docs(spark, d).groupBy(F.col("source").alias("corpus")).agg(F.sum("n_chars").alias("token_count"), F.count_if(F.col("n_chars") > 10_000).alias("ai_turns"), F.lit("regex").alias("backend"), F.max("lang").alias("model_name"), F.when(n % 2 == 0, "1").alias("model_version"), (n - 1).alias("document_count"))
+    return catalog.precheck(corpora)
+
+
+def word_counts(spark: SparkSession, d: str) -> DataFrame:
+    """(source, word, o, r, c, n): a word's count in a source, in all, the source's size and that of all; words of 100 and more."""
+    cells = stored(tokens(docs(spark, d), ("source",)).groupBy("source", F.col("text_lc").alias("word")).agg(F.count("*").alias("o")), "word-counts")
+    r = cells.groupBy("word").agg(F.sum("o").alias("r")).where("r >= 100")
+    c = cells.groupBy("source").agg(F.sum("o").alias("c"))
+    both = cells.join(r, "word").join(c, "source")
+    return both.crossJoin(F.broadcast(cells.agg(F.sum("o").alias("n"))))
 
 
 @query
-def measures_truth_table(spark, d):
-    t = spark.createDataFrame(fixtures.COUNTS, "id bigint, o bigint, r bigint, c bigint, n bigint")
+def measures_by_source(spark, d):
+    """All measures of association between words and sources."""
+    t = word_counts(spark, d)
     o, r, c, n = (F.col(x) for x in "orcn")
     forward, backward = m.delta_p(o, r, c, n)
     out = {
@@ -384,17 +401,19 @@ def measures_truth_table(spark, d):
         "dp_xy": backward,
         "simple": m.simple_maths(o, r, c, n),
     }
-    return t.select("id", *(F.round(v, 6).alias(k) for k, v in out.items()))
+    return t.select("source", "word", *(F.round(v, 6).alias(k) for k, v in out.items()))
 
 
 @query
-def dispersion_truth_table(spark, d):
-    t = spark.createDataFrame(fixtures.PARTS, "id bigint, freqs array<bigint>")
-    rows = t.select("id", F.explode("freqs").alias("f"))
-    s = rows.groupBy("id").agg(F.sum("f").alias("total"), F.count("*").alias("n"), F.avg("f").alias("mean"), F.stddev_pop("f").alias("sd"))
-    share = F.when(F.col("total") > 0, F.abs(F.col("f") / F.when(F.col("total") > 0, F.col("total")) - 1 / F.col("n")))
-    dp = rows.join(s, "id").groupBy("id").agg(F.sum(share).alias("x"))
-    return s.join(dp, "id").select("id", F.round(m.juilland_d(F.col("mean"), F.col("sd"), F.col("n")), 6).alias("d"), F.round(F.coalesce(m.deviation_of_proportions(F.col("x")), F.lit(0.0)), 6).alias("dp"))
+def dispersion_by_word(spark, d):
+    """Dispersion over sources of every frequent word; sources without it count as zero."""
+    t = word_counts(spark, d).select("source", "word", "o")
+    every = t.select("word").distinct().crossJoin(F.broadcast(docs(spark, d).select("source").distinct()))
+    rows = every.join(t, ["word", "source"], "left").select("word", F.coalesce("o", F.lit(0)).alias("f"))
+    s = rows.groupBy("word").agg(F.sum("f").alias("total"), F.count("*").alias("n"), F.avg("f").alias("mean"), F.stddev_pop("f").alias("sd"))
+    share = F.abs(F.col("f") / F.col("total") - 1 / F.col("n"))
+    dp = rows.join(s, "word").groupBy("word").agg(F.sum(share).alias("x"))
+    return s.join(dp, "word").select("word", F.round(m.juilland_d(F.col("mean"), F.col("sd"), F.col("n")), 6).alias("d"), F.round(m.deviation_of_proportions(F.col("x")), 6).alias("dp"))
 
 
 PLACE = ("sentence_idx", "token_idx")

@@ -32,27 +32,47 @@ def encoded(text: str, encoding: str) -> bytes | None:
         return None
 
 
-def byte_pairs(raw: bytes) -> np.ndarray:
-    """How often each byte follows each other one at even and then at odd places, as 2 * 65,536 counts."""
-    out = np.zeros(PAIRS, dtype=np.int64)
+def pair_codes(raw: bytes) -> Iterator[np.ndarray]:
+    """Each two neighbouring bytes as first * 256 + second, and 65,536 more at odd places; a bounded piece at a time."""
     x = np.frombuffer(raw, dtype=np.uint8)
     for a in range(0, max(0, len(x) - 1), PIECE):
         own = x[a : a + PIECE + 1].astype(np.int32)
         odd = (a + np.arange(len(own) - 1, dtype=np.int32)) & 1
-        out += np.bincount(odd << 16 | own[:-1] << 8 | own[1:], minlength=PAIRS)
-    return out
+        yield odd << 16 | own[:-1] << 8 | own[1:]
+
+
+class Pairs:
+    """How often each pair of bytes occurs in the texts added, counted many texts at a time."""
+
+    def __init__(self):
+        self.counts, self.held, self.n = np.zeros(PAIRS, dtype=np.int64), [], 0
+
+    def add(self, raw: bytes) -> None:
+        for codes in pair_codes(raw):
+            self.held.append(codes)
+            self.n += len(codes)
+        if self.n >= PIECE:
+            self.total()
+
+    def total(self) -> np.ndarray:
+        if self.held:
+            self.counts += np.bincount(np.concatenate(self.held), minlength=PAIRS)
+            self.held, self.n = [], 0
+        return self.counts
 
 
 def fit_byte_pairs(docs: DataFrame, encodings: tuple[str, ...] = ENCODINGS, text_col: str = "text") -> DataFrame:
     """(encoding, pair, n) of the texts in each encoding that can write them; ``pair`` is first byte * 256 + second byte, and 65,536 more at odd places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = {e: np.zeros(PAIRS, dtype=np.int64) for e in encodings}
+        counts = {e: Pairs() for e in encodings}
         for batch in batches:
             for x in batch.column("x"):
-                for e, n in counts.items():
-                    n += byte_pairs(encoded(x.as_py() or "", e) or b"")
-        for e, n in counts.items():
+                text = x.as_py() or ""
+                for e, pairs in counts.items():
+                    pairs.add(encoded(text, e) or b"")
+        for e, pairs in counts.items():
+            n = pairs.total()
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([e] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at])], names=["encoding", "pair", "n"])
 
@@ -80,8 +100,10 @@ class Detector:
                 return raw[len(mark) :].decode(name, errors="replace"), name
         if raw.isascii() and b"\0" not in raw:
             return raw.decode("ascii"), "utf-8"
-        pairs = byte_pairs(raw)
-        likely = [float(pairs @ t) for t in self.tables]
+        likely = [0.0] * len(self.tables)
+        for codes in pair_codes(raw):
+            for i, t in enumerate(self.tables):
+                likely[i] += float(t[codes].sum())
         for i in sorted(range(len(likely)), key=lambda i: (-likely[i], i)):
             try:
                 return raw.decode(self.names[i]), self.names[i]
