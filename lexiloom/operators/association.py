@@ -58,7 +58,7 @@ def collocations(docs: DataFrame, node: str, window: int = 5, min_freq: int = 3,
     return out.orderBy(F.desc(strength), "collocate").limit(limit)
 
 
-def keyness(target: DataFrame, reference: DataFrame, min_freq: int = 5, sides: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def keyness(target: DataFrame, reference: DataFrame, min_freq: int = 5) -> DataFrame:
     """Keyness of terms of two (item, freq) lists: six measures and direction.
 
     N1 and N2 are the full sums of the lists.  A term needs ``min_freq`` on one

@@ -488,3 +488,4 @@ TOOL_ROWS = {
     "statistics": "SELECT 1",
 }
 ORACLE["tool_results"] = " UNION ALL ".join(f"SELECT '{k}' AS tool, count(*) AS n_rows FROM ({v})" for k, v in TOOL_ROWS.items())
+ORACLE["event_windows"] = "SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' AS window_end, event_type, count(*) AS n FROM events GROUP BY ALL"

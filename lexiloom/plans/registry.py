@@ -13,6 +13,7 @@ from ..functions.tokens import sentences, tokens
 from ..operators import annotation, arabic, association, bilingual, catalog, concordance, frequency, language, lexical, multimodal, perceptron, syntax, tools, versions, vision
 from ..sources import archives, charset, frequency_lists, images, manifest, storage, wikitext
 from ..sources.storage import stored
+from ..streaming import ingest
 from . import fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -632,3 +633,10 @@ def tool_results(spark, d):
         n = tools.call(docs(spark, d), name, arguments).agg(F.lit(name).alias("tool"), F.count("*").alias("n_rows"))
         out = n if out is None else out.unionByName(n)
     return out
+
+
+@query
+def event_windows(spark, d):
+    """The stream operator over the events table as one batch: counts by window and type."""
+    found = ingest.event_counts(table(spark, d, "events"), "1 hour")
+    return found.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "event_type", "n")

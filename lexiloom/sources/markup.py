@@ -13,6 +13,7 @@ import zipfile
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
+from xml.parsers import expat
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,6 +43,21 @@ def decode_bytes(raw: bytes) -> tuple[str, str]:
             return raw.decode("utf-8", errors="replace"), "utf-8"
 
 
+def parsed_xml(source: str | bytes) -> ElementTree.Element:
+    """The root of an XML document; one that declares entities is refused, as they may expand without bound."""
+
+    def refuse(*_):
+        raise ValueError("XML with entity declarations")
+
+    scan = expat.ParserCreate()
+    scan.EntityDeclHandler = refuse
+    try:
+        scan.Parse(source, True)
+    except expat.ExpatError:
+        pass  # said again, with its place, by the parser below
+    return ElementTree.fromstring(source)
+
+
 def tidy(text: str) -> str:
     """Composed, LF line ends, no zero-width characters, at most one blank line in a row, trimmed."""
     text = unicodedata.normalize("NFC", text).replace("\r\n", "\n").replace("\r", "\n")
@@ -118,7 +134,7 @@ def tei_text(source: str) -> str:
                 out.append(child.tail)
         out.append("\n\n" if tag in PARAGRAPHS else "\n" if tag in LINES else " " if tag in WORDS else "")
 
-    root = ElementTree.fromstring(source)
+    root = parsed_xml(source)
     found = next((e for wanted in ("body", "text", "doc") for e in root.iter() if name(e) == wanted), root)
     walk(found)
     return tidy(re.sub(r" *\n *", "\n", re.sub(r"[ \t]+", " ", "".join(out))))
@@ -128,7 +144,7 @@ def docx_text(raw: bytes) -> str:
     """Paragraphs, then table cells, joined by blank lines."""
     ns = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
-        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{ns}body")
+        body = parsed_xml(z.read("word/document.xml")).find(f"{ns}body")
     plain = lambda e: "".join(t.text or "" for t in e.iter(f"{ns}t")).strip()
     parts = [plain(p) for p in body.findall(f"{ns}p")] + [plain(c) for c in body.iter(f"{ns}tc")]
     return tidy("\n\n".join(p for p in parts if p))

@@ -122,6 +122,13 @@ def test_markup_parsers():
     assert markup.docx_text(z.getvalue()) == "P1\n\nC1"
 
 
+def test_xml_with_entities_is_refused():
+    bomb = '<!DOCTYPE x [<!ENTITY a "aaaa"><!ENTITY b "&a;&a;&a;">]><text>&b;</text>'
+    with pytest.raises(ValueError, match="entity declarations"):
+        markup.tei_text(bomb)
+    assert markup.tei_text("<!DOCTYPE TEI><text>a &amp; b</text>") == "a & b"
+
+
 def test_read_files(spark, tmp_path):
     (tmp_path / "a.TXT").write_text("x\r\ny")
     (tmp_path / "b.xml").write_text("<broken")

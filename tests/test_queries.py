@@ -7,7 +7,7 @@ from lexiloom.plans.oracle import ORACLE
 from lexiloom.plans.registry import QUERIES
 
 DIR = "/root/testdata/sf0.001"
-TABLES = "documents embeddings pages benchmark labels conversations".split()
+TABLES = "events documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="module")
