@@ -143,7 +143,7 @@ FROM p LEFT JOIN o ON o.h = p.h
 FINITE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 
 
-def op12_sql(rounds: int = 4) -> str:
+def vector_codes_sql(rounds: int = 4) -> str:
     """Codebooks round by round; distances from inner products, which are exact for whole numbers below 2^53."""
     nearest = """a{r} AS MATERIALIZED (SELECT vec_id, part, min(((qq - 2 * list_dot_product(q, c) + list_dot_product(c, c)) * 256)::BIGINT + entry) AS k FROM p JOIN b{r} USING (part) GROUP BY ALL)"""
     means = """m{r} AS (SELECT part, entry, list(x ORDER BY i) AS c FROM (SELECT part, k % 256 AS entry, i, floor(sum(q[i]) / count(*)) AS x FROM p JOIN a{r} USING (vec_id, part), range(1, 17) t(i) GROUP BY ALL) GROUP BY ALL),
@@ -173,4 +173,4 @@ FROM p JOIN s ON s.a = p.a AND NOT same AND 30 * p.score <= 100 * s.score AND 10
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that SQL can express; the others are tested against brute force."""
-    return {"op2_near_duplicates": OP2_SQL, "op6_warc_index": OP6_SQL, "op12_vector_codes": op12_sql(), "op13_hard_negatives": OP13_SQL}
+    return {"op2_near_duplicates": OP2_SQL, "op6_warc_index": OP6_SQL, "op12_vector_codes": vector_codes_sql(), "op13_hard_negatives": OP13_SQL}
