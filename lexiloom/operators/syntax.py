@@ -101,18 +101,25 @@ def grammar_counts(t: DataFrame, patterns: list[str] | None = None, examples: in
     return counts.join(ranked.groupBy("pattern").agg(F.transform(first, lambda x: x["evidence_id"]).alias("examples")), "pattern", "left")
 
 
-def top_rows(df: DataFrame, group: str, order: list[str], k: int) -> DataFrame:
+def top_rows(df: DataFrame, group: str | list[str], order: list[str], k: int) -> DataFrame:
     """The first k rows of each group; Spark cuts each partition to k rows a group before the shuffle."""
     from pyspark.sql import Window
 
-    ranked = df.withColumn("rank_", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    groups = [group] if isinstance(group, str) else group
+    ranked = df.withColumn("rank_", F.row_number().over(Window.partitionBy(*groups).orderBy(*order)))
     return ranked.where(F.col("rank_") <= k).drop("rank_")
 
 
-def dependency_pairs(t: DataFrame, relation: str = "nsubj", limit: int | None = 100) -> DataFrame:
-    """Governor and dependent lemmas of a relation, and how often."""
-    found = with_heads(t.where(F.col("dep_rel") == relation), t)
-    out = found.groupBy(F.col("head_lemma").alias("governor"), F.col("lemma").alias("dependent")).agg(F.count("*").alias("freq"))
+def dependency_pairs(t: DataFrame, relation: str = "nsubj", limit: int | None = 100, examples: int = 0) -> DataFrame:
+    """Governor and dependent lemmas of a relation, how often, and with ``examples`` the places of the first few."""
+    pair = ["governor", "dependent"]
+    found = with_heads(t.where(F.col("dep_rel") == relation), t).withColumns({"governor": F.col("head_lemma"), "dependent": F.col("lemma")})
+    out = found.groupBy(*pair).agg(F.count("*").alias("freq"))
+    if examples:
+        first = top_rows(found.select(*pair, *KEY, "token_idx", evidence()), pair, [*KEY, "token_idx", "evidence_id"], examples)
+        places = first.groupBy(*pair).agg(F.transform(F.array_sort(F.collect_list(F.struct(*KEY, "token_idx", "evidence_id"))), lambda x: x["evidence_id"]).alias("examples"))
+        same = [out[c].eqNullSafe(places[c]) for c in pair]
+        out = out.join(places.hint("merge"), same).select(out["governor"], out["dependent"], "freq", "examples")
     return out if limit is None else out.orderBy(F.desc("freq"), "governor", "dependent").limit(limit)
 
 

@@ -489,3 +489,5 @@ TOOL_ROWS = {
 }
 ORACLE["tool_results"] = " UNION ALL ".join(f"SELECT '{k}' AS tool, count(*) AS n_rows FROM ({v})" for k, v in TOOL_ROWS.items())
 ORACLE["event_windows"] = "SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' AS window_end, event_type, count(*) AS n FROM events GROUP BY ALL"
+ORACLE["dependency_examples"] = f"""WITH p AS MATERIALIZED ({PARSED}), f AS (SELECT h.lemma AS governor, t.lemma AS dependent, {EV}, row_number() OVER (PARTITION BY h.lemma, t.lemma ORDER BY t.doc_id, t.sentence_idx, t.token_idx) AS k FROM p t {HEAD} WHERE t.dep_rel = 'obj')
+  SELECT governor, dependent, count(*) AS freq, string_agg(evidence_id, ',' ORDER BY k) FILTER (k <= 3) AS examples FROM f GROUP BY ALL"""

@@ -473,6 +473,13 @@ def dependency_pairs(spark, d):
     return syntax.dependency_pairs(parsed(spark, d, ("lemma", "dep_head", "dep_rel", "head_text", "head_lemma", "head_pos")), limit=None)
 
 
+@query
+def dependency_examples(spark, d):
+    """Verbs and their objects with the first three places of each pair."""
+    t = parsed(spark, d, (*PLACE, "lemma", "dep_head", "dep_rel", "head_text", "head_lemma", "head_pos"))
+    return syntax.dependency_pairs(t, "obj", None, examples=3).withColumn("examples", F.array_join("examples", ","))
+
+
 @query
 def metaphor_candidates(spark, d):
     return syntax.metaphor_candidates(parsed(spark, d), limit=None)

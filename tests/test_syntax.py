@@ -64,6 +64,8 @@ def test_counts_and_pairs(parsed):
     assert counts["tense"] == (7, ["1:0:1", "1:0:2"]) and counts["passive"] == (1, ["1:0:1"])
     pairs = {tuple(r) for r in syntax.dependency_pairs(parsed).collect()}
     assert pairs == {("wait", "we", 1), ("climb", "price", 1), ("climb", "child", 1), ("leave", "who", 1)}
+    shown = {(r["governor"], r["dependent"]): r["examples"] for r in syntax.dependency_pairs(parsed, "nsubj", None, examples=1).collect()}
+    assert shown == {("wait", "we"): ["1:1:0"], ("climb", "price"): ["3:0:0"], ("climb", "child"): ["3:1:0"], ("leave", "who"): ["4:0:1"]}
     assert [tuple(r) for r in syntax.metaphor_candidates(parsed).collect()] == [(3, 0, 1, "climb", "price", "3:0:1")]
     shares = {r["pos"]: r["percent"] for r in syntax.pos_distribution(parsed).collect()}
     assert shares["NOUN"] == round(6 / 18 * 100, 4)
