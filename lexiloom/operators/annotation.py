@@ -68,6 +68,7 @@ TOKEN_SCHEMA = "sentence_idx int, token_idx int, text string, text_lc string, le
 MODIFIERS = ("amod", "nmod", "compound", "nummod", "appos")
 _CLOSED = {lang: {w: tag for tag, ws in classes.items() for w in ws.split()} for lang, classes in CLOSED.items()}
 _STOP = set(STOP_WORDS_EN)
+_TAG_NO = {t: i for i, t in enumerate(TAGS)}
 
 
 class Annotator(Protocol):
@@ -252,13 +253,14 @@ class RuleAnnotator:
 
 def rule_tags(b: Batch) -> tuple[list[tuple[str, str, str]], np.ndarray, np.ndarray, np.ndarray]:
     """Lexemes of the batch's words, and each token's tag, head and relation by rule."""
-    lexemes = [lexeme(w, lang) for lang, w in b.words]
-    tags = np.array([TAGS.index(x[1]) for x in lexemes], dtype=np.int64)
-    be = np.array([x[0] == "be" for x in lexemes], dtype=bool)
-    past = np.array([x[1] == "VERB" and x[2] == "Tense=Past" for x in lexemes], dtype=bool)
-    relative = np.array([w in RELATIVE for _, w in b.words], dtype=bool)
-    head, relation = rule_heads(b, *(x[b.word] for x in (tags, be, past, relative)))
-    return lexemes, tags[b.word], head, relation
+    lexemes, notes = [], []
+    for lang, w in b.words:
+        x = lexeme(w, lang)
+        lexemes.append(x)
+        notes.append(_TAG_NO[x[1]] | (x[0] == "be") << 5 | (x[1] == "VERB" and x[2] == "Tense=Past") << 6 | (w in RELATIVE) << 7)
+    note = np.array(notes, dtype=np.uint8)[b.word]
+    head, relation = rule_heads(b, note & 31, *((note >> k & 1).astype(bool) for k in (5, 6, 7)))
+    return lexemes, (note & 31).astype(np.int64), head, relation
 
 
 def rule_batch(batch: pa.RecordBatch, b: Batch, ids: list[str], wanted: tuple[str, ...]) -> pa.RecordBatch:

@@ -82,8 +82,13 @@ def grammar(t: DataFrame, patterns: list[str] | None = None) -> DataFrame:
         own["complex_np"] = _found(F.array_join("modifiers", " "), "text", (F.col("pos") == "NOUN") & (F.size("modifiers") >= 2))
     out = None
     if shown := [n for n in names if n in own]:
+        any_ = own[shown[0]][0]
+        for n in shown[1:]:
+            any_ = any_ | own[n][0]
         structs = [F.when(own[n][0], F.struct(F.lit(n).alias("pattern"), own[n][1].alias("marker"), own[n][2].alias("target"))) for n in shown]
-        found = looked_up(t).select(*KEY, "token_idx", F.explode(F.filter(F.array(*structs), lambda x: x.isNotNull())).alias("p"))
+        # Most tokens show no pattern: they leave before structs are made.
+        rows = t if "head_text" in t.columns else looked_up(t)
+        found = rows.where(any_).select(*KEY, "token_idx", F.explode(F.filter(F.array(*structs), lambda x: x.isNotNull())).alias("p"))
         out = found.select(*KEY, "token_idx", "p.pattern", "p.marker", "p.target", evidence())
     if "complex_np" in names and "complex_np" not in own:
         phrases = complex_noun_phrases(t)

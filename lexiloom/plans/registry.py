@@ -419,7 +419,7 @@ def dispersion_by_word(spark, d):
 
 PLACE = ("sentence_idx", "token_idx")
 HEADED = (*PLACE, "text", "lemma", "pos", "morph", "dep_head", "dep_rel", "head_text", "head_lemma", "head_pos")
-SHOWN = (*PLACE, "text", "lemma", "pos", "morph", "dep_head", "dep_rel", "head_text", "modifiers")
+SHOWN = (*PLACE, "text", "lemma", "pos", "morph", "dep_rel", "head_text", "modifiers")
 
 
 def parsed(spark: SparkSession, d: str, columns: tuple[str, ...] = HEADED) -> DataFrame:
