@@ -585,7 +585,8 @@ def language_profiles(spark, d):
 def charset_round_trip(spark, d):
     """Documents written in six encodings, the encodings found by what is known of all texts, and the texts decoded."""
     x = docs(spark, d)
-    found = charset.detect_and_decode(charset.written(x), charset.fit_byte_pairs(x), "doc_id")
+    pairs = stored(charset.fit_byte_pairs(x), "byte-pairs")  # writer and reader use the same
+    found = charset.detect_and_decode(charset.written(x, pairs=pairs), pairs, "doc_id")
     return found.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
 
 
