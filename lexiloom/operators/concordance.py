@@ -78,7 +78,14 @@ def compare_concordance(target: DataFrame, reference: DataFrame, query: str, lim
 
 
 def annotated_concordance(tokens_df: DataFrame, query: str, level: str = "lemma", case_sensitive: bool = False, window: int = 5) -> DataFrame:
-    """Matches at the level of text, lemma or pos of an annotated token table; context keeps punctuation, nodes do not."""
+    """Matches at the level of text, lemma or pos of an annotated token table; context keeps punctuation, nodes do not.
+
+    A table with each sentence's ``toks`` needs no grouping by sentence, and may have only the tokens that match.
+    """
+    if "toks" in tokens_df.columns:
+        found = tokens_df.where(matches(F.col(level), query, case_sensitive) & ~F.col("is_punct") & (F.col("pos") != "SPACE"))
+        left, right = context(F.col("toks"), F.col("token_idx"), window)
+        return found.select("doc_id", "sentence_idx", "token_idx", left.alias("left_context"), F.col("text").alias("node"), right.alias("right_context"))
     rows = tokens_df.groupBy("doc_id", "sentence_idx").agg(F.array_sort(F.collect_list(F.struct("token_idx", "text", F.col(level).alias("level"), "is_punct", "pos"))).alias("rows"))
     every = rows.select("doc_id", "sentence_idx", F.transform("rows", lambda r: r["text"]).alias("toks"), F.posexplode("rows").alias("at", "row"))
     found = every.where(matches(F.col("row.level"), query, case_sensitive) & ~F.col("row.is_punct") & (F.col("row.pos") != "SPACE"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .annotation import RELATIONS, TAGS, Annotator, Batch, annotate_batches, lexeme, token_rows
+from .annotation import RELATIONS, TAGS, Annotator, Batch, Wanted, annotate_batches, lexeme, token_rows
 
 BITS = 16
 #: Sentences whose weights are updated together; stack cells laid out at a time; longest training sentence.
@@ -50,17 +50,38 @@ class Model:
     parser: np.ndarray = field(default_factory=lambda: np.zeros((1 << BITS, ACTIONS)))
 
 
-def tag_features(b: Batch) -> np.ndarray:
-    """(token, feature): the word and its ends, and the words beside it."""
+def word_features(b: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of the distinct words, and of no word behind them: as a token's own (the word and its ends), as the one before and the one after."""
     words = np.array([_hash(f"{lang} {w}") for lang, w in b.words] + [1], dtype=np.int64)
     ends = [np.array([_hash(f"{lang} {w[-k:]}") for lang, w in b.words] + [1], dtype=np.int64) for k in (1, 2, 3, 4)]
     shape = np.array([2 * w.isdecimal() + (len(w) < 4) for _, w in b.words] + [0], dtype=np.int64)
+    own = np.stack([_mixed(1, words), *(_mixed(2 + k, e) for k, e in enumerate(ends)), _mixed(7, shape)], axis=1)
+    return own, _mixed(8, words), _mixed(9, words)
+
+
+def beside(b: Batch) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the words before and after each token in its sentence, or that of no word."""
     none = len(b.words)
     before, after = np.full(b.n, none), np.full(b.n, none)
     if b.n:
         inner = b.place[1:] > 0
         before[1:][inner], after[:-1][inner] = b.word[:-1][inner], b.word[1:][inner]
-    return np.stack([_mixed(1, words[b.word]), *(_mixed(2 + k, e[b.word]) for k, e in enumerate(ends)), _mixed(7, shape[b.word]), _mixed(8, words[before]), _mixed(9, words[after])], axis=1)
+    return before, after
+
+
+def tag_features(b: Batch) -> np.ndarray:
+    """(token, feature): the word and its ends, and the words beside it."""
+    (own, left, right), (before, after) = word_features(b), beside(b)
+    return np.concatenate([own[b.word], left[before, None], right[after, None]], axis=1)
+
+
+def tag_scores(b: Batch, weights: np.ndarray) -> np.ndarray:
+    """(token, tag): the sums of the features' weights, added up once for each distinct word."""
+    (own, left, right), (before, after) = word_features(b), beside(b)
+    out = weights[own].sum(axis=1)[b.word]
+    out += weights[left].take(before, axis=0)
+    out += weights[right].take(after, axis=0)
+    return out
 
 
 def viterbi(scores: np.ndarray, begins: np.ndarray, sizes: np.ndarray, moves: np.ndarray) -> np.ndarray:
@@ -141,7 +162,22 @@ def parse_features(tags: np.ndarray, words: np.ndarray, s2: np.ndarray, s1: np.n
     """(state, feature) of the two topmost words of the stack and the next one; places index ``tags`` and ``words``."""
     t2, t1, tb, w2, w1, wb = tags[s2], tags[s1], tags[b1], words[s2], words[s1], words[b1]
     gap = np.minimum(np.maximum(s1 - s2, 0), 6)
-    return np.stack([_mixed(20, t2, t1), _mixed(21, t2, t1, tb), _mixed(22, t1, tb), _mixed(23, w2, t1), _mixed(24, t2, w1), _mixed(25, w1, tb), _mixed(26, t1, wb), _mixed(27, t2, t1, gap), _mixed(28, t2, tb), _mixed(29, w2, w1)], axis=1)
+    return np.stack([*_of_tags(t2, t1, tb, gap), *_of_words(t2, t1, tb, w2, w1, wb)], axis=1)
+
+
+def _of_tags(t2, t1, tb, gap) -> list[np.ndarray]:
+    return [_mixed(20, t2, t1), _mixed(21, t2, t1, tb), _mixed(22, t1, tb), _mixed(27, t2, t1, gap), _mixed(28, t2, tb)]
+
+
+def _of_words(t2, t1, tb, w2, w1, wb) -> list[np.ndarray]:
+    return [_mixed(23, w2, t1), _mixed(24, t2, w1), _mixed(25, w1, tb), _mixed(26, t1, wb), _mixed(29, w2, w1)]
+
+
+def tag_table(weights: np.ndarray) -> np.ndarray:
+    """Sums of the weights of all features of tags alone, for each three tags and gap."""
+    kinds = T + 2
+    t2, t1, tb, gap = (x.ravel() for x in np.meshgrid(*(np.arange(kinds),) * 3, np.arange(7), indexing="ij"))
+    return sum(weights[f] for f in _of_tags(t2, t1, tb, gap))
 
 
 def _allowed(depth: np.ndarray, second_is_root: np.ndarray, more: np.ndarray) -> np.ndarray:
@@ -153,9 +189,10 @@ def _allowed(depth: np.ndarray, second_is_root: np.ndarray, more: np.ndarray) ->
     return out
 
 
-def parse(tags: np.ndarray, words: np.ndarray, begins: np.ndarray, sizes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def parse(tags: np.ndarray, words: np.ndarray, begins: np.ndarray, sizes: np.ndarray, weights: np.ndarray, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Each token's head (flat place, -1 for a root) and relation."""
     n = len(tags)
+    table = tag_table(weights) if table is None else table
     head, relation = np.full(n, -1), np.full(n, RELATIONS.index("root"))
     # Two further places: no word, and the root.
     tags, words = np.append(tags, (NO_TAG, ROOT_TAG)), np.append(words, (2, 3))
@@ -175,7 +212,10 @@ def parse(tags: np.ndarray, words: np.ndarray, begins: np.ndarray, sizes: np.nda
             s2 = np.where(depth[live] > 1, stack[live, depth[live] - 2], n)
             more = nxt[live] < end[live]
             b1 = np.where(more, nxt[live], n)
-            scores = weights[parse_features(tags, words, s2, s1, b1)].sum(axis=1)
+            t2, t1, tb = tags[s2], tags[s1], tags[b1]
+            scores = table.take(((t2 * (T + 2) + t1) * (T + 2) + tb) * 7 + np.clip(s1 - s2, 0, 6), axis=0)
+            for f in _of_words(t2, t1, tb, words[s2], words[s1], words[b1]):
+                scores += weights.take(f, axis=0)
             action = np.where(_allowed(depth[live], s2 == n + 1, more), scores, -np.inf).argmax(axis=1)
             shift, left = action == SHIFT, (action > SHIFT) & (action <= R)
             right = action > R
@@ -305,15 +345,20 @@ class TrainedAnnotator:
     def info(self) -> dict[str, str]:
         return {"backend": "perceptron", "model_name": self.name, "model_version": self.version}
 
-    def annotate(self, docs: DataFrame, keep: tuple[str, ...] = (), columns: tuple[str, ...] | None = None) -> DataFrame:
+    def annotate(self, docs: DataFrame, keep: tuple[str, ...] = (), columns: tuple[str, ...] | None = None, only: dict[str, tuple] | None = None, by: tuple[str, ...] | None = None) -> DataFrame:
         sent = docs.sparkSession.sparkContext.broadcast(self.model)
+        tables: list[np.ndarray] = []  # of tags, made once in each task
 
-        def work(batch: pa.RecordBatch, b: Batch, ids: list[str], wanted: tuple[str, ...]) -> pa.RecordBatch:
+        def work(batch: pa.RecordBatch, b: Batch, ids: list[str], wanted: Wanted) -> pa.RecordBatch:
             m, sizes = sent.value, b.ends - b.begins
-            tags = viterbi(m.tagger[tag_features(b)].sum(axis=1), b.begins, sizes, m.moves) if b.n else np.zeros(0, np.int64)
-            head, relation = parse(tags, _word_hashes(b), b.begins, sizes, m.parser)
+            tags = viterbi(tag_scores(b, m.tagger), b.begins, sizes, m.moves) if b.n else np.zeros(0, np.int64)
+            if not tables:
+                tables.append(tag_table(m.parser))
+            head, relation = parse(tags, _word_hashes(b), b.begins, sizes, m.parser, tables[0])
+            if not {"lemma", "head_lemma", "morph"} & {*wanted.columns, *wanted.only}:
+                return token_rows(batch, b, ids, wanted, [], tags, tags, head, relation)
             pairs, which = np.unique(b.word * T + tags, return_inverse=True) if b.n else (np.zeros(0, np.int64), np.zeros(0, np.int64))
             lexemes = [lexeme(b.words[p // T][1], b.words[p // T][0], TAGS[p % T]) for p in pairs.tolist()]
             return token_rows(batch, b, ids, wanted, lexemes, which, tags, head, relation)
 
-        return annotate_batches(docs, keep, self.lang_col, work, columns)
+        return annotate_batches(docs, keep, self.lang_col, work, columns, only, by)

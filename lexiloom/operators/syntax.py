@@ -6,10 +6,13 @@ columns along; for others, head lookups are equi-joins on (doc_id, sentence_idx,
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicons import CONCRETE_NOUNS, LIGHT_VERBS, MODALS
+from ..sources.storage import stored
 from .annotation import MODIFIERS
 from .frequency import slide
 
@@ -96,13 +99,19 @@ def grammar(t: DataFrame, patterns: list[str] | None = None) -> DataFrame:
     return out
 
 
-def grammar_counts(t: DataFrame, patterns: list[str] | None = None, examples: int = 3) -> DataFrame:
-    """Number of matches of each pattern, and the first few evidence ids."""
-    found = grammar(t, patterns)
+def grammar_counts(t: DataFrame, patterns: list[str] | None = None, examples: int = 3, tokens_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Number of matches of each pattern, and the first few evidence ids.
+
+    These stand in the first few documents that have the pattern.  ``tokens_of(ids)`` gives the token table of such documents (a column doc_id),
+    which spares an annotator all others; without it they are looked up in ``t``.
+    """
+    by_doc = stored(grammar(t, patterns).groupBy("pattern", "doc_id").agg(F.count("*").alias("n")), "grammar-counts")
     first = F.slice(F.array_sort(F.collect_list(F.struct(*KEY, "token_idx", "evidence_id"))), 1, examples)
-    counts = found.groupBy("pattern").agg(F.count("*").alias("freq"))
+    counts = by_doc.groupBy("pattern").agg(F.sum("n").alias("freq"))
+    ids = F.broadcast(top_rows(by_doc, "pattern", ["doc_id"], examples).select("doc_id").distinct())
+    some = tokens_of(ids) if tokens_of else t.join(ids, "doc_id", "left_semi")
     # Each partition is cut to its first few before the shuffle, so no group is gathered whole.
-    ranked = top_rows(found, "pattern", [*KEY, "token_idx", "evidence_id"], examples)
+    ranked = top_rows(grammar(some, patterns), "pattern", [*KEY, "token_idx", "evidence_id"], examples)
     return counts.join(ranked.groupBy("pattern").agg(F.transform(first, lambda x: x["evidence_id"]).alias("examples")), "pattern", "left")
 
 
@@ -116,10 +125,17 @@ def top_rows(df: DataFrame, group: str | list[str], order: list[str], k: int) ->
 
 
 def dependency_pairs(t: DataFrame, relation: str = "nsubj", limit: int | None = 100, examples: int = 0) -> DataFrame:
-    """Governor and dependent lemmas of a relation, how often, and with ``examples`` the places of the first few."""
+    """Governor and dependent lemmas of a relation, how often, and with ``examples`` the places of the first few.
+
+    ``t`` may be parts by lemma, head's lemma and relation with their number ``n``, if no examples are asked for.
+    """
     pair = ["governor", "dependent"]
-    found = with_heads(t.where(F.col("dep_rel") == relation), t).withColumns({"governor": F.col("head_lemma"), "dependent": F.col("lemma")})
-    out = found.groupBy(*pair).agg(F.count("*").alias("freq"))
+    own = t.where(F.col("dep_rel") == relation)
+    found = own.where("head_lemma is not null") if "n" in t.columns else with_heads(own, t)
+    found = found.withColumns({"governor": F.col("head_lemma"), "dependent": F.col("lemma")})
+    if examples:  # counts and places read them
+        found = stored(found.select(*pair, *KEY, "token_idx"), "dependency-pairs")
+    out = found.groupBy(*pair).agg(_freq(found))
     if examples:
         first = top_rows(found.select(*pair, *KEY, "token_idx", evidence()), pair, [*KEY, "token_idx", "evidence_id"], examples)
         places = first.groupBy(*pair).agg(F.transform(F.array_sort(F.collect_list(F.struct(*KEY, "token_idx", "evidence_id"))), lambda x: x["evidence_id"]).alias("examples"))
@@ -128,15 +144,21 @@ def dependency_pairs(t: DataFrame, relation: str = "nsubj", limit: int | None =
     return out if limit is None else out.orderBy(F.desc("freq"), "governor", "dependent").limit(limit)
 
 
+def _freq(t: DataFrame) -> Column:
+    """How many tokens, of a token table or of parts with their number ``n``."""
+    return (F.sum("n") if "n" in t.columns else F.count("*")).alias("freq")
+
+
 def pos_distribution(t: DataFrame) -> DataFrame:
-    counts = t.groupBy("pos").agg(F.count("*").alias("freq"))
+    """Shares of tags, of a token table or of parts by tag."""
+    counts = t.groupBy("pos").agg(_freq(t))
     total = counts.agg(F.sum("freq").alias("n"))
     return counts.crossJoin(F.broadcast(total)).select("pos", "freq", F.round(F.col("freq") / F.col("n") * 100, 4).alias("percent"))
 
 
 def pos_ngrams(t: DataFrame, n: int = 2, min_freq: int = 2, limit: int | None = 100) -> DataFrame:
-    """Runs of n tags within sentences."""
-    rows = t.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("token_idx", "pos"))), lambda x: x["pos"]).alias("tags"))
+    """Runs of n tags within sentences.  A table with each sentence's ``tags`` needs no grouping by sentence."""
+    rows = t.where("token_idx = 0").select("tags") if "tags" in t.columns else t.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("token_idx", "pos"))), lambda x: x["pos"]).alias("tags"))
     out = rows.select(F.explode(slide(F.col("tags"), n)).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("freq")).where(F.col("freq") >= min_freq)
     return out if limit is None else out.orderBy(F.desc("freq"), "pattern").limit(limit)
 

@@ -82,8 +82,14 @@ def _limited(df: DataFrame, limit: int | None, *order) -> DataFrame:
     return df if limit is None else df.orderBy(*order).limit(limit)
 
 
-def _parsed(docs: DataFrame) -> DataFrame:
-    return annotation.RuleAnnotator().annotate(docs)
+def _grammar(docs: DataFrame, patterns: list[str] | None) -> DataFrame:
+    shown = ("sentence_idx", "token_idx", "text", "lemma", "pos", "morph", "dep_rel", "head_text", "modifiers")
+    return syntax.grammar(annotation.RuleAnnotator().annotate(docs, (), shown), patterns)
+
+
+def _pairs(docs: DataFrame, relation: str, limit: int | None) -> DataFrame:
+    pair = ("lemma", "dep_rel", "head_lemma")
+    return syntax.dependency_pairs(annotation.RuleAnnotator().annotate(docs, (), pair, {"dep_rel": (relation,)}, pair), relation, limit)
 
 
 def _frequency(docs: DataFrame, level: str, min_freq: int, limit: int | None) -> DataFrame:
@@ -104,9 +110,9 @@ TOOLS: dict[str, Tool] = {
     "dispersion": Tool("How evenly a word is spread over documents or sources.", {"query": WORD, "part": Param(str, "The parts.", default="doc_id", values=("doc_id", "source"))}, lambda docs, query, part: frequency.dispersion(docs, query, part=part)),
     "ngrams": Tool("Runs of words.", {"n": Param(int, "Words in a run.", default=2, least=2, most=8), "min_freq": Param(int, "Least frequency.", default=2, least=1), "min_range": Param(int, "Least number of documents.", default=1, least=1), "limit": LIMIT}, lambda docs, n, min_freq, min_range, limit: frequency.ngrams(docs, n, min_freq=min_freq, min_range=min_range, limit=limit)),
     "statistics": Tool("Documents, sentences, words and types.", {}, lambda docs: frequency.corpus_statistics(docs)),
-    "grammar": Tool("Passives, modals, negations, relative clauses, noun phrases and tenses.", {"patterns": Param(list, "Which of them, all by default.", default=None, least=1)}, lambda docs, patterns: syntax.grammar(_parsed(docs), patterns)),
-    "dependency_pairs": Tool("Pairs of governor and dependent in a relation.", {"relation": Param(str, "The relation.", default="nsubj", values=tuple(annotation.RELATIONS)), "limit": LIMIT}, lambda docs, relation, limit: syntax.dependency_pairs(_parsed(docs), relation, limit)),
-    "tags": Tool("Shares of word classes.", {}, lambda docs: syntax.pos_distribution(annotation.RuleAnnotator().annotate(docs, (), ("pos",)))),
+    "grammar": Tool("Passives, modals, negations, relative clauses, noun phrases and tenses.", {"patterns": Param(list, "Which of them, all by default.", default=None, least=1)}, _grammar),
+    "dependency_pairs": Tool("Pairs of governor and dependent in a relation.", {"relation": Param(str, "The relation.", default="nsubj", values=tuple(annotation.RELATIONS)), "limit": LIMIT}, _pairs),
+    "tags": Tool("Shares of word classes.", {}, lambda docs: syntax.pos_distribution(annotation.RuleAnnotator().annotate(docs, (), ("pos",), by=("pos",)))),
     "sentiment": Tool("Sentences by positive and negative words.", {"positive": Param(list, "Positive words.", default=None, least=1), "negative": Param(list, "Negative words.", default=None, least=1)}, lambda docs, positive, negative: lexical.sentiment(docs, *([positive, negative] if positive and negative else []))),
     "redaction": Tool("Texts without sentences that have listed words.", {"words": Param(list, "The words.", default=None, least=1)}, lambda docs, words: lexical.redact_sentences(docs, words)),
     "clean": Tool("Cleaned texts.", {"lowercase": Param(bool, "Lower case.", default=False), "remove_punctuation": Param(bool, "No punctuation.", default=False), "remove_stop_words": Param(bool, "No stop words.", default=False), "min_token_length": Param(int, "Least length of a word.", default=0, least=0, most=100)}, lambda docs, **options: docs.select("doc_id", cleaning.clean_text(F.col("text"), cleaning.CleanOptions(**options)).alias("text"))),

@@ -422,18 +422,19 @@ HEADED = (*PLACE, "text", "lemma", "pos", "morph", "dep_head", "dep_rel", "head_
 SHOWN = (*PLACE, "text", "lemma", "pos", "morph", "dep_rel", "head_text", "modifiers")
 
 
-def parsed(spark: SparkSession, d: str, columns: tuple[str, ...] = HEADED) -> DataFrame:
-    return annotation.RuleAnnotator().annotate(docs(spark, d), ("lang",), columns)
+def parsed(spark: SparkSession, d: str, columns: tuple[str, ...] = HEADED, only: dict[str, tuple] | None = None, by: tuple[str, ...] | None = None) -> DataFrame:
+    return annotation.RuleAnnotator().annotate(docs(spark, d), ("lang",), columns, only, by)
 
 
 @query
 def rule_annotation(spark, d):
     """Every token's annotation, summed up: counts, heads and lemmas of each kind of token."""
     kind = ("lang", "pos", "dep_rel", "morph", "head_pos")
-    # By lemma first, so that no task sorts tokens for distinct counts or greatest strings.
-    own = parsed(spark, d, (*kind[1:], "dep_head", "lemma", "is_stop")).groupBy(*kind, "lemma").agg(F.count("*").alias("freq"), F.sum("dep_head").alias("heads"), F.count_if("is_stop").alias("stop_words"))
+    # Parts by lemma, which tasks add up: one pass over the texts, and no task sorts tokens for distinct counts or greatest strings.
+    parts = stored(parsed(spark, d, (*kind[1:], "lemma", "dep_head", "is_stop", "head_lemma"), by=(*kind, "lemma")), "annotation-parts")
+    own = parts.groupBy(*kind, "lemma").agg(F.sum("n").alias("freq"), F.sum("dep_head").alias("heads"), F.sum("is_stop").alias("stop_words"))
     own = own.groupBy(*kind).agg(F.sum("freq").alias("freq"), F.sum("heads").alias("heads"), F.count("*").alias("lemmas"), F.sum("stop_words").alias("stop_words"))
-    heads = parsed(spark, d, (*kind[1:], "head_lemma")).groupBy(*kind, "head_lemma").agg(F.count("*").alias("n"))
+    heads = parts.groupBy(*kind, "head_lemma").agg(F.count("*").alias("parts"))
     heads = heads.groupBy(*kind).agg(F.max("head_lemma").alias("last_head")).withColumnsRenamed({c: f"{c}_" for c in kind})
     same = [own[c].eqNullSafe(heads[f"{c}_"]) for c in kind]
     return own.join(heads, same).select(*kind, "freq", "heads", "lemmas", "last_head", "stop_words")
@@ -444,7 +445,8 @@ def trained_annotation(spark, d):
     """A model of 1,000 documents' sentences, applied to all documents: how often each tag and relation is given."""
     x = docs(spark, d)
     model = perceptron.train(perceptron.training_sentences(x, annotation.RuleAnnotator(), most=1000), rounds=3)
-    return perceptron.TrainedAnnotator(model).annotate(x, ("lang",), ("pos", "dep_rel")).groupBy("lang", "pos", "dep_rel").agg(F.count("*").alias("freq"))
+    parts = perceptron.TrainedAnnotator(model).annotate(x, ("lang",), ("pos", "dep_rel"), by=("lang", "pos", "dep_rel"))
+    return parts.groupBy("lang", "pos", "dep_rel").agg(F.sum("n").alias("freq"))
 
 
 @query
@@ -454,40 +456,44 @@ def grammar(spark, d):
 
 @query
 def grammar_counts(spark, d):
-    out = syntax.grammar_counts(parsed(spark, d, SHOWN))
+    def tokens_of(ids: DataFrame) -> DataFrame:
+        return annotation.RuleAnnotator().annotate(docs(spark, d).join(ids, "doc_id", "left_semi"), ("lang",), SHOWN)
+
+    out = syntax.grammar_counts(parsed(spark, d, SHOWN), tokens_of=tokens_of)
     return out.select("pattern", "freq", F.array_join("examples", ",").alias("examples"))
 
 
 @query
 def pos_distribution(spark, d):
-    return syntax.pos_distribution(parsed(spark, d, ("pos",)))
+    return syntax.pos_distribution(parsed(spark, d, ("pos",), by=("pos",)))
 
 
 @query
 def pos_bigrams(spark, d):
-    return syntax.pos_ngrams(parsed(spark, d, (*PLACE, "pos")), 2, min_freq=1, limit=None)
+    return syntax.pos_ngrams(parsed(spark, d, ("token_idx", "tags"), {"token_idx": (0,)}), 2, min_freq=1, limit=None)
 
 
 @query
 def dependency_pairs(spark, d):
-    return syntax.dependency_pairs(parsed(spark, d, ("lemma", "dep_head", "dep_rel", "head_text", "head_lemma", "head_pos")), limit=None)
+    pair = ("lemma", "dep_rel", "head_lemma")
+    return syntax.dependency_pairs(parsed(spark, d, pair, {"dep_rel": ("nsubj",)}, pair), limit=None)
 
 
 @query
 def dependency_examples(spark, d):
     """Verbs and their objects with the first three places of each pair."""
-    t = parsed(spark, d, (*PLACE, "lemma", "dep_head", "dep_rel", "head_text", "head_lemma", "head_pos"))
+    t = parsed(spark, d, (*PLACE, "lemma", "dep_head", "dep_rel", "head_text", "head_lemma", "head_pos"), {"dep_rel": ("obj",)})
     return syntax.dependency_pairs(t, "obj", None, examples=3).withColumn("examples", F.array_join("examples", ","))
 
 
 @query
 def metaphor_candidates(spark, d):
-    return syntax.metaphor_candidates(parsed(spark, d), limit=None)
+    return syntax.metaphor_candidates(parsed(spark, d, only={"dep_rel": ("nsubj",)}), limit=None)
 
 
 @query
 def lemma_kwic(spark, d):
-    return concordance.annotated_concordance(parsed(spark, d, (*PLACE, "text", "lemma", "pos", "is_punct")), "be", "lemma", window=2)
+    return concordance.annotated_concordance(parsed(spark, d, (*PLACE, "text", "lemma", "pos", "is_punct", "toks"), {"lemma": ("be",)}), "be", "lemma", window=2)
 
 
 @query

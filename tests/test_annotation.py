@@ -137,3 +137,31 @@ def test_a_trained_model_on_unseen_texts(spark):
     assert annotate(spark, rows, perceptron.TrainedAnnotator(model)).count() == 1 + 20_000
     none = perceptron.train(perceptron.training_sentences(seen.where("false"), rules))
     assert not none.tagger.any()
+
+
+def test_pieces_and_parts(spark):
+    import pyarrow as pa
+
+    from lexiloom.operators import annotation
+
+    sizes = [annotation.PIECE - 1, 1, 1, 3 * annotation.PIECE, 0, 2]
+    batch = pa.RecordBatch.from_pydict({"toks": pa.array([["x"] * n for n in sizes])})
+    assert [p.num_rows for p in annotation.pieces(batch)] == [2, 1, 1, 2]
+    docs = spark.createDataFrame([(1, "The old walls fall. He was seen in the big house."), (2, "the cat sees old dogs and cats"), (3, None)], "doc_id bigint, text string")
+    full = annotation.RuleAnnotator().annotate(docs)
+    parts = annotation.RuleAnnotator().annotate(docs, (), ("pos", "dep_head", "is_stop", "head_lemma"), by=("pos",))
+    sql = "sum(dep_head) h, sum(cast(is_stop as int)) s, max(head_lemma) l"
+    want = {tuple(r) for r in full.groupBy("pos").agg(*map(F.expr, ["count(*)", *sql.split(", ")])).collect()}
+    assert want == {tuple(r) for r in parts.groupBy("pos").agg(F.sum("n"), F.sum("dep_head"), F.sum("is_stop"), F.max("head_lemma")).collect()}
+    few = annotation.RuleAnnotator().annotate(docs, (), ("token_idx", "head_text", "toks", "tags"), {"dep_rel": ("nsubj",)}).collect()
+    assert few and {(r.doc_id, r.token_idx, r.head_text) for r in few} == {(r.doc_id, r.token_idx, r.head_text) for r in full.where("dep_rel = 'nsubj'").collect()}
+    assert all(len(r.toks) == len(r.tags) > r.token_idx for r in few)
+
+
+@pytest.mark.parametrize("name, passes, shuffles", [("lemma_kwic", 1, False), ("rule_annotation", 0, True), ("grammar_counts", 1, True), ("dependency_examples", 0, True)])
+def test_one_pass_over_all_texts(spark, name, passes, shuffles):
+    """What is left to do has one pass at most (for grammar_counts over the first documents), and concordances shuffle nothing."""
+    from lexiloom.plans.registry import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == passes and ("Exchange" in plan) == shuffles
