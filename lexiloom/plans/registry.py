@@ -331,8 +331,7 @@ def arabic_roots(spark, d):
 @query
 def arabic_segments(spark, d):
     """How often each run of prefixes and suffixes stands around a stem of each kind."""
-    t = arabic.annotate_tokens(in_arabic(spark, d), ("lang",))
-    return t.groupBy("lang", "prefix", "suffix", "pos", "number", "gender", "broken_plural").agg(F.count("*").alias("freq"), F.countDistinct("stem").alias("stems"))
+    return arabic.segment_counts(in_arabic(spark, d), ("lang",))
 
 
 def _sides(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -503,7 +502,7 @@ def collocation_network(spark, d):
 
 def document_images(spark: SparkSession, d: str) -> DataFrame:
     """Documents' bytes written as PNG files and read back."""
-    return images.decode_images(images.text_images(docs(spark, d)), "doc_id", "png")
+    return images.text_pixels(docs(spark, d))
 
 
 @query
@@ -514,17 +513,17 @@ def image_pixels(spark, d):
 @query
 def image_measures(spark, d):
     """Colour and composition of every document's image."""
-    return vision.analyse_pixels(document_images(spark, d))
+    return vision.analyse_texts(docs(spark, d))
 
 
 @query
 def image_regions(spark, d):
-    return images.extract_regions(document_images(spark, d))
+    return images.text_regions(docs(spark, d))
 
 
 @query
 def visual_grammar(spark, d):
-    return vision.visual_grammar(vision.analyse_pixels(document_images(spark, d)))
+    return vision.visual_grammar(vision.analyse_texts(docs(spark, d)))
 
 
 @query
@@ -532,7 +531,7 @@ def region_alignment(spark, d):
     """Regions of documents' images against captions made of the documents' columns."""
     caption = F.concat(F.lit("A "), F.get(F.array(*map(F.lit, fixtures.CAPTION_COLOURS)), F.pmod("doc_id", F.lit(len(fixtures.CAPTION_COLOURS))).cast("int")), F.lit(" page, "), "source", F.lit(", with (left) text at the bottom in "), "lang")
     spans = vision.text_spans(docs(spark, d).select(F.col("doc_id").alias("image_id"), caption.alias("caption")), ["with", "this", "that"])
-    return vision.align_regions(images.extract_regions(document_images(spark, d)), spans)
+    return vision.align_regions(images.text_regions(docs(spark, d)), spans)
 
 
 def captioned(spark: SparkSession, d: str) -> DataFrame:

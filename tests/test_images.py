@@ -86,3 +86,18 @@ def test_rules_of_visual_grammar(spark):
         (2, "information_value:ideal_real"): 1.0, (2, "salience"): 0.9, (2, "modality"): 0.743,
         (3, "information_value:given_new"): 0.4, (3, "salience"): 0.9, (3, "framing"): 0.6,
     }
+
+
+def test_pieces_and_one_pass(spark):
+    import pyarrow as pa
+
+    from lexiloom.operators import vision
+
+    sizes = [images.PIECE - 1, 1, 1, 2 * images.PIECE, 0, 3]
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(6)), "x": pa.array([bytes(n) for n in sizes])})
+    assert [p.num_rows for p in images.pieces(iter([batch]), 1)] == [2, 1, 1, 2]
+    docs = spark.createDataFrame([(1, "abc é " * 200), (2, None), (3, "")], "doc_id bigint, text string")
+    chained = images.decode_images(images.text_images(docs), "doc_id", "png")
+    for one, many in ((images.text_pixels(docs), chained), (images.text_regions(docs), images.extract_regions(chained)), (vision.analyse_texts(docs), vision.analyse_pixels(chained))):
+        assert sorted(map(str, one.collect())) == sorted(map(str, many.collect()))
+        assert one._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
