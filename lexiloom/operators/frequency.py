@@ -98,13 +98,15 @@ def ngrams(docs: DataFrame, n: int = 2, min_freq: int = 5, min_range: int = 1, s
     """
     if not 2 <= n <= 10:
         raise ValueError("n must be between 2 and 10")
-    sents = sentences(docs)
+    toks = F.transform(split_sentences(F.col("text")), split_tokens)
     if stop_words:
-        sents = sents.withColumn("toks", F.filter("toks", lambda t: ~F.lower(t).isin(stop_words)))
-    grams = sents.select("doc_id", F.explode(slide(F.col("toks"), n)).alias("ngram"))
-    # By document first: the range is then a plain count, not a distinct one.
-    by_doc = grams.groupBy("ngram", "doc_id").agg(F.count("*").alias("c"))
-    out = by_doc.groupBy("ngram").agg(F.sum("c").alias("freq"), F.count("*").alias("range")).where((F.col("freq") >= min_freq) & (F.col("range") >= min_range))
+        toks = F.transform(toks, lambda x: F.filter(x, lambda t: ~F.lower(t).isin(stop_words)))
+    # A document's n-grams stand in one row, sorted: the first of each counts for the range, so nothing is grouped by document.
+    own = docs.select(F.sort_array(F.flatten(F.transform(toks, lambda x: slide(x, n)))).alias("grams")).where(F.size("grams") > 0)
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("grams", 1, F.size("grams") - 1))
+    grams = own.select(F.inline(F.arrays_zip(F.col("grams").alias("ngram"), before.alias("before"))))
+    first = F.count_if(F.col("before").isNull() | (F.col("before") != F.col("ngram")))
+    out = grams.groupBy("ngram").agg(F.count("*").alias("freq"), first.alias("range")).where((F.col("freq") >= min_freq) & (F.col("range") >= min_range))
     return out if limit is None else out.orderBy(F.desc("freq"), "ngram").limit(limit)
 
 
