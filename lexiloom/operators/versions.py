@@ -45,8 +45,10 @@ class Versions:
         return self.spark.read.parquet(f"{self.path}/versions/{self._of(version)['version']}")
 
     def rows(self, version: str | None = None) -> DataFrame:
-        """The rows of a version's documents; only folders that it names are read."""
+        """The rows of a version's documents; only folders that it names are read, and those whose documents it all has without a join."""
         entry = self._of(version)
+        if entry.get("whole"):
+            return self.spark.read.parquet(*(f"{self.path}/rows/{p}" for p in entry["parts"]))
         parts = [self.spark.read.parquet(f"{self.path}/rows/{p}").withColumn("part_", F.lit(p)) for p in entry["parts"]]
         every = parts[0]
         for p in parts[1:]:
@@ -70,9 +72,12 @@ class Versions:
         kept.write.parquet(f"{self.path}/versions/{version}")
         placed = self.spark.read.parquet(f"{self.path}/versions/{version}")
         new = placed.where(F.col("part") == part).select("doc_id")
-        make(docs.join(new.hint("merge"), "doc_id", "left_semi")).write.parquet(f"{self.path}/rows/{part}")
-        counts = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()}
-        entry = {"version": version, "label": label, "recipe": recipe, "parts": sorted({*counts, part}), "documents": sum(counts.values()), "made": counts.get(part, 0)}
+        found = placed.groupBy("part").agg(F.count("*").alias("n"), F.count("doc_id").alias("ids")).collect()
+        counts = {r["part"]: r["n"] for r in found}
+        # If all documents are new, texts need no join with their ids, nor rows later on.
+        whole = set(counts) <= {part} and all(r["n"] == r["ids"] for r in found)
+        make(docs if whole else docs.join(new.hint("merge"), "doc_id", "left_semi")).write.parquet(f"{self.path}/rows/{part}")
+        entry = {"version": version, "label": label, "recipe": recipe, "parts": sorted({*counts, part}), "documents": sum(counts.values()), "made": counts.get(part, 0), "whole": whole}
         self.log.put((last["number"] if last else 0) + 1, json.dumps(entry))
         return entry
 
