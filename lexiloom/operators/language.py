@@ -26,6 +26,8 @@ MOST_LANGUAGES = 1000
 LEAST_CHARS = 100
 #: Code points of a text whose n-grams are counted at a time.
 PIECE = 1 << 20
+#: Different letters up to which a text's n-grams are counted in an array of their cube.
+MOST_LETTERS = 64
 
 
 def letters_only(text: Column) -> Column:
@@ -42,6 +44,18 @@ def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """
     found: tuple[np.ndarray, np.ndarray] = np.zeros(0, np.int64), np.zeros(0, np.int64)
     points = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.int64)
+    if len(points) <= PIECE and len(points) and points.max() < 1 << 16:
+        # Few letters: their places among those that occur are codes small enough to be counted without sorting.
+        letters = np.append(0, np.flatnonzero(np.bincount(points)))
+        k = len(letters)
+        if k <= MOST_LETTERS and (k == 1 or letters[1] > 0):
+            place = np.zeros(letters[-1] + 1, dtype=np.int64)
+            place[letters] = np.arange(k)
+            x = place[points]
+            one, two = x * (k * k), (x[:-1] * k + x[1:]) * k
+            n = np.bincount(np.concatenate((one[points != 32], two, two[:-1] + x[2:])), minlength=k**3)
+            at = np.flatnonzero(n)
+            return letters[at // (k * k)] << 42 | letters[at // k % k] << 21 | letters[at % k], n[at]
     for a in range(0, len(points), PIECE):
         x = points[a : a + PIECE + 2]
         own = min(PIECE, len(points) - a)

@@ -51,3 +51,15 @@ def test_corpora_of_two_languages_are_not_compared(spark):
     language.require_same_language(docs.where("doc_id = 4"), docs)
     with pytest.raises(ValueError, match="'en'"):
         language.require_same_language(docs.where("lang = 'en'"), docs.where("lang = 'de'"))
+
+
+def test_counted_letters_equal_sorted_codes(monkeypatch):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("ab é", "abc ß日\0", "".join(map(chr, range(97, 190))) + " ") for n in (0, 1, 2, 3, 50, 3000)]
+    counted = [language.gram_counts(t) for t in texts]
+    monkeypatch.setattr(language, "MOST_LETTERS", 0)
+    assert all(np.array_equal(a, b) for x, y in zip(counted, map(language.gram_counts, texts), strict=True) for a, b in zip(x, y, strict=True))
