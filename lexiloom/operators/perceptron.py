@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import stored
 from .annotation import RELATIONS, TAGS, Annotator, Batch, Wanted, annotate_batches, lexeme, token_rows
 
 BITS = 16
@@ -298,7 +299,7 @@ def training_sentences(docs: DataFrame, annotator: Annotator, most: int = 1000,
 
 def train(sentences: DataFrame, rounds: int = 4, parts: int = 8) -> Model:
     """A model of annotated sentences (doc_id, sentence_idx, lang, toks, tags, heads, rels); tags and relations outside the lists are X and dep."""
-    spark = sentences.sparkSession
+    spark, sentences = sentences.sparkSession, stored(sentences, "training-sentences")  # every round reads them
     tag_no, rel_no = {t: i for i, t in enumerate(TAGS)}, {r: i for i, r in enumerate(RELATIONS)}
     rows = sentences.repartition(parts, "doc_id").sortWithinPartitions(F.xxhash64("doc_id", "sentence_idx"), "doc_id", "sentence_idx").select("lang", "toks", "tags", "heads", "rels")
     model = Model()
