@@ -15,11 +15,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.storage import stored
-from .annotation import RELATIONS, TAGS, Annotator, Batch, Wanted, annotate_batches, lexeme, token_rows
+from .annotation import RELATIONS, TAGS, Annotator, Batch, Wanted, annotate_batches, decimal, lexemes, token_rows
 
 BITS = 16
 #: Sentences whose weights are updated together; stack cells laid out at a time; longest training sentence.
@@ -33,13 +34,33 @@ def _mixed(*parts: np.ndarray | int) -> np.ndarray:
     """Feature numbers from the hashes of their parts."""
     h = np.full(1, 0x9E3779B97F4A7C15, dtype=np.uint64)
     for p in parts:
-        h = (h ^ np.asarray(p).astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ np.asarray(p).astype(np.uint64, copy=False)) * np.uint64(0xBF58476D1CE4E5B9)
         h = h ^ (h >> np.uint64(29))
     return (h >> np.uint64(64 - BITS)).astype(np.int32)
 
 
-def _hash(s: str) -> int:
-    return zlib.crc32(s.encode())
+_CRC = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    _CRC = np.where(_CRC & 1, _CRC >> 1 ^ np.uint32(0xEDB88320), _CRC >> 1)
+
+
+def _hashes(b: Batch, words: pa.Array) -> np.ndarray:
+    """CRC-32 of "language word" for words of the batch's languages, a byte of all words at a time."""
+    n = len(words)
+    ends = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + n + 1].astype(np.int64)
+    data, sizes = np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8), np.diff(ends)
+    order = np.argsort(-sizes, kind="stable")
+    starts, lengths = ends[:-1][order], sizes[order]
+    first = np.array([zlib.crc32(f"{lang} ".encode()) for lang in b.langs] + [0], dtype=np.uint32)
+    state = ~first[b.lang[order]]
+    steps = int(lengths[0]) if n else 0
+    live = n - np.searchsorted(lengths[::-1], np.arange(1, steps + 1))  # words that have a byte at each step
+    for j in range(steps):
+        k = live[j]
+        state[:k] = _CRC[(state[:k] ^ data[starts[:k] + j]) & 255] ^ state[:k] >> 8
+    out = np.empty(n, dtype=np.int64)
+    out[order] = ~state
+    return out
 
 
 @dataclass
@@ -53,16 +74,16 @@ class Model:
 
 def word_features(b: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features of the distinct words, and of no word behind them: as a token's own (the word and its ends), as the one before and the one after."""
-    words = np.array([_hash(f"{lang} {w}") for lang, w in b.words] + [1], dtype=np.int64)
-    ends = [np.array([_hash(f"{lang} {w[-k:]}") for lang, w in b.words] + [1], dtype=np.int64) for k in (1, 2, 3, 4)]
-    shape = np.array([2 * w.isdecimal() + (len(w) < 4) for _, w in b.words] + [0], dtype=np.int64)
+    words = np.append(_hashes(b, b.lower), 1)
+    ends = [np.append(_hashes(b, pc.utf8_slice_codeunits(b.lower, -k, None)), 1) for k in (1, 2, 3, 4)]
+    shape = np.append(2 * decimal(b.lower) + (pc.utf8_length(b.lower).to_numpy() < 4), 0)
     own = np.stack([_mixed(1, words), *(_mixed(2 + k, e) for k, e in enumerate(ends)), _mixed(7, shape)], axis=1)
     return own, _mixed(8, words), _mixed(9, words)
 
 
 def beside(b: Batch) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of the words before and after each token in its sentence, or that of no word."""
-    none = len(b.words)
+    none = len(b.lower)
     before, after = np.full(b.n, none), np.full(b.n, none)
     if b.n:
         inner = b.place[1:] > 0
@@ -91,18 +112,18 @@ def viterbi(scores: np.ndarray, begins: np.ndarray, sizes: np.ndarray, moves: np
     starts, lengths = begins[order], sizes[order]
     steps = int(lengths[0]) if len(lengths) else 0
     live = len(lengths) - np.searchsorted(lengths[::-1], np.arange(1, steps + 1))  # sentences that have a token at each step
-    back = np.zeros(scores.shape, dtype=np.int16)
+    back = np.zeros(scores.shape, dtype=np.int8)
     tags = np.zeros(len(scores), dtype=np.int64)
-    now = scores[starts[: live[0]]] + moves[-1] if steps else None
+    now = np.ascontiguousarray((scores[starts[: live[0]]] + moves[-1]).T) if steps else None  # (tag, sentence)
     last = np.zeros(len(lengths), dtype=np.int64)
     for t in range(1, steps + 1):
         n = live[t] if t < steps else 0
-        last[n : len(now)] = now[n:].argmax(axis=1)
+        last[n : now.shape[1]] = now[:, n:].argmax(axis=0)
         if n:
-            ways = now[:n, :, None] + moves[:-1]
+            best, where = _best_ways(now[:, :n], moves)
             at = starts[:n] + t
-            back[at] = ways.argmax(axis=1)
-            now = ways.max(axis=1) + scores[at]
+            back[at] = where.T
+            now = best + scores[at].T
     for t in range(steps - 1, -1, -1):
         at = starts[: live[t]] + t
         tags[at] = last[: live[t]]
@@ -110,6 +131,20 @@ def viterbi(scores: np.ndarray, begins: np.ndarray, sizes: np.ndarray, moves: np
     return tags
 
 
+def _best_ways(now: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(tag, sentence): the greatest score of a tag before and the move from it, and that tag; of equal ones the first."""
+    kinds = len(now)
+    if now.shape[1] < 128:  # too few sentences for array operations by tag
+        ways = now[:, None, :] + moves[:-1, :, None]
+        return ways.max(axis=0), ways.argmax(axis=0)
+    best, where = now[0] + moves[0][:, None], np.zeros((kinds, now.shape[1]), dtype=np.int8)
+    for k in range(1, kinds):
+        ways = now[k] + moves[k][:, None]
+        np.copyto(where, k, where=ways > best)
+        np.maximum(best, ways, out=best)
+    return best, where
+
+
 def projective(heads: list[int]) -> list[int]:
     """Heads (1-based, 0 the root) with each arc that crosses another lifted to its head's head until none does."""
     heads = list(heads)
@@ -171,7 +206,7 @@ def _of_tags(t2, t1, tb, gap) -> list[np.ndarray]:
 
 
 def _of_words(t2, t1, tb, w2, w1, wb) -> list[np.ndarray]:
-    return [_mixed(23, w2, t1), _mixed(24, t2, w1), _mixed(25, w1, tb), _mixed(26, t1, wb), _mixed(29, w2, w1)]
+    return list(_mixed(np.array([[23], [24], [25], [26], [29]]), np.stack((w2, t2, w1, t1, w2)), np.stack((t1, w1, tb, wb, w1))))
 
 
 def tag_table(weights: np.ndarray) -> np.ndarray:
@@ -195,39 +230,44 @@ def parse(tags: np.ndarray, words: np.ndarray, begins: np.ndarray, sizes: np.nda
     n = len(tags)
     table = tag_table(weights) if table is None else table
     head, relation = np.full(n, -1), np.full(n, RELATIONS.index("root"))
+    # What each kind of state may not do is never the best: by depth over 1, the root as second, words left.
+    masks = np.where(_allowed(np.repeat((1, 2), 4), np.tile((False, False, True, True), 2), np.tile((False, True), 4)), 0, -np.inf).astype(weights.dtype)
     # Two further places: no word, and the root.
-    tags, words = np.append(tags, (NO_TAG, ROOT_TAG)), np.append(words, (2, 3))
+    tags, words = np.append(tags, (NO_TAG, ROOT_TAG)), np.append(words, (2, 3)).astype(np.uint64)
     order = np.argsort(-sizes, kind="stable")
     order = order[sizes[order] > 0]
     while len(order):
         width = int(sizes[order[0]]) + 1
         own, order = order[: max(1, CELLS // width)], order[max(1, CELLS // width) :]
         start, end = begins[own], begins[own] + sizes[own]
-        stack = np.full((len(own), width), n + 1)
-        depth, nxt = np.ones(len(own), dtype=np.int64), start.copy()
-        for _ in range(2 * (width - 1)):
-            live = np.flatnonzero((depth > 1) | (nxt < end))
-            if not len(live):
-                break
-            s1 = stack[live, depth[live] - 1]
-            s2 = np.where(depth[live] > 1, stack[live, depth[live] - 2], n)
-            more = nxt[live] < end[live]
-            b1 = np.where(more, nxt[live], n)
-            t2, t1, tb = tags[s2], tags[s1], tags[b1]
-            scores = table.take(((t2 * (T + 2) + t1) * (T + 2) + tb) * 7 + np.clip(s1 - s2, 0, 6), axis=0)
-            for f in _of_words(t2, t1, tb, words[s2], words[s1], words[b1]):
+        stack = np.full(len(own) * width, n + 1)
+        base, depth, nxt = np.arange(len(own)) * width, np.ones(len(own), dtype=np.int64), start.copy()
+        steps = 2 * (width - 1)
+        live = len(own) - np.searchsorted(sizes[own][::-1], np.arange(steps) // 2 + 1)  # a sentence takes two steps for each token
+        for m in live.tolist():
+            high, at, top = depth[:m], nxt[:m], base[:m] + depth[:m]
+            s1, deep = stack.take(top - 1), high > 1
+            s2 = np.where(deep, stack.take(top - 1 - deep), n)
+            more = at < end[:m]
+            b1 = np.where(more, at, n)
+            t2, t1, tb = tags.take(s2), tags.take(s1), tags.take(b1)
+            scores = table.take(((t2 * (T + 2) + t1) * (T + 2) + tb) * 7 + np.minimum(np.maximum(s1 - s2, 0), 6), axis=0)
+            for f in _of_words(t2, t1, tb, words.take(s2), words.take(s1), words.take(b1)):
                 scores += weights.take(f, axis=0)
-            action = np.where(_allowed(depth[live], s2 == n + 1, more), scores, -np.inf).argmax(axis=1)
-            shift, left = action == SHIFT, (action > SHIFT) & (action <= R)
-            right = action > R
-            rows = live[shift]
-            stack[rows, depth[rows]] = nxt[rows]
-            depth[rows] += 1
+            scores += masks.take(deep * 4 + (s2 == n + 1) * 2 + more, axis=0)
+            action = scores.argmax(axis=1)
+            rows = np.flatnonzero(action == SHIFT)
+            stack[top[rows]] = at[rows]
+            depth[:m] -= 1
+            depth[rows] += 2
             nxt[rows] += 1
-            head[s2[left]], relation[s2[left]] = s1[left], action[left] - 1
-            stack[live[left], depth[live[left]] - 2] = s1[left]
-            head[s1[right]], relation[s1[right]] = np.where(s2[right] == n + 1, -1, s2[right]), action[right] - 1 - R
-            depth[live[~shift]] -= 1
+            rows = np.flatnonzero((action > SHIFT) & (action <= R))
+            up, down = s1[rows], s2[rows]
+            head[down], relation[down] = up, action[rows] - 1
+            stack[top[rows] - 2] = up
+            rows = np.flatnonzero(action > R)
+            up, down = s2[rows], s1[rows]
+            head[down], relation[down] = np.where(up == n + 1, -1, up), action[rows] - 1 - R
     relation[head < 0] = RELATIONS.index("root")
     return head, relation
 
@@ -246,8 +286,8 @@ class Averaged:
         return self.now - self.late / max(1, self.steps)
 
 
-def _train_part(sentences: list[tuple[str, list[str], list[int], list[int], list[int]]], model: Model) -> Model:
-    """One round over (language, words, tags, heads, relations) of a partition."""
+def _train_part(sentences: list[tuple[str, list[str], list[int], np.ndarray]], model: Model) -> Model:
+    """One round over (language, words, tags, steps of ``gold_actions``) of a partition."""
     tagger, moves, parser = Averaged(model.tagger), Averaged(model.moves), Averaged(model.parser)
     for a in range(0, len(sentences), MINIBATCH):
         some = sentences[a : a + MINIBATCH]
@@ -263,14 +303,13 @@ def _train_part(sentences: list[tuple[str, list[str], list[int], list[int], list
         for tags, by in ((gold, 1.0), (got, -1.0)):
             before = np.where(b.place > 0, np.concatenate(([0], tags[:-1])), T)
             moves.update((before, tags), by)
-        steps = []
-        for i, s in enumerate(some):
-            found = gold_actions(projective(s[3]), s[4])
-            base = int(b.begins[i]) - 1
-            steps += [(b.n if s2 < 0 else b.n + 1 if s2 == 0 else base + s2, b.n + 1 if s1 == 0 else base + s1, b.n if b1 < 0 else base + b1, action) for s2, s1, b1, action in found or []]
-        if not steps:
+        sizes_ = [len(s[3]) for s in some]
+        if not any(sizes_):
             continue
-        s2, s1, b1, action = np.array(steps, dtype=np.int64).T
+        s2, s1, b1, action = np.concatenate([s[3] for s in some]).T
+        base = np.repeat(b.begins - 1, sizes_)
+        s2 = np.where(s2 < 0, b.n, np.where(s2 == 0, b.n + 1, base + s2))
+        s1, b1 = np.where(s1 == 0, b.n + 1, base + s1), np.where(b1 < 0, b.n, base + b1)
         tags, words = np.append(gold, (NO_TAG, ROOT_TAG)), np.append(_word_hashes(b), (2, 3))
         features = parse_features(tags, words, s2, s1, b1)
         allowed = _allowed(np.where(s2 == b.n, 1, 2), s2 == b.n + 1, b1 < b.n)
@@ -282,7 +321,7 @@ def _train_part(sentences: list[tuple[str, list[str], list[int], list[int], list
 
 
 def _word_hashes(b: Batch) -> np.ndarray:
-    return np.array([_hash(f"{lang} {w}") for lang, w in b.words] + [1], dtype=np.int64)[b.word]
+    return _hashes(b, b.lower)[b.word]
 
 
 def training_sentences(docs: DataFrame, annotator: Annotator, most: int = 1000, lang_col: str = "lang") -> DataFrame:
@@ -290,7 +329,13 @@ def training_sentences(docs: DataFrame, annotator: Annotator, most: int = 1000,
 
     Sentences of over ``LONGEST`` tokens are left out.
     """
-    some = docs.select("doc_id", lang_col, "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    def first(x: DataFrame) -> DataFrame:
+        return x.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+
+    # Ids are chosen before texts are read: only the chosen texts leave their partitions.
+    ids = F.broadcast(first(docs.select("doc_id")).select(F.col("doc_id").alias("chosen")).distinct())
+    x = docs.select("doc_id", lang_col, "text")
+    some = first(x.join(ids, x["doc_id"].eqNullSafe(ids["chosen"]), "left_semi"))
     t = annotator.annotate(some, (lang_col,))
     rows = F.array_sort(F.collect_list(F.struct("token_idx", "text", "pos", "dep_head", "dep_rel")))
     s = t.groupBy("doc_id", "sentence_idx").agg(F.first(lang_col).alias("lang"), rows.alias("r")).where(F.size("r") <= LONGEST)
@@ -299,9 +344,21 @@ def training_sentences(docs: DataFrame, annotator: Annotator, most: int = 1000,
 
 def train(sentences: DataFrame, rounds: int = 4, parts: int = 8) -> Model:
     """A model of annotated sentences (doc_id, sentence_idx, lang, toks, tags, heads, rels); tags and relations outside the lists are X and dep."""
-    spark, sentences = sentences.sparkSession, stored(sentences, "training-sentences")  # every round reads them
+    spark = sentences.sparkSession
     tag_no, rel_no = {t: i for i, t in enumerate(TAGS)}, {r: i for i, r in enumerate(RELATIONS)}
-    rows = sentences.repartition(parts, "doc_id").sortWithinPartitions(F.xxhash64("doc_id", "sentence_idx"), "doc_id", "sentence_idx").select("lang", "toks", "tags", "heads", "rels")
+
+    def with_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for heads, rels in zip(batch.column("heads").to_pylist(), batch.column("rels").to_pylist(), strict=True):
+                found.append([x for step in gold_actions(projective(heads), [rel_no.get(r, rel_no["dep"]) for r in rels]) or [] for x in step])
+            tags = [[tag_no.get(t, tag_no["X"]) for t in tags] for tags in batch.column("tags").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "sentence_idx", "lang", "toks")), pa.array(tags, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "sentence_idx", "lang", "toks", "tags", "steps"])
+
+    # Every round reads them; their trees are taken to steps once.
+    kinds = ", ".join(f"{c} {sentences.schema[c].dataType.simpleString()}" for c in ("doc_id", "sentence_idx", "lang", "toks"))
+    sentences = stored(sentences.repartition(parts, "doc_id").mapInArrow(with_steps, f"{kinds}, tags array<int>, steps array<int>"), "training-sentences")
+    rows = sentences.repartition(parts, "doc_id").sortWithinPartitions(F.xxhash64("doc_id", "sentence_idx"), "doc_id", "sentence_idx").select("lang", "toks", "tags", "steps")
     model = Model()
     names = ("tagger", "moves", "parser")
     for _ in range(rounds):
@@ -310,15 +367,15 @@ def train(sentences: DataFrame, rounds: int = 4, parts: int = 8) -> Model:
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             data = []
             for batch in batches:
-                for lang, toks, tags, heads, rels in zip(*(batch.column(c).to_pylist() for c in ("lang", "toks", "tags", "heads", "rels")), strict=True):
-                    data.append((lang, toks, [tag_no.get(t, tag_no["X"]) for t in tags], heads, [rel_no.get(r, rel_no["dep"]) for r in rels]))
+                for lang, toks, tags, steps in zip(*(batch.column(c).to_pylist() for c in ("lang", "toks", "tags", "steps")), strict=True):
+                    data.append((lang, toks, tags, np.array(steps, dtype=np.int64).reshape(-1, 4)))
             if not data:
                 return
             mine = _train_part(data, sent.value)
             for name in names:
                 w = getattr(mine, name)
                 at = np.flatnonzero(w.any(axis=1))
-                yield pa.RecordBatch.from_arrays([pa.array([name] * (len(at) + 1)), pa.array(np.append(at, -1), pa.int32()), pa.array([*w[at].tolist(), []], pa.list_(pa.float64()))], names=["name", "at", "w"])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * (len(at) + 1)), pa.array(np.append(at, -1), pa.int32()), pa.ListArray.from_arrays(pa.array(np.append(np.arange(len(at) + 1) * w.shape[1], len(at) * w.shape[1]).astype(np.int32)), pa.array(w[at].ravel()))], names=["name", "at", "w"])
 
         # A row of number -1 says that a partition took part; missing rows are zero.
         width = max(T, ACTIONS)
@@ -357,9 +414,9 @@ class TrainedAnnotator:
                 tables.append(tag_table(m.parser))
             head, relation = parse(tags, _word_hashes(b), b.begins, sizes, m.parser, tables[0])
             if not {"lemma", "head_lemma", "morph"} & {*wanted.columns, *wanted.only}:
-                return token_rows(batch, b, ids, wanted, [], tags, tags, head, relation)
+                return token_rows(batch, b, ids, wanted, None, tags, tags, head, relation)
             pairs, which = np.unique(b.word * T + tags, return_inverse=True) if b.n else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            lexemes = [lexeme(b.words[p // T][1], b.words[p // T][0], TAGS[p % T]) for p in pairs.tolist()]
-            return token_rows(batch, b, ids, wanted, lexemes, which, tags, head, relation)
+            found = lexemes(b.lower.take(pa.array(pairs // T)), b.lang[pairs // T], b.langs, pairs % T)
+            return token_rows(batch, b, ids, wanted, found, which, tags, head, relation)
 
         return annotate_batches(docs, keep, self.lang_col, work, columns, only, by)
