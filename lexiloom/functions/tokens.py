@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 SENTENCE_END = r"[.!?\n]+"
 TOKEN = r"[\p{L}\p{M}\p{N}]+"
+NO_TOKEN = r"[^\p{L}\p{M}\p{N}]+"
 #: Signs that neither belong to tokens nor end sentences, spaces aside.
 OTHER = r"[^\p{L}\p{M}\p{N}.!?\n ]+"
 

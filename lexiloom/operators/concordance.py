@@ -40,6 +40,16 @@ def context(toks: Column, at: Column, window: int) -> tuple[Column, Column]:
     return F.array_join(F.slice(toks, start + 1, at - start), " "), F.array_join(F.slice(toks, at + 2, F.lit(window)), " ")
 
 
+def with_query(sents: DataFrame, query: str, case_sensitive: bool = False) -> DataFrame:
+    """Sentences whose text has a query without wildcards in it: others have no match and need not be cut into tokens.
+
+    A sigma's small letter depends on what follows, so such queries leave all sentences.
+    """
+    if like_pattern(query) is not None or (not case_sensitive and any(c in "Σσς" for c in query)):
+        return sents
+    return sents.where(F.col("sentence").contains(query) if case_sensitive else F.lower("sentence").contains(query.lower()))
+
+
 def hits(sents: DataFrame, query: str, case_sensitive: bool = False) -> DataFrame:
     """One row for each match in sentence rows: their columns, token_idx and node."""
     return at_matches(sents, lambda t: matches(t, query, case_sensitive))
@@ -57,7 +67,7 @@ def search_concordance(docs: DataFrame, query: str, case_sensitive: bool = False
 
     ``limit`` None returns every match, unordered.
     """
-    found = hits(sentences(docs), query, case_sensitive)
+    found = hits(with_query(sentences(docs), query, case_sensitive), query, case_sensitive)
     left, right = context(F.col("toks"), F.col("token_idx"), window)
     evidence = F.concat_ws(":", "doc_id", "sentence_idx", "token_idx")
     lines = found.select("doc_id", "sentence_idx", "token_idx", left.alias("left_context"), "node", right.alias("right_context"), evidence.alias("evidence_id"))
@@ -67,7 +77,7 @@ def search_concordance(docs: DataFrame, query: str, case_sensitive: bool = False
 
 
 def count_matches(docs: DataFrame, query: str, case_sensitive: bool = False) -> DataFrame:
-    return hits(sentences(docs), query, case_sensitive).agg(F.count("*").alias("total"))
+    return hits(with_query(sentences(docs), query, case_sensitive), query, case_sensitive).agg(F.count("*").alias("total"))
 
 
 def compare_concordance(target: DataFrame, reference: DataFrame, query: str, limit: int = 20, **options) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import measures as m
-from ..functions.tokens import positions, sentences, split_sentences, split_tokens, tokens
+from ..functions.tokens import NO_TOKEN, positions, sentences, split_sentences, split_tokens, tokens
 
 
 def count_items(tokens_df: DataFrame, item: str = "text") -> DataFrame:
@@ -15,7 +15,17 @@ def count_items(tokens_df: DataFrame, item: str = "text") -> DataFrame:
 
 def frequency(tokens_df: DataFrame, item: str = "text", min_freq: int = 1, limit: int | None = 1000) -> DataFrame:
     """item, freq, per_million, percent; totals are over all tokens, before any limit."""
-    counts = count_items(tokens_df, item)
+    return shares(count_items(tokens_df, item), min_freq, limit)
+
+
+def words(docs: DataFrame) -> DataFrame:
+    """The lower-case words of texts (text_lc), without their places: no token goes over a sentence's end, so texts need not be cut into sentences."""
+    found = docs.select(F.explode(F.split(F.col("text"), NO_TOKEN)).alias("text"))
+    return found.where("text <> ''").select(F.lower("text").alias("text_lc"))
+
+
+def shares(counts: DataFrame, min_freq: int = 1, limit: int | None = 1000) -> DataFrame:
+    """``frequency`` of items that are counted already."""
     # One row: total and number of types.
     total = counts.agg(F.sum("freq").alias("total_tokens"), F.count("*").alias("total_types"))
     out = counts.where(F.col("freq") >= min_freq).crossJoin(F.broadcast(total))
@@ -23,13 +33,14 @@ def frequency(tokens_df: DataFrame, item: str = "text", min_freq: int = 1, limit
     return out if limit is None else out.orderBy(F.desc("freq"), "item").limit(limit)
 
 
-def corpus_statistics(docs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Documents, sentences, tokens and true distinct types, for the whole table or by columns."""
+def corpus_statistics(docs: DataFrame, by: tuple[str, ...] = (), known: DataFrame | None = None) -> DataFrame:
+    """Documents, sentences, tokens and true distinct types, for the whole table or by columns; ``known`` are the words' counts, if there are any."""
     sized = docs.select(*by, F.size(split_sentences(F.col("text"))).alias("n"))
     counts = sized.groupBy(*by).agg(F.count("*").alias("documents"), F.sum(F.greatest("n", F.lit(0))).alias("sentences"))
     # Each word once: its count gives the tokens, its row the type.
-    words = tokens(docs, by).groupBy(*by, "text_lc").agg(F.count("*").alias("c"))
-    types = words.groupBy(*by).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count("*").alias("types"))
+    if known is None:
+        known = tokens(docs, by).groupBy(*by, "text_lc").agg(F.count("*").alias("freq"))
+    types = known.groupBy(*by).agg(F.coalesce(F.sum("freq"), F.lit(0)).alias("tokens"), F.count("*").alias("types"))
     if not by:
         return counts.crossJoin(F.broadcast(types)).select("documents", "sentences", "tokens", "types")
     same = counts[by[0]].eqNullSafe(types[by[0]])

@@ -12,13 +12,15 @@ corpus: ``size`` rows a language, and their number is checked before they are se
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import stored
+
 SIZE = 300
 #: Languages that profiles may hold; more are an error, as every task holds all profiles.
 MOST_LANGUAGES = 1000
@@ -32,7 +34,7 @@ MOST_LETTERS = 64
 
 def letters_only(text: Column) -> Column:
     """Lower-case words between single spaces, with one at both ends."""
-    words = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "))
+    words = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}]{2,}|[^\p{L} ]", " "))  # a space between letters stays as it is
     return F.when(words != "", F.concat(F.lit(" "), words, F.lit(" "))).otherwise("")
 
 
@@ -71,8 +73,12 @@ def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 def first_grams(text: str, size: int) -> np.ndarray:
     """The most frequent n-grams in order; of equally frequent ones the lesser string comes first."""
-    codes, n = gram_counts(text)
-    return codes[np.lexsort((codes, -n))[:size]]
+    return in_order(*gram_counts(text))[:size]
+
+
+def in_order(codes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """N-grams by falling frequency; equally frequent ones keep their order, which is that of their strings."""
+    return codes[np.argsort((-n).astype(np.int16) if len(n) and n.max() < 1 << 15 else -n, kind="stable")]
 
 
 def gram_text(code: int) -> str:
@@ -94,22 +100,52 @@ def fit_profiles(docs: DataFrame, size: int = SIZE, lang_col: str = "lang", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, grams, counts = [], [], []
-            by_lang: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+            added = Added()
             for lang, x in zip(batch.column("lang").to_pylist(), batch.column("x"), strict=True):
                 if text := x.as_py():
-                    by_lang.setdefault(lang, []).append(gram_counts(text))
-            for lang, parts in by_lang.items():
-                codes, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
-                n = np.bincount(at, weights=np.concatenate([w for _, w in parts])).astype(np.int64)
-                langs += [lang] * len(codes)
-                grams += [gram_text(c) for c in codes.tolist()]
-                counts += n.tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(grams, pa.string()), pa.array(counts, pa.int64())], names=["lang", "gram", "n"])
+                    added.add(lang, *gram_counts(text))
+            yield pa.RecordBatch.from_arrays(added.columns(), names=["lang", "gram", "n"])
+
+    return ranked(base.mapInArrow(run, "lang string, gram string, n bigint"), size)
+
+
+class Added:
+    """Counts of n-grams by language, added up whenever many have come together."""
+
+    MOST = 1 << 20
+
+    def __init__(self):
+        self.parts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.held: dict[str, int] = {}
+
+    def add(self, lang: str, codes: np.ndarray, n: np.ndarray) -> None:
+        self.parts.setdefault(lang, []).append((codes, n))
+        self.held[lang] = self.held.get(lang, 0) + len(codes)
+        if self.held[lang] > self.MOST:
+            self.parts[lang], self.held[lang] = [self.total(lang)], 0
+
+    def total(self, lang: str) -> tuple[np.ndarray, np.ndarray]:
+        codes, n = (np.concatenate(x) for x in zip(*self.parts[lang], strict=True))
+        order = np.argsort(codes, kind="stable")
+        codes, n = codes[order], n[order]
+        first = np.flatnonzero(np.diff(codes, prepend=-1))
+        return codes[first], np.add.reduceat(n, first)
+
+    def columns(self) -> list[pa.Array]:
+        langs, grams, counts = [], [], []
+        for lang in self.parts:
+            codes, n = self.total(lang)
+            langs += [lang] * len(codes)
+            grams += [gram_text(c) for c in codes.tolist()]
+            counts += n.tolist()
+        return [pa.array(langs, pa.string()), pa.array(grams, pa.string()), pa.array(counts, pa.int64())]
+
 
-    counts = base.mapInArrow(run, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")))
-    return ranked.where(F.col("rank") <= size).select("lang", "gram", "rank")
+def ranked(parts: DataFrame, size: int) -> DataFrame:
+    """Profiles of counts (lang, gram, n) that are still to be added up."""
+    counts = parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    rank = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")))
+    return rank.where(F.col("rank") <= size).select("lang", "gram", "rank")
 
 
 def detect_language(docs: DataFrame, profiles: DataFrame, size: int = SIZE, default: str | None = None, least_chars: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -119,19 +155,56 @@ def detect_language(docs: DataFrame, profiles: DataFrame, size: int = SIZE, defa
     next one (null with one profile).  Of equal distances the language of least name is taken.  Texts
     that are null, of ``least_chars`` characters at most, or without letters have ``default`` and no distance.
     """
-    rows = profiles.limit(MOST_LANGUAGES * size + 1).collect()
-    if len(rows) > MOST_LANGUAGES * size:
+    text = F.when(F.length(text_col) > least_chars, letters_only(F.col(text_col)))
+    rows = docs.select(id_col, text.alias("x"))
+    return _nearest(rows, profiles, size, default, lambda x: first_grams(x, size), id_col, docs.schema[id_col].dataType.simpleString())
+
+
+def detect_own(docs: DataFrame, size: int = SIZE, default: str | None = None, least_chars: int = LEAST_CHARS, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """``detect_language`` by the profiles of the same texts (``fit_profiles``), whose n-grams are counted once for both.
+
+    Each text's first n-grams are stored beside the counts of its language.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    base = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), letters_only(F.col(text_col)).alias("x"), F.coalesce(F.length(text_col) > least_chars, F.lit(False)).alias("long"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            added, firsts = Added(), []
+            for lang, x, long in zip(batch.column("lang").to_pylist(), batch.column("x"), batch.column("long").to_pylist(), strict=True):
+                text, first = x.as_py(), None
+                if text:
+                    found = gram_counts(text)
+                    if lang is not None:
+                        added.add(lang, *found)
+                    if long:
+                        first = in_order(*found)[:size].astype("<i8").tobytes()
+                firsts.append(first)
+            ids = batch.column("id")
+            none = [pa.nulls(len(ids), k) for k in (pa.string(), pa.string(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(firsts, pa.binary()), *none], names=["id", "x", "lang", "gram", "n"])
+            parts = added.columns()
+            n = len(parts[0])
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, ids.type), pa.nulls(n, pa.binary()), *parts], names=["id", "x", "lang", "gram", "n"])
+
+    made = stored(base.mapInArrow(run, f"id {kind}, x binary, lang string, gram string, n bigint"), "text-grams")
+    rows = made.where("n is null").select(F.col("id").alias(id_col), "x")
+    return _nearest(rows, ranked(made.where("n is not null"), size), size, default, lambda x: np.frombuffer(x, "<i8"), id_col, kind)
+
+
+def _nearest(rows: DataFrame, profiles: DataFrame, size: int, default: str | None, first: Callable[[str | bytes], np.ndarray], id_col: str, kind: str) -> DataFrame:
+    """``detect_language`` of rows (id, x), where ``first`` gives the n-grams of x in order; null and empty ones have the default."""
+    found = profiles.limit(MOST_LANGUAGES * size + 1).collect()
+    if len(found) > MOST_LANGUAGES * size:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     tables: dict[str, dict[int, int]] = {}
-    for r in rows:
+    for r in found:
         tables.setdefault(r["lang"], {})[gram_code(r["gram"])] = r["rank"]
     names = sorted(tables)
     codes = [np.array(sorted(tables[x]), dtype=np.int64) for x in names]
     ranks = [np.array([tables[x][c] for c in own.tolist()], dtype=np.int64) for x, own in zip(names, codes, strict=True)]
-    kind = docs.schema[id_col].dataType.simpleString()
 
-    def distances(text: str) -> list[int]:
-        own = first_grams(text, size)
+    def distances(own: np.ndarray) -> list[int]:
         out = []
         for c, r in zip(codes, ranks, strict=True):
             at = np.minimum(np.searchsorted(c, own), len(c) - 1)
@@ -142,10 +215,10 @@ def detect_language(docs: DataFrame, profiles: DataFrame, size: int = SIZE, defa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[tuple] = []
-            for text in batch.column("x"):
-                text = text.as_py()
-                if text and names:
-                    far = distances(text)
+            for x in batch.column("x"):
+                x = x.as_py()
+                if x and names:
+                    far = distances(first(x))
                     best = min(range(len(far)), key=far.__getitem__)
                     rest = sorted(far[:best] + far[best + 1 :])
                     found.append((names[best], far[best], rest[0] if rest else None))
@@ -154,8 +227,7 @@ def detect_language(docs: DataFrame, profiles: DataFrame, size: int = SIZE, defa
             detected, near, next_ = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(detected, pa.string()), pa.array(near, pa.int64()), pa.array(next_, pa.int64())], names=[id_col, "detected", "distance", "runner_up"])
 
-    text = F.when(F.length(text_col) > least_chars, letters_only(F.col(text_col)))
-    return docs.select(id_col, text.alias("x")).mapInArrow(run, f"{id_col} {kind}, detected string, distance bigint, runner_up bigint")
+    return rows.mapInArrow(run, f"{id_col} {kind}, detected string, distance bigint, runner_up bigint")
 
 
 def main_language(docs: DataFrame, lang_col: str = "lang") -> str | None:

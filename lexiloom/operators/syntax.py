@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lexicons import CONCRETE_NOUNS, LIGHT_VERBS, MODALS
@@ -61,6 +62,17 @@ def row_patterns() -> dict[str, tuple[Column, Column, Column]]:
     }
 
 
+#: What a token has to have for each pattern: alternatives for an annotator's ``only``, which leave out most tokens that show none.
+SHOWN_BY: dict[str, tuple[dict[str, object], ...]] = {
+    "passive": ({"dep_rel": ("aux:pass", "auxpass")},),
+    "modal": ({"dep_rel": ("aux",)},),
+    "negation": ({"dep_rel": ("neg",)}, {"pos": ("PART",)}),
+    "relative_clause": ({"dep_rel": ("acl:relc", "relcl")},),
+    "complex_np": ({"pos": ("NOUN",), "modifiers": lambda m: pc.greater_equal(pc.list_value_length(m), 2)},),
+    "tense": ({"pos": ("VERB", "AUX"), "morph": lambda m: pc.match_substring(m, "Tense=")},),
+}
+
+
 def complex_noun_phrases(t: DataFrame) -> DataFrame:
     """Nouns with two or more modifiers; the modifiers in text order.  Without a column ``modifiers`` they are grouped by their heads."""
     if "modifiers" in t.columns:
@@ -117,8 +129,6 @@ def grammar_counts(t: DataFrame, patterns: list[str] | None = None, examples: in
 
 def top_rows(df: DataFrame, group: str | list[str], order: list[str], k: int) -> DataFrame:
     """The first k rows of each group; Spark cuts each partition to k rows a group before the shuffle."""
-    from pyspark.sql import Window
-
     groups = [group] if isinstance(group, str) else group
     ranked = df.withColumn("rank_", F.row_number().over(Window.partitionBy(*groups).orderBy(*order)))
     return ranked.where(F.col("rank_") <= k).drop("rank_")
@@ -152,8 +162,8 @@ def _freq(t: DataFrame) -> Column:
 def pos_distribution(t: DataFrame) -> DataFrame:
     """Shares of tags, of a token table or of parts by tag."""
     counts = t.groupBy("pos").agg(_freq(t))
-    total = counts.agg(F.sum("freq").alias("n"))
-    return counts.crossJoin(F.broadcast(total)).select("pos", "freq", F.round(F.col("freq") / F.col("n") * 100, 4).alias("percent"))
+    # As few rows as there are tags: a window over them reads the texts once, whatever columns are asked for.
+    return counts.select("pos", "freq", F.round(F.col("freq") / F.sum("freq").over(Window.partitionBy(F.lit(0))) * 100, 4).alias("percent"))
 
 
 def pos_ngrams(t: DataFrame, n: int = 2, min_freq: int = 2, limit: int | None = 100) -> DataFrame:

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions import cleaning
 from ..functions.tokens import tokens
+from ..sources.storage import stored
 from . import annotation, arabic, association, concordance, frequency, language, lexical, syntax
+from .annotation import Wanted
 from .catalog import subcorpus
 
 
@@ -68,9 +70,18 @@ class Param:
 
 @dataclass(frozen=True)
 class Tool:
+    """A tool's parameters and how its result is made: of documents, of the tokens it wants, or of the words' counts too.
+
+    ``wants`` and ``counted`` say by the arguments what tokens it is made of and whether counts will do; calls share these, see ``call_all``.
+    """
+
     about: str
     params: dict[str, Param]
-    run: Callable[..., DataFrame]
+    run: Callable[..., DataFrame] | None = None
+    wants: Callable[..., Wanted] | None = None
+    of_tokens: Callable[..., DataFrame] | None = None
+    counted: Callable[..., bool] | None = None
+    of_counts: Callable[..., DataFrame] | None = None
 
 
 WORD = Param(str, "The word looked for; * and ? stand for any letters and any letter.", least=1, most=200)
@@ -82,19 +93,19 @@ def _limited(df: DataFrame, limit: int | None, *order) -> DataFrame:
     return df if limit is None else df.orderBy(*order).limit(limit)
 
 
-def _grammar(docs: DataFrame, patterns: list[str] | None) -> DataFrame:
-    shown = ("sentence_idx", "token_idx", "text", "lemma", "pos", "morph", "dep_rel", "head_text", "modifiers")
-    return syntax.grammar(annotation.RuleAnnotator().annotate(docs, (), shown), patterns)
+PAIR = ("lemma", "dep_rel", "head_lemma")
+SHOWN = ("sentence_idx", "token_idx", "text", "lemma", "pos", "morph", "dep_rel", "head_text", "modifiers")
 
 
-def _pairs(docs: DataFrame, relation: str, limit: int | None) -> DataFrame:
-    pair = ("lemma", "dep_rel", "head_lemma")
-    return syntax.dependency_pairs(annotation.RuleAnnotator().annotate(docs, (), pair, {"dep_rel": (relation,)}, pair), relation, limit)
+def _shown(patterns: list[str] | None) -> Wanted:
+    unknown = set(patterns or ()) - set(syntax.DETECTORS)
+    if unknown:
+        raise ValueError(f"unknown patterns: {', '.join(sorted(unknown))}")
+    return Wanted(annotation.names_of(SHOWN), tuple(only for n in patterns or syntax.DETECTORS for only in syntax.SHOWN_BY[n]))
 
 
 def _frequency(docs: DataFrame, level: str, min_freq: int, limit: int | None) -> DataFrame:
-    rows = tokens(docs) if level == "text" else annotation.RuleAnnotator().annotate(docs, (), (level,))
-    return frequency.frequency(rows, "text_lc" if level == "text" else level, min_freq=min_freq, limit=limit)
+    return frequency.frequency(annotation.RuleAnnotator().annotate(docs, (), (level,)), level, min_freq=min_freq, limit=limit)
 
 
 def _keyness(docs: DataFrame, source: str, direction: str, limit: int | None) -> DataFrame:
@@ -104,19 +115,19 @@ def _keyness(docs: DataFrame, source: str, direction: str, limit: int | None) ->
 
 TOOLS: dict[str, Tool] = {
     "concordance": Tool("A word with what stands around it.", {"query": WORD, "window": Param(int, "Words on either side.", default=5, least=1, most=50), "case_sensitive": Param(bool, "Capitals matter.", default=False), "limit": LIMIT}, lambda docs, query, window, case_sensitive, limit: concordance.search_concordance(docs, query, case_sensitive, window, limit)),
-    "frequency": Tool("How often words, lemmas or tags occur.", {"level": LEVEL, "min_freq": Param(int, "Least frequency.", default=1, least=1), "limit": LIMIT}, _frequency),
+    "frequency": Tool("How often words, lemmas or tags occur.", {"level": LEVEL, "min_freq": Param(int, "Least frequency.", default=1, least=1), "limit": LIMIT}, _frequency, counted=lambda level, **_: level == "text", of_counts=lambda docs, counts, level, min_freq, limit: frequency.shares(counts, min_freq, limit)),
     "collocations": Tool("Words that stand near a word more often than by chance.", {"query": WORD, "scope": Param(str, "What margins are counted in.", default="corpus", values=("corpus", "node_sentences")), "limit": LIMIT}, lambda docs, query, scope, limit: association.collocations(docs, query, scope=scope, limit=limit)),
     "keyness": Tool("Words of one source against those of all others.", {"source": Param(str, "The source.", least=1, most=200), "direction": Param(str, "More or less frequent there.", default="positive", values=("positive", "negative")), "limit": LIMIT}, _keyness),
     "dispersion": Tool("How evenly a word is spread over documents or sources.", {"query": WORD, "part": Param(str, "The parts.", default="doc_id", values=("doc_id", "source"))}, lambda docs, query, part: frequency.dispersion(docs, query, part=part)),
     "ngrams": Tool("Runs of words.", {"n": Param(int, "Words in a run.", default=2, least=2, most=8), "min_freq": Param(int, "Least frequency.", default=2, least=1), "min_range": Param(int, "Least number of documents.", default=1, least=1), "limit": LIMIT}, lambda docs, n, min_freq, min_range, limit: frequency.ngrams(docs, n, min_freq=min_freq, min_range=min_range, limit=limit)),
-    "statistics": Tool("Documents, sentences, words and types.", {}, lambda docs: frequency.corpus_statistics(docs)),
-    "grammar": Tool("Passives, modals, negations, relative clauses, noun phrases and tenses.", {"patterns": Param(list, "Which of them, all by default.", default=None, least=1)}, _grammar),
-    "dependency_pairs": Tool("Pairs of governor and dependent in a relation.", {"relation": Param(str, "The relation.", default="nsubj", values=tuple(annotation.RELATIONS)), "limit": LIMIT}, _pairs),
-    "tags": Tool("Shares of word classes.", {}, lambda docs: syntax.pos_distribution(annotation.RuleAnnotator().annotate(docs, (), ("pos",), by=("pos",)))),
+    "statistics": Tool("Documents, sentences, words and types.", {}, counted=lambda: True, of_counts=lambda docs, counts: frequency.corpus_statistics(docs, known=counts)),
+    "grammar": Tool("Passives, modals, negations, relative clauses, noun phrases and tenses.", {"patterns": Param(list, "Which of them, all by default.", default=None, least=1)}, wants=_shown, of_tokens=lambda t, patterns: syntax.grammar(t, patterns)),
+    "dependency_pairs": Tool("Pairs of governor and dependent in a relation.", {"relation": Param(str, "The relation.", default="nsubj", values=tuple(annotation.RELATIONS)), "limit": LIMIT}, wants=lambda relation, limit: Wanted(PAIR, {"dep_rel": (relation,)}, PAIR), of_tokens=lambda t, relation, limit: syntax.dependency_pairs(t, relation, limit)),
+    "tags": Tool("Shares of word classes.", {}, wants=lambda: Wanted(("pos",), {}, ("pos",)), of_tokens=lambda t: syntax.pos_distribution(t)),
     "sentiment": Tool("Sentences by positive and negative words.", {"positive": Param(list, "Positive words.", default=None, least=1), "negative": Param(list, "Negative words.", default=None, least=1)}, lambda docs, positive, negative: lexical.sentiment(docs, *([positive, negative] if positive and negative else []))),
     "redaction": Tool("Texts without sentences that have listed words.", {"words": Param(list, "The words.", default=None, least=1)}, lambda docs, words: lexical.redact_sentences(docs, words)),
     "clean": Tool("Cleaned texts.", {"lowercase": Param(bool, "Lower case.", default=False), "remove_punctuation": Param(bool, "No punctuation.", default=False), "remove_stop_words": Param(bool, "No stop words.", default=False), "min_token_length": Param(int, "Least length of a word.", default=0, least=0, most=100)}, lambda docs, **options: docs.select("doc_id", cleaning.clean_text(F.col("text"), cleaning.CleanOptions(**options)).alias("text"))),
-    "languages": Tool("Which language each text is in, by profiles of the corpus's own languages.", {"default": Param(str, "The language of short texts.", default=None)}, lambda docs, default: language.detect_language(docs, language.fit_profiles(docs), default=default)),
+    "languages": Tool("Which language each text is in, by profiles of the corpus's own languages.", {"default": Param(str, "The language of short texts.", default=None)}, lambda docs, default: language.detect_own(docs, default=default)),
     "roots": Tool("Arabic roots and their frequency.", {}, lambda docs: arabic.root_frequency(arabic.word_analysis(docs))),
     "subcorpus": Tool("Documents by their metadata.", {"year_min": Param(str, "First year.", default=None), "year_max": Param(str, "Last year.", default=None), "genre": Param(str, "The genre.", default=None)}, lambda docs, year_min, year_max, genre: subcorpus(docs, year_min=year_min, year_max=year_max, **({"genre": genre} if genre else {}))),
 }
@@ -156,18 +167,45 @@ def checked(name: str, arguments: dict | str | None) -> dict:
 
 def call(docs: DataFrame, name: str, arguments: dict | str | None = None) -> DataFrame:
     """The result of a tool over documents (doc_id, text, and lang, source or meta where a tool needs them)."""
-    values = checked(name, arguments)
-    try:
-        return TOOLS[name].run(docs, **values)
-    except ToolError:
-        raise
-    except ValueError as e:  # what only the operator itself can tell, such as unknown patterns
-        raise ToolError(f"{name}: {e}") from None
+    return call_all(docs, {name: (name, arguments)})[name]
+
+
+def call_all(docs: DataFrame, calls: dict[str, tuple[str, dict | str | None]]) -> dict[str, DataFrame]:
+    """Results of calls, {key: (tool, arguments)}; what several of them are made of is made once for all.
+
+    Tools that look at annotated tokens share one pass that annotates them, those that count words one count; all calls are
+    checked before anything is made.
+    """
+    values = {key: checked(name, arguments) for key, (name, arguments) in calls.items()}
+    own = {key: TOOLS[name] for key, (name, _) in calls.items()}
+
+    def of_operator(key: str, make: Callable[[], object]):
+        try:
+            return make()
+        except ToolError:
+            raise
+        except ValueError as e:  # what only the operator itself can tell, such as unknown patterns
+            raise ToolError(f"{calls[key][0]}: {e}") from None
+
+    wanted = {key: of_operator(key, lambda tool=tool, key=key: tool.wants(**values[key])) for key, tool in own.items() if tool.wants}
+    if len(wanted) > 1:
+        tables = dict(zip(wanted, annotation.RuleAnnotator().tables(docs, list(wanted.values())), strict=True))
+    else:
+        tables = {key: annotation.RuleAnnotator().annotate(docs, (), w.columns, w.only, w.by) for key, w in wanted.items()}
+    counting = [key for key, tool in own.items() if tool.counted and tool.counted(**values[key])]
+    counts = stored(frequency.count_items(frequency.words(docs), "text_lc"), "word-counts") if counting else None
+    out = {}
+    for key, tool in own.items():
+        if key in tables:
+            out[key] = of_operator(key, lambda tool=tool, key=key: tool.of_tokens(tables[key], **values[key]))
+        elif key in counting:
+            out[key] = of_operator(key, lambda tool=tool, key=key: tool.of_counts(docs, counts, **values[key]))
+        else:
+            out[key] = of_operator(key, lambda tool=tool, key=key: tool.run(docs, **values[key]))
+    return out
 
 
 def register_views(docs: DataFrame, calls: dict[str, tuple[str, dict]]) -> None:
     """Results of calls as temporary views, for SQL: {view: (tool, arguments)}; all are checked before the first is made."""
-    for name, arguments in calls.values():
-        checked(name, arguments)
-    for view, (name, arguments) in calls.items():
-        call(docs, name, arguments).createOrReplaceTempView(view)
+    for view, found in call_all(docs, calls).items():
+        found.createOrReplaceTempView(view)

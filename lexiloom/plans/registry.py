@@ -578,7 +578,7 @@ def combined_emotion(spark, d):
 def detect_languages(spark, d):
     """Documents against the profiles of the languages that they are said to be in."""
     x = docs(spark, d)
-    return language.detect_language(x, language.fit_profiles(x), default="en")
+    return language.detect_own(x, default="en")
 
 
 @query
@@ -642,8 +642,8 @@ def tool_results(spark, d):
     """Tools called by name over all documents, and how many rows each gives."""
     calls = {"concordance": {"query": "the"}, "frequency": {"min_freq": 2}, "grammar": {"patterns": ["modal", "complex_np", "tense"]}, "dependency_pairs": {"relation": "obj"}, "tags": {}, "languages": {"default": "en"}, "redaction": {"words": ["the", "und"]}, "statistics": {}}
     out = None
-    for name, arguments in calls.items():
-        n = tools.call(docs(spark, d), name, arguments).agg(F.lit(name).alias("tool"), F.count("*").alias("n_rows"))
+    for name, found in tools.call_all(docs(spark, d), {name: (name, arguments) for name, arguments in calls.items()}).items():
+        n = found.agg(F.lit(name).alias("tool"), F.count("*").alias("n_rows"))
         out = n if out is None else out.unionByName(n)
     return out
 
